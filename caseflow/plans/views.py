@@ -461,3 +461,40 @@ def commitments(t: Tables) -> DataFrame:
         ts(AS_OF).alias("created_at"),
         ts(AS_OF).alias("updated_at"),
     )
+
+
+# --------------------------------------------------------------------------- identity registry
+
+
+def identity_requests(t: Tables) -> DataFrame:
+    """One identity check per order, for the ordering customer's identifier,
+    twelve hours after the order date; even customers ask the registry."""
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    i = identifiers(t)
+    j = o.join(i, o.o_custkey == i.c_custkey, "inner")
+    return j.select(
+        F.concat(F.lit("req-"), _s(j.o_orderkey)).alias("request_id"),
+        j.identifier_text,
+        F.when(j.o_custkey % 2 == 0, "authorized").otherwise("local").alias("lookup"),
+        (j.o_orderdate + F.make_interval(hours=F.lit(12))).alias("requested_at"),
+    )
+
+
+def registry_snapshots(t: Tables) -> DataFrame:
+    """Registry answers kept over time: one per order not divisible by 3,
+    fetched 0-47 hours after the order date; pending orders are 'not found'."""
+    o = t.orders.where(F.col("o_orderkey") % 3 != 0).select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    i = identifiers(t)
+    c = t.customer.select("c_custkey", "c_name")
+    j = o.join(i, o.o_custkey == i.c_custkey, "inner").join(c, o.o_custkey == c.c_custkey, "inner")
+    from caseflow.functions.identity import strip_separators
+    return j.select(
+        strip_separators(j.identifier_text).alias("identifier"),
+        (j.o_orderdate + F.make_interval(hours=(j.o_orderkey % 48).cast("int"))).alias("fetched_at"),
+        F.concat(F.lit("snap-"), _s(j.o_orderkey)).alias("snapshot_id"),
+        (j.o_orderstatus != "P").alias("found"),
+        F.concat(F.lit("  "), j.c_name, F.lit(" ")).alias("legal_name"),
+        F.concat(F.lit("Comercial "), _s(j.o_custkey)).alias("commercial_name"),
+        F.lit("Servicios").alias("activity"),
+    )
