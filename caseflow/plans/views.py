@@ -498,3 +498,23 @@ def registry_snapshots(t: Tables) -> DataFrame:
         F.concat(F.lit("Comercial "), _s(j.o_custkey)).alias("commercial_name"),
         F.lit("Servicios").alias("activity"),
     )
+
+
+def model_outputs(t: Tables) -> DataFrame:
+    """Stored model answers for agent decisions: a JSON analysis, fenced as
+    Markdown for even events, truncated (unparseable) for every 29th."""
+    e = t.events.where(F.col("event_type") == "click")
+    body = F.to_json(F.struct(
+        F.lit("Resumen").alias("summary"),
+        F.lit("consulta").alias("intent"),
+        pick(["low", "medium", "high", "urgent"], e.event_id % 4).alias("urgency"),
+        pick(["photography_session", "process_engineering", "repair"], e.user_id % 3).alias("serviceFamily"),
+        F.array(F.lit("Fecha")).alias("missing_information"),
+        F.lit("Llamar").alias("next_best_action"),
+        F.lit("Hola").alias("draft_reply"),
+        F.lit(True).alias("requires_human_approval"),
+        F.round(e.value / 20, 4).alias("confidence"),
+    ))
+    text = F.when(e.event_id % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    text = F.when(e.event_id % 29 == 0, F.substring(text, 1, 20)).otherwise(text)
+    return e.select(F.concat(F.lit("evt-"), _s(e.event_id)).alias("event_id"), text.alias("raw_text"))
