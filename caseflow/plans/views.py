@@ -235,7 +235,8 @@ CANONICAL_ACTIONS = [a for a in K.CASE_ACTIONS if a != "reject_quote"]
 def cases(t: Tables) -> DataFrame:
     o = t.orders
     c = t.customer.select("c_custkey", "c_nationkey", "c_name")
-    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    ids = identifiers(t).select(F.col("c_custkey").alias("ik"), "identifier_text")
+    j = o.join(c, o.o_custkey == c.c_custkey, "inner").join(ids, F.col("o_custkey") == F.col("ik"), "inner")
     return j.select(
         F.concat(F.lit("case-"), _s(j.o_orderkey)).alias("id"),
         F.concat(F.lit("tenant-"), _s(j.c_nationkey)).alias("tenant_id"),
@@ -243,7 +244,8 @@ def cases(t: Tables) -> DataFrame:
         F.concat(F.lit("contact-"), _s(j.o_custkey)).alias("customer_id"),
         F.concat(F.lit("user-"), _s(j.o_custkey)).alias("customer_user_id"),
         j.c_name.alias("customer_name"),
-        F.lit("").alias("customer_identifier"),
+        # case creation keeps the digits of the identifier only
+        F.regexp_replace(j.identifier_text, "[^0-9]", "").alias("customer_identifier"),
         F.concat(F.lit("Orden "), _s(j.o_orderkey)).alias("title"),
         F.concat(F.lit("Prioridad "), j.o_orderpriority).alias("description"),
         F.lit("intake").alias("current_stage"),
@@ -518,3 +520,21 @@ def model_outputs(t: Tables) -> DataFrame:
     text = F.when(e.event_id % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     text = F.when(e.event_id % 29 == 0, F.substring(text, 1, 20)).otherwise(text)
     return e.select(F.concat(F.lit("evt-"), _s(e.event_id)).alias("event_id"), text.alias("raw_text"))
+
+
+WORKFLOW_ACTIONS = ["analyze", "draft", "approve", "reject", "billing_review"]
+
+
+def workflow_actions(t: Tables) -> DataFrame:
+    """Reviewer actions on demo workflows: one per order of the contact's
+    customer, ordered by order key; every seventh draft is too short."""
+    o = t.orders.select("o_orderkey", "o_custkey")
+    k = o.o_orderkey
+    action = pick(WORKFLOW_ACTIONS, F.floor(k / 7) % 5)
+    return o.select(
+        F.concat(F.lit("contact-"), _s(o.o_custkey)).alias("contact_id"),
+        k.alias("action_no"),
+        action.alias("action"),
+        F.when(action == "draft", F.when(k % 7 == 0, F.lit(" ok ")).otherwise(
+            F.concat(F.lit("Borrador revisado "), _s(k)))).alias("draft_reply"),
+    )
