@@ -538,3 +538,36 @@ def workflow_actions(t: Tables) -> DataFrame:
         F.when(action == "draft", F.when(k % 7 == 0, F.lit(" ok ")).otherwise(
             F.concat(F.lit("Borrador revisado "), _s(k)))).alias("draft_reply"),
     )
+
+
+def case_lookups(t: Tables) -> DataFrame:
+    """Each member looks up one case id, which may belong to another tenant."""
+    c = t.customer
+    k = c.c_custkey
+    return c.select(
+        F.concat(F.lit("look-"), _s(k)).alias("request_id"),
+        F.concat(F.lit("tenant-"), _s(c.c_nationkey)).alias("tenant_id"),
+        F.concat(F.lit("case-"), _s((k * 7) % 15000)).alias("id"),
+    )
+
+
+def member_updates(t: Tables) -> DataFrame:
+    """Updates issued by each nation's first active administrator on every
+    seventh customer's membership (two updates each, the later one wins)."""
+    c = t.customer
+    admins = c.where((c.c_custkey % 4 == 1) & (c.c_custkey % 17 != 0)).groupBy("c_nationkey").agg(
+        F.min("c_custkey").alias("admin_key"))
+    j = c.where(c.c_custkey % 7 == 0).join(admins, "c_nationkey", "inner")
+    k = j.c_custkey
+    base = j.select(
+        F.concat(F.lit("tenant-"), _s(j.c_nationkey)).alias("tenant_id"),
+        F.concat(F.lit("user-"), _s(k)).alias("user_id"),
+        F.concat(F.lit("user-"), _s(j.admin_key)).alias("actor_user_id"), k.alias("k"))
+    first = base.select("tenant_id", "user_id", "actor_user_id", (F.col("k") * 2).alias("update_no"),
+                        F.lit("customer").alias("role"), F.array(F.lit("cases.view")).alias("permissions"),
+                        F.lit("active").alias("status"))
+    second = base.select("tenant_id", "user_id", "actor_user_id", (F.col("k") * 2 + 1).alias("update_no"),
+                         F.lit("collaborator").alias("role"),
+                         F.array(F.lit("cases.view"), F.lit("cases.manage")).alias("permissions"),
+                         F.when(F.col("k") % 2 == 0, "suspended").otherwise("active").alias("status"))
+    return first.unionByName(second)
