@@ -95,6 +95,25 @@ SELECT substr(sha256(concat_ws('|', {v('l.l_orderkey')}, {v('l.l_linenumber')},
   CASE l.l_orderkey % 3 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'done' ELSE 'cancelled' END AS status
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
 WHERE l.l_linenumber = 1"""),
+    "audit_v": ([], f"""
+SELECT ts AS timestamp, 'evt-' || {v('event_id')} AS event_id, event_id AS eid,
+  CASE event_type WHEN 'signup' THEN 'customer_created' WHEN 'view' THEN 'case_created'
+    WHEN 'click' THEN 'agent_decision_completed'
+    WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'agent_retry' ELSE 'agent_error' END
+    WHEN 'purchase' THEN 'human_approval_completed' END AS event_name,
+  'tenant-' || {v('user_id % 25')} AS tenant_id, 'contact-' || {v('user_id')} AS customer_id,
+  'case-' || {v('user_id')} AS case_id, 'agent-' || {v('user_id % 6')} AS agent_id,
+  CASE WHEN event_type IN ('click', 'error') THEN 'model-' || {v('user_id % 2')} END AS model,
+  CASE WHEN event_type IN ('click', 'error') THEN 'req-' || {v('event_id')} END AS request_reference,
+  CASE WHEN event_type IN ('click', 'error') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS input_tokens,
+  CASE WHEN event_type IN ('click', 'error') THEN CAST(json_extract(props, '$.k') AS BIGINT) * 3 END AS output_tokens,
+  CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'edited'
+      ELSE 'rejected' END
+    WHEN event_type = 'click' THEN 'required' ELSE 'not_required' END AS human_approval,
+  CAST(trunc(value * 100) AS BIGINT) AS duration_ms,
+  CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
+  value
+FROM events"""),
 }
 
 

@@ -571,3 +571,38 @@ def member_updates(t: Tables) -> DataFrame:
                          F.array(F.lit("cases.view"), F.lit("cases.manage")).alias("permissions"),
                          F.when(F.col("k") % 2 == 0, "suspended").otherwise("active").alias("status"))
     return first.unionByName(second)
+
+
+def model_call_costs(t: Tables) -> DataFrame:
+    """Estimated cost of every model call from its token counts."""
+    a = audit_events(t).where(F.col("model").isNotNull())
+    cost = (a.input_tokens.cast("decimal(18,6)") * F.lit(0.0001).cast("decimal(18,6)")
+            + a.output_tokens.cast("decimal(18,6)") * F.lit(0.0004).cast("decimal(18,6)"))
+    return a.select("timestamp", "event_id", "model", cost.cast("decimal(18,6)").alias("cost_usd"))
+
+
+def evidence_manifest(t: Tables) -> DataFrame:
+    """Evidence index rows for model calls (two calls share an id now and then)."""
+    e = t.events.where(F.col("event_type").isin("click", "error"))
+    k = e.event_id
+    return e.select(
+        F.concat(F.lit("EV-"), _s(F.floor(k / 2))).alias("evidence_id"),
+        F.concat(F.lit("evt-"), _s(k)).alias("event_id"),
+        F.date_format(e.ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at_utc"),
+        F.when(e.user_id % 5 == 0, "synthetic").otherwise("production").alias("environment"),
+        F.lit("api-usage").alias("category"),
+        F.when(k % 2 == 0, "production_usage").otherwise("pilot").alias("claim_supported"),
+        F.lit("model-api").alias("source_system"),
+        F.lit("not_applicable_synthetic").alias("consent_status"),
+        F.when(k % 11 == 0, F.lit("pending")).otherwise(F.sha2(e.props, 256)).alias("sha256"),
+        F.when(k % 13 == 0, F.lit("")).otherwise(F.lit("internal")).alias("visibility"),
+        F.lit("captured").alias("status"),
+    )
+
+
+def call_logs(t: Tables) -> DataFrame:
+    """Platform log lines of model calls: some calls never logged, some twice."""
+    e = t.events.where(F.col("event_type").isin("click", "error"))
+    once = e.where(e.event_id % 10 != 0).select(F.concat(F.lit("evt-"), _s(e.event_id)).alias("event_id"))
+    twice = e.where(e.event_id % 25 == 0).select(F.concat(F.lit("evt-"), _s(e.event_id)).alias("event_id"))
+    return once.unionByName(twice)
