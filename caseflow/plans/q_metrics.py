@@ -1 +1,360 @@
-"""Queries registered by this module."""
+"""Metric queries: F2, F4, F5, F11, A4-A8, A10, A12, A15, A16, A18, A19,
+A21, A22, L4, U2, W5, J15, J16, X11."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caseflow.operators import identity as OI
+from caseflow.operators import lifecycle as LC
+from caseflow.operators import metrics as M
+from caseflow.operators import text as OT
+from caseflow.plans import views as V
+from caseflow.plans.oracle import AS_OF_SQL
+from caseflow.plans.q_lifecycle import _CASE_WALK, _WF_STATE
+from caseflow.plans.registry import query
+
+
+def _as_of():
+    return V.ts(V.AS_OF)
+
+
+# DuckDB restatement of the contacts view (columns the metrics read)
+_CONTACTS = f"""
+contacts AS (
+  SELECT 'contact-' || CAST(c_custkey AS VARCHAR) AS id, c_custkey AS k, 'tenant-' || CAST(c_nationkey AS VARCHAR) AS tenant_id,
+    CASE WHEN c_custkey % 2 = 0 THEN 'photography_studio' ELSE 'iapro' END AS playbook, c_name AS display_name,
+    'Cuenta ' || c_mktsegment || ' ' || CAST(c_custkey AS VARCHAR) AS account_name,
+    '+593000000' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS phone,
+    'contact' || CAST(c_custkey % 997 AS VARCHAR) || '@example.invalid' AS email,
+    'Oportunidad ' || lower(c_mktsegment) AS opportunity,
+    CASE WHEN c_custkey % 8 = 0 THEN '' ELSE 'Seguimiento ' || CAST(c_custkey AS VARCHAR) END AS next_action,
+    CAST(floor(abs(c_acctbal)) AS BIGINT) AS estimated_value_usd,
+    CASE c_custkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority,
+    CASE c_custkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'followup_due' WHEN 2 THEN 'discovery'
+      WHEN 3 THEN 'approval_required' ELSE 'billing_review' END AS status,
+    c_custkey % 23 = 0 AS outbound_allowed,
+    {AS_OF_SQL} - (c_custkey % 90) * INTERVAL 1 DAY AS last_interaction_at,
+    {AS_OF_SQL} + (c_custkey % 30 - 15) * INTERVAL 1 DAY AS due_at,
+    c_acctbal
+  FROM customer)"""
+
+
+def _w(body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + _CONTACTS.strip() + "\n" + body
+
+
+@query("filter_contacts", _w("""
+SELECT id, tenant_id, playbook FROM contacts WHERE tenant_id = 'tenant-4' AND playbook = 'iapro'"""))
+def q_filter_contacts(t):
+    return M.filter_contacts(V.contacts(t), "tenant-4", "iapro").select("id", "tenant_id", "playbook")
+
+
+@query("list_total", _w("""
+SELECT tenant_id, playbook, count(*) AS total FROM contacts GROUP BY ALL"""))
+def q_list_total(t):
+    return M.list_total(M.filter_contacts(V.contacts(t), " ", None), ["tenant_id", "playbook"])
+
+
+@query("safe_contacts", _w("""
+SELECT id, tenant_id FROM contacts WHERE NOT outbound_allowed"""))
+def q_safe_contacts(t):
+    return M.safe_contacts(V.contacts(t)).select("id", "tenant_id")
+
+
+@query("search_contacts", _w("""
+SELECT id, account_name FROM contacts WHERE playbook = 'iapro'
+  AND contains(lower(display_name || ' ' || account_name || ' ' || opportunity), 'building')"""))
+def q_search_contacts(t):
+    return M.search_contacts(V.contacts(t), "iapro", "  BUILDING ").select("id", "account_name")
+
+
+def _consent(t):
+    c = t.customer
+    return c.where(c.c_custkey % 7 != 0).select(
+        F.concat(F.lit("contact-"), c.c_custkey.cast("string")).alias("contact_id"),
+        F.when(c.c_custkey % 3 == 0, "denied").otherwise("granted").alias("decision"))
+
+
+def _suppression(t):
+    c = V.contacts(t).join(t.customer.where(F.col("c_acctbal") < 0).select(
+        F.concat(F.lit("contact-"), F.col("c_custkey").cast("string")).alias("id")), "id", "left_semi")
+    return c.select("phone")
+
+
+@query("campaign_eligible", _w("""
+SELECT id, tenant_id FROM contacts c WHERE k % 7 <> 0 AND k % 3 <> 0
+  AND phone NOT IN (SELECT phone FROM contacts WHERE c_acctbal < 0)"""))
+def q_campaign_eligible(t):
+    return M.campaign_eligible(V.contacts(t), _consent(t), _suppression(t)).select("id", "tenant_id")
+
+
+_WF = "WITH " + _WF_STATE.strip() + ",\n" + _CONTACTS.strip()
+
+
+@query("control_room_kpis", _WF + """
+SELECT c.tenant_id,
+  (SELECT count(*) FROM wstate2 w WHERE w.tenant_id = c.tenant_id AND status = 'awaiting_approval') AS pending_approvals,
+  (SELECT count(*) FROM wstate2 w WHERE w.tenant_id = c.tenant_id AND has_analysis) AS decisions,
+  (SELECT count(*) FROM wstate2 w WHERE w.tenant_id = c.tenant_id AND status = 'billing_review') AS billing_items,
+  sum(estimated_value_usd) AS pipeline_usd
+FROM contacts c GROUP BY c.tenant_id""")
+def q_control_room_kpis(t):
+    return M.control_room_kpis(LC.workflow_state(V.contacts(t), V.stored_workflows(t)), V.contacts(t))
+
+
+@query("seed_status", _w("""
+SELECT tenant_id, count(*) AS contacts, sum(estimated_value_usd) AS pipeline_usd, 0 AS level FROM contacts GROUP BY 1
+UNION ALL SELECT NULL, count(*), sum(estimated_value_usd), 1 FROM contacts"""))
+def q_seed_status(t):
+    return M.seed_status(V.contacts(t))
+
+
+@query("next_action_coverage", _w("""
+SELECT tenant_id, round(avg(CASE WHEN length(trim(next_action)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage
+FROM contacts GROUP BY 1"""))
+def q_next_action_coverage(t):
+    return M.next_action_coverage(V.contacts(t))
+
+
+@query("overview", _WF + """,
+ev AS (SELECT 'tenant-' || CAST(user_id % 25 AS VARCHAR) AS tenant_id, count(*) AS n FROM events
+  WHERE event_type = 'click' GROUP BY 1)
+SELECT c.tenant_id, count(*) AS contacts, count(*) FILTER (WHERE c.status <> 'billing_review') AS active_opportunities,
+  CAST(round(avg(CASE WHEN length(trim(next_action)) > 0 THEN 1.0 ELSE 0.0 END) * 100, 0) AS BIGINT)
+    AS continuity_coverage,
+  coalesce(any_value(ev.n), 0) AS agent_decisions,
+  (SELECT count(*) FROM wstate2 w WHERE w.tenant_id = c.tenant_id AND w.status = 'awaiting_approval')
+    AS pending_approvals
+FROM contacts c LEFT JOIN ev ON ev.tenant_id = c.tenant_id GROUP BY c.tenant_id""")
+def q_overview(t):
+    return M.overview(V.contacts(t), LC.workflow_state(V.contacts(t), V.stored_workflows(t)), V.audit_events(t))
+
+
+def _followups(t):
+    o = t.orders
+    return o.select(F.concat(F.lit("contact-"), o.o_custkey.cast("string")).alias("contact_id"),
+                    o.o_orderdate.alias("at"))
+
+
+@query("followup_sla", _w(f""",
+due AS (SELECT * FROM contacts WHERE due_at <= {AS_OF_SQL}),
+hit AS (SELECT DISTINCT d.id FROM due d JOIN orders o ON 'contact-' || CAST(o.o_custkey AS VARCHAR) = d.id
+  WHERE o.o_orderdate BETWEEN d.last_interaction_at AND d.due_at)
+SELECT tenant_id, count(*) AS due, count(h.id) AS on_time,
+  round(avg(CASE WHEN h.id IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS sla_share
+FROM due d LEFT JOIN hit h ON h.id = d.id GROUP BY tenant_id""").replace(")\n,\ndue AS", "),\ndue AS"))
+def q_followup_sla(t):
+    return M.followup_sla(V.contacts(t), _followups(t), _as_of())
+
+
+@query("action_queue", _w("""
+SELECT tenant_id, rank, id, priority, due_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1
+    ELSE 2 END, due_at, id) AS rank FROM contacts) WHERE rank <= 5"""))
+def q_action_queue(t):
+    return M.action_queue(V.contacts(t), 5)
+
+
+@query("stale_opportunities", _w(f"""
+SELECT id, tenant_id, date_diff('day', due_at, {AS_OF_SQL}) AS overdue_days,
+  rank() OVER (PARTITION BY tenant_id ORDER BY last_interaction_at DESC) AS recency_rank
+FROM contacts WHERE due_at < {AS_OF_SQL}"""))
+def q_stale_opportunities(t):
+    return M.stale_opportunities(V.contacts(t), _as_of())
+
+
+def _incoming(t):
+    c = V.contacts(t)
+    k = F.substring_index("id", "-", -1).cast("bigint")
+    return c.unionByName(c.where(k % 10 == 0))
+
+
+@query("import_reconciliation", _w("""
+, inc AS (SELECT * FROM contacts UNION ALL SELECT * FROM contacts WHERE k % 10 = 0),
+flag AS (SELECT *, next_action = '' OR outbound_allowed AS bad FROM inc)
+SELECT tenant_id, count(*) AS input_rows, count(DISTINCT id) FILTER (WHERE NOT bad) AS stored,
+  count(*) FILTER (WHERE bad) AS rejected,
+  count(*) FILTER (WHERE NOT bad) - count(DISTINCT id) FILTER (WHERE NOT bad) AS duplicates, true AS balanced
+FROM flag GROUP BY tenant_id""").replace(")\n, inc AS", "),\ninc AS"))
+def q_import_reconciliation(t):
+    _, rec = M.import_reconciliation(_incoming(t))
+    return rec
+
+
+@query("seed_drift", _w("""
+SELECT 'seed_only' AS side, count(*) AS rows FROM contacts WHERE next_action = '' OR outbound_allowed
+UNION ALL SELECT 'both', count(*) FROM contacts WHERE NOT (next_action = '' OR outbound_allowed)"""))
+def q_seed_drift(t):
+    stored, _ = M.import_reconciliation(_incoming(t))
+    cols = ["id", "estimated_value_usd"]
+    return M.seed_drift(V.contacts(t).select(*cols), stored.select(*cols))
+
+
+@query("duplicate_contacts", _w("""
+, keys AS (SELECT id, tenant_id, 'phone' AS kind, replace(phone, '-', '') AS key FROM contacts
+  UNION ALL SELECT id, tenant_id, 'email', lower(email) FROM contacts),
+g AS (SELECT kind, key, count(*) AS group_size, min(id) AS group_id FROM keys GROUP BY ALL HAVING count(*) > 1)
+SELECT k.id, k.tenant_id, k.kind, k.key, g.group_size, g.group_id FROM keys k JOIN g USING (kind, key)""")
+     .replace(")\n, keys AS", "),\nkeys AS"))
+def q_duplicate_contacts(t):
+    return M.duplicate_contacts(V.contacts(t))
+
+
+def _final_cases(t):
+    ident = OI.validate_identifiers(V.identifiers(t))
+    return LC.replay_cases(V.cases(t), V.case_actions(t), ident)
+
+
+_FIN = _CASE_WALK + """,
+fin AS (SELECT case_id, arg_max(stage, rn) AS stage,
+  arg_max(CASE action WHEN 'prepare_quote' THEN 'waiting_approval' WHEN 'approve_quote' THEN 'active'
+      WHEN 'complete_service' THEN 'billing_review' WHEN 'prepare_billing' THEN 'billing_review'
+      WHEN 'close_case' THEN 'completed' ELSE 'open' END, rn) FILTER (WHERE rn > 0 AND err IS NULL) AS status,
+  arg_max(quote_amount_usd, rn) FILTER (WHERE rn > 0 AND err IS NULL AND action = 'prepare_quote') AS amount
+  FROM walk GROUP BY case_id),
+allc AS (SELECT 'case-' || CAST(o.o_orderkey AS VARCHAR) AS case_id, 'tenant-' || CAST(c.c_nationkey AS VARCHAR)
+    AS tenant_id, CASE c.c_nationkey % 4 WHEN 0 THEN 'pcdoctor' WHEN 1 THEN 'iapro' WHEN 2 THEN 'photography_studio'
+    ELSE 'condominium_management' END AS playbook, o.o_orderdate AS updated_at
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+fc AS (SELECT a.*, coalesce(f.stage, 'intake') AS current_stage, coalesce(f.status, 'open') AS status, f.amount
+  FROM allc a LEFT JOIN fin f ON a.case_id = f.case_id)"""
+
+
+@query("conversion", _FIN + """
+SELECT playbook, tenant_id, count(*) AS opened, count(*) FILTER (WHERE current_stage = 'completed') AS completed,
+  0 AS level, round(count(*) FILTER (WHERE current_stage = 'completed') / count(*), 6) AS rate FROM fc GROUP BY 1, 2
+UNION ALL SELECT playbook, NULL, count(*), count(*) FILTER (WHERE current_stage = 'completed'), 1,
+  round(count(*) FILTER (WHERE current_stage = 'completed') / count(*), 6) FROM fc GROUP BY 1
+UNION ALL SELECT NULL, NULL, count(*), count(*) FILTER (WHERE current_stage = 'completed'), 3,
+  round(count(*) FILTER (WHERE current_stage = 'completed') / count(*), 6) FROM fc""")
+def q_conversion(t):
+    f = _final_cases(t).join(V.cases(t).select(F.col("id").alias("case_id"), "playbook"), "case_id")
+    return M.conversion(f)
+
+
+@query("deidentified_rollup", _FIN + """
+SELECT playbook, current_stage, status, count(*) AS n, count(DISTINCT tenant_id) AS tenants FROM fc
+GROUP BY ALL HAVING count(*) >= 50""")
+def q_deidentified_rollup(t):
+    f = _final_cases(t).join(V.cases(t).select(F.col("id").alias("case_id"), "playbook"), "case_id")
+    return M.deidentified_rollup(f, ["playbook", "current_stage", "status"], 50)
+
+
+@query("billing_queue", _FIN + ",\n" + _WF_STATE.strip() + ",\n" + _CONTACTS.strip() + """
+SELECT tenant_id, 'case' AS kind, count(*) AS items, CAST(sum(amount) AS DECIMAL(20,2)) AS amount_usd,
+  min(updated_at) AS oldest
+FROM fc WHERE status = 'billing_review' GROUP BY 1
+UNION ALL
+SELECT w.tenant_id, 'workflow', count(*), CAST(sum(c.estimated_value_usd) AS DECIMAL(20,2)), min(c.last_interaction_at)
+FROM wstate2 w JOIN contacts c ON c.id = w.contact_id WHERE w.billing_status = 'ready_for_review' GROUP BY 1""")
+def q_billing_queue(t):
+    f = _final_cases(t).join(V.cases(t).select(F.col("id").alias("case_id"), "updated_at"), "case_id")
+    q = M.billing_queue(f, LC.workflow_state(V.contacts(t), V.stored_workflows(t)), V.contacts(t))
+    return q.withColumn("amount_usd", F.col("amount_usd").cast("decimal(20,2)"))
+
+
+@query("service_family_mix", _FIN + """,
+an AS (SELECT 'case-' || CAST(user_id AS VARCHAR) AS case_id,
+  CASE user_id % 3 WHEN 0 THEN 'photography_session' WHEN 1 THEN 'process_engineering' ELSE 'repair' END AS service_family
+  FROM events WHERE event_type = 'click' AND event_id % 29 <> 0 AND event_id % 4 <> 3 AND round(value / 20, 4) <= 1)
+SELECT a.service_family, count(*) AS opportunities, count(f.amount) AS quoted,
+  CAST(coalesce(sum(f.amount), 0) AS DECIMAL(20,2)) AS quoted_usd
+FROM an a JOIN fc f ON f.case_id = a.case_id GROUP BY 1""")
+def q_service_family_mix(t):
+    parsed = OT.parse_model_output(V.model_outputs(t), "raw_text", keep=["event_id"]).where("valid")
+    ev = t.events.select(F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("event_id"),
+                         F.concat(F.lit("case-"), F.col("user_id").cast("string")).alias("case_id"))
+    a = parsed.join(ev, "event_id").select("case_id", "service_family")
+    return M.service_family_mix(a, _final_cases(t)).withColumn("quoted_usd",
+                                                               F.col("quoted_usd").cast("decimal(20,2)"))
+
+
+def _transactions(t):
+    o = t.orders
+    k = o.o_orderkey
+    ev = F.concat(F.lit("EV-"), k.cast("string"),
+                  F.when(k % 4 == 0, F.concat(F.lit(";EV-"), (k + 1).cast("string"))).otherwise(F.lit("")))
+    return o.select(F.concat(F.lit("tx-"), k.cast("string")).alias("transaction_id"), ev.alias("evidence_ids"),
+                    (o.o_orderstatus == "F").alias("bank_reconciled"))
+
+
+def _evidence(t):
+    o = t.orders
+    return o.where(o.o_orderkey % 5 != 0).select(F.concat(F.lit("EV-"), o.o_orderkey.cast("string"))
+                                                 .alias("evidence_id"))
+
+
+@query("evidence_chain", """
+WITH links AS (
+  SELECT 'tx-' || CAST(o_orderkey AS VARCHAR) AS transaction_id, 'EV-' || CAST(o_orderkey AS VARCHAR) AS evidence_id
+  FROM orders
+  UNION ALL SELECT 'tx-' || CAST(o_orderkey AS VARCHAR), 'EV-' || CAST(o_orderkey + 1 AS VARCHAR) FROM orders
+  WHERE o_orderkey % 4 = 0)
+SELECT evidence_id, transaction_id FROM links
+WHERE evidence_id NOT IN (SELECT 'EV-' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 <> 0)""")
+def q_evidence_chain(t):
+    missing, _ = M.evidence_chain(_transactions(t), _evidence(t))
+    return missing
+
+
+@query("unreconciled_transactions", """
+SELECT 'tx-' || CAST(o_orderkey AS VARCHAR) AS transaction_id FROM orders WHERE o_orderstatus <> 'F'""")
+def q_unreconciled(t):
+    _, un = M.evidence_chain(_transactions(t), _evidence(t))
+    return un
+
+
+@query("classification_eval", """
+WITH j AS (SELECT l.quality AS gold, CASE WHEN d.n_chars > 2000 THEN 1 ELSE 0 END AS pred
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+cls AS (SELECT gold AS cls FROM j UNION SELECT pred FROM j)
+SELECT c.cls,
+  (SELECT count(*) FROM j WHERE gold = c.cls AND pred = c.cls) AS tp,
+  (SELECT count(*) FROM j WHERE pred = c.cls AND gold <> c.cls) AS fp,
+  (SELECT count(*) FROM j WHERE gold = c.cls AND pred <> c.cls) AS fn,
+  round((SELECT count(*) FROM j WHERE gold = c.cls AND pred = c.cls)
+    / nullif((SELECT count(*) FROM j WHERE pred = c.cls), 0), 6) AS precision,
+  round((SELECT count(*) FROM j WHERE gold = c.cls AND pred = c.cls)
+    / nullif((SELECT count(*) FROM j WHERE gold = c.cls), 0), 6) AS recall
+FROM cls c""")
+def q_classification_eval(t):
+    d = t.documents.select("doc_id", F.when(F.col("n_chars") > 2000, 1).otherwise(0).alias("label"))
+    g = t.labels.select("doc_id", F.col("quality").alias("label"))
+    return M.classification_eval(d, g)
+
+
+def _ledger(t):
+    li = t.lineitem
+    month = F.date_format(li.l_shipdate, "yyyy-MM")
+    price = li.l_extendedprice.cast("decimal(18,2)")
+    rev_line = (F.when(li.l_returnflag == "A", "revenue_implementation")
+                .when(li.l_returnflag == "N", "revenue_subscription").otherwise("revenue_usage"))
+    rev = li.select(month.alias("month"), rev_line.alias("line"), price.alias("amount_usd"))
+    labor = li.select(month.alias("month"), F.lit("cogs_direct_labor").alias("line"),
+                      (price * li.l_discount.cast("decimal(18,2)")).alias("amount_usd"))
+    third = li.select(month.alias("month"), F.lit("cogs_third_party").alias("line"),
+                      (price * li.l_tax.cast("decimal(18,2)")).alias("amount_usd"))
+    opex = li.select(month.alias("month"), F.lit("operating_expenses").alias("line"),
+                     li.l_quantity.cast("decimal(18,2)").alias("amount_usd"))
+    cast = lambda d: d.select("month", "line", F.col("amount_usd").cast("decimal(22,4)").alias("amount_usd"))  # noqa
+    return cast(rev).unionByName(cast(labor)).unionByName(cast(third)).unionByName(cast(opex))
+
+
+@query("pnl", """
+WITH l AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, CAST(l_extendedprice AS DECIMAL(18,2)) AS p,
+  CAST(l_discount AS DECIMAL(18,2)) AS d, CAST(l_tax AS DECIMAL(18,2)) AS x, CAST(l_quantity AS DECIMAL(18,2)) AS q
+  FROM lineitem)
+SELECT month, CAST(sum(p) AS DECIMAL(20,4)) AS total_revenue,
+  CAST(sum(p * d) + sum(p * x) AS DECIMAL(20,4)) AS total_cogs,
+  CAST(sum(p) - sum(p * d) - sum(p * x) AS DECIMAL(20,4)) AS gross_profit,
+  CAST(sum(p) - sum(p * d) - sum(p * x) - sum(q) AS DECIMAL(20,4)) AS net_income
+FROM l GROUP BY month""")
+def q_pnl(t):
+    r = M.pnl(_ledger(t))
+    return r.select("month", *[F.col(c).cast("decimal(20,4)").alias(c) for c in r.columns[1:]])
+
+
+@query("hash_artifacts")
+def q_hash_artifacts(t):
+    return M.hash_artifacts(t.spark, f"{t.sf_dir}/*.parquet")

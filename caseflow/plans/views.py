@@ -510,7 +510,7 @@ def model_outputs(t: Tables) -> DataFrame:
         F.lit("Resumen").alias("summary"),
         F.lit("consulta").alias("intent"),
         pick(["low", "medium", "high", "urgent"], e.event_id % 4).alias("urgency"),
-        pick(["photography_session", "process_engineering", "repair"], e.user_id % 3).alias("serviceFamily"),
+        pick(["photography_session", "process_engineering", "repair"], e.user_id % 3).alias("service_family"),
         F.array(F.lit("Fecha")).alias("missing_information"),
         F.lit("Llamar").alias("next_best_action"),
         F.lit("Hola").alias("draft_reply"),
