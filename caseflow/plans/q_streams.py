@@ -1 +1,62 @@
-"""Queries registered by this module."""
+"""Streaming queries (T7, T8): each runs its stream to completion over a
+landing folder written from the driver tables, then returns the sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caseflow.operators import identity as OI
+from caseflow.plans import views as V
+from caseflow.plans.oracle import with_views
+from caseflow.plans.q_lifecycle import _CASE_WALK
+from caseflow.plans.registry import query
+from caseflow.sources.io import landing_path
+from caseflow.streaming import streams as S
+
+# action landing order: files of lower action numbers are written first
+_WAVES = [(0, 20), (20, 40), (40, 60), (60, 1000)]
+
+
+def _land_actions(t):
+    ident = OI.validate_identifiers(V.identifiers(t))
+    cases = V.cases(t).select(F.col("id").alias("case_id"), "customer_identifier")
+    ok = ident.select(F.col("identifier").alias("customer_identifier"), "locally_valid") \
+        .dropDuplicates(["customer_identifier"])
+    a = V.case_actions(t).join(cases, "case_id", "left").join(ok, "customer_identifier", "left").select(
+        "case_id", F.col("action_no").cast("long").alias("action_no"), "action",
+        F.coalesce("locally_valid", F.lit(False)).alias("id_ok"),
+        F.col("quote_amount_usd").isNotNull().alias("has_amount"))
+    path = landing_path(t.spark, "case-actions")
+    for lo, hi in _WAVES:
+        a.where((F.col("action_no") >= lo) & (F.col("action_no") < hi)).repartition(4, "case_id") \
+            .write.mode("append").parquet(path)
+    return path, a.schema
+
+
+@query("stream_cases", _CASE_WALK + """,
+fin AS (SELECT case_id, arg_max(stage, rn) AS current_stage, arg_max(bill, rn) AS billing_prepared,
+  count(*) FILTER (WHERE rn > 0 AND err IS NULL) AS accepted_actions,
+  count(*) FILTER (WHERE rn > 0 AND err IS NOT NULL) AS rejected_actions, max(action_no) AS last_action_no
+  FROM walk GROUP BY case_id)
+SELECT * FROM fin""")
+def q_stream_cases(t):
+    src, schema = _land_actions(t)
+    sink = landing_path(t.spark, "case-state")
+    ck = landing_path(t.spark, "case-state-ckpt")
+    out = S.stream_cases(t.spark, src, schema, sink, ck)
+    return out.select("case_id", "current_stage", "billing_prepared", "accepted_actions", "rejected_actions",
+                      "last_action_no")
+
+
+@query("stream_events", with_views("""
+SELECT event_id, event_name, tenant_id FROM audit_v""", "audit_v"))
+def q_stream_events(t):
+    a = V.audit_events(t)
+    path = landing_path(t.spark, "audit-landing")
+    a.repartition(4).write.parquet(path)
+    k = F.substring_index("event_id", "-", -1).cast("bigint")
+    a.where(k % 9 == 0).repartition(2).write.mode("append").parquet(path)   # a replayed delivery
+    sink = landing_path(t.spark, "audit-sink")
+    ck = landing_path(t.spark, "audit-sink-ckpt")
+    out = S.stream_events(t.spark, path, a.schema, sink, ck)
+    return out.select("event_id", "event_name", "tenant_id")
