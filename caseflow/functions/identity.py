@@ -76,4 +76,8 @@ def is_ruc(clean: Column) -> Column:
 
 
 def identifier_type(clean: Column) -> Column:
-    return F.when(is_cedula(clean), "cedula").when(is_ruc(clean), "ruc")
+    """'cedula', 'ruc' or null.  The identifier enters one lambda once, so
+    when Catalyst inlines this column into filters or later projections it
+    copies one reference, not one per digit."""
+    return F.element_at(
+        F.transform(F.array(clean), lambda s: F.when(is_cedula(s), "cedula").when(is_ruc(s), "ruc")), 1)

@@ -19,10 +19,12 @@ def validate_identifiers(df: DataFrame, col: str = "identifier_text", keep: list
     keep = keep or []
     clean = ID.strip_separators(F.col(col))
     out = df.select(*keep, clean.alias("identifier"))
-    kind = ID.identifier_type(F.col("identifier"))
+    # classify once; the flags below read the result column, so the checksum
+    # expression is not repeated per output column
+    out = out.select(*keep, "identifier", ID.identifier_type(F.col("identifier")).alias("identifier_type"))
+    kind = F.col("identifier_type")
     return out.select(
-        *keep, "identifier",
-        kind.alias("identifier_type"),
+        *keep, "identifier", "identifier_type",
         kind.isNotNull().alias("locally_valid"),
         F.when(kind.isNull(), F.lit("invalid_ec_identifier")).alias("error_code"),
     )

@@ -66,7 +66,7 @@ FROM customer WHERE c_custkey % 5 = 0"""),
 SELECT 'prop-' || {v('s.s_suppkey')} AS id, 'tenant-' || {v('s.s_nationkey')} AS tenant_id, s.s_name AS name,
   CASE WHEN s.s_suppkey % 9 = 0 THEN 'onboarding' ELSE 'active' END AS status,
   CASE WHEN s.s_suppkey % 2 = 0 THEN 'user-' || {v('x.lo')} END AS administrator_user_id,
-  CASE WHEN s.s_suppkey % 3 = 0 THEN 'user-' || {v('x.hi')} ELSE 'system' END AS created_by
+  CASE WHEN s.s_suppkey % 3 = 0 AND x.hi IS NOT NULL THEN 'user-' || {v('x.hi')} ELSE 'system' END AS created_by
 FROM supplier s LEFT JOIN (
   SELECT c_nationkey, min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer
   WHERE c_custkey % 4 = 2 AND c_custkey % 17 <> 0 GROUP BY c_nationkey) x ON s.s_nationkey = x.c_nationkey"""),

@@ -383,7 +383,8 @@ def properties(t: Tables) -> DataFrame:
         F.lit("").alias("administrator_name"),
         F.when(sk % 2 == 0, F.concat(F.lit("user-"), _s(j.lo))).alias("administrator_user_id"),
         F.lit(True).alias("synthetic"),
-        F.when(sk % 3 == 0, F.concat(F.lit("user-"), _s(j.hi))).otherwise(F.lit("system")).alias("created_by"),
+        F.when((sk % 3 == 0) & j.hi.isNotNull(), F.concat(F.lit("user-"), _s(j.hi))).otherwise(F.lit("system"))
+        .alias("created_by"),
         ts(AS_OF).alias("created_at"),
         ts(AS_OF).alias("updated_at"),
     )
