@@ -34,23 +34,45 @@ def _name(idx: Column, values: list[str]) -> Column:
     return F.element_at(_lit_array(values), idx + 1)
 
 
+def py_case_step(stage: str, billing: bool, action: str, id_ok: bool, has_amount: bool) -> tuple[str, bool, int]:
+    """The guard rule on one case in plain Python: (stage, billing, error no.).
+    It generates the lookup table of the Spark fold and drives the
+    streaming fold, so both paths share one definition."""
+    if action == "validate_identity" and not id_ok:
+        return stage, billing, 5
+    frm, to = K.STAGE_GUARD[action]
+    if stage != frm:
+        return stage, billing, 1
+    if action == "prepare_quote" and not has_amount:
+        return stage, billing, 3
+    if action == "close_case" and not billing:
+        return stage, billing, 4
+    return to, billing or action == "prepare_billing", 0
+
+
+def _case_table() -> list[int]:
+    """Packed (next state * 8 + error) for every (state, action, id_ok,
+    has_amount); state = stage * 2 + billing_prepared."""
+    out = []
+    for s in range(2 * len(K.CASE_STAGES)):
+        stage, bill = K.CASE_STAGES[s >> 1], bool(s & 1)
+        for action in K.CASE_ACTIONS:
+            for id_ok in (False, True):
+                for amount in (False, True):
+                    st, b, e = py_case_step(stage, bill, action, id_ok, amount)
+                    out.append((STAGE_NO[st] * 2 + int(b)) * 8 + e)
+    return out
+
+
+CASE_TABLE = _case_table()
+
+
 def case_step(s: Column, a: Column) -> tuple[Column, Column]:
-    """State = stage * 2 + billing_prepared; action fields code, id_ok, has_amount."""
-    frm = _lit_array([STAGE_NO[K.STAGE_GUARD[x][0]] for x in K.CASE_ACTIONS])
-    to = _lit_array([STAGE_NO[K.STAGE_GUARD[x][1]] for x in K.CASE_ACTIONS])
-    code = a["code"]
-    stage = F.shiftright(s, 1)
-    bill = s.bitwiseAND(F.lit(1))
-    err = (
-        F.when((code == ACTION_NO["validate_identity"]) & ~a["id_ok"], F.lit(5))
-        .when(stage != F.element_at(frm, code + 1), F.lit(1))
-        .when((code == ACTION_NO["prepare_quote"]) & ~a["has_amount"], F.lit(3))
-        .when((code == ACTION_NO["close_case"]) & (bill == 0), F.lit(4))
-        .otherwise(F.lit(0))
-    )
-    new_bill = F.when((bill == 1) | (code == ACTION_NO["prepare_billing"]), F.lit(1)).otherwise(F.lit(0))
-    nxt = F.when(err == 0, F.element_at(to, code + 1) * 2 + new_bill).otherwise(s)
-    return nxt, err
+    """One lookup in the packed guard table (cheap inside the fold lambda)."""
+    n_act = len(K.CASE_ACTIONS)
+    idx = ((s * n_act + a["code"]) * 2 + a["id_ok"].cast("int")) * 2 + a["has_amount"].cast("int")
+    packed = F.coalesce(F.element_at(_lit_array(CASE_TABLE), idx + 1), s * 8 + 1)
+    return F.shiftright(packed, 3), packed.bitwiseAND(F.lit(7))
 
 
 def _case_inputs(cases: DataFrame, actions: DataFrame, identity: DataFrame):
@@ -59,22 +81,33 @@ def _case_inputs(cases: DataFrame, actions: DataFrame, identity: DataFrame):
     ok = identity.select(F.col("identifier").alias("customer_identifier"), "locally_valid",
                          "identifier_type").dropDuplicates(["customer_identifier"])
     c = c.join(ok, "customer_identifier", "left")
-    a = actions.join(c.select("case_id", "locally_valid"), "case_id", "left").select(
+    s0 = _index(F.col("current_stage"), K.CASE_STAGES) * 2 + F.col("billing_prepared").cast("int")
+    a = actions.join(c.select("case_id", "locally_valid", s0.alias("s0")), "case_id", "left").select(
         "case_id", "action_no", "action", "quote_amount_usd",
         _index(F.col("action"), K.CASE_ACTIONS).alias("code"),
         F.coalesce(F.col("locally_valid"), F.lit(False)).alias("id_ok"),
         F.col("quote_amount_usd").isNotNull().alias("has_amount"),
+        "s0",
     )
-    start = c.select("case_id", (_index(F.col("current_stage"), K.CASE_STAGES) * 2
-                                 + F.col("billing_prepared").cast("int")).alias("s0"))
-    return a, start, c
+    return a, None, c
+
+
+def _max_seq(actions: DataFrame, chunk_size: int) -> int | None:
+    """Largest action number (one aggregate over the action log, used only
+    to choose the single-pass replay when no case can exceed one chunk)."""
+    if chunk_size >= 10**9:
+        return None
+    r = actions.agg(F.max("action_no").alias("m"), F.min("action_no").alias("n")).first()
+    if r["m"] is None or r["n"] < 0:
+        return None
+    return int(r["m"])
 
 
 def transition_log(cases: DataFrame, actions: DataFrame, identity: DataFrame, chunk_size: int = 512) -> DataFrame:
     """One row per action: accepted or the error it met."""
     a, start, _ = _case_inputs(cases, actions, identity)
     r = replay(a, "case_id", "action_no", ["action", "quote_amount_usd", "code", "id_ok", "has_amount"],
-               start, n_states=16, step=case_step, chunk_size=chunk_size)
+               start, n_states=16, step=case_step, chunk_size=chunk_size, max_seq=_max_seq(actions, chunk_size))
     return r.select(
         "case_id", "action_no", "action", "quote_amount_usd",
         (F.col("err") == 0).alias("accepted"),
@@ -259,25 +292,30 @@ WF_ACTIONS = ["analyze", "draft", "approve", "reject", "billing_review"]
 WF_ERRORS = ["analysis_required", "approval_required", "invalid_draft"]
 
 
+def py_workflow_step(status: int, has: bool, code: int, draft_ok: bool) -> tuple[int, bool, int]:
+    """Reviewer action on a demo workflow in plain Python: (status, analysed, error no.)."""
+    waiting = has and status == WF_STATUSES.index("awaiting_approval")
+    if code == 1 and not draft_ok:
+        return status, has, 3
+    if code in (1, 2, 3) and not waiting:
+        return status, has, 1
+    if code == 4 and status != WF_STATUSES.index("approved"):
+        return status, has, 2
+    new_status = {0: "awaiting_approval", 2: "approved", 3: "rejected", 4: "billing_review"}.get(code)
+    return (WF_STATUSES.index(new_status) if new_status else status), has or code == 0, 0
+
+
+WF_TABLE = [
+    (lambda r: (r[0] * 2 + int(r[1])) * 8 + r[2])(py_workflow_step(s >> 1, bool(s & 1), code, ok))
+    for s in range(2 * len(WF_STATUSES)) for code in range(len(WF_ACTIONS)) for ok in (False, True)
+]
+
+
 def workflow_step(s: Column, a: Column) -> tuple[Column, Column]:
-    """State = status * 2 + has_analysis; action fields code, draft_ok."""
-    status = F.shiftright(s, 1)
-    has = s.bitwiseAND(F.lit(1))
-    code = a["code"]
-    waiting = (has == 1) & (status == WF_STATUSES.index("awaiting_approval"))
-    err = (
-        F.when((code == 1) & ~a["draft_ok"], F.lit(3))
-        .when(code.isin(1, 2, 3) & ~waiting, F.lit(1))
-        .when((code == 4) & (status != WF_STATUSES.index("approved")), F.lit(2))
-        .otherwise(F.lit(0))
-    )
-    new_status = (F.when(code == 0, F.lit(WF_STATUSES.index("awaiting_approval")))
-                  .when(code == 2, F.lit(WF_STATUSES.index("approved")))
-                  .when(code == 3, F.lit(WF_STATUSES.index("rejected")))
-                  .when(code == 4, F.lit(WF_STATUSES.index("billing_review")))
-                  .otherwise(status))
-    new_has = F.when(code == 0, F.lit(1)).otherwise(has)
-    return F.when(err == 0, new_status * 2 + new_has).otherwise(s), err
+    """State = status * 2 + has_analysis; one lookup in the packed table."""
+    idx = (s * len(WF_ACTIONS) + a["code"]) * 2 + a["draft_ok"].cast("int")
+    packed = F.coalesce(F.element_at(_lit_array(WF_TABLE), idx + 1), s * 8 + 1)
+    return F.shiftright(packed, 3), packed.bitwiseAND(F.lit(7))
 
 
 def replay_workflows(state: DataFrame, actions: DataFrame, chunk_size: int = 512) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +331,8 @@ def replay_workflows(state: DataFrame, actions: DataFrame, chunk_size: int = 512
     a = actions.select("contact_id", "action_no", "action", draft.alias("draft"),
                        _index(F.col("action"), WF_ACTIONS).alias("code"),
                        F.coalesce(F.length(draft).between(5, 600), F.lit(False)).alias("draft_ok"))
-    r = replay(a, "contact_id", "action_no", ["action", "draft", "code", "draft_ok"], start, n_states=10,
+    a = a.join(start, "contact_id", "left")
+    r = replay(a, "contact_id", "action_no", ["action", "draft", "code", "draft_ok"], None, n_states=10,
                step=workflow_step, chunk_size=chunk_size)
     log = r.select("contact_id", "action_no", "action", (F.col("err") == 0).alias("accepted"),
                    F.when(F.col("err") > 0, _name(F.col("err") - 1, WF_ERRORS)).alias("error"),

@@ -29,21 +29,35 @@ from pyspark.sql import functions as F
 Step = Callable[[Column, Column], tuple[Column, Column]]
 
 
-def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: DataFrame,
-           n_states: int, step: Step, chunk_size: int = 512) -> DataFrame:
+def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: DataFrame | None,
+           n_states: int, step: Step, chunk_size: int = 512, max_seq: int | None = None) -> DataFrame:
     """Fold ``actions`` per ``key`` in ``seq`` order.
 
-    actions: key, seq (integer, unique per key) and ``fields`` read by ``step``
+    actions: key, seq (integer, unique per key) and ``fields`` read by ``step``;
+             with ``start=None`` an ``s0`` column on every action row gives the
+             key's initial state
     start:   key, ``s0`` (initial state, 0..n_states-1); keys without actions
              are ignored, actions without a start row use state 0
     step:    (state int Column, action struct Column) -> (next state, error int;
              0 = accepted)
+    max_seq: the largest sequence number, when the caller knows it.  If it
+             is below ``chunk_size`` no key can hold more than ``chunk_size``
+             actions, so no key can be hot and the single-pass plan is used.
     returns: key, seq, fields..., ``s_before``, ``s_after``, ``err``
     """
-    a = actions.select(key, seq, *fields,
+    extra = ["s0"] if start is None else []
+    if max_seq is not None and max_seq < chunk_size:
+        return _replay_single_chunk(actions, key, seq, fields, start, step)
+    a = actions.select(key, seq, *fields, *extra,
                        F.floor(F.col(seq) / chunk_size).cast("bigint").alias("_chunk"))
+    # Explicit (key, chunk) distribution: an upstream partitioning on the key
+    # alone would otherwise be reused and keep a hot key in one task.
+    a = a.repartition(key, "_chunk")
     rec = F.struct(F.col(seq).alias("seq"), *[F.col(f) for f in fields])
-    chunks = a.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list(rec)).alias("_acts"))
+    aggs = [F.array_sort(F.collect_list(rec)).alias("_acts")]
+    if start is None:
+        aggs.append(F.max("s0").alias("s0"))
+    chunks = a.groupBy(key, "_chunk").agg(*aggs)
 
     def nxt(s, x):
         return step(s, x)[0]
@@ -53,13 +67,16 @@ def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: Dat
         F.sequence(F.lit(0), F.lit(n_states - 1)),
         lambda s0: F.aggregate(F.col("_acts"), s0, nxt),
     )
-    tables = chunks.select(key, "_chunk", table.alias("_fn"))
+    tables = chunks.select(key, "_chunk", table.alias("_fn"), *(["s0"] if start is None else []))
 
     # 3. compose the tables of each key from its start state
-    per_key = tables.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"), F.col("_fn").alias("fn"))))
-        .alias("_fns"))
-    per_key = per_key.join(start.select(key, "s0"), key, "left")
+    key_aggs = [F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"), F.col("_fn").alias("fn"))))
+                .alias("_fns")]
+    if start is None:
+        key_aggs.append(F.max("s0").alias("s0"))
+    per_key = tables.groupBy(key).agg(*key_aggs)
+    if start is not None:
+        per_key = per_key.join(start.select(key, "s0"), key, "left")
     init = F.struct(F.coalesce(F.col("s0"), F.lit(0)).cast("int").alias("cur"),
                     F.array().cast("array<struct<c:bigint,s:int>>").alias("out"))
     walk = F.aggregate(
@@ -89,3 +106,35 @@ def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: Dat
     return rows.select(
         key, F.col("z.act.seq").alias(seq), *[F.col(f"z.act.{f}").alias(f) for f in fields],
         F.col("z.ev.b").alias("s_before"), F.col("z.ev.a").alias("s_after"), F.col("z.ev.e").alias("err"))
+
+
+def _emit_fold(step: Step, start_col: Column) -> Column:
+    ev_type = "array<struct<i:int,b:int,a:int,e:int>>"
+    init = F.struct(start_col.alias("s"), F.lit(0).alias("i"), F.array().cast(ev_type).alias("out"))
+
+    def emit(acc, x):
+        n, e = step(acc["s"], x)
+        return F.struct(
+            n.alias("s"), (acc["i"] + 1).alias("i"),
+            F.concat(acc["out"], F.array(F.struct(acc["i"].alias("i"), acc["s"].alias("b"), n.alias("a"),
+                                                  e.alias("e")))).alias("out"))
+
+    return F.aggregate(F.col("_acts"), init, emit)["out"]
+
+
+def _replay_single_chunk(actions: DataFrame, key: str, seq: str, fields: list[str], start: DataFrame | None,
+                         step: Step) -> DataFrame:
+    """Bounded keys: one collect per key and one fold from the start state."""
+    rec = F.struct(F.col(seq).alias("seq"), *[F.col(f) for f in fields])
+    aggs = [F.array_sort(F.collect_list(rec)).alias("_acts")]
+    if start is None:
+        aggs.append(F.max("s0").alias("s0"))
+    k = actions.groupBy(key).agg(*aggs)
+    if start is not None:
+        k = k.join(start.select(key, "s0"), key, "left")
+    folded = k.select(key, "_acts", _emit_fold(step, F.coalesce(F.col("s0"), F.lit(0)).cast("int")).alias("_ev"))
+    rows = folded.select(key, F.arrays_zip(F.col("_acts").alias("act"), F.col("_ev").alias("ev")).alias("z")) \
+        .select(key, F.explode("z").alias("z"))
+    return rows.select(
+        key, F.col("z.act.seq").alias(seq), *[F.col(f"z.act.{f}").alias(f) for f in fields],
+        F.col("z.ev.b").alias("s_before"), F.col("z.ev.a").alias("s_after"), F.col("z.ev.e").alias("err"))

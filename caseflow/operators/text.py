@@ -25,8 +25,9 @@ def redact_messages(messages: DataFrame, strict: bool = False) -> DataFrame:
 
 def redaction_report(messages: DataFrame) -> DataFrame:
     """Messages and matches per pattern, per source (partial aggregation)."""
-    e, p, i = TX.redaction_counts(F.col("text"))
-    m = messages.select("source", e.alias("e"), p.alias("p"), i.alias("i"))
+    red = messages.select("source", "text", TX.redact(F.col("text"), max_len=None).alias("red"))
+    e, p, i = TX.redaction_counts(F.col("text"), F.col("red"))
+    m = red.select("source", e.alias("e"), p.alias("p"), i.alias("i"))
     return m.groupBy("source").agg(
         F.count("*").alias("messages"),
         F.count_if((F.col("e") + F.col("p") + F.col("i")) > 0).alias("messages_changed"),

@@ -26,25 +26,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from caseflow import schemas as K
 from caseflow.operators.access import latest_per_key
 
-# ----------------------------------------------------------------------------- the fold in plain Python
-# (the same guard table as the batch fold, read from the shared fixed values)
-
-_ERRORS = ["invalid_case_transition", "identity_validation_required", "quote_amount_required",
-           "billing_preparation_required", "invalid_ec_identifier"]
-
-
-def case_step(stage: str, billing: bool, action: str, id_ok: bool, has_amount: bool) -> tuple[str, bool, int]:
-    """Returns (stage, billing_prepared, error number; 0 = accepted)."""
-    if action == "validate_identity" and not id_ok:
-        return stage, billing, 5
-    frm, to = K.STAGE_GUARD[action]
-    if stage != frm:
-        return stage, billing, 1
-    if action == "prepare_quote" and not has_amount:
-        return stage, billing, 3
-    if action == "close_case" and not billing:
-        return stage, billing, 4
-    return to, billing or action == "prepare_billing", 0
+from caseflow.operators.lifecycle import py_case_step as case_step  # noqa: E402  (shared guard rule)
 
 
 CASE_STATE = T.StructType([
