@@ -243,3 +243,10 @@ def repeated_issues(issues: DataFrame) -> DataFrame:
     pairs = issues.select("tenant_id", "category", "property_id").distinct()
     return pairs.groupBy("tenant_id", "category").agg(F.count("*").alias("properties")) \
         .where(F.col("properties") > 1)
+
+
+def by_property(df: DataFrame, tenant_id: str, property_id: str | None = None) -> DataFrame:
+    """Tenant predicate plus an optional property predicate (F3).  With a
+    property, tenant-wide rows (null property) drop out, as in the service."""
+    d = df.where(F.col("tenant_id") == tenant_id)
+    return d if not property_id else d.where(F.col("property_id") == property_id)

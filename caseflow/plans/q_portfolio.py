@@ -170,3 +170,14 @@ SELECT tenant_id, category, count(DISTINCT property_id) AS properties FROM (
   FROM issues_v) GROUP BY tenant_id, category HAVING count(DISTINCT property_id) > 1""", "issues_v"))
 def q_repeated_issues(t):
     return P.repeated_issues(V.issues(t))
+
+
+@query("by_property", with_views("""
+SELECT id, tenant_id, property_id, 'all' AS scope FROM commitments_v WHERE tenant_id = 'tenant-3'
+UNION ALL
+SELECT id, tenant_id, property_id, 'one' FROM commitments_v WHERE tenant_id = 'tenant-3' AND property_id = 'prop-3'""",
+                                 "commitments_v"))
+def q_by_property(t):
+    c = V.commitments(t).select("id", "tenant_id", "property_id")
+    return (P.by_property(c, "tenant-3").withColumn("scope", F.lit("all"))
+            .unionByName(P.by_property(c, "tenant-3", "prop-3").withColumn("scope", F.lit("one"))))
