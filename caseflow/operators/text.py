@@ -42,14 +42,15 @@ def parse_model_output(df: DataFrame, col: str, keep: list[str] | None = None) -
     validate it; rows that do not parse or break a rule carry the errors."""
     keep = keep or []
     cleaned = TX.strip_json_fence(F.col(col))
-    schema = K.CASE_ANALYSIS.add("_corrupt", "string")
+    from pyspark.sql import types as T
+    schema = T.StructType(list(K.CASE_ANALYSIS.fields) + [T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json(cleaned, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     out = df.select(*keep, parsed.alias("analysis"))
-    errs = F.array_compact(F.concat(
-        F.array(F.when(F.col("analysis").isNull() | F.col("analysis._corrupt").isNotNull(), F.lit("unparseable"))),
-        case_analysis_errors(F.col("analysis")),
-    ))
+    unparseable = F.col("analysis").isNull() | F.col("analysis._corrupt").isNotNull()
+    errs = F.when(unparseable, F.array(F.lit("unparseable"))).otherwise(
+        F.array_compact(case_analysis_errors(F.col("analysis"))))
+    out = out.select(*keep, "analysis", errs.alias("errors"))
     return out.select(*keep, F.col("analysis.urgency").alias("urgency"),
                       F.col("analysis.service_family").alias("service_family"),
                       F.col("analysis.confidence").alias("confidence"),
-                      errs.alias("errors"), (F.size(errs) == 0).alias("valid"))
+                      "errors", (F.size("errors") == 0).alias("valid"))

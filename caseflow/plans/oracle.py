@@ -82,7 +82,7 @@ FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey"""),
 SELECT substr(sha256(concat_ws('|', {v('d.l_suppkey')}, {v('d.l_partkey')})), 1, 32) AS id,
   'tenant-' || {v('s.s_nationkey')} AS tenant_id, 'prop-' || {v('d.l_suppkey')} AS property_id,
   CASE p.p_size % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'operational' WHEN 2 THEN 'attention'
-    ELSE 'critical' END AS condition
+    ELSE 'critical' END AS condition, d.l_partkey % 17 AS type_no
 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) d
 JOIN part p ON d.l_partkey = p.p_partkey JOIN supplier s ON d.l_suppkey = s.s_suppkey"""),
     "commitments_v": ([], f"""
@@ -92,7 +92,8 @@ SELECT substr(sha256(concat_ws('|', {v('l.l_orderkey')}, {v('l.l_linenumber')},
   CASE WHEN l.l_orderkey % 10 <> 0 THEN 'prop-' || {v('l.l_suppkey')} END AS property_id,
   CASE WHEN l.l_orderkey % 5 <> 1 THEN l.l_shipdate END AS starts_at,
   o.o_orderdate AS due_at,
-  CASE l.l_orderkey % 3 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'done' ELSE 'cancelled' END AS status
+  CASE l.l_orderkey % 3 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'done' ELSE 'cancelled' END AS status,
+  l.l_orderkey % 6 AS type_no
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
 WHERE l.l_linenumber = 1"""),
     "audit_v": ([], f"""

@@ -9,7 +9,7 @@ from caseflow.operators import identity as OI
 from caseflow.operators import lifecycle as LC
 from caseflow.plans import views as V
 from caseflow.plans.oracle import with_views
-from caseflow.plans.q_lifecycle import _CASE_WALK
+from caseflow.plans.q_lifecycle import _CASE_WALK, _WF_WALK
 from caseflow.plans.registry import query
 
 _A = ["audit_v"]
@@ -181,7 +181,16 @@ def q_stage_durations(t):
     return AU.stage_durations(log, req)
 
 
-@query("approval_validity")
+@query("approval_validity", _WF_WALK + """,
+ok AS (SELECT contact_id, action_no, action FROM wwalk WHERE rn > 0 AND err IS NULL),
+drafts AS (SELECT contact_id, action_no, sha256(CASE WHEN action = 'draft'
+  THEN 'Borrador revisado ' || CAST(action_no AS VARCHAR) ELSE '#analysis' END) AS h
+  FROM ok WHERE action IN ('analyze', 'draft')),
+now_h AS (SELECT contact_id, arg_max(h, action_no) AS h_now FROM drafts GROUP BY 1)
+SELECT a.contact_id, a.action_no AS approval_no,
+  coalesce((SELECT arg_max(d.h, d.action_no) FROM drafts d WHERE d.contact_id = a.contact_id
+    AND d.action_no <= a.action_no) = n.h_now, false) AS valid
+FROM ok a LEFT JOIN now_h n ON n.contact_id = a.contact_id WHERE a.action = 'approve'""")
 def q_approval_validity(t):
     log, _ = LC.replay_workflows(LC.workflow_state(V.contacts(t), V.stored_workflows(t)), V.workflow_actions(t))
     return AU.approval_validity(log)

@@ -135,7 +135,10 @@ def q_enrich_identity(t):
     return OI.enrich_identity(_requests(t), V.registry_snapshots(t), _TTL_MS)
 
 
-@query("registry_projection")
+@query("registry_projection", """
+SELECT 'snap-' || CAST(o.o_orderkey AS VARCHAR) AS snapshot_id, trim(c.c_name) AS legal_name,
+  'Comercial ' || CAST(o.o_custkey AS VARCHAR) AS commercial_name, 'Servicios' AS activity
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey WHERE o.o_orderkey % 3 <> 0""")
 def q_registry_projection(t):
     # registry answers rendered from the snapshots, with one private field that
     # must never reach the output

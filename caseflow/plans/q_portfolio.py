@@ -141,12 +141,35 @@ def q_orphan_report(t):
             .unionByName(P.orphan_report(V.commitments(t), props, "commitment")))
 
 
-@query("portfolio_brief")
+
+_SYS_TYPES = ("['electric_fence','fire_detection','fire_suppression','cctv','access_control','alarms','elevators',"
+              "'pumps','generator','water','lighting','gas','gates','intercom','playground','pool','other']")
+_COM_TYPES = "['meeting','task','deadline','assembly','inspection','payment']"
+
+
+def _brief_sql(prop: str | None) -> str:
+    pf = f" AND p.id = '{prop}'" if prop else ""
+    cf = f" AND c.property_id = '{prop}'" if prop else " OR c.property_id IS NULL"
+    return _with(f"""
+SELECT p.tenant_id, 'property' AS section, p.id AS item_id, p.id AS property_id, p.status AS state, p.name AS detail,
+  NULL::TIMESTAMP AS next_at, true AS counts_in_totals FROM properties_v p WHERE true{pf}
+UNION ALL SELECT vi.tenant_id, 'issue', vi.id, vi.property_id, vi.status, vi.priority, vi.due_at, vi.status <> 'closed'
+  FROM vi JOIN properties_v p ON p.id = vi.property_id AND p.tenant_id = vi.tenant_id WHERE true{pf}
+UNION ALL SELECT vs.tenant_id, 'system', vs.id, vs.property_id, vs.condition, {_SYS_TYPES}[vs.type_no + 1], NULL,
+  vs.condition IN ('attention', 'critical')
+  FROM vs JOIN properties_v p ON p.id = vs.property_id AND p.tenant_id = vs.tenant_id WHERE true{pf}
+UNION ALL SELECT c.tenant_id, 'commitment', c.id, c.property_id, c.status, {_COM_TYPES}[c.type_no + 1],
+  coalesce(c.starts_at, c.due_at), c.status = 'scheduled' AND coalesce(c.starts_at, c.due_at) >= {AS_OF_SQL}
+  FROM commitments_v c WHERE EXISTS (SELECT 1 FROM properties_v p WHERE p.id = c.property_id
+    AND p.tenant_id = c.tenant_id){cf}""", "properties_v", "issues_v", "systems_v", "commitments_v")
+
+
+@query("portfolio_brief", _brief_sql(None))
 def q_portfolio_brief(t):
     return P.portfolio_brief(V.properties(t), V.issues(t), V.systems(t), V.commitments(t), _as_of())
 
 
-@query("property_detail")
+@query("property_detail", _brief_sql("prop-1"))
 def q_property_detail(t):
     # one property's detail (the first supplier's property)
     return P.portfolio_brief(V.properties(t), V.issues(t), V.systems(t), V.commitments(t), _as_of(),

@@ -81,9 +81,22 @@ def q_case_identifier_digits(t):
     return i.select("user_id", TX.digits_only(F.col("identifier_text")).alias("customer_identifier"))
 
 
-@query("parse_model_output")
+@query("parse_model_output", """
+WITH m AS (SELECT event_id AS eid, user_id, round(value / 20, 4) AS conf FROM events WHERE event_type = 'click')
+SELECT 'evt-' || CAST(eid AS VARCHAR) AS event_id,
+  CASE WHEN eid % 29 <> 0 THEN CASE eid % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high'
+    ELSE 'urgent' END END AS urgency,
+  CASE WHEN eid % 29 <> 0 THEN CASE user_id % 3 WHEN 0 THEN 'photography_session' WHEN 1 THEN 'process_engineering'
+    ELSE 'repair' END END AS service_family,
+  CASE WHEN eid % 29 <> 0 THEN conf END AS confidence,
+  CASE WHEN eid % 29 = 0 THEN 'unparseable'
+    ELSE concat_ws(',', CASE WHEN eid % 4 = 3 THEN 'urgency' END, CASE WHEN conf > 1 THEN 'confidence' END) END
+    AS errors,
+  eid % 29 <> 0 AND eid % 4 <> 3 AND conf <= 1 AS valid
+FROM m""")
 def q_parse_model_output(t):
-    return OT.parse_model_output(V.model_outputs(t), "raw_text", keep=["event_id"])
+    p = OT.parse_model_output(V.model_outputs(t), "raw_text", keep=["event_id"])
+    return p.withColumn("errors", F.array_join("errors", ","))
 
 
 @query("format_metrics", """
