@@ -144,11 +144,11 @@ def replay_cases(cases: DataFrame, actions: DataFrame, identity: DataFrame, chun
         F.count_if(acc).alias("accepted_actions"),
         F.count_if(~acc).alias("rejected_actions"),
     )
-    c = cases.select(F.col("id").alias("case_id"), "tenant_id", "current_stage", "status", "quote_approval",
-                     "quote_amount_usd", "billing_prepared", "customer_identifier")
+    c = cases.select(F.col("id").alias("case_id"), "tenant_id", "playbook", "current_stage", "status",
+                     "quote_approval", "quote_amount_usd", "billing_prepared", "customer_identifier", "updated_at")
     j = c.join(agg, "case_id", "left")
     return j.select(
-        "case_id", "tenant_id",
+        "case_id", "tenant_id", "playbook", "updated_at",
         F.coalesce("_stage", "current_stage").alias("current_stage"),
         F.coalesce("_status", "status").alias("status"),
         F.coalesce("_approval", "quote_approval").alias("quote_approval"),

@@ -97,13 +97,16 @@ def orphan_report(children: DataFrame, properties: DataFrame, kind: str) -> Data
 # --------------------------------------------------------------------------- A1
 
 
-def _child_counts(issues: DataFrame, systems: DataFrame, commitments: DataFrame, as_of: Column):
-    i = issues.groupBy("tenant_id", "property_id").agg(
-        F.count_if(F.col("status") != "closed").alias("open_issues"),
-        F.count_if((F.col("status") != "closed") & (F.col("priority") == "critical")).alias("critical_issues"),
-    )
-    s = systems.groupBy("tenant_id", "property_id").agg(
-        F.count_if(F.col("condition").isin(*ATTENTION)).alias("systems_requiring_attention"))
+def _child_counts(issues: DataFrame | None, systems: DataFrame | None, commitments: DataFrame, as_of: Column):
+    i = s = None
+    if issues is not None:
+        i = issues.groupBy("tenant_id", "property_id").agg(
+            F.count_if(F.col("status") != "closed").alias("open_issues"),
+            F.count_if((F.col("status") != "closed") & (F.col("priority") == "critical")).alias("critical_issues"),
+        )
+    if systems is not None:
+        s = systems.groupBy("tenant_id", "property_id").agg(
+            F.count_if(F.col("condition").isin(*ATTENTION)).alias("systems_requiring_attention"))
     c = commitments.groupBy("tenant_id", "property_id").agg(
         F.count_if(is_upcoming(commitments, as_of)).alias("upcoming_commitments"))
     return i, s, c
@@ -124,8 +127,12 @@ def property_totals(properties: DataFrame, issues: DataFrame, systems: DataFrame
 
 
 def tenant_wide_commitments(commitments: DataFrame, as_of: Column) -> DataFrame:
-    return commitments.where(F.col("property_id").isNull()).groupBy("tenant_id").agg(
-        F.count_if(is_upcoming(commitments, as_of)).cast("bigint").alias("tenant_wide_upcoming"))
+    """Upcoming tenant-wide commitments (null property) per tenant.  Reads the
+    same (tenant, property) aggregate as the per-property totals, so the
+    commitment table is scanned and shuffled once."""
+    c = _child_counts(None, None, commitments, as_of)[2]
+    return c.where(F.col("property_id").isNull()).select(
+        "tenant_id", F.col("upcoming_commitments").cast("bigint").alias("tenant_wide_upcoming"))
 
 
 def portfolio_totals(tenants: DataFrame, properties: DataFrame, issues: DataFrame, systems: DataFrame,

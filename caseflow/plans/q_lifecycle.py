@@ -91,7 +91,7 @@ SELECT c.case_id, c.tenant_id, coalesce(l.stage, 'intake') AS current_stage, coa
 FROM cases c LEFT JOIN last_ok l ON c.case_id = l.case_id""")
 def q_replay_cases(t):
     ident = OI.validate_identifiers(V.identifiers(t))
-    return LC.replay_cases(V.cases(t), V.case_actions(t), ident)
+    return LC.replay_cases(V.cases(t), V.case_actions(t), ident).drop("playbook", "updated_at")
 
 
 @query("case_stage_mix", _CASE_WALK + """,
@@ -305,8 +305,7 @@ FROM cur c CROSS JOIN st s""")
 def q_stage_progress(t):
     ident = OI.validate_identifiers(V.identifiers(t))
     final = LC.replay_cases(V.cases(t), V.case_actions(t), ident)
-    cases = final.join(V.cases(t).select(F.col("id").alias("case_id"), "playbook"), "case_id") \
-        .select(F.col("case_id").alias("id"), "playbook", "current_stage")
+    cases = final.select(F.col("case_id").alias("id"), "playbook", "current_stage")
     return LC.stage_progress(cases).drop("label")
 
 

@@ -229,16 +229,14 @@ UNION ALL SELECT playbook, NULL, count(*), count(*) FILTER (WHERE current_stage
 UNION ALL SELECT NULL, NULL, count(*), count(*) FILTER (WHERE current_stage = 'completed'), 3,
   round(count(*) FILTER (WHERE current_stage = 'completed') / count(*), 6) FROM fc""")
 def q_conversion(t):
-    f = _final_cases(t).join(V.cases(t).select(F.col("id").alias("case_id"), "playbook"), "case_id")
-    return M.conversion(f)
+    return M.conversion(_final_cases(t))
 
 
 @query("deidentified_rollup", _FIN + """
 SELECT playbook, current_stage, status, count(*) AS n, count(DISTINCT tenant_id) AS tenants FROM fc
 GROUP BY ALL HAVING count(*) >= 50""")
 def q_deidentified_rollup(t):
-    f = _final_cases(t).join(V.cases(t).select(F.col("id").alias("case_id"), "playbook"), "case_id")
-    return M.deidentified_rollup(f, ["playbook", "current_stage", "status"], 50)
+    return M.deidentified_rollup(_final_cases(t), ["playbook", "current_stage", "status"], 50)
 
 
 @query("billing_queue", _FIN + ",\n" + _WF_STATE.strip() + ",\n" + _CONTACTS.strip() + """
@@ -249,8 +247,7 @@ UNION ALL
 SELECT w.tenant_id, 'workflow', count(*), CAST(sum(c.estimated_value_usd) AS DECIMAL(20,2)), min(c.last_interaction_at)
 FROM wstate2 w JOIN contacts c ON c.id = w.contact_id WHERE w.billing_status = 'ready_for_review' GROUP BY 1""")
 def q_billing_queue(t):
-    f = _final_cases(t).join(V.cases(t).select(F.col("id").alias("case_id"), "updated_at"), "case_id")
-    q = M.billing_queue(f, LC.workflow_state(V.contacts(t), V.stored_workflows(t)), V.contacts(t))
+    q = M.billing_queue(_final_cases(t), LC.workflow_state(V.contacts(t), V.stored_workflows(t)), V.contacts(t))
     return q.withColumn("amount_usd", F.col("amount_usd").cast("decimal(20,2)"))
 
 
