@@ -108,7 +108,5 @@ def humanize(code: Column) -> Column:
 
 
 def label(code: Column, labels: dict[str, str]) -> Column:
-    expr = None
-    for k, v in labels.items():
-        expr = F.when(code == k, F.lit(v)) if expr is None else expr.when(code == k, F.lit(v))
-    return expr
+    from caseflow.functions.literals import lookup
+    return lookup(code, labels)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import schemas as K
+from caseflow.functions import literals as L
 from caseflow.operators.replay import replay
 from caseflow.operators.portfolio import has_permission
 
@@ -20,18 +21,17 @@ CASE_ERRORS = ["invalid_case_transition", "identity_validation_required", "quote
 
 
 def _lit_array(values: list) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    if values and isinstance(values[0], int):
+        return L.int_array(values)
+    return L.str_array(values)
 
 
 def _index(col: Column, values: list[str]) -> Column:
-    expr = None
-    for i, v in enumerate(values):
-        expr = F.when(col == v, F.lit(i)) if expr is None else expr.when(col == v, F.lit(i))
-    return expr
+    return L.index_of(col, values)
 
 
 def _name(idx: Column, values: list[str]) -> Column:
-    return F.element_at(_lit_array(values), idx + 1)
+    return L.pick(values, idx)
 
 
 def py_case_step(stage: str, billing: bool, action: str, id_ok: bool, has_amount: bool) -> tuple[str, bool, int]:

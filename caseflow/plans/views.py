@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import schemas as K
+from caseflow.functions import literals as L
 from caseflow.sources.tables import Tables
 
 AS_OF = "1998-06-01 00:00:00"     # fixed "now" for the 1995-2001 views
@@ -26,11 +27,8 @@ def ts(value: str) -> Column:
 
 
 def pick(values: list, index: Column) -> Column:
-    """values[index] with a zero-based integer column (a CASE chain)."""
-    expr = None
-    for i, v in enumerate(values):
-        expr = F.when(index == i, F.lit(v)) if expr is None else expr.when(index == i, F.lit(v))
-    return expr
+    """values[index] with a zero-based integer column."""
+    return L.pick(values, index)
 
 
 def _s(c: Column) -> Column:
@@ -43,12 +41,11 @@ def row_hash(*cols: Column) -> Column:
 
 
 def role_defaults(role: Column) -> Column:
-    out = F.array().cast("array<string>")
-    expr = None
-    for r, perms in K.ROLE_DEFAULTS.items():
-        arr = F.array(*[F.lit(p) for p in perms])
-        expr = F.when(role == r, arr) if expr is None else expr.when(role == r, arr)
-    return expr.otherwise(out)
+    """The default permission list of a role (empty for an unknown role)."""
+    joined = {r: L.SEP.join(p) for r, p in K.ROLE_DEFAULTS.items()}
+    text = L.lookup(role, {r: v.replace(L.SEP, "\u0002") for r, v in joined.items()})
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")) \
+        .otherwise(F.split(text, "\u0002"))
 
 
 # --------------------------------------------------------------------------- identity
@@ -186,18 +183,13 @@ def contacts(t: Tables) -> DataFrame:
 
 
 def analysis_struct(playbook: Column) -> Column:
-    """The constant analysis of a playbook as a struct column."""
-    def field(name):
-        expr = None
-        for pb, a in K.DEMO_ANALYSIS.items():
-            v = a[name]
-            lit = F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
-            expr = F.when(playbook == pb, lit) if expr is None else expr.when(playbook == pb, lit)
-        return expr.alias(name)
-
-    names = ["summary", "intent", "urgency", "service_family", "missing_information",
-             "next_best_action", "draft_reply", "requires_human_approval", "confidence"]
-    return F.struct(*[field(n) for n in names])
+    """The constant analysis of a playbook as a struct column (two folded
+    JSON literals, one per playbook)."""
+    import json
+    ddl = K.CASE_ANALYSIS.simpleString()
+    lits = {pb: F.from_json(F.lit(json.dumps(a)), ddl) for pb, a in K.DEMO_ANALYSIS.items()}
+    return F.when(playbook == "photography_studio", lits["photography_studio"]) \
+        .when(playbook == "iapro", lits["iapro"])
 
 
 def stored_workflows(t: Tables) -> DataFrame:

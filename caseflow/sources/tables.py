@@ -11,6 +11,9 @@ DRIVER_TABLES = (
 ).split()
 
 
+_SCANS: dict = {}
+
+
 class Tables:
     """Lazy handle on the driver's parquet tables in one directory."""
 
@@ -21,7 +24,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DRIVER_TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # one resolved scan per (session, file): listing and footer reads are
+        # not repeated for every view that uses the table
+        key = (id(self.spark), self.sf_dir, name)
+        df = _SCANS.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            _SCANS[key] = df
+        return df
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
