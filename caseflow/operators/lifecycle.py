@@ -144,11 +144,12 @@ def replay_cases(cases: DataFrame, actions: DataFrame, identity: DataFrame, chun
         F.count_if(acc).alias("accepted_actions"),
         F.count_if(~acc).alias("rejected_actions"),
     )
-    c = cases.select(F.col("id").alias("case_id"), "tenant_id", "playbook", "current_stage", "status",
-                     "quote_approval", "quote_amount_usd", "billing_prepared", "customer_identifier", "updated_at")
+    carry = [c for c in ("playbook", "updated_at") if c in cases.columns]
+    c = cases.select(F.col("id").alias("case_id"), "tenant_id", *carry, "current_stage", "status",
+                     "quote_approval", "quote_amount_usd", "billing_prepared", "customer_identifier")
     j = c.join(agg, "case_id", "left")
     return j.select(
-        "case_id", "tenant_id", "playbook", "updated_at",
+        "case_id", "tenant_id", *carry,
         F.coalesce("_stage", "current_stage").alias("current_stage"),
         F.coalesce("_status", "status").alias("status"),
         F.coalesce("_approval", "quote_approval").alias("quote_approval"),
