@@ -119,6 +119,30 @@ def q_validate_audit_events(t):
     return VA.error_counts(V.audit_events(t), VA.audit_event_rules(), "audit_event")
 
 
+def _profile_updates(t):
+    """Profile forms as users would submit them: tax id from the customer's
+    identifier digits; companies (13 digits) sometimes without a legal name."""
+    c = t.customer
+    digits = V.identifiers(t).select("c_custkey", F.regexp_replace("identifier_text", "[^0-9]", "").alias("tax_id"))
+    j = c.join(digits, "c_custkey")
+    k = j.c_custkey
+    return j.select(
+        j.c_name.alias("display_name"),
+        F.concat(F.lit("+5939"), F.lpad((k % 100000000).cast("string"), 8, "0")).alias("phone"),
+        "tax_id",
+        F.when(F.length("tax_id") == 13, "company").otherwise("natural").alias("person_type"),
+        F.when(k % 11 == 0, F.lit("")).otherwise(j.c_name).alias("legal_name"))
+
+
+def _playbook_definitions(t):
+    """Each tenant's playbook with its steps (eight per playbook, bounded)."""
+    from caseflow.operators.lifecycle import playbook_steps
+    steps = F.broadcast(playbook_steps(t.spark))
+    tp = V.tenants(t).select(F.col("id").alias("tenant_id"), "playbook")
+    return tp.join(steps, "playbook").groupBy("tenant_id", "playbook").agg(
+        F.collect_list("stage").alias("steps"))
+
+
 def _entity_checks(t):
     from caseflow.operators import identity as OI
     from caseflow.operators import lifecycle as LC
@@ -145,6 +169,8 @@ def _entity_checks(t):
             F.concat(F.col("opportunity"), F.lit(". "), F.col("next_action")).alias("message")),
          VA.analyze_request_rules()),
         ("draft_update", V.workflow_actions(t).where(F.col("action") == "draft"), VA.draft_update_rules()),
+        ("profile_update", _profile_updates(t), VA.profile_update_rules()),
+        ("playbook", _playbook_definitions(t), VA.playbook_rules()),
     ]
     out = None
     for name, df, rules in sets:
@@ -174,6 +200,10 @@ UNION ALL SELECT 'identity_result', '_rows', count(*) FROM orders o JOIN typed t
   WHERE ty.identifier_type IS NOT NULL
 UNION ALL SELECT 'analyze_request', '_rows', count(*) FROM customer
 UNION ALL SELECT 'draft_update', '_rows', count(*) FROM d WHERE is_draft
-UNION ALL SELECT 'draft_update', 'draft_reply', count(*) FROM d WHERE is_draft AND short""")
+UNION ALL SELECT 'draft_update', 'draft_reply', count(*) FROM d WHERE is_draft AND short
+UNION ALL SELECT 'profile_update', '_rows', count(*) FROM customer
+UNION ALL SELECT 'profile_update', 'legal_name_required', count(*) FROM customer
+  WHERE c_custkey % 3 = 0 AND c_custkey % 11 = 0
+UNION ALL SELECT 'playbook', '_rows', count(*) FROM nation""")
 def q_validate_entities(t):
     return _entity_checks(t)
