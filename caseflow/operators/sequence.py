@@ -48,13 +48,24 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
 
 def dense_rank_by_counts(df: DataFrame, group: list[str], key: str, out: str, descending: bool = True) -> DataFrame:
     """SQL ``rank()`` of ``key`` within ``group`` without sorting a whole group
-    in one task: count rows per distinct (group, key) (partial aggregate),
-    rank the distinct keys (a small window), join back."""
-    counts = df.groupBy(*group, key).agg(F.count("*").alias("_n"))
-    o = F.col(key).desc() if descending else F.col(key).asc()
+    in one task.
+
+    rank = 1 + rows of the group in later (earlier, ascending) days
+             + rows of the same day with a greater (smaller) key.
+    The first term comes from per-day counts (a partial aggregate and a
+    window over at most one row per day); the second from a window over one
+    (group, day) -- a hot group is spread over its days."""
+    day = F.to_date(F.col(key))
+    d = df.withColumn("_day", day)
+    counts = d.groupBy(*group, "_day").agg(F.count("*").alias("_n"))
+    o = F.col("_day").desc() if descending else F.col("_day").asc()
     w = Window.partitionBy(*group).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn(out, F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).drop("_n")
-    return df.join(counts, [*group, key], "left")
+    counts = counts.select(*group, "_day", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_carry"))
+    ko = F.col(key).desc() if descending else F.col(key).asc()
+    inner = Window.partitionBy(*group, "_day").orderBy(ko)
+    d = d.withColumn("_r", F.rank().over(inner))
+    j = d.join(counts, [*group, "_day"], "left")
+    return j.withColumn(out, (F.col("_carry") + F.col("_r")).cast("bigint")).drop("_day", "_r", "_carry")
 
 
 def last_value_before(values: DataFrame, probes: DataFrame, key: list[str], seq: str, value: str, out: str,

@@ -120,7 +120,7 @@ def q_model_usage(t):
 run AS (SELECT day, date_trunc('month', day)::DATE AS month,
   sum(cost) OVER (PARTITION BY date_trunc('month', day) ORDER BY day) AS running FROM daily)
 SELECT month, th AS threshold, min(day) AS first_day
-FROM run, (VALUES (0.5), (0.9), (1.0)) x(th) WHERE running >= th * 25 GROUP BY month, th""", *_A)
+FROM run, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) x(th) WHERE running >= th * 25 GROUP BY month, th""", *_A)
        .replace("\n, daily AS", ",\ndaily AS"))
 def q_budget_alerts(t):
     return AU.budget_alerts(V.model_call_costs(t))

@@ -278,7 +278,7 @@ def q_next_action(t):
 @query("analyze_rule", f"""
 SELECT 'contact-' || CAST(c_custkey AS VARCHAR) AS request_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'photography_session' ELSE 'process_engineering' END AS service_family,
-  'medium' AS urgency, CASE WHEN c_custkey % 2 = 0 THEN 0.91 ELSE 0.88 END AS confidence,
+  'medium' AS urgency, CASE WHEN c_custkey % 2 = 0 THEN 0.91::DOUBLE ELSE 0.88::DOUBLE END AS confidence,
   true AS requires_human_approval, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 4 END AS missing_count,
   CASE c_custkey % 4 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'form' WHEN 2 THEN 'form' ELSE 'spreadsheet' END AS channel
 FROM customer""")
