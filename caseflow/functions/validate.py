@@ -24,46 +24,85 @@ def c(name: str) -> Column:
 
 
 # -- rule builders: each returns the *bad* condition (null-safe) -------------
+# A rule on a plain column name is returned as SQL text and a whole rule set
+# becomes one expression (one JVM call while the plan is built); a rule on a
+# computed Column stays a Column.
 
 
-def bad_enum(col: Column, values: list[str], nullable: bool = False) -> Column:
-    ok = col.isin(*values) | (F.lit(nullable) & col.isNull())
-    return ~F.coalesce(ok, F.lit(False))
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def bad_len(col: Column, lo: int | None = None, hi: int | None = None, nullable: bool = False) -> Column:
-    n = F.length(col)
-    ok = F.lit(True)
-    if lo is not None:
-        ok = ok & (n >= lo)
-    if hi is not None:
-        ok = ok & (n <= hi)
-    return ~F.coalesce(ok | (F.lit(nullable) & col.isNull()), F.lit(False))
+def _lits(values) -> str:
+    return ", ".join("'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
 
 
-def bad_regex(col: Column, pattern: str, nullable: bool = False) -> Column:
-    return ~F.coalesce(col.rlike(pattern) | (F.lit(nullable) & col.isNull()), F.lit(False))
+def _sql_or_col(col, sql_fn, col_fn):
+    return sql_fn(_q(col)) if isinstance(col, str) else col_fn(col)
 
 
-def bad_nonneg(col: Column, nullable: bool = False) -> Column:
-    return ~F.coalesce((col >= 0) | (F.lit(nullable) & col.isNull()), F.lit(False))
+def _nullable(sql: str, q: str, nullable: bool) -> str:
+    return f"NOT coalesce(({sql}){f' OR {q} IS NULL' if nullable else ''}, false)"
 
 
-def bad_null(col: Column) -> Column:
-    return col.isNull()
+def bad_enum(col, values: list[str], nullable: bool = False):
+    def cf(c):
+        ok = c.isin(*values) | (F.lit(nullable) & c.isNull())
+        return ~F.coalesce(ok, F.lit(False))
+    return _sql_or_col(col, lambda q: _nullable(f"{q} IN ({_lits(values)})", q, nullable), cf)
 
 
-def bad_literal(col: Column, value) -> Column:
-    return ~F.coalesce(col == F.lit(value), F.lit(False))
+def bad_len(col, lo: int | None = None, hi: int | None = None, nullable: bool = False):
+    def sf(q):
+        parts = [f"length({q}) >= {lo}" if lo is not None else None, f"length({q}) <= {hi}" if hi is not None else None]
+        return _nullable(" AND ".join(p for p in parts if p) or "true", q, nullable)
 
+    def cf(c):
+        n = F.length(c)
+        ok = F.lit(True)
+        if lo is not None:
+            ok = ok & (n >= lo)
+        if hi is not None:
+            ok = ok & (n <= hi)
+        return ~F.coalesce(ok | (F.lit(nullable) & c.isNull()), F.lit(False))
+    return _sql_or_col(col, sf, cf)
 
-def bad_array_enum(col: Column, values: list[str]) -> Column:
-    allowed = F.array(*[F.lit(v) for v in values])
-    return F.coalesce(F.size(F.array_except(col, allowed)) > 0, F.lit(True))
+
+def bad_regex(col, pattern: str, nullable: bool = False):
+    if "'" in pattern:
+        raise ValueError("quote in pattern")
+    return _sql_or_col(col, lambda q: _nullable(f"{q} RLIKE r'{pattern}'", q, nullable),
+                       lambda c: ~F.coalesce(c.rlike(pattern) | (F.lit(nullable) & c.isNull()), F.lit(False)))
+
+
+def bad_nonneg(col, nullable: bool = False):
+    return _sql_or_col(col, lambda q: _nullable(f"{q} >= 0", q, nullable),
+                       lambda c: ~F.coalesce((c >= 0) | (F.lit(nullable) & c.isNull()), F.lit(False)))
+
+
+def bad_null(col):
+    return _sql_or_col(col, lambda q: f"{q} IS NULL", lambda c: c.isNull())
+
+
+def bad_literal(col, value):
+    lit = ("true" if value else "false") if isinstance(value, bool) else f"'{value}'"
+    return _sql_or_col(col, lambda q: f"NOT coalesce({q} = {lit}, false)",
+                       lambda c: ~F.coalesce(c == F.lit(value), F.lit(False)))
+
+
+def bad_array_enum(col, values: list[str]):
+    return _sql_or_col(col, lambda q: f"coalesce(size(array_except({q}, array({_lits(values)}))) > 0, true)",
+                       lambda c: F.coalesce(F.size(F.array_except(c, F.array(*[F.lit(v) for v in values]))) > 0,
+                                            F.lit(True)))
 
 
 def errors(rules: list[Rule]) -> Column:
-    return F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules]))
+    """``array_compact(array(CASE WHEN bad THEN code END, ...))`` in one pass."""
+    if all(isinstance(bad, str) for _, bad in rules):
+        body = ", ".join(f"CASE WHEN {bad} THEN '{code}' END" for code, bad in rules)
+        return F.expr(f"array_compact(array({body}))")
+    cols = [F.expr(bad) if isinstance(bad, str) else bad for _, bad in rules]
+    return F.array_compact(F.array(*[F.when(b, F.lit(code)) for (code, _), b in zip(rules, cols)]))
 
 
 def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -88,33 +127,33 @@ def error_counts(df: DataFrame, rules: list[Rule], entity: str) -> DataFrame:
 
 def audit_event_rules() -> list[Rule]:  # V1
     return [
-        ("timestamp_missing", bad_null(c("timestamp"))),
-        ("event_id_empty", bad_len(c("event_id"), 1)),
-        ("event_name", bad_enum(c("event_name"), K.EVENT_NAMES)),
-        ("tenant_id", bad_len(c("tenant_id"), 1)),
-        ("customer_id", bad_len(c("customer_id"), 1, nullable=True)),
-        ("case_id", bad_len(c("case_id"), 1, nullable=True)),
-        ("agent_id", bad_len(c("agent_id"), 1)),
-        ("actor_type", bad_enum(c("actor_type"), K.ACTOR_TYPES)),
-        ("action", bad_len(c("action"), 1)),
-        ("input_tokens", bad_nonneg(c("input_tokens"), nullable=True)),
-        ("output_tokens", bad_nonneg(c("output_tokens"), nullable=True)),
-        ("estimated_cost_usd", bad_nonneg(c("estimated_cost_usd"), nullable=True)),
-        ("human_approval", bad_enum(c("human_approval"), K.HUMAN_APPROVAL_VALUES)),
-        ("duration_ms", bad_nonneg(c("duration_ms"))),
-        ("status", bad_enum(c("status"), K.EVENT_STATUSES)),
-        ("evidence_version", bad_literal(c("evidence_version"), K.EVIDENCE_VERSION)),
+        ("timestamp_missing", bad_null("timestamp")),
+        ("event_id_empty", bad_len("event_id", 1)),
+        ("event_name", bad_enum("event_name", K.EVENT_NAMES)),
+        ("tenant_id", bad_len("tenant_id", 1)),
+        ("customer_id", bad_len("customer_id", 1, nullable=True)),
+        ("case_id", bad_len("case_id", 1, nullable=True)),
+        ("agent_id", bad_len("agent_id", 1)),
+        ("actor_type", bad_enum("actor_type", K.ACTOR_TYPES)),
+        ("action", bad_len("action", 1)),
+        ("input_tokens", bad_nonneg("input_tokens", nullable=True)),
+        ("output_tokens", bad_nonneg("output_tokens", nullable=True)),
+        ("estimated_cost_usd", bad_nonneg("estimated_cost_usd", nullable=True)),
+        ("human_approval", bad_enum("human_approval", K.HUMAN_APPROVAL_VALUES)),
+        ("duration_ms", bad_nonneg("duration_ms")),
+        ("status", bad_enum("status", K.EVENT_STATUSES)),
+        ("evidence_version", bad_literal("evidence_version", K.EVIDENCE_VERSION)),
     ]
 
 
 def analyze_request_rules() -> list[Rule]:  # V2
     return [
-        ("tenant_id", bad_len(c("tenant_id"), 2, 80)),
-        ("customer_id", bad_len(c("customer_id"), 2, 80)),
-        ("case_id", bad_len(c("case_id"), 2, 80)),
-        ("playbook", bad_enum(c("playbook"), K.ANALYZE_PLAYBOOKS)),
-        ("message", bad_len(c("message"), 5, 12000)),
-        ("channel", bad_enum(c("channel"), K.ANALYZE_CHANNELS)),
+        ("tenant_id", bad_len("tenant_id", 2, 80)),
+        ("customer_id", bad_len("customer_id", 2, 80)),
+        ("case_id", bad_len("case_id", 2, 80)),
+        ("playbook", bad_enum("playbook", K.ANALYZE_PLAYBOOKS)),
+        ("message", bad_len("message", 5, 12000)),
+        ("channel", bad_enum("channel", K.ANALYZE_CHANNELS)),
     ]
 
 
@@ -130,16 +169,16 @@ def case_analysis_errors(a: Column) -> Column:  # V3, on a struct column
 
 def demo_workflow_rules() -> list[Rule]:  # V4
     return [
-        ("id", bad_len(c("id"), 3, 100)),
-        ("contact_id", bad_len(c("contact_id"), 3, 80)),
-        ("playbook", bad_enum(c("playbook"), K.ANALYZE_PLAYBOOKS)),
-        ("status", bad_enum(c("status"), K.WORKFLOW_STATUSES)),
-        ("synthetic", bad_literal(c("synthetic"), True)),
-        ("outbound_allowed", bad_literal(c("outbound_allowed"), False)),
-        ("invoice_issued", bad_literal(c("invoice_issued"), False)),
-        ("approval_status", bad_enum(c("approval_status"), K.APPROVAL_STATUSES)),
-        ("billing_status", bad_enum(c("billing_status"), K.WORKFLOW_BILLING_STATUSES)),
-        ("draft_reply", bad_len(c("draft_reply"), None, 600)),
+        ("id", bad_len("id", 3, 100)),
+        ("contact_id", bad_len("contact_id", 3, 80)),
+        ("playbook", bad_enum("playbook", K.ANALYZE_PLAYBOOKS)),
+        ("status", bad_enum("status", K.WORKFLOW_STATUSES)),
+        ("synthetic", bad_literal("synthetic", True)),
+        ("outbound_allowed", bad_literal("outbound_allowed", False)),
+        ("invoice_issued", bad_literal("invoice_issued", False)),
+        ("approval_status", bad_enum("approval_status", K.APPROVAL_STATUSES)),
+        ("billing_status", bad_enum("billing_status", K.WORKFLOW_BILLING_STATUSES)),
+        ("draft_reply", bad_len("draft_reply", None, 600)),
     ]
 
 
@@ -150,168 +189,168 @@ def draft_update_rules(col: str = "draft_reply") -> list[Rule]:  # V5
 
 def tenant_rules() -> list[Rule]:  # V6
     return [
-        ("id", bad_len(c("id"), 3, 80)),
-        ("slug", bad_regex(c("slug"), "^[a-z0-9-]{3,50}$")),
-        ("legal_name", bad_len(c("legal_name"), 2, 180)),
-        ("display_name", bad_len(c("display_name"), 2, 120)),
-        ("playbook", bad_enum(c("playbook"), K.TENANT_PLAYBOOKS)),
-        ("status", bad_enum(c("status"), K.TENANT_STATUSES)),
-        ("environment", bad_enum(c("environment"), K.TENANT_ENVIRONMENTS)),
+        ("id", bad_len("id", 3, 80)),
+        ("slug", bad_regex("slug", "^[a-z0-9-]{3,50}$")),
+        ("legal_name", bad_len("legal_name", 2, 180)),
+        ("display_name", bad_len("display_name", 2, 120)),
+        ("playbook", bad_enum("playbook", K.TENANT_PLAYBOOKS)),
+        ("status", bad_enum("status", K.TENANT_STATUSES)),
+        ("environment", bad_enum("environment", K.TENANT_ENVIRONMENTS)),
     ]
 
 
 def user_rules() -> list[Rule]:  # V7
     return [
-        ("uid", bad_len(c("uid"), 3, 160)),
-        ("email", bad_regex(c("email"), EMAIL_RE)),
-        ("display_name", bad_len(c("display_name"), None, 120)),
-        ("phone", bad_len(c("phone"), None, 20)),
-        ("tax_id", bad_len(c("tax_id"), None, 13)),
-        ("person_type", bad_enum(c("person_type"), K.PERSON_TYPES, nullable=True)),
-        ("status", bad_enum(c("status"), K.USER_STATUSES)),
+        ("uid", bad_len("uid", 3, 160)),
+        ("email", bad_regex("email", EMAIL_RE)),
+        ("display_name", bad_len("display_name", None, 120)),
+        ("phone", bad_len("phone", None, 20)),
+        ("tax_id", bad_len("tax_id", None, 13)),
+        ("person_type", bad_enum("person_type", K.PERSON_TYPES, nullable=True)),
+        ("status", bad_enum("status", K.USER_STATUSES)),
     ]
 
 
 def membership_rules() -> list[Rule]:  # V8
     return [
-        ("id", bad_len(c("id"), 3, 260)),
-        ("tenant_id", bad_len(c("tenant_id"), 3, 80)),
-        ("user_id", bad_len(c("user_id"), 3, 160)),
-        ("role", bad_enum(c("role"), K.ROLES)),
-        ("permissions", bad_array_enum(c("permissions"), K.PERMISSIONS)),
-        ("status", bad_enum(c("status"), K.MEMBERSHIP_STATUSES)),
+        ("id", bad_len("id", 3, 260)),
+        ("tenant_id", bad_len("tenant_id", 3, 80)),
+        ("user_id", bad_len("user_id", 3, 160)),
+        ("role", bad_enum("role", K.ROLES)),
+        ("permissions", bad_array_enum("permissions", K.PERMISSIONS)),
+        ("status", bad_enum("status", K.MEMBERSHIP_STATUSES)),
     ]
 
 
 def invitation_rules() -> list[Rule]:  # V9
     return [
-        ("id", bad_len(c("id"), 3, 260)),
-        ("tenant_id", bad_len(c("tenant_id"), 3, 80)),
-        ("email", bad_regex(c("email"), EMAIL_RE)),
-        ("role", bad_enum(c("role"), K.INVITABLE_ROLES)),
-        ("permissions", bad_array_enum(c("permissions"), K.PERMISSIONS)),
-        ("status", bad_enum(c("status"), K.INVITATION_STATUSES)),
+        ("id", bad_len("id", 3, 260)),
+        ("tenant_id", bad_len("tenant_id", 3, 80)),
+        ("email", bad_regex("email", EMAIL_RE)),
+        ("role", bad_enum("role", K.INVITABLE_ROLES)),
+        ("permissions", bad_array_enum("permissions", K.PERMISSIONS)),
+        ("status", bad_enum("status", K.INVITATION_STATUSES)),
     ]
 
 
 def profile_update_rules() -> list[Rule]:  # V10
     from caseflow.functions.text import js_trim
-    pt = c("person_type")
+    pt = F.col("person_type")
     return [
-        ("display_name", bad_len(js_trim(c("display_name")), 2, 120)),
-        ("phone", bad_regex(js_trim(c("phone")), "^\\+?[0-9]{8,15}$")),
-        ("tax_id", bad_regex(js_trim(c("tax_id")), "^([0-9]{10}|[0-9]{13})$")),
+        ("display_name", bad_len(js_trim("display_name"), 2, 120)),
+        ("phone", bad_regex(js_trim("phone"), "^\\+?[0-9]{8,15}$")),
+        ("tax_id", bad_regex(js_trim("tax_id"), "^([0-9]{10}|[0-9]{13})$")),
         ("person_type", bad_enum(pt, K.PERSON_TYPES)),
-        ("legal_name", bad_len(js_trim(c("legal_name")), None, 180)),
-        ("legal_name_required", F.coalesce((pt == "company") & (F.length(js_trim(c("legal_name"))) < 2),
+        ("legal_name", bad_len(js_trim("legal_name"), None, 180)),
+        ("legal_name_required", F.coalesce((pt == "company") & (F.length(js_trim("legal_name")) < 2),
                                            F.lit(False))),
     ]
 
 
 def identity_result_rules() -> list[Rule]:  # V11
     return [
-        ("identifier", bad_regex(c("identifier"), "^([0-9]{10}|[0-9]{13})$")),
-        ("identifier_type", bad_enum(c("identifier_type"), K.IDENTIFIER_TYPES)),
-        ("source", bad_enum(c("source"), K.IDENTITY_SOURCES)),
-        ("status", bad_enum(c("status"), K.IDENTITY_STATUSES)),
-        ("legal_name", bad_len(c("legal_name"), None, 180)),
-        ("commercial_name", bad_len(c("commercial_name"), None, 180)),
-        ("activity", bad_len(c("activity"), None, 300)),
+        ("identifier", bad_regex("identifier", "^([0-9]{10}|[0-9]{13})$")),
+        ("identifier_type", bad_enum("identifier_type", K.IDENTIFIER_TYPES)),
+        ("source", bad_enum("source", K.IDENTITY_SOURCES)),
+        ("status", bad_enum("status", K.IDENTITY_STATUSES)),
+        ("legal_name", bad_len("legal_name", None, 180)),
+        ("commercial_name", bad_len("commercial_name", None, 180)),
+        ("activity", bad_len("activity", None, 300)),
     ]
 
 
 def business_case_rules() -> list[Rule]:  # V12
     return [
-        ("id", bad_len(c("id"), 3, 100)),
-        ("tenant_id", bad_len(c("tenant_id"), 3, 80)),
-        ("playbook", bad_enum(c("playbook"), K.TENANT_PLAYBOOKS)),
-        ("customer_id", bad_len(c("customer_id"), 3, 100)),
-        ("customer_user_id", bad_len(c("customer_user_id"), 3, 160, nullable=True)),
-        ("customer_name", bad_len(c("customer_name"), 2, 180)),
-        ("customer_identifier", bad_len(c("customer_identifier"), None, 13)),
-        ("title", bad_len(c("title"), 3, 180)),
-        ("description", bad_len(c("description"), 3, 12000)),
-        ("current_stage", bad_enum(c("current_stage"), K.CASE_STAGES)),
-        ("status", bad_enum(c("status"), K.CASE_STATUSES)),
-        ("quote_amount_usd", bad_nonneg(c("quote_amount_usd"), nullable=True)),
-        ("quote_approval", bad_enum(c("quote_approval"), K.QUOTE_APPROVALS)),
+        ("id", bad_len("id", 3, 100)),
+        ("tenant_id", bad_len("tenant_id", 3, 80)),
+        ("playbook", bad_enum("playbook", K.TENANT_PLAYBOOKS)),
+        ("customer_id", bad_len("customer_id", 3, 100)),
+        ("customer_user_id", bad_len("customer_user_id", 3, 160, nullable=True)),
+        ("customer_name", bad_len("customer_name", 2, 180)),
+        ("customer_identifier", bad_len("customer_identifier", None, 13)),
+        ("title", bad_len("title", 3, 180)),
+        ("description", bad_len("description", 3, 12000)),
+        ("current_stage", bad_enum("current_stage", K.CASE_STAGES)),
+        ("status", bad_enum("status", K.CASE_STATUSES)),
+        ("quote_amount_usd", bad_nonneg("quote_amount_usd", nullable=True)),
+        ("quote_approval", bad_enum("quote_approval", K.QUOTE_APPROVALS)),
     ]
 
 
 def transition_request_rules() -> list[Rule]:  # V13
     return [
-        ("action", bad_enum(c("action"), K.CASE_ACTIONS)),
-        ("quote_amount_usd", bad_nonneg(c("quote_amount_usd"), nullable=True)),
+        ("action", bad_enum("action", K.CASE_ACTIONS)),
+        ("quote_amount_usd", bad_nonneg("quote_amount_usd", nullable=True)),
     ]
 
 
 def property_rules() -> list[Rule]:  # V15 (property)
     return [
-        ("name", bad_len(c("name"), 2, 160)),
-        ("property_type", bad_enum(c("property_type"), K.PROPERTY_TYPES)),
-        ("status", bad_enum(c("status"), K.PROPERTY_STATUSES)),
-        ("city", bad_len(c("city"), 2, 100)),
-        ("address", bad_len(c("address"), 2, 240)),
-        ("unit_count", bad_nonneg(c("unit_count"), nullable=True)),
-        ("created_by", bad_len(c("created_by"), 3, 160)),
+        ("name", bad_len("name", 2, 160)),
+        ("property_type", bad_enum("property_type", K.PROPERTY_TYPES)),
+        ("status", bad_enum("status", K.PROPERTY_STATUSES)),
+        ("city", bad_len("city", 2, 100)),
+        ("address", bad_len("address", 2, 240)),
+        ("unit_count", bad_nonneg("unit_count", nullable=True)),
+        ("created_by", bad_len("created_by", 3, 160)),
     ]
 
 
 def system_rules() -> list[Rule]:
     return [
-        ("system_type", bad_enum(c("system_type"), K.SYSTEM_TYPES)),
-        ("name", bad_len(c("name"), 2, 160)),
-        ("condition", bad_enum(c("condition"), K.SYSTEM_CONDITIONS)),
-        ("inventory_count", bad_nonneg(c("inventory_count"))),
-        ("notes", bad_len(c("notes"), None, 2000)),
+        ("system_type", bad_enum("system_type", K.SYSTEM_TYPES)),
+        ("name", bad_len("name", 2, 160)),
+        ("condition", bad_enum("condition", K.SYSTEM_CONDITIONS)),
+        ("inventory_count", bad_nonneg("inventory_count")),
+        ("notes", bad_len("notes", None, 2000)),
     ]
 
 
 def issue_rules() -> list[Rule]:
     return [
-        ("category", bad_enum(c("category"), K.ISSUE_CATEGORIES)),
-        ("title", bad_len(c("title"), 3, 180)),
-        ("description", bad_len(c("description"), 3, 8000)),
-        ("priority", bad_enum(c("priority"), K.ISSUE_PRIORITIES)),
-        ("status", bad_enum(c("status"), K.ISSUE_STATUSES)),
-        ("source", bad_enum(c("source"), K.ISSUE_SOURCES)),
+        ("category", bad_enum("category", K.ISSUE_CATEGORIES)),
+        ("title", bad_len("title", 3, 180)),
+        ("description", bad_len("description", 3, 8000)),
+        ("priority", bad_enum("priority", K.ISSUE_PRIORITIES)),
+        ("status", bad_enum("status", K.ISSUE_STATUSES)),
+        ("source", bad_enum("source", K.ISSUE_SOURCES)),
     ]
 
 
 def commitment_rules() -> list[Rule]:
     return [
-        ("commitment_type", bad_enum(c("commitment_type"), K.COMMITMENT_TYPES)),
-        ("title", bad_len(c("title"), 3, 180)),
-        ("status", bad_enum(c("status"), K.COMMITMENT_STATUSES)),
-        ("notes", bad_len(c("notes"), None, 2000)),
+        ("commitment_type", bad_enum("commitment_type", K.COMMITMENT_TYPES)),
+        ("title", bad_len("title", 3, 180)),
+        ("status", bad_enum("status", K.COMMITMENT_STATUSES)),
+        ("notes", bad_len("notes", None, 2000)),
     ]
 
 
 def contact_rules() -> list[Rule]:  # V16
     return [
-        ("id", bad_len(c("id"), 3, 80)),
-        ("playbook", bad_enum(c("playbook"), K.CONTACT_PLAYBOOKS)),
-        ("environment", bad_literal(c("environment"), "synthetic")),
-        ("synthetic", bad_literal(c("synthetic"), True)),
-        ("display_name", bad_len(c("display_name"), 2, 120)),
-        ("account_name", bad_len(c("account_name"), 2, 160)),
-        ("phone", bad_regex(c("phone"), "^\\+593000000[0-9]{3}$")),
-        ("email", bad_regex(c("email"), "^[a-z0-9.-]+@example\\.invalid$")),
-        ("channel", bad_enum(c("channel"), K.CONTACT_CHANNELS)),
-        ("segment", bad_len(c("segment"), 2, 100)),
-        ("opportunity", bad_len(c("opportunity"), 2, 160)),
-        ("next_action", bad_len(c("next_action"), 2, 200)),
-        ("estimated_value_usd", bad_nonneg(c("estimated_value_usd"))),
-        ("priority", bad_enum(c("priority"), K.CONTACT_PRIORITIES)),
-        ("status", bad_enum(c("status"), K.CONTACT_STATUSES)),
-        ("consent_status", bad_literal(c("consent_status"), "not_applicable_synthetic")),
-        ("outbound_allowed", bad_literal(c("outbound_allowed"), False)),
-        ("billing_state", bad_enum(c("billing_state"), K.CONTACT_BILLING_STATES)),
+        ("id", bad_len("id", 3, 80)),
+        ("playbook", bad_enum("playbook", K.CONTACT_PLAYBOOKS)),
+        ("environment", bad_literal("environment", "synthetic")),
+        ("synthetic", bad_literal("synthetic", True)),
+        ("display_name", bad_len("display_name", 2, 120)),
+        ("account_name", bad_len("account_name", 2, 160)),
+        ("phone", bad_regex("phone", "^\\+593000000[0-9]{3}$")),
+        ("email", bad_regex("email", "^[a-z0-9.-]+@example\\.invalid$")),
+        ("channel", bad_enum("channel", K.CONTACT_CHANNELS)),
+        ("segment", bad_len("segment", 2, 100)),
+        ("opportunity", bad_len("opportunity", 2, 160)),
+        ("next_action", bad_len("next_action", 2, 200)),
+        ("estimated_value_usd", bad_nonneg("estimated_value_usd")),
+        ("priority", bad_enum("priority", K.CONTACT_PRIORITIES)),
+        ("status", bad_enum("status", K.CONTACT_STATUSES)),
+        ("consent_status", bad_literal("consent_status", "not_applicable_synthetic")),
+        ("outbound_allowed", bad_literal("outbound_allowed", False)),
+        ("billing_state", bad_enum("billing_state", K.CONTACT_BILLING_STATES)),
     ]
 
 
 def playbook_rules() -> list[Rule]:  # V14, on (playbook, steps array)
     return [
-        ("playbook", bad_enum(c("playbook"), K.TENANT_PLAYBOOKS)),
-        ("steps", ~F.coalesce(F.size(c("steps")) == len(K.CASE_STAGES), F.lit(False))),
+        ("playbook", bad_enum("playbook", K.TENANT_PLAYBOOKS)),
+        ("steps", ~F.coalesce(F.size("steps") == len(K.CASE_STAGES), F.lit(False))),
     ]
