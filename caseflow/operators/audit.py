@@ -11,6 +11,15 @@ from caseflow import schemas as K
 from caseflow.operators.sequence import last_value_before, next_in_sequence
 
 
+def micros_between(start: Column, end: Column) -> Column:
+    """Wall-clock microseconds between two TIMESTAMP_NTZ values (no session
+    time zone involved, so DST never shifts a duration)."""
+    iv = end - start
+    part = lambda unit: F.extract(F.lit(unit), iv).cast("bigint")
+    return (part("DAY") * 86_400_000_000 + part("HOUR") * 3_600_000_000 + part("MINUTE") * 60_000_000
+            + (F.extract(F.lit("SECOND"), iv) * 1_000_000).cast("bigint"))
+
+
 def append_events(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` to append: one per event id, none already stored.
 
@@ -52,8 +61,7 @@ def time_to_classified(events: DataFrame) -> DataFrame:
     an = events.where(analysis).select("tenant_id", "case_id", F.col("timestamp").alias("t_an"))
     j = an.join(first_in, ["tenant_id", "case_id"]).where(F.col("t_an") >= F.col("t_in"))
     per_case = j.groupBy("tenant_id", "case_id").agg(
-        (F.unix_micros(F.min("t_an").cast("timestamp")) - F.unix_micros(F.first("t_in").cast("timestamp")))
-        .alias("us"))
+        micros_between(F.first("t_in"), F.min("t_an")).alias("us"))
     return per_case.groupBy("tenant_id").agg(
         F.count("*").alias("cases"), F.round(F.median(F.col("us") / 1e6), 3).alias("median_seconds"))
 
@@ -112,8 +120,7 @@ def stage_durations(log: DataFrame, requested: DataFrame) -> DataFrame:
     a = log.where("accepted").join(requested, ["case_id", "action_no"], "inner") \
         .select("case_id", "action_no", F.col("stage_after").alias("stage"), F.col("requested_at").alias("entered_at"))
     n = next_in_sequence(a, ["case_id"], "action_no", "entered_at", "left_at")
-    hours = (F.unix_micros(F.col("left_at").cast("timestamp"))
-             - F.unix_micros(F.col("entered_at").cast("timestamp"))) / 3.6e9
+    hours = micros_between(F.col("entered_at"), F.col("left_at")) / 3.6e9
     return n.select("case_id", "action_no", "stage", "entered_at", "left_at", F.round(hours, 6).alias("hours"))
 
 
@@ -181,7 +188,7 @@ def evidence_gate(manifest: DataFrame) -> DataFrame:
 def request_rate(events: DataFrame, limit: int = K.REQUEST_LIMIT_PER_MINUTE, window: str = "1 minute",
                  client: str = "agent_id") -> DataFrame:
     """Clients above ``limit`` events in an aligned window."""
-    g = events.groupBy(F.window(F.col("timestamp").cast("timestamp"), window).alias("w"), client).agg(
+    g = events.groupBy(F.window(F.col("timestamp"), window).alias("w"), client).agg(
         F.count("*").alias("events"))
     return g.where(F.col("events") > limit).select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"), client, "events")
@@ -189,7 +196,7 @@ def request_rate(events: DataFrame, limit: int = K.REQUEST_LIMIT_PER_MINUTE, win
 
 def health_windows(events: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Error share and latency per aligned window (T10, exact batch form)."""
-    g = events.groupBy(F.window(F.col("timestamp").cast("timestamp"), window).alias("w")).agg(
+    g = events.groupBy(F.window(F.col("timestamp"), window).alias("w")).agg(
         F.count("*").alias("events"),
         F.round(F.count_if(F.col("status") == "failed") / F.count("*"), 6).alias("error_share"),
         F.percentile("duration_ms", 0.5).alias("p50_ms"),

@@ -47,7 +47,8 @@ def enrich_identity(requests: DataFrame, snapshots: DataFrame, ttl_ms: int) -> D
     hot identifier is spread over its time buckets.
     """
     ttl_s = ttl_ms / 1000.0
-    epoch = F.unix_micros(F.col("at").cast("timestamp")) / 1_000_000.0
+    from caseflow.operators.audit import micros_between
+    epoch = micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("at")) / 1_000_000
     bucket = F.floor(epoch / F.lit(ttl_s)).cast("bigint")
 
     use = (F.col("identifier_type") == "ruc") & (F.col("lookup") == "authorized")
