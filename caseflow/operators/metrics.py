@@ -270,3 +270,18 @@ def hash_artifacts(spark, paths: str, manifest: DataFrame | None = None) -> Data
         return files
     return files.join(manifest.select("name", F.col("sha256").alias("expected")), "name", "full").withColumn(
         "matches", F.col("sha256") == F.col("expected"))
+
+
+def pnl_check(stored: DataFrame) -> DataFrame:
+    """Check the arithmetic of stored P&L rows (A15): totals equal their
+    parts, gross profit = revenue - COGS, net income = gross - opex."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)"))
+    rev = z("revenue_implementation") + z("revenue_subscription") + z("revenue_usage")
+    cogs = z("cogs_gcp") + z("cogs_vertex_ai") + z("cogs_whatsapp") + z("cogs_third_party") + z("cogs_direct_labor")
+    return stored.select(
+        "month",
+        (z("total_revenue") == rev).alias("revenue_ok"),
+        (z("total_cogs") == cogs).alias("cogs_ok"),
+        (z("gross_profit") == z("total_revenue") - z("total_cogs")).alias("gross_ok"),
+        (z("net_income") == z("gross_profit") - z("operating_expenses")).alias("net_ok"),
+    )

@@ -355,3 +355,29 @@ def q_pnl(t):
 @query("hash_artifacts")
 def q_hash_artifacts(t):
     return M.hash_artifacts(t.spark, f"{t.sf_dir}/*.parquet")
+
+
+@query("pnl_check", """
+SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, true AS revenue_ok, true AS cogs_ok, true AS gross_ok,
+  true AS net_ok FROM lineitem""")
+def q_pnl_check(t):
+    """Stored P&L rows written as the CSV template (S6), read back with the
+    declared schema and checked (A15)."""
+    from caseflow import schemas as K
+    from caseflow.sources import io as IO
+    led = _ledger(t)
+    kinds = ["revenue_implementation", "revenue_subscription", "revenue_usage", "cogs_direct_labor",
+             "cogs_third_party", "operating_expenses"]
+    p = led.groupBy("month").pivot("line", kinds).agg(F.round(F.sum("amount_usd"), 2).cast("decimal(18,2)"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)"))
+    rev = z(kinds[0]) + z(kinds[1]) + z(kinds[2])
+    cogs = z(kinds[3]) + z(kinds[4])
+    rows = p.select(
+        "month", *[z(k).alias(k) for k in kinds[:3]], rev.alias("total_revenue"),
+        *[F.lit(0).cast("decimal(18,2)").alias(c) for c in ["cogs_gcp", "cogs_vertex_ai", "cogs_whatsapp"]],
+        z(kinds[4]).alias("cogs_third_party"), z(kinds[3]).alias("cogs_direct_labor"), cogs.alias("total_cogs"),
+        (rev - cogs).alias("gross_profit"), z(kinds[5]).alias("operating_expenses"),
+        (rev - cogs - z(kinds[5])).alias("net_income"), F.lit("").alias("evidence_ids"), F.lit("").alias("notes"))
+    path = IO.landing_path(t.spark, "pnl-csv")
+    rows.select(*K.PNL_COLUMNS).write.option("header", True).csv(path)
+    return M.pnl_check(IO.read_csv(t.spark, path, K.PNL))
