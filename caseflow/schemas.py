@@ -274,12 +274,6 @@ DEMO_ANALYSIS = {
 }
 
 # Playbook step labels, one list of eight per playbook in stage order.
-PLAYBOOK_NAMES = {
-    "pcdoctor": "PC Doctor",
-    "iapro": "IAPRO S.A.S.",
-    "photography_studio": "Estudio fotográfico",
-    "condominium_management": "Administración de condominios",
-}
 PLAYBOOK_LABELS = {
     "pcdoctor": ["Ingreso", "Cliente", "Diagnóstico", "Cotización", "Aprobación", "Servicio técnico", "Facturación", "Cerrado"],
     "iapro": ["Ingreso", "Cliente", "Descubrimiento", "Propuesta", "Aprobación", "Proyecto", "Facturación", "Cerrado"],
