@@ -119,3 +119,21 @@ def test_checksum_column_is_small(spark):
     # the classification references the identifier once (plan stays small)
     expr = str(ID.identifier_type(F.col("x")))
     assert expr.count("'x'") + expr.count("x") < 50
+
+
+def test_enrich_identity_previous_bucket(spark):
+    req = spark.createDataFrame([
+        ("q1", "0190000001001", "ruc", "authorized", "2024-01-02 01:00:00"),
+        ("q2", "0190000001001", "ruc", "authorized", "2024-01-03 21:00:00"),
+        ("q3", "0190000001001", "ruc", "authorized", "2024-01-03 23:30:00"),
+    ], "request_id string, identifier string, identifier_type string, lookup string, requested_at string") \
+        .withColumn("requested_at", F.col("requested_at").cast("timestamp_ntz"))
+    snaps = spark.createDataFrame([
+        ("0190000001001", "2024-01-01 23:00:00", "p1", True, "A", "", ""),
+        ("0190000001001", "2024-01-02 22:00:00", "p2", False, "B", "", ""),
+    ], "identifier string, fetched_at string, snapshot_id string, found boolean, legal_name string, "
+       "commercial_name string, activity string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+    out = {r["request_id"]: r for r in OI.enrich_identity(req, snaps, 86_400_000).collect()}
+    assert out["q1"]["snapshot_id"] == "p1"                    # fresh snapshot in the previous day bucket
+    assert out["q2"]["snapshot_id"] == "p2" and out["q2"]["status"] == "not_found"
+    assert out["q3"]["status"] == "unavailable"                # 25.5 h old: past the TTL
