@@ -81,3 +81,44 @@ def identifier_type(clean: Column) -> Column:
     copies one reference, not one per digit."""
     return F.element_at(
         F.transform(F.array(clean), lambda s: F.when(is_cedula(s), "cedula").when(is_ruc(s), "ruc")), 1)
+
+
+# ----------------------------------------------------------------------------- SQL form
+# The same rules as SQL text over a named column: one JVM call builds the
+# whole classification (used by the whole-table job).
+
+
+def _dig(v: str, pos) -> str:
+    return f"(ascii(substr({v}, {pos}, 1)) - 48)"
+
+
+def _cedula_sql(v: str) -> str:
+    p = f"({_dig(v, 'i + 1')} * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)"
+    total = f"aggregate(sequence(0, 8), 0, (acc, i) -> acc + CASE WHEN {p} > 9 THEN {p} - 9 ELSE {p} END)"
+    return (f"coalesce(CASE WHEN {v} RLIKE '^[0-9]{{10}}$' THEN "
+            f"(try_cast(substr({v}, 1, 2) AS INT) BETWEEN 1 AND 24) AND {_dig(v, 3)} <= 5 "
+            f"AND (10 - {total} % 10) % 10 = {_dig(v, 10)} END, false)")
+
+
+def _mod11_sql(v: str, weights: list[int], pos: int) -> str:
+    w = ", ".join(str(x) for x in weights)
+    r = (f"(11 - aggregate(sequence(0, {len(weights) - 1}), 0, "
+         f"(acc, i) -> acc + {_dig(v, 'i + 1')} * element_at(array({w}), i + 1)) % 11)")
+    return f"(CASE WHEN {r} = 11 THEN 0 ELSE {r} END) = {_dig(v, pos + 1)}"
+
+
+def _ruc_sql(v: str) -> str:
+    prov = f"try_cast(substr({v}, 1, 2) AS INT)"
+    third = _dig(v, 3)
+    return (f"coalesce(CASE WHEN {v} RLIKE '^[0-9]{{13}}$' THEN "
+            f"({prov} BETWEEN 1 AND 24 OR {prov} = 30) AND ("
+            f"({third} <= 5 AND {_cedula_sql(f'substr({v}, 1, 10)')} AND endswith({v}, '001')) "
+            f"OR ({third} = 6 AND {_mod11_sql(v, PUBLIC_COMPANY_WEIGHTS, 8)} AND endswith({v}, '0001')) "
+            f"OR ({third} = 9 AND {_mod11_sql(v, PRIVATE_COMPANY_WEIGHTS, 9)} AND endswith({v}, '001'))) END, false)")
+
+
+def identifier_type_sql(column: str) -> Column:
+    """identifier_type over the column named ``column``, as one expression."""
+    q = "`" + column.replace("`", "``") + "`"
+    return F.expr(f"element_at(transform(array({q}), s -> CASE WHEN {_cedula_sql('s')} THEN 'cedula' "
+                  f"WHEN {_ruc_sql('s')} THEN 'ruc' END), 1)")

@@ -21,7 +21,7 @@ def validate_identifiers(df: DataFrame, col: str = "identifier_text", keep: list
     out = df.select(*keep, clean.alias("identifier"))
     # classify once; the flags below read the result column, so the checksum
     # expression is not repeated per output column
-    out = out.select(*keep, "identifier", ID.identifier_type(F.col("identifier")).alias("identifier_type"))
+    out = out.select(*keep, "identifier", ID.identifier_type_sql("identifier").alias("identifier_type"))
     kind = F.col("identifier_type")
     return out.select(
         *keep, "identifier", "identifier_type",
