@@ -22,6 +22,18 @@ AS_OF = "1998-06-01 00:00:00"     # fixed "now" for the 1995-2001 views
 EVENTS_AS_OF = "2024-01-15 00:00:00"
 
 
+def _lits(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "\\'") + "'" for v in values)
+
+
+def pk(values: list, idx_sql: str) -> str:
+    """SQL text for values[idx] (zero-based, null when out of range)."""
+    return f"try_element_at(array({_lits(values)}), CAST({idx_sql} AS INT) + 1)"
+
+
+AS_OF_SQL = f"TIMESTAMP_NTZ '{AS_OF}'"
+
+
 def ts(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
@@ -69,25 +81,14 @@ def tenants(t: Tables) -> DataFrame:
 
 def identifiers(t: Tables) -> DataFrame:
     """One raw identifier text per customer (some with hyphens, a third RUCs)."""
-    c = t.customer
-    k = c.c_custkey
-    third = F.when(k % 8 == 7, F.lit(9)).otherwise(k % 8)
-    ten = F.concat(
-        F.lpad(_s(k % 26), 2, "0"), _s(third), F.lpad(_s(k % 1000000), 6, "0"), _s(F.floor(k / 3) % 10)
-    )
-    raw = F.concat(ten, F.when(k % 3 == 0, F.lit("001")).otherwise(F.lit("")))
-    base = c.select(k.alias("c_custkey"), raw.alias("raw"))
-    r = F.col("raw")
-    shown = F.when(
-        F.col("c_custkey") % 7 == 0,
-        F.concat(F.substring(r, 1, 2), F.lit("-"), F.substring(r, 3, 7), F.lit("-"), F.expr("substring(raw, 10)")),
-    ).otherwise(r)
-    return base.select(
-        "c_custkey",
-        F.concat(F.lit("user-"), _s(F.col("c_custkey"))).alias("user_id"),
-        shown.alias("identifier_text"),
-    )
-
+    raw = ("concat(lpad(CAST(c_custkey % 26 AS STRING), 2, '0'), "
+           "CAST(CASE WHEN c_custkey % 8 = 7 THEN 9 ELSE c_custkey % 8 END AS STRING), "
+           "lpad(CAST(c_custkey % 1000000 AS STRING), 6, '0'), CAST(floor(c_custkey / 3) % 10 AS STRING), "
+           "CASE WHEN c_custkey % 3 = 0 THEN '001' ELSE '' END)")
+    return t.customer.selectExpr("c_custkey", f"{raw} AS raw").selectExpr(
+        "c_custkey", "concat('user-', CAST(c_custkey AS STRING)) AS user_id",
+        "CASE WHEN c_custkey % 7 = 0 THEN concat(substr(raw, 1, 2), '-', substr(raw, 3, 7), '-', substr(raw, 10)) "
+        "ELSE raw END AS identifier_text")
 
 def users(t: Tables) -> DataFrame:
     c = t.customer
@@ -111,22 +112,16 @@ def users(t: Tables) -> DataFrame:
 
 
 def memberships(t: Tables) -> DataFrame:
-    c = t.customer
-    k = c.c_custkey
-    tenant = F.concat(F.lit("tenant-"), _s(c.c_nationkey))
-    user = F.concat(F.lit("user-"), _s(k))
-    role = pick(K.ROLES, k % 4)
-    return c.select(
-        F.concat(tenant, F.lit("__"), user).alias("id"),
-        tenant.alias("tenant_id"),
-        user.alias("user_id"),
-        role.alias("role"),
-        role_defaults(role).alias("permissions"),
-        F.when(k % 17 == 0, "suspended").otherwise("active").alias("status"),
-        ts(AS_OF).alias("created_at"),
-        ts(AS_OF).alias("updated_at"),
-    )
-
+    roles = "CASE " + " ".join(f"WHEN role = '{r}' THEN array({_lits(p)})" for r, p in K.ROLE_DEFAULTS.items()) + \
+        " ELSE CAST(array() AS ARRAY<STRING>) END"
+    return t.customer.selectExpr(
+        "concat('tenant-', CAST(c_nationkey AS STRING)) AS tenant_id",
+        "concat('user-', CAST(c_custkey AS STRING)) AS user_id",
+        f"{pk(K.ROLES, 'c_custkey % 4')} AS role",
+        "CASE WHEN c_custkey % 17 = 0 THEN 'suspended' ELSE 'active' END AS status",
+    ).selectExpr(
+        "concat(tenant_id, '__', user_id) AS id", "tenant_id", "user_id", "role", f"{roles} AS permissions", "status",
+        f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 def invitations(t: Tables) -> DataFrame:
     c = t.customer
@@ -153,35 +148,29 @@ def invitations(t: Tables) -> DataFrame:
 
 
 def contacts(t: Tables) -> DataFrame:
-    c = t.customer
-    k = c.c_custkey
-    status = pick(K.CONTACT_STATUSES, k % 5)
-    return c.select(
-        F.concat(F.lit("contact-"), _s(k)).alias("id"),
-        F.concat(F.lit("tenant-"), _s(c.c_nationkey)).alias("tenant_id"),
-        pick(K.CONTACT_PLAYBOOKS, k % 2).alias("playbook"),
-        F.lit("synthetic").alias("environment"),
-        F.lit(True).alias("synthetic"),
-        c.c_name.alias("display_name"),
-        F.concat(F.lit("Cuenta "), c.c_mktsegment, F.lit(" "), _s(k)).alias("account_name"),
-        F.concat(F.lit("+593000000"), F.lpad(_s(k % 1000), 3, "0")).alias("phone"),
-        F.concat(F.lit("contact"), _s(k % 997), F.lit("@example.invalid")).alias("email"),
-        pick(K.CONTACT_CHANNELS, k % 4).alias("channel"),
-        F.lower(c.c_mktsegment).alias("segment"),
-        F.concat(F.lit("Oportunidad "), F.lower(c.c_mktsegment)).alias("opportunity"),
-        F.when(k % 8 == 0, F.lit("")).otherwise(F.concat(F.lit("Seguimiento "), _s(k))).alias("next_action"),
-        F.floor(F.abs(c.c_acctbal)).cast("bigint").alias("estimated_value_usd"),
-        pick(K.CONTACT_PRIORITIES, k % 3).alias("priority"),
-        status.alias("status"),
-        F.lit("not_applicable_synthetic").alias("consent_status"),
-        (k % 23 == 0).alias("outbound_allowed"),
-        (ts(AS_OF) - F.make_interval(days=(k % 90).cast("int"))).alias("last_interaction_at"),
-        (ts(AS_OF) + F.make_interval(days=(k % 30 - 15).cast("int"))).alias("due_at"),
-        F.when(status == "billing_review", "ready_for_review")
-        .when(status == "approval_required", "pending_review").otherwise("none").alias("billing_state"),
+    return t.customer.selectExpr(
+        "concat('contact-', CAST(c_custkey AS STRING)) AS id",
+        "concat('tenant-', CAST(c_nationkey AS STRING)) AS tenant_id",
+        f"{pk(K.CONTACT_PLAYBOOKS, 'c_custkey % 2')} AS playbook",
+        "'synthetic' AS environment", "true AS synthetic", "c_name AS display_name",
+        "concat('Cuenta ', c_mktsegment, ' ', CAST(c_custkey AS STRING)) AS account_name",
+        "concat('+593000000', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')) AS phone",
+        "concat('contact', CAST(c_custkey % 997 AS STRING), '@example.invalid') AS email",
+        f"{pk(K.CONTACT_CHANNELS, 'c_custkey % 4')} AS channel",
+        "lower(c_mktsegment) AS segment",
+        "concat('Oportunidad ', lower(c_mktsegment)) AS opportunity",
+        "CASE WHEN c_custkey % 8 = 0 THEN '' ELSE concat('Seguimiento ', CAST(c_custkey AS STRING)) END AS next_action",
+        "CAST(floor(abs(c_acctbal)) AS BIGINT) AS estimated_value_usd",
+        f"{pk(K.CONTACT_PRIORITIES, 'c_custkey % 3')} AS priority",
+        f"{pk(K.CONTACT_STATUSES, 'c_custkey % 5')} AS status",
+        "'not_applicable_synthetic' AS consent_status",
+        "c_custkey % 23 = 0 AS outbound_allowed",
+        f"timestampadd(DAY, -CAST(c_custkey % 90 AS INT), {AS_OF_SQL}) AS last_interaction_at",
+        f"timestampadd(DAY, CAST(c_custkey % 30 - 15 AS INT), {AS_OF_SQL}) AS due_at",
+        "CASE c_custkey % 5 WHEN 4 THEN 'ready_for_review' WHEN 3 THEN 'pending_review' ELSE 'none' END "
+        "AS billing_state",
     )
 
-
 def analysis_struct(playbook: Column) -> Column:
     """The constant analysis of a playbook as a struct column (two folded
     JSON literals, one per playbook)."""
@@ -225,117 +214,83 @@ CANONICAL_ACTIONS = [a for a in K.CASE_ACTIONS if a != "reject_quote"]
 
 
 def cases(t: Tables) -> DataFrame:
-    o = t.orders
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = t.customer.select("c_custkey", "c_nationkey", "c_name")
     ids = identifiers(t).select(F.col("c_custkey").alias("ik"), "identifier_text")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner").join(ids, F.col("o_custkey") == F.col("ik"), "inner")
-    return j.select(
-        F.concat(F.lit("case-"), _s(j.o_orderkey)).alias("id"),
-        F.concat(F.lit("tenant-"), _s(j.c_nationkey)).alias("tenant_id"),
-        pick(K.TENANT_PLAYBOOKS, j.c_nationkey % 4).alias("playbook"),
-        F.concat(F.lit("contact-"), _s(j.o_custkey)).alias("customer_id"),
-        F.concat(F.lit("user-"), _s(j.o_custkey)).alias("customer_user_id"),
-        j.c_name.alias("customer_name"),
+    return j.selectExpr(
+        "concat('case-', CAST(o_orderkey AS STRING)) AS id",
+        "concat('tenant-', CAST(c_nationkey AS STRING)) AS tenant_id",
+        f"{pk(K.TENANT_PLAYBOOKS, 'c_nationkey % 4')} AS playbook",
+        "concat('contact-', CAST(o_custkey AS STRING)) AS customer_id",
+        "concat('user-', CAST(o_custkey AS STRING)) AS customer_user_id",
+        "c_name AS customer_name",
         # case creation keeps the digits of the identifier only
-        F.regexp_replace(j.identifier_text, "[^0-9]", "").alias("customer_identifier"),
-        F.concat(F.lit("Orden "), _s(j.o_orderkey)).alias("title"),
-        F.concat(F.lit("Prioridad "), j.o_orderpriority).alias("description"),
-        F.lit("intake").alias("current_stage"),
-        F.lit("open").alias("status"),
-        F.lit(None).cast(K.IDENTITY_VALIDATION).alias("identity_validation"),
-        F.lit(None).cast("decimal(18,2)").alias("quote_amount_usd"),
-        F.lit("not_requested").alias("quote_approval"),
-        F.lit(False).alias("billing_prepared"),
-        F.lit(False).alias("invoice_issued"),
-        F.lit(False).alias("outbound_allowed"),
-        F.lit(True).alias("synthetic"),
-        F.lit(None).cast("string").alias("assigned_to"),
-        F.lit("system").alias("created_by"),
-        j.o_orderdate.alias("created_at"),
-        j.o_orderdate.alias("updated_at"),
+        "regexp_replace(identifier_text, '[^0-9]', '') AS customer_identifier",
+        "concat('Orden ', CAST(o_orderkey AS STRING)) AS title",
+        "concat('Prioridad ', o_orderpriority) AS description",
+        "'intake' AS current_stage", "'open' AS status",
+        f"CAST(NULL AS {K.IDENTITY_VALIDATION.simpleString()}) AS identity_validation",
+        "CAST(NULL AS DECIMAL(18,2)) AS quote_amount_usd", "'not_requested' AS quote_approval",
+        "false AS billing_prepared", "false AS invoice_issued", "false AS outbound_allowed", "true AS synthetic",
+        "CAST(NULL AS STRING) AS assigned_to", "'system' AS created_by",
+        "o_orderdate AS created_at", "o_orderdate AS updated_at",
     )
 
-
 def case_actions(t: Tables) -> DataFrame:
     """Ordered action log per case: a prefix of the canonical path, an extra
     reject after the quote for some cases and an early close for others."""
     o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    n = (o.o_orderkey % 10).cast("int")
-    canon = F.array(*[F.lit(a) for a in CANONICAL_ACTIONS])
-    steps = o.select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
-        F.posexplode(F.slice(canon, 1, F.least(n, F.lit(8)))).alias("pos", "action"),
-    ).select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
-        ((F.col("pos") + 1) * 10).cast("int").alias("action_no"), "action",
-    )
-    reject = o.where((o.o_orderkey % 11 == 0) & (o.o_orderkey % 10 >= 4)).select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
-        F.lit(45).alias("action_no"), F.lit("reject_quote").alias("action"),
-    )
-    early = o.where(o.o_orderkey % 13 == 0).select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
-        F.lit(15).alias("action_no"), F.lit("close_case").alias("action"),
-    )
+    base = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]
+    steps = o.selectExpr(*base, f"posexplode(slice(array({_lits(CANONICAL_ACTIONS)}), 1, "
+                               f"CAST(least(o_orderkey % 10, 8) AS INT))) AS (pos, action)") \
+        .selectExpr(*base, "CAST((pos + 1) * 10 AS INT) AS action_no", "action")
+    reject = o.where("o_orderkey % 11 = 0 AND o_orderkey % 10 >= 4") \
+        .selectExpr(*base, "45 AS action_no", "'reject_quote' AS action")
+    early = o.where("o_orderkey % 13 = 0").selectExpr(*base, "15 AS action_no", "'close_case' AS action")
     a = steps.unionByName(reject).unionByName(early)
-    return a.select(
-        F.concat(F.lit("case-"), _s(a.o_orderkey)).alias("case_id"),
-        a.o_custkey.alias("customer_key"),
-        F.concat(F.lit("user-"), _s(a.o_custkey)).alias("actor_user_id"),
-        a.action_no,
-        a.action,
-        F.when((a.action == "prepare_quote") & (a.o_orderkey % 17 != 0),
-               F.round(a.o_totalprice, 2).cast("decimal(18,2)")).alias("quote_amount_usd"),
-        (a.o_orderdate + F.make_interval(hours=a.action_no)).alias("requested_at"),
+    return a.selectExpr(
+        "concat('case-', CAST(o_orderkey AS STRING)) AS case_id",
+        "o_custkey AS customer_key",
+        "concat('user-', CAST(o_custkey AS STRING)) AS actor_user_id",
+        "action_no", "action",
+        "CASE WHEN action = 'prepare_quote' AND o_orderkey % 17 <> 0 "
+        "THEN CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) END AS quote_amount_usd",
+        "timestampadd(HOUR, action_no, o_orderdate) AS requested_at",
     )
 
-
 # --------------------------------------------------------------------------- audit events, messages
 
 
 def audit_events(t: Tables) -> DataFrame:
-    e = t.events
-    et = e.event_type
-    name = (
-        F.when(et == "signup", "customer_created")
-        .when(et == "view", "case_created")
-        .when(et == "click", "agent_decision_completed")
-        .when((et == "error") & (e.event_id % 3 == 0), "agent_retry")
-        .when(et == "error", "agent_error")
-        .when(et == "purchase", "human_approval_completed")
-    )
-    approval = (
-        F.when(et == "purchase", pick(["approved", "edited", "rejected"], e.event_id % 3))
-        .when(et == "click", "required").otherwise("not_required")
+    model_row = "event_type IN ('click', 'error')"
+    return t.events.selectExpr(
+        "ts AS timestamp",
+        "concat('evt-', CAST(event_id AS STRING)) AS event_id",
+        "CASE event_type WHEN 'signup' THEN 'customer_created' WHEN 'view' THEN 'case_created' "
+        "WHEN 'click' THEN 'agent_decision_completed' "
+        "WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'agent_retry' ELSE 'agent_error' END "
+        "WHEN 'purchase' THEN 'human_approval_completed' END AS event_name",
+        "concat('tenant-', CAST(user_id % 25 AS STRING)) AS tenant_id",
+        "concat('contact-', CAST(user_id AS STRING)) AS customer_id",
+        "concat('case-', CAST(user_id AS STRING)) AS case_id",
+        "concat('agent-', CAST(user_id % 6 AS STRING)) AS agent_id",
+        f"CASE WHEN {model_row} THEN 'agent' WHEN event_type = 'purchase' THEN 'human' "
+        "WHEN event_type = 'signup' THEN 'customer' ELSE 'system' END AS actor_type",
+        "event_type AS action", "'' AS input_summary", "'' AS decision", "'' AS result",
+        f"CASE WHEN {model_row} THEN concat('model-', CAST(user_id % 2 AS STRING)) END AS model",
+        f"CASE WHEN {model_row} THEN concat('req-', CAST(event_id AS STRING)) END AS request_reference",
+        f"CASE WHEN {model_row} THEN CAST(get_json_object(props, '$.k') AS BIGINT) END AS input_tokens",
+        f"CASE WHEN {model_row} THEN CAST(get_json_object(props, '$.k') AS BIGINT) * 3 END AS output_tokens",
+        "CAST(NULL AS DECIMAL(18,2)) AS estimated_cost_usd",
+        "CASE WHEN event_type = 'purchase' THEN "
+        f"{pk(['approved', 'edited', 'rejected'], 'event_id % 3')} "
+        "WHEN event_type = 'click' THEN 'required' ELSE 'not_required' END AS human_approval",
+        "CAST(value * 100 AS BIGINT) AS duration_ms",
+        "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status",
+        "CASE WHEN event_type = 'error' THEN 'agent_error' END AS error",
+        f"'{K.EVIDENCE_VERSION}' AS evidence_version",
     )
-    k = F.get_json_object(e.props, "$.k").cast("bigint")
-    model_row = et.isin("click", "error")
-    return e.select(
-        e.ts.alias("timestamp"),
-        F.concat(F.lit("evt-"), _s(e.event_id)).alias("event_id"),
-        name.alias("event_name"),
-        F.concat(F.lit("tenant-"), _s(e.user_id % 25)).alias("tenant_id"),
-        F.concat(F.lit("contact-"), _s(e.user_id)).alias("customer_id"),
-        F.concat(F.lit("case-"), _s(e.user_id)).alias("case_id"),
-        F.concat(F.lit("agent-"), _s(e.user_id % 6)).alias("agent_id"),
-        F.when(model_row, "agent").when(et == "purchase", "human").when(et == "signup", "customer")
-        .otherwise("system").alias("actor_type"),
-        et.alias("action"),
-        F.lit("").alias("input_summary"),
-        F.lit("").alias("decision"),
-        F.lit("").alias("result"),
-        F.when(model_row, F.concat(F.lit("model-"), _s(e.user_id % 2))).alias("model"),
-        F.when(model_row, F.concat(F.lit("req-"), _s(e.event_id))).alias("request_reference"),
-        F.when(model_row, k).alias("input_tokens"),
-        F.when(model_row, k * 3).alias("output_tokens"),
-        F.lit(None).cast("decimal(18,2)").alias("estimated_cost_usd"),
-        approval.alias("human_approval"),
-        (e.value * 100).cast("bigint").alias("duration_ms"),
-        F.when(et == "error", "failed").otherwise("completed").alias("status"),
-        F.when(et == "error", F.lit("agent_error")).alias("error"),
-        F.lit(K.EVIDENCE_VERSION).alias("evidence_version"),
-    )
-
 
 def messages(t: Tables) -> DataFrame:
     d = t.documents.select(

@@ -11,7 +11,7 @@ DRIVER_TABLES = (
 ).split()
 
 
-_SCANS: dict = {}
+_SCHEMAS: dict = {}
 
 
 class Tables:
@@ -24,14 +24,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DRIVER_TABLES:
             raise AttributeError(name)
-        # one resolved scan per (session, file): listing and footer reads are
-        # not repeated for every view that uses the table
-        key = (id(self.spark), self.sf_dir, name)
-        df = _SCANS.get(key)
-        if df is None or df.sparkSession is not self.spark:
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            _SCANS[key] = df
-        return df
+        # the file's schema is read once per (session, file); every use gets a
+        # fresh relation (distinct attribute ids, so self-joins stay unambiguous)
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark), path)
+        schema = _SCHEMAS.get(key)
+        if schema is None:
+            schema = self.spark.read.parquet(path).schema
+            _SCHEMAS[key] = schema
+        return self.spark.read.schema(schema).parquet(path)
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
