@@ -87,3 +87,29 @@ def last_value_before(values: DataFrame, probes: DataFrame, key: list[str], seq:
     buckets = buckets.select(*key, "_b", F.last("_tail", ignorenulls=True).over(wb).alias("_carry"))
     j = u.where(F.col("_side") == 1).join(buckets, [*key, "_b"], "left")
     return j.select(*pcols, F.coalesce("_in", "_carry").alias(out))
+
+
+def exact_median(df: DataFrame, group: list[str], value: str, out: str, bucket_width: int = 1_000_000) -> DataFrame:
+    """Exact median (same definition as ``percentile(v, 0.5)``: the mean of
+    the two middle values for an even count) per group, without gathering a
+    group's values in one task.
+
+    Values are counted per (group, value bucket) with partial aggregation;
+    the running count over buckets (a window over bucket rows only) finds
+    the one or two buckets holding the middle ranks; only those rows are
+    ranked, inside (group, bucket)."""
+    d = df.select(*group, F.col(value).alias("_v")).where(F.col("_v").isNotNull()) \
+        .withColumn("_b", F.floor(F.col("_v") / bucket_width).cast("bigint"))
+    n = d.groupBy(*group).agg(F.count("*").alias("_n"))
+    bc = d.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bc = bc.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(n, group)
+    lo = F.floor((F.col("_n") - 1) / 2)
+    hi = F.ceil((F.col("_n") - 1) / 2)
+    inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))
+    need = bc.where(inside(lo) | inside(hi)).select(*group, "_b", "_before", lo.alias("_lo"), hi.alias("_hi"))
+    rows = d.join(need, [*group, "_b"], "inner")
+    wr = Window.partitionBy(*group, "_b").orderBy("_v")
+    rows = rows.withColumn("_r", F.row_number().over(wr) - 1 + F.col("_before"))
+    picked = rows.where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
+    return picked.groupBy(*group).agg(F.avg("_v").alias(out))

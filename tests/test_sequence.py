@@ -56,3 +56,11 @@ def test_rank_by_day_buckets(spark):
     want = df.withColumn("r", F.rank().over(Window.partitionBy("k").orderBy(F.col("ts").desc())))
     assert sorted((r["k"], r["s"], r["r"]) for r in got.collect()) == \
         sorted((r["k"], r["s"], r["r"]) for r in want.collect())
+
+
+def test_exact_median(spark):
+    from caseflow.operators.sequence import exact_median
+    df = _data(spark, n=301, keys=3)
+    got = {r["k"]: r["m"] for r in exact_median(df, ["k"], "s", "m", bucket_width=50).collect()}
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("s").alias("m")).collect()}
+    assert got == want
