@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow import schemas as K
-from caseflow.operators.sequence import exact_median, last_value_before, next_in_sequence
+from caseflow.operators.sequence import exact_median, exact_percentiles, last_value_before, next_in_sequence
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -97,14 +97,17 @@ def model_usage(events: DataFrame, prices: DataFrame | None = None) -> DataFrame
     cost from a per-model price table when given; evidence completeness is
     the share of calls carrying a request reference."""
     e = events.where(F.col("model").isNotNull()).withColumn("day", F.to_date("timestamp"))
-    g = e.groupBy("tenant_id", "model", "day").agg(
+    keys = ["tenant_id", "model", "day"]
+    g = e.groupBy(*keys).agg(
         F.count("*").alias("calls"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-        F.percentile("duration_ms", 0.5).alias("p50_ms"),
-        F.percentile("duration_ms", 0.95).alias("p95_ms"),
         F.round(F.count_if(F.col("request_reference").isNotNull()) / F.count("*"), 6).alias("evidence_share"),
     )
+    pct = exact_percentiles(e, keys, "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    g = g.join(pct, keys, "left").select(
+        *keys, "calls", "input_tokens", "output_tokens", F.round("p50_ms", 6).alias("p50_ms"),
+        F.round("p95_ms", 6).alias("p95_ms"), "evidence_share")
     if prices is None:
         return g.withColumn("cost_usd", F.lit(None).cast("decimal(18,6)"))
     # price table: one row per model, tiny and bounded by the model catalogue
@@ -199,11 +202,12 @@ def request_rate(events: DataFrame, limit: int = K.REQUEST_LIMIT_PER_MINUTE, win
 
 def health_windows(events: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Error share and latency per aligned window (T10, exact batch form)."""
-    g = events.groupBy(F.window(F.col("timestamp"), window).alias("w")).agg(
+    e = events.withColumn("window_start", F.window(F.col("timestamp"), window)["start"])
+    g = e.groupBy("window_start").agg(
         F.count("*").alias("events"),
         F.round(F.count_if(F.col("status") == "failed") / F.count("*"), 6).alias("error_share"),
-        F.percentile("duration_ms", 0.5).alias("p50_ms"),
         F.max("duration_ms").alias("max_ms"),
     )
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "events", "error_share",
-                    "p50_ms", "max_ms")
+    pct = exact_percentiles(e, ["window_start"], "duration_ms", {"p50_ms": 0.5})
+    return g.join(pct, "window_start", "left").select(
+        "window_start", "events", "error_share", F.round("p50_ms", 6).alias("p50_ms"), "max_ms")

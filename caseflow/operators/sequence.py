@@ -113,3 +113,36 @@ def exact_median(df: DataFrame, group: list[str], value: str, out: str, bucket_w
     rows = rows.withColumn("_r", F.row_number().over(wr) - 1 + F.col("_before"))
     picked = rows.where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
     return picked.groupBy(*group).agg(F.avg("_v").alias(out))
+
+
+def exact_percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float],
+                      bucket_width: int = 1024) -> DataFrame:
+    """Exact ``percentile(value, q)`` per group for several q at once (linear
+    interpolation between the two neighbouring ranks, as Spark and SQL
+    ``quantile_cont`` define it), from bucketed counts: only the buckets that
+    hold a wanted rank are ranked, inside (group, bucket)."""
+    d = df.select(*group, F.col(value).alias("_v")).where(F.col("_v").isNotNull()) \
+        .withColumn("_b", F.floor(F.col("_v") / bucket_width).cast("bigint"))
+    n = d.groupBy(*group).agg(F.count("*").alias("_n"))
+    bc = d.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bc = bc.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(n, group)
+    inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))
+    pos = {k: (F.col("_n") - 1) * q for k, q in qs.items()}
+    cond = None
+    for p in pos.values():
+        c = inside(F.floor(p)) | inside(F.ceil(p))
+        cond = c if cond is None else cond | c
+    need = bc.where(cond).select(*group, "_b", "_before", "_n")
+    rows = d.join(need, [*group, "_b"], "inner")
+    wr = Window.partitionBy(*group, "_b").orderBy("_v")
+    rows = rows.withColumn("_r", F.row_number().over(wr) - 1 + F.col("_before"))
+    aggs = []
+    for k, q in qs.items():
+        p = (F.first("_n") - 1) * q
+        lo_v = F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * q), F.col("_v")))
+        hi_v = F.max(F.when(F.col("_r") == F.ceil((F.col("_n") - 1) * q), F.col("_v")))
+        lo, hi = F.floor(p), F.ceil(p)
+        aggs.append(F.when(hi == lo, lo_v.cast("double"))
+                    .otherwise((hi - p) * lo_v + (p - lo) * hi_v).alias(k))
+    return rows.groupBy(*group).agg(*aggs)

@@ -96,8 +96,8 @@ def q_error_retry_rates(t):
 
 @query("model_usage", with_views("""
 SELECT tenant_id, model, CAST(timestamp AS DATE) AS day, count(*) AS calls, sum(input_tokens) AS input_tokens,
-  sum(output_tokens) AS output_tokens, quantile_cont(duration_ms, 0.5) AS p50_ms,
-  quantile_cont(duration_ms, 0.95) AS p95_ms,
+  sum(output_tokens) AS output_tokens, round(quantile_cont(duration_ms, 0.5), 6) AS p50_ms,
+  round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms,
   round(count(request_reference) / count(*), 6) AS evidence_share,
   CAST(sum(input_tokens) * CASE model WHEN 'model-0' THEN 0.000150 ELSE 0.000300 END
     + sum(output_tokens) * CASE model WHEN 'model-0' THEN 0.000600 ELSE 0.001200 END AS DECIMAL(18,6)) AS cost_usd
@@ -161,7 +161,7 @@ def q_request_rate(t):
 @query("health_windows", with_views("""
 SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS window_start, count(*) AS events,
   round(count(*) FILTER (WHERE status = 'failed') / count(*), 6) AS error_share,
-  quantile_cont(duration_ms, 0.5) AS p50_ms, max(duration_ms) AS max_ms
+  round(quantile_cont(duration_ms, 0.5), 6) AS p50_ms, max(duration_ms) AS max_ms
 FROM audit_v GROUP BY 1""", *_A))
 def q_health_windows(t):
     return AU.health_windows(V.audit_events(t))

@@ -64,3 +64,13 @@ def test_exact_median(spark):
     got = {r["k"]: r["m"] for r in exact_median(df, ["k"], "s", "m", bucket_width=50).collect()}
     want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("s").alias("m")).collect()}
     assert got == want
+
+
+def test_exact_percentiles(spark):
+    from caseflow.operators.sequence import exact_percentiles
+    df = _data(spark, n=500, keys=3)
+    got = {r["k"]: (round(r["p50"], 9), round(r["p95"], 9)) for r in
+           exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}, bucket_width=7).collect()}
+    want = {r["k"]: (round(r["p50"], 9), round(r["p95"], 9)) for r in df.groupBy("k").agg(
+        F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95")).collect()}
+    assert got == want
