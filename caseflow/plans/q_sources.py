@@ -145,7 +145,6 @@ def _playbook_definitions(t):
 
 def _entity_checks(t):
     from caseflow.operators import identity as OI
-    from caseflow.operators import lifecycle as LC
     sets = [
         ("tenant", V.tenants(t), VA.tenant_rules()),
         ("user", V.users(t), VA.user_rules()),
