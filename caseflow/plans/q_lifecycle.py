@@ -55,6 +55,13 @@ walk AS (
     FROM walk w JOIN acts a ON a.case_id = w.case_id AND a.rn = w.rn + 1)),
 log AS (SELECT * FROM walk WHERE rn > 0)"""
 
+# the same walk over permitted actions only (T3 gate before the fold)
+_GATED_WALK = _CASE_WALK.replace(
+    "  FROM raw_acts r LEFT JOIN typed ty ON ty.c_custkey = r.o_custkey),",
+    "  FROM raw_acts r LEFT JOIN typed ty ON ty.c_custkey = r.o_custkey\n"
+    "  WHERE r.o_custkey % 17 <> 0 AND r.o_custkey % 4 <> 3\n"
+    "    AND NOT (r.action IN ('approve_quote', 'reject_quote') AND r.o_custkey % 4 = 2)),")
+
 
 @query("transition_log", _CASE_WALK + """
 SELECT case_id, action_no, action, quote_amount_usd, err IS NULL AS accepted, err AS error, stage_before,
@@ -324,3 +331,21 @@ def q_open_cases(t):
     ok, bad = LC.open_cases(req, V.tenants(t))
     return ok.select("request_id", "tenant_id", "playbook", F.lit(None).cast("string").alias("error")) \
         .unionByName(bad.select("request_id", "tenant_id", F.lit(None).cast("string").alias("playbook"), "error"))
+
+
+@query("gated_transition_events", _GATED_WALK + """,
+cinfo AS (SELECT 'case-' || CAST(o_orderkey AS VARCHAR) AS case_id,
+  'tenant-' || CAST(c_nationkey AS VARCHAR) AS tenant_id, 'contact-' || CAST(o_custkey AS VARCHAR) AS customer_id
+  FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT substr(sha256(l.case_id || '|' || CAST(l.action_no AS VARCHAR)), 1, 32) AS event_id, c.tenant_id,
+  l.case_id, l.action, l.stage_before || ' → ' || l.stage AS decision
+FROM log l JOIN cinfo c ON c.case_id = l.case_id WHERE l.err IS NULL""")
+def q_gated_transition_events(t):
+    """The whole transition path: permission gate (T3) -> identifier check
+    (X1) -> guarded fold (T1/T2) -> audit rows (T4)."""
+    ident = OI.validate_identifiers(V.identifiers(t))
+    cases, actions = V.cases(t), V.case_actions(t)
+    gate = LC.gate_transitions(actions, cases, V.memberships(t)).where("permitted").select("case_id", "action_no")
+    allowed = actions.join(gate, ["case_id", "action_no"], "left_semi")
+    ev = LC.transition_events(LC.transition_log(cases, allowed, ident), cases)
+    return ev.select("event_id", "tenant_id", "case_id", "action", "decision")
