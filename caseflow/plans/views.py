@@ -338,54 +338,37 @@ def properties(t: Tables) -> DataFrame:
 
 
 def _supplier_tenant(t: Tables) -> DataFrame:
-    s = t.supplier
-    return s.select(s.s_suppkey.alias("sk"), F.concat(F.lit("tenant-"), _s(s.s_nationkey)).alias("tenant_id"))
-
+    return t.supplier.selectExpr("s_suppkey AS sk", "concat('tenant-', CAST(s_nationkey AS STRING)) AS tenant_id")
 
 def systems(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_suppkey", "l_partkey").distinct()
     p = t.part.select("p_partkey", "p_size", "p_name")
     j = li.join(p, li.l_partkey == p.p_partkey, "inner").join(
         _supplier_tenant(t), F.col("l_suppkey") == F.col("sk"), "inner")
-    return j.select(
-        row_hash(j.l_suppkey, j.l_partkey).alias("id"),
-        j.tenant_id,
-        F.concat(F.lit("prop-"), _s(j.l_suppkey)).alias("property_id"),
-        pick(K.SYSTEM_TYPES, j.p_partkey % 17).alias("system_type"),
-        j.p_name.alias("name"),
-        pick(K.SYSTEM_CONDITIONS, j.p_size % 4).alias("condition"),
-        (j.p_size % 5 + 1).cast("bigint").alias("inventory_count"),
-        F.lit(None).cast("timestamp_ntz").alias("last_inspection_at"),
-        F.lit(None).cast("timestamp_ntz").alias("next_inspection_at"),
-        F.lit("").alias("notes"),
-        F.lit(True).alias("synthetic"),
-        F.lit("system").alias("created_by"),
-        ts(AS_OF).alias("created_at"),
-        ts(AS_OF).alias("updated_at"),
-    )
-
+    return j.selectExpr(
+        "substr(sha2(concat_ws('|', CAST(l_suppkey AS STRING), CAST(l_partkey AS STRING)), 256), 1, 32) AS id",
+        "tenant_id", "concat('prop-', CAST(l_suppkey AS STRING)) AS property_id",
+        f"{pk(K.SYSTEM_TYPES, 'p_partkey % 17')} AS system_type", "p_name AS name",
+        f"{pk(K.SYSTEM_CONDITIONS, 'p_size % 4')} AS condition",
+        "CAST(p_size % 5 + 1 AS BIGINT) AS inventory_count",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS last_inspection_at", "CAST(NULL AS TIMESTAMP_NTZ) AS next_inspection_at",
+        "'' AS notes", "true AS synthetic", "'system' AS created_by",
+        f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 def issues(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate")
     j = li.join(_supplier_tenant(t), li.l_suppkey == F.col("sk"), "inner")
-    return j.select(
-        row_hash(j.l_orderkey, j.l_linenumber, j.l_partkey, j.l_suppkey).alias("id"),
-        j.tenant_id,
-        F.concat(F.lit("prop-"), _s(j.l_suppkey)).alias("property_id"),
-        pick(K.ISSUE_CATEGORIES, j.l_partkey % 15).alias("category"),
-        F.concat(F.lit("Novedad "), _s(j.l_orderkey)).alias("title"),
-        F.concat(F.lit("Parte "), _s(j.l_partkey)).alias("description"),
-        pick(K.ISSUE_PRIORITIES, j.l_orderkey % 4).alias("priority"),
-        F.when(j.l_linestatus == "F", "closed").otherwise("reported").alias("status"),
-        F.lit("system").alias("source"),
-        F.lit(None).cast("string").alias("assigned_to"),
-        j.l_shipdate.alias("due_at"),
-        F.lit(True).alias("synthetic"),
-        F.lit("system").alias("created_by"),
-        ts(AS_OF).alias("created_at"),
-        ts(AS_OF).alias("updated_at"),
-    )
-
+    return j.selectExpr(
+        "substr(sha2(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)), 256), 1, 32) AS id",
+        "tenant_id", "concat('prop-', CAST(l_suppkey AS STRING)) AS property_id",
+        f"{pk(K.ISSUE_CATEGORIES, 'l_partkey % 15')} AS category",
+        "concat('Novedad ', CAST(l_orderkey AS STRING)) AS title",
+        "concat('Parte ', CAST(l_partkey AS STRING)) AS description",
+        f"{pk(K.ISSUE_PRIORITIES, 'l_orderkey % 4')} AS priority",
+        "CASE WHEN l_linestatus = 'F' THEN 'closed' ELSE 'reported' END AS status",
+        "'system' AS source", "CAST(NULL AS STRING) AS assigned_to", "l_shipdate AS due_at",
+        "true AS synthetic", "'system' AS created_by",
+        f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 def commitments(t: Tables) -> DataFrame:
     li = t.lineitem.where(F.col("l_linenumber") == 1).select(
@@ -393,25 +376,18 @@ def commitments(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner").join(
         _supplier_tenant(t), F.col("l_suppkey") == F.col("sk"), "inner")
-    ok = j.l_orderkey
-    return j.select(
-        row_hash(ok, j.l_linenumber, j.l_partkey, j.l_suppkey).alias("id"),
-        j.tenant_id,
-        F.when(ok % 10 != 0, F.concat(F.lit("prop-"), _s(j.l_suppkey))).alias("property_id"),
-        pick(K.COMMITMENT_TYPES, ok % 6).alias("commitment_type"),
-        F.concat(F.lit("Compromiso "), _s(ok)).alias("title"),
-        F.when(ok % 5 != 1, j.l_shipdate).alias("starts_at"),
-        j.o_orderdate.alias("due_at"),
-        F.lit(None).cast("timestamp_ntz").alias("reminder_at"),
-        F.lit(None).cast("string").alias("owner_user_id"),
-        pick(K.COMMITMENT_STATUSES, ok % 3).alias("status"),
-        F.lit("").alias("notes"),
-        F.lit(True).alias("synthetic"),
-        F.lit("system").alias("created_by"),
-        ts(AS_OF).alias("created_at"),
-        ts(AS_OF).alias("updated_at"),
-    )
-
+    return j.selectExpr(
+        "substr(sha2(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)), 256), 1, 32) AS id",
+        "tenant_id",
+        "CASE WHEN l_orderkey % 10 <> 0 THEN concat('prop-', CAST(l_suppkey AS STRING)) END AS property_id",
+        f"{pk(K.COMMITMENT_TYPES, 'l_orderkey % 6')} AS commitment_type",
+        "concat('Compromiso ', CAST(l_orderkey AS STRING)) AS title",
+        "CASE WHEN l_orderkey % 5 <> 1 THEN l_shipdate END AS starts_at",
+        "o_orderdate AS due_at", "CAST(NULL AS TIMESTAMP_NTZ) AS reminder_at",
+        "CAST(NULL AS STRING) AS owner_user_id",
+        f"{pk(K.COMMITMENT_STATUSES, 'l_orderkey % 3')} AS status",
+        "'' AS notes", "true AS synthetic", "'system' AS created_by",
+        f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 # --------------------------------------------------------------------------- identity registry
 
