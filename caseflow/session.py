@@ -54,17 +54,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     laptop) do we pick a fresh local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext          # not available on a Spark Connect session
+    except Exception:  # noqa: BLE001
+        sc = None
     if configured:
-        if sc.getCheckpointDir() is None:
+        if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured
-    existing = sc.getCheckpointDir()
+    existing = sc.getCheckpointDir() if sc is not None else None
     if existing:
         return existing
     path = tempfile.mkdtemp(prefix="caseflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 
