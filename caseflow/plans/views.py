@@ -64,20 +64,14 @@ def role_defaults(role: Column) -> Column:
 
 
 def tenants(t: Tables) -> DataFrame:
-    n = t.nation
-    k = n.n_nationkey
-    return n.select(
-        F.concat(F.lit("tenant-"), _s(k)).alias("id"),
-        F.concat(F.lit("tenant-"), _s(k)).alias("slug"),
-        n.n_name.alias("legal_name"),
-        n.n_name.alias("display_name"),
-        pick(K.TENANT_PLAYBOOKS, k % 4).alias("playbook"),
-        F.when(k % 7 == 6, "suspended").otherwise("active").alias("status"),
-        F.when(k % 2 == 0, "production").otherwise("staging").alias("environment"),
-        ts(AS_OF).alias("created_at"),
-        ts(AS_OF).alias("updated_at"),
-    )
-
+    return t.nation.selectExpr(
+        "concat('tenant-', CAST(n_nationkey AS STRING)) AS id",
+        "concat('tenant-', CAST(n_nationkey AS STRING)) AS slug",
+        "n_name AS legal_name", "n_name AS display_name",
+        f"{pk(K.TENANT_PLAYBOOKS, 'n_nationkey % 4')} AS playbook",
+        "CASE WHEN n_nationkey % 7 = 6 THEN 'suspended' ELSE 'active' END AS status",
+        "CASE WHEN n_nationkey % 2 = 0 THEN 'production' ELSE 'staging' END AS environment",
+        f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 def identifiers(t: Tables) -> DataFrame:
     """One raw identifier text per customer (some with hyphens, a third RUCs)."""
@@ -91,25 +85,17 @@ def identifiers(t: Tables) -> DataFrame:
         "ELSE raw END AS identifier_text")
 
 def users(t: Tables) -> DataFrame:
-    c = t.customer
-    k = c.c_custkey
-    complete = k % 3 != 1
-    return c.select(
-        F.concat(F.lit("user-"), _s(k)).alias("uid"),
-        F.concat(F.lit("user"), _s(k), F.lit("@example.invalid")).alias("email"),
-        F.lit(True).alias("email_verified"),
-        c.c_name.alias("display_name"),
-        F.concat(F.lit("+5939"), F.lpad(_s(k % 100000000), 8, "0")).alias("phone"),
-        F.lit("").alias("tax_id"),
-        F.lit(None).cast("string").alias("person_type"),
-        c.c_name.alias("legal_name"),
-        F.lit(None).cast("string").alias("photo_url"),
-        F.when(k % 17 == 0, "suspended").when(complete, "pending_access").otherwise("pending_profile").alias("status"),
-        complete.alias("profile_complete"),
-        ts(AS_OF).alias("created_at"),
-        ts(AS_OF).alias("updated_at"),
-    )
-
+    return t.customer.selectExpr(
+        "concat('user-', CAST(c_custkey AS STRING)) AS uid",
+        "concat('user', CAST(c_custkey AS STRING), '@example.invalid') AS email",
+        "true AS email_verified", "c_name AS display_name",
+        "concat('+5939', lpad(CAST(c_custkey % 100000000 AS STRING), 8, '0')) AS phone",
+        "'' AS tax_id", "CAST(NULL AS STRING) AS person_type", "c_name AS legal_name",
+        "CAST(NULL AS STRING) AS photo_url",
+        "CASE WHEN c_custkey % 17 = 0 THEN 'suspended' WHEN c_custkey % 3 <> 1 THEN 'pending_access' "
+        "ELSE 'pending_profile' END AS status",
+        "c_custkey % 3 <> 1 AS profile_complete",
+        f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 def memberships(t: Tables) -> DataFrame:
     roles = "CASE " + " ".join(f"WHEN role = '{r}' THEN array({_lits(p)})" for r, p in K.ROLE_DEFAULTS.items()) + \
@@ -124,25 +110,18 @@ def memberships(t: Tables) -> DataFrame:
         f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 def invitations(t: Tables) -> DataFrame:
-    c = t.customer
-    k = c.c_custkey
-    base = F.concat(F.lit("user"), _s(k), F.lit("@example.invalid"))
-    email = F.when(k % 4 == 0, F.upper(base)).otherwise(base)
-    tenant = F.concat(F.lit("tenant-"), _s((c.c_nationkey + k % 3) % 25))
-    return c.where(k % 5 == 0).select(
-        F.concat(tenant, F.lit("__"), F.lower(email)).alias("id"),
-        tenant.alias("tenant_id"),
-        email.alias("email"),
-        pick(K.INVITABLE_ROLES, F.floor(k / 5) % 3).alias("role"),
-        F.when(k % 10 == 0, F.array().cast("array<string>"))
-        .otherwise(F.array(F.lit("cases.view"), F.lit("quotes.view"))).alias("permissions"),
-        F.lit("pending").alias("status"),
-        F.lit("system").alias("invited_by"),
-        F.lit(None).cast("string").alias("accepted_by"),
-        ts(AS_OF).alias("created_at"),
-        ts(AS_OF).alias("updated_at"),
-    )
-
+    base = "concat('user', CAST(c_custkey AS STRING), '@example.invalid')"
+    return t.customer.where("c_custkey % 5 = 0").selectExpr(
+        "c_custkey",
+        "concat('tenant-', CAST((c_nationkey + c_custkey % 3) % 25 AS STRING)) AS tenant_id",
+        f"CASE WHEN c_custkey % 4 = 0 THEN upper({base}) ELSE {base} END AS email",
+    ).selectExpr(
+        "concat(tenant_id, '__', lower(email)) AS id", "tenant_id", "email",
+        f"{pk(K.INVITABLE_ROLES, 'floor(c_custkey / 5) % 3')} AS role",
+        "CASE WHEN c_custkey % 10 = 0 THEN CAST(array() AS ARRAY<STRING>) "
+        "ELSE array('cases.view', 'quotes.view') END AS permissions",
+        "'pending' AS status", "'system' AS invited_by", "CAST(NULL AS STRING) AS accepted_by",
+        f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 # --------------------------------------------------------------------------- contacts, workflows
 
