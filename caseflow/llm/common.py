@@ -38,3 +38,10 @@ def words(text: Column) -> Column:
     empty array."""
     text = F.coalesce(text, F.lit(""))
     return F.filter(F.split(text, WS_CLASS + "+"), lambda w: w != "")
+
+
+def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted
+    first; pass narrow rows only, from a written table), else as it is, so
+    that a larger side is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -6,18 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import superminhash
+from caseflow.llm import decontaminate, host_quality, line_dedup, packing, superminhash
 from caseflow.llm.common import table
 
 
+def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at similarity 0.85."""
     return (superminhash.near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
             .select("doc_id", "n_shingles", "component_id", "kept"))
 
 
+def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that match an earlier one."""
+    return (line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+            .select("doc_id", "text", "n_lines", "n_removed", "n_links"))
+
+
+def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and host verdicts for all documents."""
+    return (host_quality.judge(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_containment": op3_containment,
     "op4_superminhash": op4_superminhash,
+    "op7_line_join": op7_line_join,
+    "op9_host_quality": op9_host_quality,
+    "op10_best_fit": op10_best_fit,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_containment": decontaminate.ORACLE_SQL,
+    "op7_line_join": line_dedup.ORACLE_SQL,
+    "op9_host_quality": host_quality.ORACLE_SQL,
+}

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import shingles as S
-from caseflow.llm.common import written
+from caseflow.llm.common import sized, written
 
 SLOTS, ROWS = 128, 4
 
@@ -99,7 +99,7 @@ def _fold(hashes: np.ndarray, counts: np.ndarray, salt: int) -> np.ndarray:
 def _fingerprints(k: int, m: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, keys = batch.column(0), batch.column(2)
             for at, n, data, offsets in S.chunks(batch.column(1), 1 << 20):
                 hashes, counts = S.shingle_sets(data, offsets, k)
                 bands = band_hashes(superminhash(hashes, counts, m), rows)
@@ -108,10 +108,11 @@ def _fingerprints(k: int, m: int, rows: int):
                 flat = flat if (per > 0).all() else pa.array(bands[counts > 0].reshape(-1).view(np.int64))
                 ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, n), pa.array(counts), pa.array(_fold(hashes, counts, 0x51ED270B).view(np.int64)),
+                    [ids.slice(at, n), keys.slice(at, n), pa.array(counts),
+                     pa.array(_fold(hashes, counts, 0x51ED270B).view(np.int64)),
                      pa.array(_fold(hashes, counts, 0x7F4A7C15).view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(ends), flat)],
-                    names=["doc_id", "n_shingles", "f1", "f2", "bands"])
+                    names=["doc_id", "text_key", "n_shingles", "f1", "f2", "bands"])
     return run
 
 
@@ -179,9 +180,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = SLO
     kept only where its whole component has no id.  Repeated rows are copies
     of each other.  Other columns are ignored.
     """
-    sigs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                   .mapInArrow(_fingerprints(k, m, rows),
-                               "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signatures")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sigs = written(texts.withColumn("text_key", _text_key()).mapInArrow(
+        _fingerprints(k, m, rows),
+        "doc_id long, text_key long, n_shingles long, f1 long, f2 long, bands array<long>"), "signatures")
     key = ["n_shingles", "f1", "f2"]
     classes = (sigs.where("n_shingles > 0").groupBy(*key)
                .agg(F.min("doc_id").alias("class_id"), F.any_value("bands").alias("bands")))
@@ -194,8 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = SLO
 
     # full sets of the candidate classes, once
     wanted = bands.select(F.col("class_id").alias("doc_id")).distinct()
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                   .join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
                    .mapInArrow(_sets(k), "class_id long, shingles array<long>"), "sets")
 
     score = bands.groupBy("class_id").agg(F.sum("c").alias("score"))
@@ -231,7 +232,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = SLO
     out = (sigs.drop("bands").join(named, key, "left")
            .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))
     return out.select("doc_id", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "f1", "f2")
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+
+
+def _text_key():
+    """64-bit hash of the text as it is (null as empty): tells rows with the
+    same doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _reachable(rest: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
@@ -255,3 +262,24 @@ def _reachable(rest: DataFrame, sets: DataFrame, percent: int, rounds: int = 2)
                                                        & (F.col("most") >= percent * F.col("n")) & (F.col("p") != F.col("q")))
                        .select("class_id", "bucket", "n", "part", "common"), "rest")
     return rest
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with all columns and one row per near-duplicate component: the
+    row of its smallest doc_id.  Rows without shingles all stay; of repeated
+    rows (equal doc_id and text) one stays.  No text is shuffled unless a row
+    is repeated."""
+    found = near_duplicates(docs, k, percent)
+    key = [F.col("doc_id").alias("_d"), F.col("text_key").alias("_x")]
+    gone = written(found.where(~F.col("kept")).select(*key).distinct(), "gone")
+    twice = written(found.where("kept and n_shingles > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("c"))
+                    .where("c > 1").drop("c"), "twice")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)),
+                       F.col("doc_id").cast("long").alias("_id"), _text_key().alias("_text"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_x"))
+    left = rows.join(sized(gone), same, "left_anti")
+    if not twice.isEmpty():
+        one = left.join(sized(twice), same, "left_semi").dropDuplicates(["_id", "_text"])
+        left = left.join(sized(twice), same, "left_anti").unionByName(one)
+    return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
