@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseflow.llm import decontaminate, host_quality, line_dedup, packing, superminhash
+from caseflow.llm import decontaminate, host_quality, langid, line_dedup, packing, superminhash, toxicity
 from caseflow.llm.common import table
 
 
+def op2_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; a fifth of them is held out of learning."""
+    docs = table(spark, sf_dir, "documents")
+    train = toxicity.labelled(docs, table(spark, sf_dir, "labels"), ~langid.held_out(F.col("doc_id"), 5, 0))
+    scored = toxicity.score(docs, toxicity.fit(train))
+    return scored.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "n_events")
+
+
 def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it contains."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -27,6 +36,14 @@ def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", "n_lines", "n_removed", "n_links"))
 
 
+def op8_ftrl_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; a third of them is held out of learning."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 3, 1)))
+    return langid.predict(docs, model).select(
+        "doc_id", langid.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and host verdicts for all documents."""
     return (host_quality.judge(table(spark, sf_dir, "documents"))
@@ -39,9 +56,11 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pattern_grammar": op2_pattern_grammar,
     "op3_containment": op3_containment,
     "op4_superminhash": op4_superminhash,
     "op7_line_join": op7_line_join,
+    "op8_ftrl_langid": op8_ftrl_langid,
     "op9_host_quality": op9_host_quality,
     "op10_best_fit": op10_best_fit,
 }
