@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontaminate, host_quality, langid, line_dedup, packing, superminhash, toxicity
+from caseflow.llm import (
+    chat_template, decontaminate, host_quality, langid, line_dedup, packing, superminhash, toxicity, url_trust, warc,
+)
 from caseflow.llm.common import table
 
 
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, and the archives read back."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), warc.fresh_folder(spark))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; a fifth of them is held out of learning."""
     docs = table(spark, sf_dir, "documents")
@@ -30,6 +38,22 @@ def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id", "kept"))
 
 
+def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page."""
+    return (url_trust.judge(table(spark, sf_dir, "pages"))
+            .select("page_id", "host", "path", "rule", "verdict", "trust", "distrust", "base"))
+
+
+def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, with one that holds the
+    template's own control strings."""
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_template.format_and_read_back(turns.unionByName(extra))
+
+
 def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that match an earlier one."""
     return (line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -56,9 +80,12 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_dictionary": op1_warc_dictionary,
     "op2_pattern_grammar": op2_pattern_grammar,
     "op3_containment": op3_containment,
     "op4_superminhash": op4_superminhash,
+    "op5_link_trust": op5_link_trust,
+    "op6_chat_template": op6_chat_template,
     "op7_line_join": op7_line_join,
     "op8_ftrl_langid": op8_ftrl_langid,
     "op9_host_quality": op9_host_quality,
@@ -66,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_dictionary": warc.ORACLE_SQL,
     "op3_containment": decontaminate.ORACLE_SQL,
+    "op6_chat_template": chat_template.ORACLE_SQL,
     "op7_line_join": line_dedup.ORACLE_SQL,
     "op9_host_quality": host_quality.ORACLE_SQL,
 }
