@@ -9,14 +9,23 @@ therefore never needs one key's whole history in one place:
    sequence numbers per key (``seq // chunk_size``);
 2. each chunk is folded from *every* possible start state, giving a small
    transition table (``n_states`` integers) per chunk;
-3. the tables of a key are composed in chunk order from the key's initial
-   state, giving each chunk's true start state (one small row per chunk);
-4. each chunk is folded once more from its start state and exploded into one
+3. tables are composed level by level: ``fan`` neighbouring chunks to a block,
+   ``fan`` neighbouring blocks to a larger one, and so on up to the width of a
+   64-bit sequence number, where one table per key is left;
+4. the key's initial state is handed down the levels, block by block, until
+   every chunk has its true start state;
+5. each chunk is folded once more from its start state and exploded into one
    output row per action with the state before and after it and the error.
 
-A key holding a third of all actions becomes thousands of independent chunk
-tasks; steps 2 and 4 are bounded by ``chunk_size``.  Everything is native
-higher-order SQL functions (``aggregate`` / ``transform``), no Python worker.
+The number of levels is fixed by ``chunk_size`` and ``fan`` alone, and no
+group holds more than ``chunk_size`` actions or ``fan`` tables, however dense
+or sparse the numbers are and however many actions one key has.  Everything is
+native higher-order SQL functions (``aggregate`` / ``transform``), no Python
+worker and no job while the plan is built.
+
+Sequence numbers identify an action of its key.  A number that occurs more
+than once is ambiguous: all its rows are left out of the fold and returned by
+``duplicate_actions``.
 """
 
 from __future__ import annotations
@@ -28,84 +37,19 @@ from pyspark.sql import functions as F
 
 Step = Callable[[Column, Column], tuple[Column, Column]]
 
+FAN = 16_384
 
-def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: DataFrame | None,
-           n_states: int, step: Step, chunk_size: int = 512, max_seq: int | None = None) -> DataFrame:
-    """Fold ``actions`` per ``key`` in ``seq`` order.
-
-    actions: key, seq (integer, unique per key) and ``fields`` read by ``step``;
-             with ``start=None`` an ``s0`` column on every action row gives the
-             key's initial state
-    start:   key, ``s0`` (initial state, 0..n_states-1); keys without actions
-             are ignored, actions without a start row use state 0
-    step:    (state int Column, action struct Column) -> (next state, error int;
-             0 = accepted)
-    max_seq: the largest sequence number, when the caller knows it.  If it
-             is below ``chunk_size`` no key can hold more than ``chunk_size``
-             actions, so no key can be hot and the single-pass plan is used.
-    returns: key, seq, fields..., ``s_before``, ``s_after``, ``err``
-    """
-    extra = ["s0"] if start is None else []
-    if max_seq is not None and max_seq < chunk_size:
-        return _replay_single_chunk(actions, key, seq, fields, start, step)
-    a = actions.select(key, seq, *fields, *extra,
-                       F.floor(F.col(seq) / chunk_size).cast("bigint").alias("_chunk"))
-    # Explicit (key, chunk) distribution: an upstream partitioning on the key
-    # alone would otherwise be reused and keep a hot key in one task.
-    a = a.repartition(key, "_chunk")
-    rec = F.struct(F.col(seq).alias("seq"), *[F.col(f) for f in fields])
-    aggs = [F.array_sort(F.collect_list(rec)).alias("_acts")]
-    if start is None:
-        aggs.append(F.max("s0").alias("s0"))
-    chunks = a.groupBy(key, "_chunk").agg(*aggs)
-
-    def nxt(s, x):
-        return step(s, x)[0]
 
-    # 2. transition table of every chunk
-    table = F.transform(
-        F.sequence(F.lit(0), F.lit(n_states - 1)),
-        lambda s0: F.aggregate(F.col("_acts"), s0, nxt),
-    )
-    tables = chunks.select(key, "_chunk", table.alias("_fn"), *(["s0"] if start is None else []))
-
-    # 3. compose the tables of each key from its start state
-    key_aggs = [F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"), F.col("_fn").alias("fn"))))
-                .alias("_fns")]
-    if start is None:
-        key_aggs.append(F.max("s0").alias("s0"))
-    per_key = tables.groupBy(key).agg(*key_aggs)
-    if start is not None:
-        per_key = per_key.join(start.select(key, "s0"), key, "left")
-    init = F.struct(F.coalesce(F.col("s0"), F.lit(0)).cast("int").alias("cur"),
-                    F.array().cast("array<struct<c:bigint,s:int>>").alias("out"))
-    walk = F.aggregate(
-        F.col("_fns"), init,
-        lambda acc, ch: F.struct(
-            F.element_at(ch["fn"], acc["cur"] + 1).alias("cur"),
-            F.concat(acc["out"], F.array(F.struct(ch["c"].alias("c"), acc["cur"].alias("s")))).alias("out")),
-    )
-    starts = per_key.select(key, F.explode(walk["out"]).alias("x")).select(
-        key, F.col("x.c").alias("_chunk"), F.col("x.s").alias("_start"))
-
-    # 4. fold each chunk from its true start state, emit one row per action
-    j = chunks.join(starts, [key, "_chunk"], "inner")
-    ev_type = "array<struct<i:int,b:int,a:int,e:int>>"
-    init2 = F.struct(F.col("_start").alias("s"), F.lit(0).alias("i"), F.array().cast(ev_type).alias("out"))
+def _part(number: Column, size: int) -> Column:
+    """``number // size``, exact for every 64-bit number."""
+    number = number.cast("bigint")
+    return F.call_function("div", number - F.pmod(number, F.lit(size).cast("bigint")), F.lit(size).cast("bigint"))
 
-    def emit(acc, x):
-        n, e = step(acc["s"], x)
-        return F.struct(
-            n.alias("s"), (acc["i"] + 1).alias("i"),
-            F.concat(acc["out"], F.array(F.struct(acc["i"].alias("i"), acc["s"].alias("b"), n.alias("a"),
-                                                  e.alias("e")))).alias("out"))
 
-    folded = j.select(key, "_acts", F.aggregate(F.col("_acts"), init2, emit)["out"].alias("_ev"))
-    rows = folded.select(key, F.arrays_zip(F.col("_acts").alias("act"), F.col("_ev").alias("ev")).alias("z")) \
-        .select(key, F.explode("z").alias("z"))
-    return rows.select(
-        key, F.col("z.act.seq").alias(seq), *[F.col(f"z.act.{f}").alias(f) for f in fields],
-        F.col("z.ev.b").alias("s_before"), F.col("z.ev.a").alias("s_after"), F.col("z.ev.e").alias("err"))
+def duplicate_actions(actions: DataFrame, key: str, seq: str) -> DataFrame:
+    """The quarantine: actions whose (key, seq) occurs more than once."""
+    again = actions.groupBy(key, seq).agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
+    return actions.join(again, [key, seq])
 
 
 def _emit_fold(step: Step, start_col: Column) -> Column:
@@ -122,17 +66,79 @@ def _emit_fold(step: Step, start_col: Column) -> Column:
     return F.aggregate(F.col("_acts"), init, emit)["out"]
 
 
-def _replay_single_chunk(actions: DataFrame, key: str, seq: str, fields: list[str], start: DataFrame | None,
-                         step: Step) -> DataFrame:
-    """Bounded keys: one collect per key and one fold from the start state."""
+def _start_states() -> Column:
+    """The start state of every member of ``_fns`` (sorted), from ``s0`` on."""
+    init = F.struct(F.col("s0").alias("cur"), F.array().cast("array<struct<c:bigint,s:int>>").alias("out"))
+    return F.aggregate("_fns", init, lambda acc, m: F.struct(
+        F.element_at(m["fn"], acc["cur"] + 1).alias("cur"),
+        F.concat(acc["out"], F.array(F.struct(m["c"].alias("c"), acc["cur"].alias("s")))).alias("out")))["out"]
+
+
+def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: DataFrame | None,
+           n_states: int, step: Step, chunk_size: int = 512, fan: int = FAN) -> DataFrame:
+    """Fold ``actions`` per ``key`` in ``seq`` order.
+
+    actions: key, seq (integer, not null) and ``fields`` read by ``step``;
+             with ``start=None`` an ``s0`` column on every action row gives the
+             key's initial state
+    start:   key, ``s0`` (initial state, 0..n_states-1); keys without actions
+             are ignored, actions without a start row use state 0
+    step:    (state int Column, action struct Column) -> (next state, error int;
+             0 = accepted)
+    returns: key, seq, fields..., ``s_before``, ``s_after``, ``err``
+    """
+    extra = ["s0"] if start is None else []
     rec = F.struct(F.col(seq).alias("seq"), *[F.col(f) for f in fields])
-    aggs = [F.array_sort(F.collect_list(rec)).alias("_acts")]
-    if start is None:
-        aggs.append(F.max("s0").alias("s0"))
-    k = actions.groupBy(key).agg(*aggs)
+    # Explicit (key, chunk) distribution: an upstream partitioning on the key
+    # alone would otherwise be reused and keep a hot key in one task.  The
+    # duplicate test groups by (key, chunk, seq) on the same distribution.
+    a = (actions.select(F.col(key), _part(F.col(seq), chunk_size).alias("_chunk"),
+                        F.col(seq), rec.alias("_rec"), *extra)
+         .repartition(key, "_chunk").groupBy(key, "_chunk", seq)
+         .agg(F.count(F.lit(1)).alias("_n"), F.first("_rec").alias("_rec"), *[F.max(c).alias(c) for c in extra])
+         .where("_n = 1"))
+    chunks = a.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list("_rec")).alias("_acts"),
+                                          *[F.max(c).alias(c) for c in extra])
+
+    def nxt(s, x):
+        return step(s, x)[0]
+
+    every = F.sequence(F.lit(0), F.lit(n_states - 1))
+    # 2. transition table of every chunk
+    table = F.transform(every, lambda s0: F.aggregate(F.col("_acts"), s0, nxt))
+    level = chunks.select(key, F.col("_chunk").alias("_id"), table.alias("_fn"), *extra)
+
+    # 3. compose, fan tables at a time, up to the width of the numbers
+    blocks = []
+    width = (1 << 63) // chunk_size
+    while True:
+        top = width <= fan
+        block = F.lit(0).cast("bigint") if top else _part(F.col("_id"), fan)
+        group = level.withColumn("_block", block).groupBy(key, "_block").agg(
+            F.array_sort(F.collect_list(F.struct(F.col("_id").alias("c"), F.col("_fn").alias("fn")))).alias("_fns"),
+            *[F.max(c).alias(c) for c in extra])
+        blocks.append(group.drop(*extra) if not top else group)
+        if top:
+            break
+        composed = F.transform(every, lambda s0: F.aggregate("_fns", s0, lambda s, m: F.element_at(m["fn"], s + 1)))
+        level = group.select(key, F.col("_block").alias("_id"), composed.alias("_fn"), *extra)
+        width = -(-width // fan)
+
+    # 4. hand the start state down
+    last = blocks.pop()
     if start is not None:
-        k = k.join(start.select(key, "s0"), key, "left")
-    folded = k.select(key, "_acts", _emit_fold(step, F.coalesce(F.col("s0"), F.lit(0)).cast("int")).alias("_ev"))
+        last = last.join(start.select(key, "s0"), key, "left")
+    last = last.withColumn("s0", F.coalesce("s0", F.lit(0)).cast("int"))
+    while True:
+        starts = last.select(key, F.explode(_start_states()).alias("x")).select(
+            key, F.col("x.c").alias("_block"), F.col("x.s").alias("s0"))
+        if not blocks:
+            break
+        last = blocks.pop().join(starts, [key, "_block"])
+
+    # 5. fold each chunk from its true start state, emit one row per action
+    j = chunks.drop(*extra).join(starts.withColumnRenamed("_block", "_chunk"), [key, "_chunk"])
+    folded = j.select(key, "_acts", _emit_fold(step, F.col("s0")).alias("_ev"))
     rows = folded.select(key, F.arrays_zip(F.col("_acts").alias("act"), F.col("_ev").alias("ev")).alias("z")) \
         .select(key, F.explode("z").alias("z"))
     return rows.select(

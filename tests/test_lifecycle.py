@@ -87,6 +87,35 @@ def test_chunked_replay_equals_single_chunk(spark):
         assert (errs[key(r)] == 0) == r["accepted"]
 
 
+def test_sparse_numbers_over_several_levels_and_duplicates(spark):
+    """One hot key whose numbers spread over the whole 64-bit range needs every
+    composition level; the result equals the plain Python fold."""
+    import random
+
+    from caseflow.operators.replay import _part, duplicate_actions, replay
+    rnd = random.Random(8)
+    acts = list(LC.ACTION_NO)
+    numbers = sorted({rnd.randrange(1 << 63) >> rnd.randrange(0, 63) for _ in range(250)} | {0, 1, 2, 3, (1 << 63) - 1})
+    rows = [("hot", n, rnd.choice(acts), rnd.random() < 0.7) for n in numbers] + [("two", 5, acts[0], True)]
+    twice = [("two", 9, acts[1], True), ("two", 9, acts[2], True)]
+    df = spark.createDataFrame(rows + twice, "k string, n bigint, action string, has_amount boolean").withColumns(
+        {"code": LC._index(F.col("action"), list(LC.ACTION_NO)), "id_ok": F.lit(True)})
+    start = spark.createDataFrame([("hot", 0), ("two", 0)], "k string, s0 int")
+    got = {(r.k, r.n): (r.s_before, r.s_after, r.err) for r in
+           replay(df, "k", "n", ["code", "id_ok", "has_amount"], start, 16, LC.case_step, chunk_size=4, fan=4096).collect()}
+    state, want = {}, {}
+    for k, n, action, amount in sorted(rows):
+        st, bill = state.get(k, ("intake", False))
+        before = LC.STAGE_NO[st] * 2 + bill
+        st, bill, e = LC.py_case_step(st, bill, action, True, amount)
+        state[k] = (st, bill)
+        want[(k, n)] = (before, LC.STAGE_NO[st] * 2 + bill, e)
+    assert got == want
+    assert duplicate_actions(df, "k", "n").count() == 2
+    parts = spark.range(1).select(_part(F.lit((1 << 63) - 1), 7).alias("a"), _part(F.lit(-1), 7).alias("b")).first()
+    assert (parts.a, parts.b) == (((1 << 63) - 1) // 7, -1)
+
+
 def test_workflow_replay(spark):
     state = spark.createDataFrame(
         [("ct1", "tenant-1", "iapro", "new", "not_requested", "none", ""),
