@@ -57,14 +57,17 @@ def accept_invitations(invitations: DataFrame, users: DataFrame, memberships: Da
 
     Returns (new memberships, accepted invitations).  A membership is created
     only when none exists for (tenant, user) -- a suspended one is not
-    revived; an empty permission list takes the role defaults.  Every matched
+    revived; an empty permission list takes the role defaults.  Several
+    pending invitations of one tenant to one user (e-mails that differ in case)
+    make one membership, by the smallest invitation id.  Every matched
     invitation becomes accepted.
     """
     inv = pending_invitations(invitations).withColumn("_email", F.lower("email"))
     u = users.select(F.col("uid"), F.lower("email").alias("_email"))
     matched = inv.join(u, "_email", "inner")
     existing = memberships.select("tenant_id", F.col("user_id").alias("uid"))
-    fresh = matched.join(existing, ["tenant_id", "uid"], "left_anti")
+    fresh = matched.join(existing, ["tenant_id", "uid"], "left_anti").groupBy("tenant_id", "uid").agg(
+        F.min_by("role", "id").alias("role"), F.min_by("permissions", "id").alias("permissions"))
     new = fresh.select(
         F.concat_ws("__", "tenant_id", "uid").alias("id"), "tenant_id", F.col("uid").alias("user_id"), "role",
         F.when(F.size("permissions") > 0, F.col("permissions")).otherwise(role_defaults(F.col("role")))

@@ -133,7 +133,7 @@ def replay_cases(cases: DataFrame, actions: DataFrame, identity: DataFrame, chun
         F.count_if(acc).alias("accepted_actions"),
         F.count_if(~acc).alias("rejected_actions"),
     )
-    carry = [c for c in ("playbook", "updated_at") if c in cases.columns]
+    carry = [c for c in ("playbook", "updated_at", "outbound_allowed", "invoice_issued") if c in cases.columns]
     c = cases.select(F.col("id").alias("case_id"), "tenant_id", *carry, "current_stage", "status",
                      "quote_approval", "quote_amount_usd", "billing_prepared", "customer_identifier")
     j = c.join(agg, "case_id", "left")

@@ -45,10 +45,22 @@ def search_contacts(contacts: DataFrame, playbook: str, text: str) -> DataFrame:
 
 
 def campaign_eligible(contacts: DataFrame, consent: DataFrame, suppression: DataFrame) -> DataFrame:
-    """Contacts with a recorded consent and no suppression entry."""
-    granted = consent.where(F.col("decision") == "granted").select("contact_id").distinct()
-    c = contacts.join(granted, contacts.id == granted.contact_id, "left_semi")
-    return c.join(suppression.select(F.col("phone").alias("_p")), F.col("phone") == F.col("_p"), "left_anti")
+    """Contacts whose newest consent decision is a grant and that no
+    suppression entry names by phone or e-mail (F11).
+
+    consent: contact_id, decision, decided_at (of decisions at one time,
+    anything but a grant wins); suppression: phone, email, either may be null.
+    Phones are compared without separators, e-mails trimmed and lower-cased.
+    """
+    newest = consent.groupBy("contact_id").agg(
+        F.max_by("decision", F.struct("decided_at", F.col("decision") != "granted")).alias("decision"))
+    granted = newest.where(F.col("decision") == "granted").select("contact_id")
+    mail = lambda c: F.lower(TX.js_trim(c))
+    phones = suppression.where("phone is not null").select(TX.normalize_phone(F.col("phone")).alias("_p"))
+    mails = suppression.where("email is not null").select(mail(F.col("email")).alias("_m"))
+    return (contacts.join(granted, contacts.id == granted.contact_id, "left_semi")
+            .join(phones, TX.normalize_phone(F.col("phone")) == F.col("_p"), "left_anti")
+            .join(mails, mail(F.col("email")) == F.col("_m"), "left_anti"))
 
 
 # --------------------------------------------------------------------------- dashboards

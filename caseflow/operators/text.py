@@ -11,12 +11,12 @@ from caseflow.functions.validate import case_analysis_errors
 
 
 def redact_messages(messages: DataFrame, strict: bool = False) -> DataFrame:
-    """Redact every message in full; keep the bounded summary the audit log
-    stores, the full redacted length and whether anything changed."""
+    """Redact every message: the whole redacted text, the bounded summary the
+    audit log stores, the redacted length and whether anything changed."""
     full = TX.redact(F.col("text"), max_len=None, strict=strict)
     m = messages.select("message_id", "source", "text", full.alias("redacted"))
     return m.select(
-        "message_id", "source",
+        "message_id", "source", "redacted",
         F.substring("redacted", 1, K.REDACT_MAX_LEN).alias("summary"),
         F.length("redacted").cast("bigint").alias("redacted_length"),
         (F.col("redacted") != F.col("text")).alias("changed"),

@@ -94,8 +94,7 @@ SELECT substr(sha256(concat_ws('|', {v('l.l_orderkey')}, {v('l.l_linenumber')},
   o.o_orderdate AS due_at,
   CASE l.l_orderkey % 3 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'done' ELSE 'cancelled' END AS status,
   l.l_orderkey % 6 AS type_no
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
-WHERE l.l_linenumber = 1"""),
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey"""),
     "audit_v": ([], f"""
 SELECT ts AS timestamp, 'evt-' || {v('event_id')} AS event_id, event_id AS eid,
   CASE event_type WHEN 'signup' THEN 'customer_created' WHEN 'view' THEN 'case_created'

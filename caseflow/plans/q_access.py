@@ -113,7 +113,7 @@ def q_visible_cases(t):
 
 @query("lookup_case", f"""
 SELECT 'look-' || CAST(c.c_custkey AS VARCHAR) AS request_id, k.tenant_id, k.case_id AS id
-FROM customer c JOIN ({_CASES_SQL}) k ON k.case_id = 'case-' || CAST((c.c_custkey * 7) % 15000 AS VARCHAR)
+FROM customer c JOIN ({_CASES_SQL}) k ON k.case_id = 'case-' || CAST(c.c_custkey * 10 + c.c_custkey % 10 AS VARCHAR)
   AND k.tenant_id = 'tenant-' || CAST(c.c_nationkey AS VARCHAR)""")
 def q_lookup_case(t):
     return AC.lookup(V.cases(t).select("id", "tenant_id"), V.case_lookups(t)).select("request_id", "tenant_id", "id")

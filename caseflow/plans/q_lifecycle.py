@@ -98,7 +98,8 @@ SELECT c.case_id, c.tenant_id, coalesce(l.stage, 'intake') AS current_stage, coa
 FROM cases c LEFT JOIN last_ok l ON c.case_id = l.case_id""")
 def q_replay_cases(t):
     ident = OI.validate_identifiers(V.identifiers(t))
-    return LC.replay_cases(V.cases(t), V.case_actions(t), ident).drop("playbook", "updated_at")
+    return LC.replay_cases(V.cases(t), V.case_actions(t), ident).drop("playbook", "updated_at", "outbound_allowed",
+                                                                      "invoice_issued")
 
 
 @query("case_stage_mix", _CASE_WALK + """,
@@ -159,13 +160,29 @@ def q_gate_transitions(t):
 
 
 @query("safety_violations", """
-SELECT 'workflow' AS kind, 'x' AS id, 'x' AS violations WHERE false""")
+WITH v AS (
+  SELECT 'case' AS kind, 'case-' || CAST(o_orderkey AS VARCHAR) AS id, concat_ws(',',
+    CASE WHEN o_orderkey % 97 = 0 THEN 'outbound_allowed' END, CASE WHEN o_orderkey % 89 = 0 THEN 'invoice_issued' END,
+    CASE WHEN o_orderkey % 101 = 0 THEN 'closed_without_billing' END) AS violations
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL
+  SELECT 'workflow', 'demo-case-contact-' || CAST(c_custkey AS VARCHAR), concat_ws(',',
+    CASE WHEN c_custkey % 27 = 0 THEN 'outbound_allowed' END, CASE WHEN c_custkey % 33 = 0 THEN 'not_synthetic' END)
+  FROM customer WHERE c_custkey % 3 = 0)
+SELECT * FROM v WHERE violations <> ''""")
 def q_safety_violations(t):
+    """Stored rows with forbidden flags, and cases stored as completed without
+    billing, must come out of the replay as violations; nothing else may."""
     ident = OI.validate_identifiers(V.identifiers(t))
-    final = LC.replay_cases(V.cases(t), V.case_actions(t), ident)
-    cases = final.select(F.col("case_id").alias("id"), "current_stage", "billing_prepared",
-                         F.lit(False).alias("outbound_allowed"), F.lit(False).alias("invoice_issued"))
-    return LC.safety_violations(cases, V.stored_workflows(t))
+    k = F.substring_index("id", "-", -1).cast("bigint")
+    stored = V.cases(t).withColumns({
+        "outbound_allowed": k % 97 == 0, "invoice_issued": k % 89 == 0,
+        "current_stage": F.when(k % 101 == 0, "completed").otherwise(F.col("current_stage"))})
+    final = LC.replay_cases(stored, V.case_actions(t), ident)
+    cases = final.select(F.col("case_id").alias("id"), "current_stage", "billing_prepared", "outbound_allowed",
+                         "invoice_issued")
+    workflows = V.stored_workflows(t).withColumns({"outbound_allowed": k % 27 == 0, "synthetic": k % 33 != 0})
+    return LC.safety_violations(cases, workflows)
 
 
 # --------------------------------------------------------------------------- workflows

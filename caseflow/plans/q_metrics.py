@@ -70,21 +70,36 @@ def q_search_contacts(t):
 
 
 def _consent(t):
-    c = t.customer
-    return c.where(c.c_custkey % 7 != 0).select(
-        F.concat(F.lit("contact-"), c.c_custkey.cast("string")).alias("contact_id"),
-        F.when(c.c_custkey % 3 == 0, "denied").otherwise("granted").alias("decision"))
+    """A first decision per contact (none for every seventh), and a later one
+    of the opposite kind for every fifth."""
+    c = t.customer.where(F.col("c_custkey") % 7 != 0)
+    k = F.col("c_custkey")
+    contact = F.concat(F.lit("contact-"), k.cast("string")).alias("contact_id")
+    denied = k % 3 == 0
+    first = c.select(contact, F.when(denied, "denied").otherwise("granted").alias("decision"),
+                     (V.ts(V.AS_OF) - F.make_interval(days=F.lit(9))).alias("decided_at"))
+    later = c.where(k % 5 == 0).select(contact, F.when(denied, "granted").otherwise("denied").alias("decision"),
+                                       (V.ts(V.AS_OF) - F.make_interval(days=F.lit(2))).alias("decided_at"))
+    return first.unionByName(later)
 
 
 def _suppression(t):
-    c = V.contacts(t).join(t.customer.where(F.col("c_acctbal") < 0).select(
-        F.concat(F.lit("contact-"), F.col("c_custkey").cast("string")).alias("id")), "id", "left_semi")
-    return c.select("phone")
+    """Contacts in debt ask by phone, written with separators; every 11th by
+    e-mail, in capitals."""
+    key = F.concat(F.lit("contact-"), F.col("c_custkey").cast("string")).alias("id")
+    c = V.contacts(t).join(t.customer.select(key, "c_custkey", "c_acctbal"), "id")
+    phone = F.concat(F.substring("phone", 1, 4), F.lit(" ("), F.substring("phone", 5, 3), F.lit(") "),
+                     F.substring("phone", 8, 20))
+    return c.where("c_acctbal < 0 or c_custkey % 11 = 0").select(
+        F.when(F.col("c_acctbal") < 0, phone).alias("phone"),
+        F.when(F.col("c_custkey") % 11 == 0, F.concat(F.upper("email"), F.lit(" "))).alias("email"))
 
 
 @query("campaign_eligible", _w("""
-SELECT id, tenant_id FROM contacts c WHERE k % 7 <> 0 AND k % 3 <> 0
-  AND phone NOT IN (SELECT phone FROM contacts WHERE c_acctbal < 0)"""))
+SELECT id, tenant_id FROM contacts c
+WHERE k % 7 <> 0 AND CASE WHEN k % 5 = 0 THEN k % 3 = 0 ELSE k % 3 <> 0 END
+  AND phone NOT IN (SELECT phone FROM contacts WHERE c_acctbal < 0)
+  AND email NOT IN (SELECT email FROM contacts WHERE k % 11 = 0)"""))
 def q_campaign_eligible(t):
     return M.campaign_eligible(V.contacts(t), _consent(t), _suppression(t)).select("id", "tenant_id")
 
@@ -352,14 +367,10 @@ def q_pnl(t):
     return r.select("month", *[F.col(c).cast("decimal(20,4)").alias(c) for c in r.columns[1:]])
 
 
-@query("hash_artifacts")
-def q_hash_artifacts(t):
-    return M.hash_artifacts(t.spark, f"{t.sf_dir}/*.parquet")
-
-
 @query("pnl_check", """
-SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, true AS revenue_ok, true AS cogs_ok, true AS gross_ok,
-  true AS net_ok FROM lineitem""")
+SELECT month, m % 2 <> 0 AS revenue_ok, m % 3 <> 0 AS cogs_ok,
+  (m % 5 = 0)::INT = (m % 2 = 0)::INT - (m % 3 = 0)::INT AS gross_ok, (m % 7 = 0) = (m % 5 = 0) AS net_ok
+FROM (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, month(l_shipdate) AS m FROM lineitem)""")
 def q_pnl_check(t):
     """Stored P&L rows written as the CSV template (S6), read back with the
     declared schema and checked (A15)."""
@@ -378,6 +389,11 @@ def q_pnl_check(t):
         z(kinds[4]).alias("cogs_third_party"), z(kinds[3]).alias("cogs_direct_labor"), cogs.alias("total_cogs"),
         (rev - cogs).alias("gross_profit"), z(kinds[5]).alias("operating_expenses"),
         (rev - cogs - z(kinds[5])).alias("net_income"), F.lit("").alias("evidence_ids"), F.lit("").alias("notes"))
+    # book-keeping errors in some months, each a cent in one total
+    m = F.substring("month", 6, 2).cast("int")
+    for total, every in (("total_revenue", 2), ("total_cogs", 3), ("gross_profit", 5), ("net_income", 7)):
+        rows = rows.withColumn(total, F.col(total) + F.when(m % every == 0, F.lit("0.01").cast("decimal(3,2)"))
+                               .otherwise(F.lit(0).cast("decimal(3,2)")))
     path = IO.landing_path(t.spark, "pnl-csv")
     rows.select(*K.PNL_COLUMNS).write.option("header", True).csv(path)
     return M.pnl_check(IO.read_csv(t.spark, path, K.PNL))

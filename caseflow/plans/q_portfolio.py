@@ -123,23 +123,32 @@ def q_visible_children(t):
     return s.unionByName(i).unionByName(c)
 
 
-@query("orphan_report", with_views("""
-SELECT 'issue' AS kind, i.id AS child_id, i.tenant_id, i.property_id FROM issues_v i
-WHERE NOT EXISTS (SELECT 1 FROM properties_v p WHERE p.id = i.property_id AND p.tenant_id = i.tenant_id)
-UNION ALL
-SELECT 'system', s.id, s.tenant_id, s.property_id FROM systems_v s
-WHERE NOT EXISTS (SELECT 1 FROM properties_v p WHERE p.id = s.property_id AND p.tenant_id = s.tenant_id)
-UNION ALL
-SELECT 'commitment', c.id, c.tenant_id, c.property_id FROM commitments_v c
+# a sixteenth of the children name a property that does not exist, another
+# sixteenth one that (but for the property's own tenant) is not theirs
+def _strayed_sql(view: str) -> str:
+    return (f"SELECT id, tenant_id, CASE substr(id, 1, 1) WHEN '0' THEN 'prop-none' WHEN '1' THEN 'prop-1' "
+            f"ELSE property_id END AS property_id FROM {view}")
+
+
+def _strayed(children):
+    first = F.substring("id", 1, 1)
+    return children.withColumn("property_id", F.when(first == "0", "prop-none").when(first == "1", "prop-1")
+                               .otherwise(F.col("property_id")))
+
+
+@query("orphan_report", with_views(f"""
+SELECT kind, c.id AS child_id, c.tenant_id, c.property_id
+FROM (SELECT 'issue' AS kind, * FROM ({_strayed_sql('issues_v')}) UNION ALL
+      SELECT 'system', * FROM ({_strayed_sql('systems_v')}) UNION ALL
+      SELECT 'commitment', * FROM ({_strayed_sql('commitments_v')})) c
 WHERE c.property_id IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM properties_v p WHERE p.id = c.property_id AND p.tenant_id = c.tenant_id)""",
                                    "properties_v", "issues_v", "systems_v", "commitments_v"))
 def q_orphan_report(t):
     props = V.properties(t)
-    return (P.orphan_report(V.issues(t), props, "issue")
-            .unionByName(P.orphan_report(V.systems(t), props, "system"))
-            .unionByName(P.orphan_report(V.commitments(t), props, "commitment")))
-
+    return (P.orphan_report(_strayed(V.issues(t)), props, "issue")
+            .unionByName(P.orphan_report(_strayed(V.systems(t)), props, "system"))
+            .unionByName(P.orphan_report(_strayed(V.commitments(t)), props, "commitment")))
 
 
 _SYS_TYPES = ("['electric_fence','fire_detection','fire_suppression','cctv','access_control','alarms','elevators',"

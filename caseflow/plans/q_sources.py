@@ -45,9 +45,15 @@ def q_decode_payload(t):
     return g.unionByName(b)
 
 
-@query("encode_envelope")
+@query("encode_envelope", _w("""
+SELECT id, tenant_id, id AS key_id, playbook, phone, email, opportunity, next_action, estimated_value_usd, priority,
+  status, outbound_allowed, last_interaction_at, due_at FROM contacts"""))
 def q_encode_envelope(t):
-    return IO.encode_envelope(V.contacts(t), ["id", "tenant_id"])
+    """Every contact encoded and decoded again: the round trip gives all fields back."""
+    env = IO.encode_envelope(V.contacts(t), ["id", "tenant_id"]).withColumnRenamed("id", "key_id").drop("tenant_id")
+    good, _ = IO.decode_payload(env, K.ENTITY_SCHEMAS["contact"], keep=["key_id"])
+    return good.select("id", "tenant_id", "key_id", "playbook", "phone", "email", "opportunity", "next_action",
+                       "estimated_value_usd", "priority", "status", "outbound_allowed", "last_interaction_at", "due_at")
 
 
 _CSV_SQL = _w("""
@@ -193,7 +199,7 @@ UNION ALL SELECT 'transition_request', '_rows', sum(least(o_orderkey % 10, 8))
 UNION ALL SELECT 'managed_property', '_rows', count(*) FROM supplier
 UNION ALL SELECT 'property_system', '_rows', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
 UNION ALL SELECT 'property_issue', '_rows', count(*) FROM lineitem
-UNION ALL SELECT 'property_commitment', '_rows', count(*) FROM lineitem WHERE l_linenumber = 1
+UNION ALL SELECT 'property_commitment', '_rows', count(*) FROM lineitem
 UNION ALL SELECT 'demo_workflow', '_rows', count(*) FROM customer WHERE c_custkey % 3 = 0
 UNION ALL SELECT 'identity_result', '_rows', count(*) FROM orders o JOIN typed ty ON ty.c_custkey = o.o_custkey
   WHERE ty.identifier_type IS NOT NULL

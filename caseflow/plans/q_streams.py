@@ -49,14 +49,17 @@ def q_stream_cases(t):
 
 
 @query("stream_events", with_views("""
-SELECT event_id, event_name, tenant_id FROM audit_v""", "audit_v"))
+SELECT event_id, event_name, tenant_id, timestamp FROM audit_v""", "audit_v"))
 def q_stream_events(t):
+    """Three deliveries with a restart of the stream between them: most of the
+    log, then older events that are late beyond any bound together with known
+    ids under newer timestamps, then everything once more."""
     a = V.audit_events(t)
-    path = landing_path(t.spark, "audit-landing")
-    a.repartition(4).write.parquet(path)
     k = F.substring_index("event_id", "-", -1).cast("bigint")
-    a.where(k % 9 == 0).repartition(2).write.mode("append").parquet(path)   # a replayed delivery
-    sink = landing_path(t.spark, "audit-sink")
-    ck = landing_path(t.spark, "audit-sink-ckpt")
-    out = S.stream_events(t.spark, path, a.schema, sink, ck)
-    return out.select("event_id", "event_name", "tenant_id")
+    path, sink, ck = (landing_path(t.spark, f"audit-{n}") for n in ("landing", "sink", "ckpt"))
+    newer = a.where(k % 9 == 0).withColumn("timestamp", F.col("timestamp") + F.make_interval(days=F.lit(40)))
+    late = a.where(k % 5 == 1)
+    for delivery in (a.where(k % 5 != 1), late.unionByName(newer).unionByName(late), a):
+        delivery.repartition(4).write.mode("append").parquet(path)
+        out = S.stream_events(t.spark, path, a.schema, sink, ck)
+    return out.select("event_id", "event_name", "tenant_id", "timestamp")

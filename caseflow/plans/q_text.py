@@ -21,7 +21,7 @@ msgs AS (
   SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS message_id, source, text FROM documents
   UNION ALL
   SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), 'conversation', text
-  FROM conversations WHERE role = 'user'),
+  FROM conversations),
 red AS (
   SELECT message_id, source, text,
     regexp_replace(text, {e}, '[REDACTED_EMAIL]', 'gi') AS t1 FROM msgs),
@@ -30,7 +30,7 @@ red3 AS (SELECT *, regexp_replace(t2, {i}, '[REDACTED_ID]', 'g') AS t3 FROM red2
 
 
 @query("redact_text", "WITH " + _MSG.strip() + """
-SELECT message_id, source, substr(t3, 1, 500) AS summary, length(t3) AS redacted_length, t3 <> text AS changed
+SELECT message_id, source, t3 AS redacted, substr(t3, 1, 500) AS summary, length(t3) AS redacted_length, t3 <> text AS changed
 FROM red3""")
 def q_redact_text(t):
     return OT.redact_messages(V.messages(t))

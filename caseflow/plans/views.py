@@ -276,7 +276,7 @@ def messages(t: Tables) -> DataFrame:
         F.concat(F.lit("doc-"), _s(F.col("doc_id"))).alias("message_id"),
         F.col("source").alias("source"), F.col("text").alias("text"),
     )
-    cv = t.conversations.where(F.col("role") == "user").select(
+    cv = t.conversations.select(
         F.concat(F.lit("conv-"), _s(F.col("conv_id")), F.lit("-"), _s(F.col("turn"))).alias("message_id"),
         F.lit("conversation").alias("source"), F.col("text").alias("text"),
     )
@@ -350,8 +350,7 @@ def issues(t: Tables) -> DataFrame:
         f"{AS_OF_SQL} AS created_at", f"{AS_OF_SQL} AS updated_at")
 
 def commitments(t: Tables) -> DataFrame:
-    li = t.lineitem.where(F.col("l_linenumber") == 1).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner").join(
         _supplier_tenant(t), F.col("l_suppkey") == F.col("sk"), "inner")
@@ -450,7 +449,7 @@ def case_lookups(t: Tables) -> DataFrame:
     return c.select(
         F.concat(F.lit("look-"), _s(k)).alias("request_id"),
         F.concat(F.lit("tenant-"), _s(c.c_nationkey)).alias("tenant_id"),
-        F.concat(F.lit("case-"), _s((k * 7) % 15000)).alias("id"),
+        F.concat(F.lit("case-"), _s(k * 10 + k % 10)).alias("id"),
     )
 
 

@@ -3,7 +3,9 @@ checkpoint folder lookup used by every job that cuts lineage."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,8 +52,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (a test or a
-    laptop) do we pick a fresh local folder.
+    The cluster's setting always wins.  Where it is unset, a local session (a
+    test or a laptop) gets a fresh local folder, removed when Python ends; any
+    other session is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -65,7 +68,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir() if sc is not None else None
     if existing:
         return existing
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="caseflow-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:
         sc.setCheckpointDir(path)
