@@ -16,6 +16,7 @@ Rule = tuple[str, Column]
 
 UUID_RE = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 # A pragmatic e-mail shape (local@domain.tld, no spaces).
+URL_RE = "^[A-Za-z][A-Za-z0-9+.-]*:[^ ]+$"
 EMAIL_RE = "^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$"
 
 
@@ -96,6 +97,20 @@ def bad_array_enum(col, values: list[str]):
                                             F.lit(True)))
 
 
+def bad_uuid(col, nullable: bool = False):
+    return bad_regex(col, UUID_RE, nullable)
+
+
+def bad_any_null(col: str):
+    """A missing array or one with a null member."""
+    return f"coalesce(exists({_q(col)}, x -> x IS NULL), true)"
+
+
+def trimmed(name: str) -> Column:
+    from caseflow.functions.text import js_trim
+    return js_trim(F.col(name))
+
+
 def errors(rules: list[Rule]) -> Column:
     """``array_compact(array(CASE WHEN bad THEN code END, ...))`` in one pass."""
     if all(isinstance(bad, str) for _, bad in rules):
@@ -122,11 +137,27 @@ def error_counts(df: DataFrame, rules: list[Rule], entity: str) -> DataFrame:
         F.lit(entity).alias("entity"), "error_code", "rows")
 
 
+def rule_counts(df: DataFrame, rules: list[Rule], entity: str) -> DataFrame:
+    """Rows of the entity (code ``_rows``) and rows that break each rule, those
+    broken by none left out: one pass with one counter per rule."""
+    bad = [(code, F.expr(b) if isinstance(b, str) else b) for code, b in rules]
+    one = df.agg(F.count("*").alias("_rows"), *[F.count_if(b).alias(code) for code, b in bad])
+    codes = ["_rows", *[code for code, _ in bad]]
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("error_code"), F.col(x).alias("rows")) for x in codes]))
+    return one.select(each.alias("x")).where("x.rows > 0").select(F.lit(entity).alias("entity"), "x.error_code", "x.rows")
+
+
 # -- rule sets ---------------------------------------------------------------
 
 
-def audit_event_rules() -> list[Rule]:  # V1
+def audit_event_rules(ids: bool = True) -> list[Rule]:  # V1
+    """``ids=False`` leaves out the UUID form of the event id, for logs whose
+    writers number their events."""
     return [
+        *([("event_id", bad_uuid("event_id"))] if ids else []),
+        ("input_summary", bad_null("input_summary")),
+        ("decision", bad_null("decision")),
+        ("result", bad_null("result")),
         ("timestamp_missing", bad_null("timestamp")),
         ("event_id_empty", bad_len("event_id", 1)),
         ("event_name", bad_enum("event_name", K.EVENT_NAMES)),
@@ -158,7 +189,11 @@ def analyze_request_rules() -> list[Rule]:  # V2
 
 
 def case_analysis_errors(a: Column) -> Column:  # V3, on a struct column
+    present = a.isNotNull()
     rules = [
+        *[(f, F.when(present, a[f].isNull())) for f in
+          ("summary", "intent", "service_family", "next_best_action", "draft_reply")],
+        ("missing_information_member", F.when(present, F.exists(a["missing_information"], lambda x: x.isNull()))),
         ("urgency", F.when(a.isNotNull(), bad_enum(a["urgency"], K.URGENCIES))),
         ("confidence", F.when(a.isNotNull(), ~F.coalesce(a["confidence"].between(0, 1), F.lit(False)))),
         ("missing_information", F.when(a.isNotNull(), a["missing_information"].isNull())),
@@ -167,8 +202,11 @@ def case_analysis_errors(a: Column) -> Column:  # V3, on a struct column
     return F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in rules])
 
 
-def demo_workflow_rules() -> list[Rule]:  # V4
+def demo_workflow_rules(tenants: bool = True) -> list[Rule]:  # V4
+    """``tenants=False`` leaves out the list of the two demo tenants."""
     return [
+        *([("tenant_id", bad_enum("tenant_id", K.WORKFLOW_TENANTS))] if tenants else []),
+        ("analysis", F.size(F.array_compact(case_analysis_errors(F.col("analysis")))) > 0),
         ("id", bad_len("id", 3, 100)),
         ("contact_id", bad_len("contact_id", 3, 80)),
         ("playbook", bad_enum("playbook", K.ANALYZE_PLAYBOOKS)),
@@ -208,6 +246,10 @@ def user_rules() -> list[Rule]:  # V7
         ("tax_id", bad_len("tax_id", None, 13)),
         ("person_type", bad_enum("person_type", K.PERSON_TYPES, nullable=True)),
         ("status", bad_enum("status", K.USER_STATUSES)),
+        ("legal_name", bad_len("legal_name", None, 180)),
+        ("photo_url", bad_regex("photo_url", URL_RE, nullable=True)),
+        ("email_verified", bad_null("email_verified")),
+        ("profile_complete", bad_null("profile_complete")),
     ]
 
 
@@ -230,13 +272,29 @@ def invitation_rules() -> list[Rule]:  # V9
         ("role", bad_enum("role", K.INVITABLE_ROLES)),
         ("permissions", bad_array_enum("permissions", K.PERMISSIONS)),
         ("status", bad_enum("status", K.INVITATION_STATUSES)),
+        ("invited_by", bad_len("invited_by", 3, 160)),
+        ("accepted_by", bad_len("accepted_by", 3, 160, nullable=True)),
+    ]
+
+
+def invitation_create_rules() -> list[Rule]:  # V9, the request
+    return [
+        ("email", bad_regex(trimmed("email"), EMAIL_RE)),
+        ("role", bad_enum("role", K.INVITABLE_ROLES)),
+        ("permissions", bad_array_enum("permissions", K.PERMISSIONS)),
     ]
 
 
-def profile_update_rules() -> list[Rule]:  # V10
+def profile_update_rules(checksum: bool = True) -> list[Rule]:  # V10
+    """``checksum=False``: the form alone, without the tax id's check digit and
+    the rule that a company has a RUC."""
+    from caseflow.functions.identity import identifier_type_sql
     from caseflow.functions.text import js_trim
     pt = F.col("person_type")
+    kind = identifier_type_sql("tax_id")
     return [
+        *([("invalid_ec_identifier", kind.isNull()),
+           ("company_ruc_required", F.coalesce((pt == "company") & (kind != "ruc"), F.lit(False)))] if checksum else []),
         ("display_name", bad_len(js_trim("display_name"), 2, 120)),
         ("phone", bad_regex(js_trim("phone"), "^\\+?[0-9]{8,15}$")),
         ("tax_id", bad_regex(js_trim("tax_id"), "^([0-9]{10}|[0-9]{13})$")),
@@ -259,8 +317,40 @@ def identity_result_rules() -> list[Rule]:  # V11
     ]
 
 
+def identity_request_rules() -> list[Rule]:  # V11, the request
+    return [
+        ("identifier", bad_len(trimmed("identifier_text"), 10, 20)),
+        ("lookup", bad_enum("lookup", K.IDENTITY_LOOKUPS)),
+    ]
+
+
+def _identity_struct_bad(a: Column) -> Column:
+    """A stored identity result (a struct column) that breaks V11; null is fine."""
+    ok = (a["identifier"].rlike("^([0-9]{10}|[0-9]{13})$") & a["identifier_type"].isin(*K.IDENTIFIER_TYPES)
+          & a["source"].isin(*K.IDENTITY_SOURCES) & a["status"].isin(*K.IDENTITY_STATUSES)
+          & (F.length(a["legal_name"]) <= 180) & (F.length(a["commercial_name"]) <= 180)
+          & (F.length(a["activity"]) <= 300) & a["locally_valid"].isNotNull() & a["registry_verified"].isNotNull())
+    return a.isNotNull() & ~F.coalesce(ok, F.lit(False))
+
+
+def business_case_create_rules() -> list[Rule]:  # V12, the request
+    return [
+        ("customer_id", bad_len(trimmed("customer_id"), 3, 100)),
+        ("customer_user_id", bad_len(trimmed("customer_user_id"), 3, 160, nullable=True)),
+        ("customer_name", bad_len(trimmed("customer_name"), 2, 180)),
+        ("customer_identifier", bad_len(trimmed("customer_identifier"), None, 20)),
+        ("title", bad_len(trimmed("title"), 3, 180)),
+        ("description", bad_len(trimmed("description"), 3, 12000)),
+        ("assigned_to", bad_len(trimmed("assigned_to"), 3, 160, nullable=True)),
+    ]
+
+
 def business_case_rules() -> list[Rule]:  # V12
     return [
+        ("identity_validation", _identity_struct_bad(F.col("identity_validation"))),
+        *[(f, bad_null(f)) for f in ("billing_prepared", "invoice_issued", "outbound_allowed", "synthetic")],
+        ("assigned_to", bad_len("assigned_to", None, 160, nullable=True)),
+        ("created_by", bad_len("created_by", 3, 160)),
         ("id", bad_len("id", 3, 100)),
         ("tenant_id", bad_len("tenant_id", 3, 80)),
         ("playbook", bad_enum("playbook", K.TENANT_PLAYBOOKS)),
@@ -277,27 +367,87 @@ def business_case_rules() -> list[Rule]:  # V12
     ]
 
 
-def transition_request_rules() -> list[Rule]:  # V13
+def transition_request_rules(whole: bool = True) -> list[Rule]:  # V13
+    """``whole=False``: for action logs that keep neither lookup nor note."""
     return [
         ("action", bad_enum("action", K.CASE_ACTIONS)),
         ("quote_amount_usd", bad_nonneg("quote_amount_usd", nullable=True)),
+        *([("identity_lookup", bad_enum("identity_lookup", K.IDENTITY_LOOKUPS)),
+           ("note", bad_len(trimmed("note"), None, 1000))] if whole else []),
     ]
 
 
-def property_rules() -> list[Rule]:  # V15 (property)
+def _owned(ids: bool, parent: bool | None = None) -> list[Rule]:
+    """Ids, tenant and owner that all portfolio entities share."""
     return [
+        *([("id", bad_uuid("id"))] if ids else []),
+        *([("property_id", bad_uuid("property_id", nullable=parent))] if ids and parent is not None else []),
+        ("tenant_id", bad_len("tenant_id", 3, 80)),
+        ("created_by", bad_len("created_by", 3, 160)),
+        ("synthetic", bad_null("synthetic")),
+    ]
+
+
+def property_create_rules() -> list[Rule]:  # V15, the requests
+    return [
+        ("name", bad_len(trimmed("name"), 2, 160)),
+        ("property_type", bad_enum("property_type", K.PROPERTY_TYPES)),
+        ("city", bad_len(trimmed("city"), 2, 100)),
+        ("address", bad_len(trimmed("address"), 2, 240)),
+        ("unit_count", bad_nonneg("unit_count", nullable=True)),
+        ("administrator_name", bad_len(trimmed("administrator_name"), None, 160)),
+        ("administrator_user_id", bad_len(trimmed("administrator_user_id"), 3, 160, nullable=True)),
+    ]
+
+
+def system_create_rules() -> list[Rule]:
+    return [
+        ("system_type", bad_enum("system_type", K.SYSTEM_TYPES)),
+        ("name", bad_len(trimmed("name"), 2, 160)),
+        ("condition", bad_enum("condition", K.SYSTEM_CONDITIONS)),
+        ("inventory_count", bad_nonneg("inventory_count")),
+        ("notes", bad_len(trimmed("notes"), None, 2000)),
+    ]
+
+
+def issue_create_rules() -> list[Rule]:
+    return [
+        ("category", bad_enum("category", K.ISSUE_CATEGORIES)),
+        ("title", bad_len(trimmed("title"), 3, 180)),
+        ("description", bad_len(trimmed("description"), 3, 8000)),
+        ("priority", bad_enum("priority", K.ISSUE_PRIORITIES)),
+        ("source", bad_enum("source", K.ISSUE_SOURCES)),
+        ("assigned_to", bad_len(trimmed("assigned_to"), 3, 160, nullable=True)),
+    ]
+
+
+def commitment_create_rules() -> list[Rule]:
+    return [
+        ("property_id", bad_uuid("property_id", nullable=True)),
+        ("commitment_type", bad_enum("commitment_type", K.COMMITMENT_TYPES)),
+        ("title", bad_len(trimmed("title"), 3, 180)),
+        ("owner_user_id", bad_len(trimmed("owner_user_id"), 3, 160, nullable=True)),
+        ("notes", bad_len(trimmed("notes"), None, 2000)),
+    ]
+
+
+def property_rules(ids: bool = True) -> list[Rule]:  # V15 (property)
+    return [
+        *_owned(ids),
+        ("administrator_name", bad_len("administrator_name", None, 160)),
+        ("administrator_user_id", bad_len("administrator_user_id", None, 160, nullable=True)),
         ("name", bad_len("name", 2, 160)),
         ("property_type", bad_enum("property_type", K.PROPERTY_TYPES)),
         ("status", bad_enum("status", K.PROPERTY_STATUSES)),
         ("city", bad_len("city", 2, 100)),
         ("address", bad_len("address", 2, 240)),
         ("unit_count", bad_nonneg("unit_count", nullable=True)),
-        ("created_by", bad_len("created_by", 3, 160)),
     ]
 
 
-def system_rules() -> list[Rule]:
+def system_rules(ids: bool = True) -> list[Rule]:
     return [
+        *_owned(ids, parent=False),
         ("system_type", bad_enum("system_type", K.SYSTEM_TYPES)),
         ("name", bad_len("name", 2, 160)),
         ("condition", bad_enum("condition", K.SYSTEM_CONDITIONS)),
@@ -306,8 +456,10 @@ def system_rules() -> list[Rule]:
     ]
 
 
-def issue_rules() -> list[Rule]:
+def issue_rules(ids: bool = True) -> list[Rule]:
     return [
+        *_owned(ids, parent=False),
+        ("assigned_to", bad_len("assigned_to", None, 160, nullable=True)),
         ("category", bad_enum("category", K.ISSUE_CATEGORIES)),
         ("title", bad_len("title", 3, 180)),
         ("description", bad_len("description", 3, 8000)),
@@ -317,8 +469,10 @@ def issue_rules() -> list[Rule]:
     ]
 
 
-def commitment_rules() -> list[Rule]:
+def commitment_rules(ids: bool = True) -> list[Rule]:
     return [
+        *_owned(ids, parent=True),
+        ("owner_user_id", bad_len("owner_user_id", None, 160, nullable=True)),
         ("commitment_type", bad_enum("commitment_type", K.COMMITMENT_TYPES)),
         ("title", bad_len("title", 3, 180)),
         ("status", bad_enum("status", K.COMMITMENT_STATUSES)),

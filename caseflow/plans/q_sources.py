@@ -122,7 +122,7 @@ SELECT 'audit_event' AS entity, 'human_approval' AS error_code, count(*) AS rows
 WHERE human_approval NOT IN ('not_required', 'required', 'approved', 'rejected')
 UNION ALL SELECT 'audit_event', 'event_id_empty', 0 WHERE false""", "audit_v"))
 def q_validate_audit_events(t):
-    return VA.error_counts(V.audit_events(t), VA.audit_event_rules(), "audit_event")
+    return VA.error_counts(V.audit_events(t), VA.audit_event_rules(ids=False), "audit_event")
 
 
 def _profile_updates(t):
@@ -157,12 +157,12 @@ def _entity_checks(t):
         ("membership", V.memberships(t), VA.membership_rules()),
         ("invitation", V.invitations(t), VA.invitation_rules()),
         ("business_case", V.cases(t), VA.business_case_rules()),
-        ("transition_request", V.case_actions(t), VA.transition_request_rules()),
-        ("managed_property", V.properties(t), VA.property_rules()),
-        ("property_system", V.systems(t), VA.system_rules()),
-        ("property_issue", V.issues(t), VA.issue_rules()),
-        ("property_commitment", V.commitments(t), VA.commitment_rules()),
-        ("demo_workflow", V.stored_workflows(t), VA.demo_workflow_rules()),
+        ("transition_request", V.case_actions(t), VA.transition_request_rules(whole=False)),
+        ("managed_property", V.properties(t), VA.property_rules(ids=False)),
+        ("property_system", V.systems(t), VA.system_rules(ids=False)),
+        ("property_issue", V.issues(t), VA.issue_rules(ids=False)),
+        ("property_commitment", V.commitments(t), VA.commitment_rules(ids=False)),
+        ("demo_workflow", V.stored_workflows(t), VA.demo_workflow_rules(tenants=False)),
         ("identity_result", OI.enrich_identity(
             OI.validate_identifiers(V.identity_requests(t), keep=["request_id", "lookup", "requested_at"])
             .where("locally_valid").select("request_id", "identifier", "identifier_type", "lookup", "requested_at"),
@@ -174,7 +174,7 @@ def _entity_checks(t):
             F.concat(F.col("opportunity"), F.lit(". "), F.col("next_action")).alias("message")),
          VA.analyze_request_rules()),
         ("draft_update", V.workflow_actions(t).where(F.col("action") == "draft"), VA.draft_update_rules()),
-        ("profile_update", _profile_updates(t), VA.profile_update_rules()),
+        ("profile_update", _profile_updates(t), VA.profile_update_rules(checksum=False)),
         ("playbook", _playbook_definitions(t), VA.playbook_rules()),
     ]
     out = None
