@@ -29,7 +29,7 @@ from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import sized, written
@@ -178,37 +178,46 @@ def events(text: str | None, lexicon: Lexicon, machine: Machine) -> Counter:
 
 # --- learning ----------------------------------------------------------------
 
-STEM, MAX_STEMS = 5, 5000
+STEM, LONGEST, SUPPORT, MAX_STEMS = 5, 9, 6, 5000
+
+
+def _stems(text: Column) -> Column:
+    """All distinct whole words (marked ``$``) and word beginnings of a text."""
+    words = F.array_distinct(_words(text))
+    starts = F.transform(words, lambda w: F.when(F.length(w) >= STEM, F.transform(
+        F.sequence(F.lit(STEM), F.least(F.length(w), F.lit(LONGEST))), lambda n: F.substring(w, F.lit(1), n)))
+        .otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(w, F.lit("$"))), F.flatten(starts)))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}']+"), "")
 
 
 def learn_stems(train: DataFrame) -> list[str]:
-    """Insult stems from ``train(doc_id, text, toxic)``: beginnings of at least
-    STEM letters and whole words whose documents are toxic far more often than
-    chance allows for the number of candidates tried.  Near copies count once
-    (one document per label and least word hash).  At most MAX_STEMS, the
-    strongest first, reach the driver."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    words = F.array_distinct(F.filter(F.split(low, r"[^\p{L}\p{N}']+"), lambda w: w != ""))
-    rows = train.select("doc_id", "toxic", words.alias("w"))
-    rows = written(rows.withColumn("least", F.array_min(F.transform("w", lambda w: F.xxhash64(w)))), "toxic_words")
-    one = rows.groupBy("toxic", "least").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = written(rows.join(sized(one, 1_000_000), "doc_id", "left_semi"), "toxic_unique")
-    total = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    """Insult stems from ``train(doc_id, text, toxic)``: beginnings of STEM to
+    LONGEST letters and whole words whose documents are toxic far more often
+    than chance allows for the number of candidates tried.  Near copies count
+    once (one document per label and least word hash).  Candidates come from
+    the toxic documents (SUPPORT of them at least) and are then looked for in
+    all others.  At most MAX_STEMS, the strongest first, reach the driver."""
+    least = F.array_min(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
+    one = written(train.select("doc_id", "toxic", least.alias("least")).groupBy("toxic", "least")
+                  .agg(F.min("doc_id").alias("doc_id")), "toxic_unique")
+    total = one.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not total.t or total.t == total.n:
         return []
     base = total.t / total.n
-    each = (rows.select("toxic", F.explode("w").alias("word")).groupBy("word")
-            .agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")))
-    size = F.length("word")
-    starts = F.when(size >= STEM, F.transform(F.sequence(F.lit(STEM), F.least(size, F.lit(12))),
-                                              lambda n: F.substring(F.col("word"), F.lit(1), n)))
-    tried = (each.select("t", "n", F.explode(F.concat(F.array(F.concat("word", F.lit("$"))),
-                                                      F.coalesce(starts, F.array().cast("array<string>")))).alias("stem"))
-             .groupBy("stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where("t >= 3"))
-    tried = written(tried, "stems")
+    stems = (train.join(sized(one.select("doc_id"), 1_000_000), "doc_id", "left_semi")
+             .select("toxic", F.explode(_stems(F.col("text"))).alias("stem")))
+    often = written(stems.where("toxic = 1").groupBy("stem").agg(F.count(F.lit(1)).alias("t")).where(F.col("t") >= SUPPORT),
+                    "toxic_stems")
+    other = (stems.where("toxic = 0").join(sized(often.select("stem"), 1_000_000), "stem")
+             .groupBy("stem").agg(F.count(F.lit(1)).alias("m")))
+    tried = often.join(other, "stem", "left").select("stem", "t", (F.col("t") + F.coalesce("m", F.lit(0))).alias("n"))
     p = (F.col("t") + 0.5) / (F.col("n") + 1.0)
     gain = F.col("t") * F.log(p / base) + (F.col("n") - F.col("t")) * F.log((1 - p) / (1 - base))
-    found = (tried.withColumn("gain", gain).where((F.col("gain") >= math.log(max(1, tried.count())) + 5)
+    found = (tried.withColumn("gain", gain).where((F.col("gain") >= math.log(max(1, often.count())) + 5)
                                                   & (F.col("t") >= 0.9 * F.col("n")))
              .orderBy(F.desc("gain"), "stem").limit(MAX_STEMS).select("stem").collect())
     stems = {r.stem for r in found}
