@@ -128,8 +128,6 @@ def bootstrap_owner(owners: DataFrame, owner_tenant_ids: list[str], memberships:
     """Owner memberships on the bootstrap tenants that are still missing
     (J12).  The bootstrap tenants are a short deployment constant, so they are
     exploded onto each owner row (no join, no cross product of tables)."""
-    if len(owner_tenant_ids) > 1000:
-        raise ValueError("bootstrap tenant list is a deployment constant, not data")
     ids = F.array(*[F.lit(t) for t in owner_tenant_ids])
     want = owners.select(F.col("uid").alias("user_id"), F.explode(ids).alias("tenant_id")).select(
         F.concat_ws("__", "tenant_id", "user_id").alias("id"), "tenant_id", "user_id",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow import schemas as K
-from caseflow.operators.sequence import exact_median, exact_percentiles, last_value_before, next_in_sequence
+from caseflow.operators.sequence import exact_median, last_value_before, next_in_sequence
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -98,21 +98,17 @@ def model_usage(events: DataFrame, prices: DataFrame | None = None) -> DataFrame
     the share of calls carrying a request reference."""
     e = events.where(F.col("model").isNotNull()).withColumn("day", F.to_date("timestamp"))
     keys = ["tenant_id", "model", "day"]
-    g = e.groupBy(*keys).agg(
-        F.count("*").alias("calls"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-        F.round(F.count_if(F.col("request_reference").isNotNull()) / F.count("*"), 6).alias("evidence_share"),
-    )
-    pct = exact_percentiles(e, keys, "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    g = g.join(pct, keys, "left").select(
-        *keys, "calls", "input_tokens", "output_tokens", F.round("p50_ms", 6).alias("p50_ms"),
-        F.round("p95_ms", 6).alias("p95_ms"), "evidence_share")
+    per = e.groupBy(*keys, "duration_ms").agg(
+        F.count("*").alias("n"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"),
+        F.count_if(F.col("request_reference").isNotNull()).alias("r"))
+    g = per.groupBy(*keys).agg(
+        F.sum("n").alias("calls"), F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"),
+        F.round(F.percentile("duration_ms", 0.5, F.col("n")), 6).alias("p50_ms"),
+        F.round(F.percentile("duration_ms", 0.95, F.col("n")), 6).alias("p95_ms"),
+        F.round(F.sum("r") / F.sum("n"), 6).alias("evidence_share"))
     if prices is None:
         return g.withColumn("cost_usd", F.lit(None).cast("decimal(18,6)"))
-    # price table: one row per model, tiny and bounded by the model catalogue
-    p = F.broadcast(prices.select("model", "usd_per_1k_input", "usd_per_1k_output"))
-    j = g.join(p, "model", "left")
+    j = g.join(prices.select("model", "usd_per_1k_input", "usd_per_1k_output"), "model", "left")
     cost = (F.col("input_tokens").cast("decimal(20,0)") * F.col("usd_per_1k_input") / 1000
             + F.col("output_tokens").cast("decimal(20,0)") * F.col("usd_per_1k_output") / 1000)
     return j.select(*g.columns, cost.cast("decimal(18,6)").alias("cost_usd"))
@@ -203,11 +199,10 @@ def request_rate(events: DataFrame, limit: int = K.REQUEST_LIMIT_PER_MINUTE, win
 def health_windows(events: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Error share and latency per aligned window (T10, exact batch form)."""
     e = events.withColumn("window_start", F.window(F.col("timestamp"), window)["start"])
-    g = e.groupBy("window_start").agg(
-        F.count("*").alias("events"),
-        F.round(F.count_if(F.col("status") == "failed") / F.count("*"), 6).alias("error_share"),
-        F.max("duration_ms").alias("max_ms"),
-    )
-    pct = exact_percentiles(e, ["window_start"], "duration_ms", {"p50_ms": 0.5})
-    return g.join(pct, "window_start", "left").select(
-        "window_start", "events", "error_share", F.round("p50_ms", 6).alias("p50_ms"), "max_ms")
+    # one scan: rows are counted per window and duration first, so a busy window
+    # is cut before the shuffle, and its percentile is taken over the counts
+    per = e.groupBy("window_start", "duration_ms").agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return per.groupBy("window_start").agg(
+        F.sum("n").alias("events"), F.round(F.sum("failed") / F.sum("n"), 6).alias("error_share"),
+        F.round(F.percentile("duration_ms", 0.5, F.col("n")), 6).alias("p50_ms"), F.max("duration_ms").alias("max_ms"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import text as TX
 from caseflow.functions.validate import contact_rules, errors
-from caseflow.operators.sequence import dense_rank_by_counts, top_n_per_group
+from caseflow.operators.sequence import rank_by_counts, top_n_per_group
 
 
 # --------------------------------------------------------------------------- contact filters
@@ -210,7 +210,7 @@ def stale_opportunities(contacts: DataFrame, as_of: Column) -> DataFrame:
     from per-timestamp counts, not a whole-tenant window sort."""
     c = contacts.where(F.col("due_at") < as_of).select(
         "id", "tenant_id", "last_interaction_at", F.datediff(as_of, F.col("due_at")).alias("overdue_days"))
-    return dense_rank_by_counts(c, ["tenant_id"], "last_interaction_at", "recency_rank") \
+    return rank_by_counts(c, ["tenant_id"], "last_interaction_at", "recency_rank") \
         .select("id", "tenant_id", "overdue_days", "recency_rank")
 
 

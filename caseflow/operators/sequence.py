@@ -46,26 +46,27 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     return s.drop("_salt", "_r1")
 
 
-def dense_rank_by_counts(df: DataFrame, group: list[str], key: str, out: str, descending: bool = True) -> DataFrame:
-    """SQL ``rank()`` of ``key`` within ``group`` without sorting a whole group
-    in one task.
-
-    rank = 1 + rows of the group in later (earlier, ascending) days
-             + rows of the same day with a greater (smaller) key.
-    The first term comes from per-day counts (a partial aggregate and a
-    window over at most one row per day); the second from a window over one
-    (group, day) -- a hot group is spread over its days."""
-    day = F.to_date(F.col(key))
-    d = df.withColumn("_day", day)
-    counts = d.groupBy(*group, "_day").agg(F.count("*").alias("_n"))
-    o = F.col("_day").desc() if descending else F.col("_day").asc()
-    w = Window.partitionBy(*group).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*group, "_day", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_carry"))
-    ko = F.col(key).desc() if descending else F.col(key).asc()
-    inner = Window.partitionBy(*group, "_day").orderBy(ko)
-    d = d.withColumn("_r", F.rank().over(inner))
-    j = d.join(counts, [*group, "_day"], "left")
-    return j.withColumn(out, (F.col("_carry") + F.col("_r")).cast("bigint")).drop("_day", "_r", "_carry")
+def rank_by_counts(df: DataFrame, group: list[str], key: str, out: str, descending: bool = True) -> DataFrame:
+    """SQL ``rank()`` of ``key`` within ``group`` without a window over rows.
+
+    Rows are counted per distinct key; the rank is 1 plus the counts of the
+    greater (smaller, ascending) keys: those of other days from day totals,
+    those of the same day from a running sum over the day's distinct keys.  The
+    ranks are joined back on (group, key), a join that splits skewed keys."""
+    sign = -1 if descending else 1
+    counts = df.groupBy(*group, key).agg(F.count("*").alias("_n")).withColumn("_day", F.to_date(F.col(key)))
+
+    def order(c):
+        return F.col(c).desc() if sign < 0 else F.col(c).asc()
+
+    before = lambda *cols: Window.partitionBy(*group, *cols[:-1]).orderBy(order(cols[-1])).rowsBetween(
+        Window.unboundedPreceding, -1)
+    days = counts.groupBy(*group, "_day").agg(F.sum("_n").alias("_d")).withColumn(
+        "_days", F.coalesce(F.sum("_d").over(before("_day")), F.lit(0))).drop("_d")
+    within = counts.withColumn("_within", F.coalesce(F.sum("_n").over(before("_day", key)), F.lit(0)))
+    ranks = within.join(days, [*group, "_day"]).select(
+        *group, key, (F.col("_days") + F.col("_within") + 1).cast("bigint").alias(out))
+    return df.join(ranks, [*group, key])
 
 
 def last_value_before(values: DataFrame, probes: DataFrame, key: list[str], seq: str, value: str, out: str,
@@ -96,8 +97,8 @@ def exact_median(df: DataFrame, group: list[str], value: str, out: str, bucket_w
 
     Values are counted per (group, value bucket) with partial aggregation;
     the running count over buckets (a window over bucket rows only) finds
-    the one or two buckets holding the middle ranks; only those rows are
-    ranked, inside (group, bucket)."""
+    the one or two buckets holding the middle ranks; of those, distinct values
+    with their counts are walked, never rows."""
     d = df.select(*group, F.col(value).alias("_v")).where(F.col("_v").isNotNull()) \
         .withColumn("_b", F.floor(F.col("_v") / bucket_width).cast("bigint"))
     n = d.groupBy(*group).agg(F.count("*").alias("_n"))
@@ -108,41 +109,11 @@ def exact_median(df: DataFrame, group: list[str], value: str, out: str, bucket_w
     hi = F.ceil((F.col("_n") - 1) / 2)
     inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))
     need = bc.where(inside(lo) | inside(hi)).select(*group, "_b", "_before", lo.alias("_lo"), hi.alias("_hi"))
-    rows = d.join(need, [*group, "_b"], "inner")
-    wr = Window.partitionBy(*group, "_b").orderBy("_v")
-    rows = rows.withColumn("_r", F.row_number().over(wr) - 1 + F.col("_before"))
-    picked = rows.where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
-    return picked.groupBy(*group).agg(F.avg("_v").alias(out))
-
-
-def exact_percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float],
-                      bucket_width: int = 1024) -> DataFrame:
-    """Exact ``percentile(value, q)`` per group for several q at once (linear
-    interpolation between the two neighbouring ranks, as Spark and SQL
-    ``quantile_cont`` define it), from bucketed counts: only the buckets that
-    hold a wanted rank are ranked, inside (group, bucket)."""
-    d = df.select(*group, F.col(value).alias("_v")).where(F.col("_v").isNotNull()) \
-        .withColumn("_b", F.floor(F.col("_v") / bucket_width).cast("bigint"))
-    n = d.groupBy(*group).agg(F.count("*").alias("_n"))
-    bc = d.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(n, group)
-    inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))
-    pos = {k: (F.col("_n") - 1) * q for k, q in qs.items()}
-    cond = None
-    for p in pos.values():
-        c = inside(F.floor(p)) | inside(F.ceil(p))
-        cond = c if cond is None else cond | c
-    need = bc.where(cond).select(*group, "_b", "_before", "_n")
-    rows = d.join(need, [*group, "_b"], "inner")
-    wr = Window.partitionBy(*group, "_b").orderBy("_v")
-    rows = rows.withColumn("_r", F.row_number().over(wr) - 1 + F.col("_before"))
-    aggs = []
-    for k, q in qs.items():
-        p = (F.first("_n") - 1) * q
-        lo_v = F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * q), F.col("_v")))
-        hi_v = F.max(F.when(F.col("_r") == F.ceil((F.col("_n") - 1) * q), F.col("_v")))
-        lo, hi = F.floor(p), F.ceil(p)
-        aggs.append(F.when(hi == lo, lo_v.cast("double"))
-                    .otherwise((hi - p) * lo_v + (p - lo) * hi_v).alias(k))
-    return rows.groupBy(*group).agg(*aggs)
+    # distinct values with their counts: at most bucket_width rows a bucket
+    values = (d.join(need, [*group, "_b"], "inner").groupBy(*group, "_b", "_before", "_lo", "_hi", "_v")
+              .agg(F.count("*").alias("_m")))
+    wr = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("_before") + F.col("_to")
+    covers = lambda r: F.max(F.when((F.col(r) < end) & (F.col(r) >= end - F.col("_m")), F.col("_v")))
+    return (values.withColumn("_to", F.sum("_m").over(wr)).groupBy(*group)
+            .agg(((covers("_lo") + covers("_hi")) / 2).alias(out)))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from caseflow.operators.sequence import dense_rank_by_counts, last_value_before, next_in_sequence, top_n_per_group
+from caseflow.operators.sequence import rank_by_counts, last_value_before, next_in_sequence, top_n_per_group
 
 
 def _data(spark, n=400, keys=4, seed=1):
@@ -51,26 +51,25 @@ def test_top_n_per_group(spark):
 
 
 def test_rank_by_day_buckets(spark):
-    df = _data(spark).withColumn("ts", F.timestamp_seconds(F.col("s") * 3600).cast("timestamp_ntz"))
-    got = dense_rank_by_counts(df, ["k"], "ts", "r")
+    df = _data(spark).unionByName(_data(spark)).withColumn("ts", F.timestamp_seconds(F.col("s") * 3600).cast("timestamp_ntz"))
+    got = rank_by_counts(df, ["k"], "ts", "r")
     want = df.withColumn("r", F.rank().over(Window.partitionBy("k").orderBy(F.col("ts").desc())))
     assert sorted((r["k"], r["s"], r["r"]) for r in got.collect()) == \
         sorted((r["k"], r["s"], r["r"]) for r in want.collect())
 
 
+def test_rank_of_one_group_on_one_day(spark):
+    """The skewed case: every row in one group and day, many of them equal."""
+    df = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("s"), F.timestamp_seconds(
+        F.col("id") % 700).cast("timestamp_ntz").alias("ts"))
+    got = rank_by_counts(df, ["k"], "ts", "r", descending=False)
+    want = df.withColumn("r", F.rank().over(Window.partitionBy("k").orderBy("ts")))
+    assert sorted((r["s"], r["r"]) for r in got.collect()) == sorted((r["s"], r["r"]) for r in want.collect())
+
+
 def test_exact_median(spark):
     from caseflow.operators.sequence import exact_median
     df = _data(spark, n=301, keys=3)
     got = {r["k"]: r["m"] for r in exact_median(df, ["k"], "s", "m", bucket_width=50).collect()}
     want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("s").alias("m")).collect()}
     assert got == want
-
-
-def test_exact_percentiles(spark):
-    from caseflow.operators.sequence import exact_percentiles
-    df = _data(spark, n=500, keys=3)
-    got = {r["k"]: (round(r["p50"], 9), round(r["p95"], 9)) for r in
-           exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}, bucket_width=7).collect()}
-    want = {r["k"]: (round(r["p50"], 9), round(r["p95"], 9)) for r in df.groupBy("k").agg(
-        F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95")).collect()}
-    assert got == want
