@@ -216,12 +216,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = SLO
     open_ = members.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
     rest = written(members.join(open_.select("bucket"), "bucket"), "rest")
     rest = _reachable(rest, sets, percent)
-    a, b = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("class_id", "n", "part", "common")))
+    # a pair meets in every band it shares; it is made in the first one only
+    rest = rest.join(classes.select("class_id", "bands"), "class_id")
+    a, b = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("class_id", "n", "part", "common", "bands")))
             for s in "ab")
     need = percent * (F.col("n_a") + F.col("n_b"))
+    meet = F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x))
+    first = F.get(F.filter(meet, lambda x: x.isNotNull()), F.lit(0))
     pairs = (a.join(b, (a.bucket == b.bucket) & (F.col("class_id_a") < F.col("class_id_b"))
                     & (F.col("part_a") != F.col("part_b"))
-                    & ((100 + percent) * F.least("common_a", "common_b") >= need))
+                    & ((100 + percent) * F.least("common_a", "common_b") >= need) & (first == a.bucket))
              .select(F.col("class_id_a").alias("u"), F.col("class_id_b").alias("v")).distinct()
              .join(tried, ["u", "v"], "left_anti"))
     more = _verified(written(pairs, "rest_pairs"), sets, percent)
