@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 
 # odd multipliers of the polynomial word hash and of the finaliser
 _BASE = 0x9E3779B97F4A7C15 | 1

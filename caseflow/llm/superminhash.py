@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import shingles as S
-from caseflow.llm.common import sized, written
+from caseflow.llm.common import TEXT_ROWS, sized, written
 
 SLOTS, ROWS = 128, 4
 
@@ -100,7 +100,7 @@ def _fingerprints(k: int, m: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0), batch.column(2)
-            for at, n, data, offsets in S.chunks(batch.column(1), 1 << 20):
+            for at, n, data, offsets in S.chunks(batch.column(1)):
                 hashes, counts = S.shingle_sets(data, offsets, k)
                 bands = band_hashes(superminhash(hashes, counts, m), rows)
                 flat = pa.array(bands.reshape(-1).view(np.int64))
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = SLO
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = written(texts.withColumn("text_key", _text_key()).mapInArrow(
         _fingerprints(k, m, rows),
-        "doc_id long, text_key long, n_shingles long, f1 long, f2 long, bands array<long>"), "signatures")
+        "doc_id long, text_key long, n_shingles long, f1 long, f2 long, bands array<long>"), "signatures", TEXT_ROWS)
     key = ["n_shingles", "f1", "f2"]
     classes = (sigs.where("n_shingles > 0").groupBy(*key)
                .agg(F.min("doc_id").alias("class_id"), F.any_value("bands").alias("bands")))
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = SLO
     # full sets of the candidate classes, once
     wanted = bands.select(F.col("class_id").alias("doc_id")).distinct()
     sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                   .mapInArrow(_sets(k), "class_id long, shingles array<long>"), "sets")
+                   .mapInArrow(_sets(k), "class_id long, shingles array<long>"), "sets", TEXT_ROWS)
 
     score = bands.groupBy("class_id").agg(F.sum("c").alias("score"))
     rank = F.struct("score", (-F.col("class_id")).alias("r"))
