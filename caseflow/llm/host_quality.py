@@ -100,7 +100,10 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
     bad = written(host_verdicts(rows, limit).where("rejected").select(F.col("host").alias("_bad")), "bad_hosts")
     part = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)),
                        F.col("text").alias("text"), F.col(host).cast("string").alias("_host"))
-    good = text_features(part).where(~F.col("base_failed"))
+    # the row number keeps the filter above the features: pushed below, it would
+    # repeat their expressions many times over
+    good = text_features(part).withColumn("_row", F.monotonically_increasing_id())
+    good = good.where(~F.col("base_failed") & (F.col("_row") >= 0))
     good = good.join(sized(bad), F.col("_host") == F.col("_bad"), "left_anti")
     return good.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
