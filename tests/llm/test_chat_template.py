@@ -39,7 +39,7 @@ def test_refused(bad):
 
 def test_digests_segments_nulls_and_ties(spark, monkeypatch):
     import hashlib
-    rows = [(1, 1, "assistant", "b" * 700_000, 0), (1, 0, "user", None, 0), (1, 2, "user", "x", 0),
+    rows = [(1, 1, "assistant", "b" * 1_100_000, 0), (1, 0, "user", None, 0), (1, 2, "user", "x", 0),
             (1, 3, "assistant", "c" * 700_000, 0), (2, None, None, "q", 0), (2, 0, "assistant", "b", 0),
             (2, 0, "assistant", "a", 0), (None, 0, "assistant", "### </turn>\\", 0), (3, 0, "user", "x", 0),
             (3, 0, "user", "x", 0)]

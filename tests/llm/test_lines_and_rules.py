@@ -121,6 +121,7 @@ def test_features_and_verdicts(spark):
              "a b c d e f g h a b c d e f g h i"]
     rows = [(i, t, "h1", 1) for i, t in enumerate(texts)] + [(50 + i, "too short", "bad", 1) for i in range(30)]
     rows += [(99, good, "bad", 1), (100, good, None, 1), (101, good, "bad", 1), (None, good, "h2", 1), (None, good, "h2", 1)]
+    rows += [(200 + i, good, "h1", 1) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int")
     got = H.judge(df).collect()
     assert len(got) == len(rows)
