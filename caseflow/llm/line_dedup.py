@@ -5,7 +5,8 @@ Lines are compared as sets of lower-cased words; two lines match when their
 Jaccard similarity is at least ``percent`` / 100.  A line goes if an earlier
 line matches it (order: document, then position), whether or not that line
 goes itself.  Lines of fewer than ``min_words`` distinct words carry no
-identity of their own and always stay.
+identity of their own and always stay.  Rows with the same doc_id rank alike:
+neither is earlier.
 
 The join: tokens of a line are ordered by rarity, and only the first
 ``n - ceil(t n) + 1`` are indexed (prefix filter): matching sets share one of
@@ -14,7 +15,11 @@ left after the shared one must suffice for the overlap (positional filter).
 Survivors are verified on the full sets.  Equal sets are one class from the
 start, so a line with many copies enters the join once.
 
-Rarity: words are counted over all lines in 2^17 hash buckets, and a word's
+Two more exact tests run inside the join: of the smaller set of a pair a
+shorter prefix suffices, and 64-bit bitmaps of the sets bound from below how
+many tokens they do not share.
+
+Rarity: all words of all lines are counted in hash buckets, and a word's
 rarity is its bucket's count on a logarithmic scale.  Any fixed order of the
 tokens keeps the prefix filter exact; the estimate only decides how selective
 it is.  The counts have a fixed size and reach the tasks as one constant.
@@ -25,10 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import sized, words, written
+from caseflow.llm.common import sized, written
 
 PERCENT, MIN_WORDS = 80, 5
-_BUCKETS = 1 << 17
+_BUCKETS, _SUB = 1 << 16, 32
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -38,87 +43,126 @@ def _lines(docs: DataFrame) -> DataFrame:
                        F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
-def _hashes(line: Column) -> Column:
-    return F.transform(words(F.lower(line)), lambda w: F.xxhash64(w))
+def _split(line: Column) -> Column:
+    """Lower-cased words of a text of one line or more."""
+    odd = r"[\t\n\x0B\f\r]"
+    blank = F.when(line.rlike(odd), F.regexp_replace(line, odd, " ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(blank), " "), "")
 
 
-def _rarity(docs: DataFrame) -> bytes:
-    """The counts of all words by bucket, each as one rarity class 0 to 127
-    (four steps per doubling): a table of fixed size, whatever the corpus."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    counts = (docs.select(F.explode(words(F.lower(text))).alias("w"))
-              .groupBy(F.pmod(F.xxhash64("w"), F.lit(_BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")))
-    out = bytearray(_BUCKETS)
-    for r in counts.select("b", F.least(F.lit(127), F.floor(4 * F.log2(F.col("c") + 1.0))).cast("int").alias("r")).collect():
-        out[r.b] = r.r
-    return bytes(out)
+def _rarity(docs: DataFrame) -> list[int]:
+    """How frequent words are, as a table of fixed size, whatever the corpus.
 
+    All words are counted in 2^21 hash buckets.  32 of them share an entry: which of them is the most frequent, its rarity class, and
+    the class of the next one, which stands for the others.  Classes are 0 to
+    127, four to a doubling."""
+    counts = (_lines(docs).select(F.explode(_split(F.col("line"))).alias("w"))
+              .groupBy(F.xxhash64("w").bitwiseAND(F.lit(_SUB * _BUCKETS - 1)).cast("int").alias("b"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    scale = F.least(F.lit(127), F.floor(4 * F.log2(F.col("c") + 1.0))).cast("int")
+    own = F.sort_array(F.collect_list(F.struct(scale.alias("r"), F.shiftright("b", 16).alias("sub"))), asc=False)
+    rows = (counts.groupBy(F.col("b").bitwiseAND(F.lit(_BUCKETS - 1)).alias("b")).agg(own.alias("own"))
+            .select("b", (F.shiftleft(F.col("own")[0]["sub"], 14) + F.shiftleft(F.col("own")[0]["r"], 7)
+                          + F.coalesce(F.get("own", F.lit(1))["r"], F.lit(0))).alias("entry")).collect())
+    out = [0] * _BUCKETS
+    for r in rows:
+        out[r.b] = r.entry
+    return out
 
-def _tokens(hashes: Column, rarity: bytes) -> Column:
+
+def _tokens(line: Column, rarity: list[int]) -> Column:
     """Distinct tokens of a line, rarest first: 7 bits of rarity above 56 bits
     of hash, so that sorting the numbers sorts by rarity."""
-    rarities = F.lit(bytearray(rarity))
+    # folded to one constant array when the plan is optimised
+    entries = F.split(F.lit(" ".join(map(str, rarity))), " ").cast("array<bigint>")
+    hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
+
+    def token(h, entry):
+        top = F.shiftright(h, 16).bitwiseAND(F.lit(_SUB - 1)) == F.shiftright(entry, 14)
+        rare = F.when(top, F.shiftright(entry, 7)).otherwise(entry).bitwiseAND(F.lit(127))
+        return F.shiftleft(rare, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(hashes, lambda h: token(
+        h, F.get(entries, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")))))
+
+
+def _bits(tokens: Column) -> Column:
+    """64-bit bitmap of a token set: one bit per token by its hash."""
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
+
 
-    def token(h):
-        r = F.ascii(F.substring(rarities, (F.pmod(h, F.lit(_BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(r.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(hashes, token)))
+def _order() -> Column:
+    """Place of a line in the corpus as one number: doc_id, then position."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    return (doc * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
 
 
 def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line of at least ``min_words`` distinct words: doc_id, key,
-    pos, n, cls (its set's class), n_links (matching other classes seen from
-    this one that come first elsewhere) and dropped."""
+    """The lines of at least ``min_words`` distinct words that have a copy or a
+    match: doc_id, key, pos, n, cls (the class of its token set), n_links
+    (other classes that match it) and dropped."""
     rarity = _rarity(docs)
-    tokens = _tokens(_hashes(F.col("line")), rarity)
     n = F.size("t")
-    prefix = F.slice("t", 1, n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1)
-    lines = (_lines(docs).select("doc_id", "key", "pos", tokens.alias("t")).where(n >= min_words)
-             .select("doc_id", "key", "pos", n.alias("n"), F.xxhash64("t").alias("cls"), prefix.alias("prefix")))
+    prefix = F.transform(F.slice("t", 1, n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1), lambda x: x.bitwiseXOR(
+        F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    # the row number keeps the filter above the tokens: pushed below, it would
+    # make them twice
+    lines = (_lines(docs).select("doc_id", "key", "pos", _tokens(F.col("line"), rarity).alias("t"),
+                                 F.monotonically_increasing_id().alias("row"))
+             .where((n >= min_words) & (F.col("row") >= 0))
+             .select("doc_id", "key", "pos", n.alias("n"), F.xxhash64("t").alias("cls"), _bits(F.col("t")).alias("bits"),
+                     prefix.alias("prefix")))
     lines = written(lines, "lines")
-    order = F.struct("doc_id", "key", "pos")
-    classes = written(lines.groupBy("cls").agg(F.min(order).alias("first"), F.any_value("n").alias("n"),
-                                               F.any_value("prefix").alias("prefix")), "classes")
-    posts = classes.select("cls", "n", F.posexplode("prefix").alias("p", "token"))
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    posts = written(posts.join(shared, "token"), "postings")
-    a, b = (posts.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "p"))) for s in "ab")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    rest = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    pairs = (a.join(b, (a["token"] == b["token"]) & (F.col("cls_a") < F.col("cls_b")) & (100 * small >= percent * large)
-                    & ((100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))))
-             .select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).distinct())
+    classes = written(lines.groupBy("cls").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    # each class is indexed by the line that comes first
+    firsts = (lines.withColumn("at", _order())
+              .join(classes.select("cls", F.col("first").alias("at")), ["cls", "at"], "left_semi"))
+    posts = firsts.select("cls", "n", "bits", F.posexplode("prefix").alias("p", "token"))
+    a, b = posts.alias("a"), posts.alias("b")
+    # a is the larger set and brings its whole prefix; of the smaller set the
+    # first n - ceil(2t / (1 + t) n) + 1 tokens suffice
+    total = F.col("a.n") + F.col("b.n")
+    larger = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") > F.col("b.cls")))
+    indexed = (100 + percent) * (F.col("b.n") - F.col("b.p")) >= 2 * percent * F.col("b.n")
+    rest = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
+    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))      # tokens that are in one set only, at least
+    pairs = (a.join(b, (F.col("a.token") == F.col("b.token")) & larger & indexed
+                    & (100 * F.col("b.n") >= percent * F.col("a.n")) & ((100 + percent) * rest >= percent * total)
+                    & ((100 + percent) * (total - differ) >= 2 * percent * total))
+             .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct())
     pairs = written(pairs, "pairs")
-    links = written(_verified(pairs, classes, docs, rarity, percent), "links")
+    links = written(_verified(pairs, classes, lines, docs, rarity, percent), "links")
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    firsts = classes.select("cls", "first")
-    earliest = (both.join(firsts.withColumnRenamed("cls", "v"), "v").groupBy(F.col("u").alias("cls"))
+    earliest = (both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy(F.col("u").alias("cls"))
                 .agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links")))
-    verdict = classes.select("cls", "first").join(earliest, "cls", "left").select(
-        "cls", F.least("first", F.coalesce("other", "first")).alias("first"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return (lines.drop("prefix").join(verdict, "cls")
-            .select("doc_id", "key", "pos", "n", "cls", "n_links", (order > F.col("first")).alias("dropped")))
+    verdict = (classes.join(earliest, "cls", "left").where("copies > 1 or n_links > 0")
+               .select("cls", F.least("first", F.coalesce("other", "first")).alias("first"),
+                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    return (lines.drop("prefix", "bits").join(verdict, "cls")
+            .select("doc_id", "key", "pos", "n", "cls", "n_links", (_order() > F.col("first")).alias("dropped")))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarity: bytes, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, docs: DataFrame, rarity: list[int],
+              percent: int) -> DataFrame:
     """The pairs whose full token sets reach the similarity."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-    places = written(classes.join(ids, "cls").select("cls", "first.*"), "places")
-    keys = places.select(F.col("doc_id").alias("d"), F.col("key").alias("x")).distinct()
+    spots = classes.join(ids, "cls").select("cls", F.col("first").alias("at"))
+    places = written(lines.withColumn("at", _order()).join(spots, ["cls", "at"], "left_semi")
+                     .select("cls", F.col("doc_id").alias("d"), F.col("key").alias("x"), F.col("pos").alias("y"))
+                     .distinct(), "places")
+    keys = places.select("d", "x").distinct()
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    some = docs.join(sized(keys), text.eqNullSafe(F.col("x")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d")),
-                     "left_semi")
-    lines = _lines(some)
-    places = places.select("cls", F.col("doc_id").alias("d"), F.col("key").alias("x"), F.col("pos").alias("y"))
-    sets = (lines.join(places, lines["doc_id"].eqNullSafe(F.col("d")) & (lines["key"] == F.col("x"))
-                       & (lines["pos"] == F.col("y")))
-            .select("cls", _tokens(_hashes(F.col("line")), rarity).alias("t")).dropDuplicates(["cls"]))
+    some = docs.select("doc_id", "text").join(sized(keys, 1_000_000), text.eqNullSafe(F.col("x"))
+                                              & F.col("doc_id").cast("long").eqNullSafe(F.col("d")), "left_semi")
+    found = _lines(some)
+    sets = (found.join(sized(places, 500_000), found["doc_id"].eqNullSafe(F.col("d")) & (found["key"] == F.col("x"))
+                       & (found["pos"] == F.col("y")))
+            .select("cls", _tokens(F.col("line"), rarity).alias("t")))
     sets = written(sets, "sets")
     left, right = (sets.select(F.col("cls").alias(s), F.col("t").alias(f"t{s}")) for s in "uv")
     both = F.size(F.array_intersect("tu", "tv"))
     return (pairs.join(left, "u").join(right, "v")
-            .where(100 * both >= percent * (F.size("tu") + F.size("tv") - both)).select("u", "v"))
+            .where(100 * both >= percent * (F.size("tu") + F.size("tv") - both)).select("u", "v").distinct())
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,
@@ -132,13 +176,15 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WO
     ``drop_emptied`` a document that had words and whose every line with words
     was removed goes.
     """
-    per = line_classes(docs, percent, min_words).groupBy("doc_id", "key", "pos").agg(
-        F.max("n_links").alias("n_links"), F.max("dropped").alias("dropped"))
-    # positions of one document: a list as long as its own text
-    per = per.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("dropped"), F.col("pos"))).alias("gone"),
-                                           F.sum("n_links").alias("links"))
-    per = written(per.where("size(gone) > 0 or links > 0")
-                  .select(F.col("doc_id").alias("_d"), F.col("key").alias("_x"), "gone", "links"), "removed")
+    # positions of one document: lists as long as its own text.  Repeated rows
+    # give each position as often as the document is there
+    per = (line_classes(docs, percent, min_words).where("dropped or n_links > 0").groupBy("doc_id", "key")
+           .agg(F.collect_set(F.when(F.col("dropped"), F.col("pos"))).alias("gone"),
+                F.expr("sum(n_links) div (count(1) div size(collect_set(pos)))").alias("links")))
+    per = written(per.select(F.col("doc_id").alias("_d"), F.col("key").alias("_x"), "gone", "links"), "removed")
+    # few removals in all (counted) spare the texts a shuffle
+    few = per.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= 2_000_000
+    per = sized(per, 500_000) if few else per
     renamed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)),
                           F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     full = renamed.withColumn("_key", F.xxhash64(F.coalesce("_text", F.lit(""))))
