@@ -66,49 +66,53 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: ``nodes(host, seed)`` with seeds that add up to 1
-    (or to 0: all ranks are 0), ``edges(src, dst, w)``.  A node without links
-    hands its rank back to the seeds.  Returns host, rank.  Every fifth round
-    is written, so lineage stays short; a node linked by very many is summed
-    before the shuffle."""
-    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = written(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "shares")
-    start = written(nodes.join(out.select(F.col("src").alias("host"), F.lit(True).alias("links")), "host", "left")
-                    .select("host", "seed", F.coalesce("links", F.lit(False)).alias("links")), "nodes")
-    ranks = start.withColumn("rank", F.col("seed"))
-    for i in range(1, rounds + 1):
-        flow = (ranks.select(F.col("host").alias("src"), "rank").join(shares, "src")
-                .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow")))
-        stuck = (ranks.where(~F.col("links")).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("stuck"))
-                 .withColumn("one", F.lit(1)))
-        ranks = (start.withColumn("one", F.lit(1)).join(F.broadcast(stuck), "one").join(flow, "host", "left")
-                 .select("host", "seed", "links", (F.lit(damping) * F.coalesce("flow", F.lit(0.0)) + F.col("seed")
-                                                   * (1 - damping + damping * F.col("stuck"))).alias("rank")))
-        if i % 5 == 0 or i == rounds:
-            ranks = written(ranks, "ranks")
-    return ranks.select("host", "rank")
+    """Several personalised PageRanks at once, told apart by ``kind``:
+    ``nodes(kind, host, seed)`` with non-negative seeds (scaled here to add up
+    to 1 per kind; all 0 gives ranks of 0), ``edges(kind, src, dst, w)``.  A
+    node without links hands its rank back to the seeds.  Returns kind, host,
+    rank.  Each round is written, so a round's plan reads two tables however
+    many went before; a node linked by very many is summed before the shuffle.
+    Kinds are few by construction, so sums per kind are broadcast."""
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
+    shares = written(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("total"))
+                                                             .alias("share")), "shares")
+    sums = nodes.groupBy("kind").agg(F.sum("seed").alias("sum"))
+    has = out.select("kind", F.col("src").alias("host"), F.lit(True).alias("links"))
+    start = (nodes.join(F.broadcast(sums), "kind").join(has, ["kind", "host"], "left")
+             .select("kind", "host", F.when(F.col("sum") > 0, F.col("seed") / F.col("sum")).otherwise(0.0).alias("seed"),
+                     F.coalesce("links", F.lit(False)).alias("links")))
+    ranks = written(start.withColumn("rank", F.col("seed")), "ranks")
+    for _ in range(rounds):
+        flow = (ranks.select("kind", F.col("host").alias("src"), "rank").join(shares, ["kind", "src"])
+                .groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow")))
+        stuck = ranks.groupBy("kind").agg(F.sum(F.when(~F.col("links"), F.col("rank")).otherwise(0.0)).alias("stuck"))
+        ranks = written(ranks.drop("rank").join(F.broadcast(stuck), "kind").join(flow, ["kind", "host"], "left").select(
+            "kind", "host", "seed", "links", (F.lit(damping) * F.coalesce("flow", F.lit(0.0)) + F.col("seed")
+                                              * (1 - damping + damping * F.col("stuck"))).alias("rank")), "ranks")
+    return ranks.select("kind", "host", "rank")
 
 
 def host_verdicts(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
                   threshold: float = THRESHOLD) -> DataFrame:
     """``judged(host, verdict)`` (the rules', per page) and link edges to one
     row per host: trust, distrust, base and host_verdict."""
+    def kinds(*pairs):
+        return F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), *cols) for k, cols in pairs))).alias("x")
+
     seen = judged.where("host <> ''").groupBy("host").agg(
         F.count(F.lit(1)).cast("double").alias("pages"),
         F.sum(F.when(F.col("verdict") == "allow", 1.0).otherwise(0.0)).alias("good"),
         F.sum(F.when(F.col("verdict") == "block", 1.0).otherwise(0.0)).alias("bad"))
     linked = edges.select(F.col("dst").alias("host")).distinct()
-    hosts = seen.join(linked, "host", "full").fillna(0.0)
-    hosts = written(hosts, "hosts")
-    sums = hosts.agg(*(F.sum(c).alias(f"sum_{c}") for c in ("pages", "good", "bad"))).withColumn("one", F.lit(1))
-    seeds = written(hosts.withColumn("one", F.lit(1)).join(F.broadcast(sums), "one").select(
-        "host", *(F.when(F.col(f"sum_{c}") > 0, F.col(c) / F.col(f"sum_{c}")).otherwise(0.0).alias(c)
-                  for c in ("pages", "good", "bad"))), "seeds")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    ranked = seeds.select("host")
-    for name, seed, links in (("trust", "good", edges), ("distrust", "bad", back), ("base", "pages", edges)):
-        rank = pagerank(seeds.select("host", F.col(seed).alias("seed")), links, damping, rounds)
-        ranked = ranked.join(rank.withColumnRenamed("rank", name), "host")
+    nodes = seen.join(linked, "host", "full").fillna(0.0).select("host", kinds(
+        *((k, [F.col(c).alias("seed")]) for k, c in (("trust", "good"), ("distrust", "bad"), ("base", "pages")))))
+    nodes = written(nodes.select("x.kind", "host", "x.seed"), "nodes")
+    there = [F.col("src").alias("src"), F.col("dst").alias("dst")]
+    back = [F.col("dst").alias("src"), F.col("src").alias("dst")]
+    tagged = edges.select("w", kinds(("trust", there), ("distrust", back), ("base", there))).select("x.*", "w")
+    ranks = pagerank(nodes, tagged, damping, rounds)
+    ranked = ranks.groupBy("host").agg(*(F.max(F.when(F.col("kind") == k, F.col("rank"))).alias(k)
+                                         for k in ("trust", "distrust", "base")))
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * F.col("base"))
     return ranked.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
 
