@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from caseflow.llm.common import lower_ascii, sized, written
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 15, 2.0
+ROWS_PER_FILE = 1_000_000
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -73,22 +74,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
     rank.  Each round is written, so a round's plan reads two tables however
     many went before; a node linked by very many is summed before the shuffle.
     Kinds are few by construction, so sums per kind are broadcast."""
+    # few rows stay in few files and tasks, however many partitions shuffles have
+    parts = 1 + (edges.count() + nodes.count()) // ROWS_PER_FILE
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
     shares = written(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("total"))
-                                                             .alias("share")), "shares")
+                                                             .alias("share")).coalesce(parts), "shares")
     sums = nodes.groupBy("kind").agg(F.sum("seed").alias("sum"))
     has = out.select("kind", F.col("src").alias("host"), F.lit(True).alias("links"))
     start = (nodes.join(F.broadcast(sums), "kind").join(has, ["kind", "host"], "left")
              .select("kind", "host", F.when(F.col("sum") > 0, F.col("seed") / F.col("sum")).otherwise(0.0).alias("seed"),
                      F.coalesce("links", F.lit(False)).alias("links")))
-    ranks = written(start.withColumn("rank", F.col("seed")), "ranks")
+    ranks = written(start.withColumn("rank", F.col("seed")).coalesce(parts), "ranks")
     for _ in range(rounds):
         flow = (ranks.select("kind", F.col("host").alias("src"), "rank").join(shares, ["kind", "src"])
                 .groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow")))
         stuck = ranks.groupBy("kind").agg(F.sum(F.when(~F.col("links"), F.col("rank")).otherwise(0.0)).alias("stuck"))
         ranks = written(ranks.drop("rank").join(F.broadcast(stuck), "kind").join(flow, ["kind", "host"], "left").select(
             "kind", "host", "seed", "links", (F.lit(damping) * F.coalesce("flow", F.lit(0.0)) + F.col("seed")
-                                              * (1 - damping + damping * F.col("stuck"))).alias("rank")), "ranks")
+                                              * (1 - damping + damping * F.col("stuck"))).alias("rank"))
+                        .coalesce(parts), "ranks")
     return ranks.select("kind", "host", "rank")
 
 
