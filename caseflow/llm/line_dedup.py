@@ -114,6 +114,22 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
                      prefix.alias("prefix")))
     lines = written(lines, "lines")
     classes = written(lines.groupBy("cls").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    pairs = _candidates(lines, classes, percent)
+    links = written(_verified(pairs, classes, lines, docs, rarity, percent), "links")
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    earliest = (both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy(F.col("u").alias("cls"))
+                .agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links")))
+    verdict = (classes.join(earliest, "cls", "left").where("copies > 1 or n_links > 0")
+               .select("cls", F.least("first", F.coalesce("other", "first")).alias("first"),
+                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    return (lines.drop("prefix", "bits").join(sized(written(verdict, "verdicts"), 500_000), "cls")
+            .select("doc_id", "key", "pos", "n", "cls", "n_links", (_order() > F.col("first")).alias("dropped")))
+
+
+def _candidates(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes that pass the prefix, length, positional and
+    bitmap filters.  A function of its own: when it returns, nothing refers to
+    its shuffles any more and Spark can drop their files."""
     # each class is indexed by the line that comes first
     firsts = (lines.withColumn("at", _order())
               .join(classes.select("cls", F.col("first").alias("at")), ["cls", "at"], "left_semi"))
@@ -130,24 +146,15 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
                     & (100 * F.col("b.n") >= percent * F.col("a.n")) & ((100 + percent) * rest >= percent * total)
                     & ((100 + percent) * (total - differ) >= 2 * percent * total))
              .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct())
-    pairs = written(pairs, "pairs")
-    links = written(_verified(pairs, classes, lines, docs, rarity, percent), "links")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    earliest = (both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy(F.col("u").alias("cls"))
-                .agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links")))
-    verdict = (classes.join(earliest, "cls", "left").where("copies > 1 or n_links > 0")
-               .select("cls", F.least("first", F.coalesce("other", "first")).alias("first"),
-                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    return (lines.drop("prefix", "bits").join(verdict, "cls")
-            .select("doc_id", "key", "pos", "n", "cls", "n_links", (_order() > F.col("first")).alias("dropped")))
+    return written(pairs, "pairs")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, docs: DataFrame, rarity: list[int],
               percent: int) -> DataFrame:
     """The pairs whose full token sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-    spots = classes.join(ids, "cls").select("cls", F.col("first").alias("at"))
-    places = written(lines.withColumn("at", _order()).join(spots, ["cls", "at"], "left_semi")
+    ids = written(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "ids")
+    spots = written(classes.join(sized(ids, 1_000_000), "cls").select("cls", F.col("first").alias("at")), "spots")
+    places = written(lines.withColumn("at", _order()).join(sized(spots, 500_000), ["cls", "at"], "left_semi")
                      .select("cls", F.col("doc_id").alias("d"), F.col("key").alias("x"), F.col("pos").alias("y"))
                      .distinct(), "places")
     keys = places.select("d", "x").distinct()
@@ -158,7 +165,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, docs: Data
     sets = (found.join(sized(places, 500_000), found["doc_id"].eqNullSafe(F.col("d")) & (found["key"] == F.col("x"))
                        & (found["pos"] == F.col("y")))
             .select("cls", _tokens(F.col("line"), rarity).alias("t")))
-    sets = written(sets, "sets")
+    def quarter(k):
+        return F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k)
+
+    sets = written(sets.select("cls", "t", F.size("t").alias("n"),
+                               *(_bits(quarter(k)).alias(f"b{k}") for k in range(4))), "sets")
+    # 256-bit bitmaps bound the overlap from above: most pairs end here, and
+    # only the others carry whole sets through a shuffle
+    narrow = ["cls", "n", "b0", "b1", "b2", "b3"]
+    left, right = (sets.select(*(F.col(c).alias(s if c == "cls" else f"{c}_{s}") for c in narrow)) for s in "uv")
+    differ = sum((F.bit_count(F.col(f"b{k}_u").bitwiseXOR(F.col(f"b{k}_v"))) for k in range(4)), F.lit(0))
+    total = F.col("n_u") + F.col("n_v")
+    pairs = written(pairs.join(left, "u").join(right, "v")
+                    .where((100 + percent) * (total - differ) >= 2 * percent * total).select("u", "v"), "near_pairs")
     left, right = (sets.select(F.col("cls").alias(s), F.col("t").alias(f"t{s}")) for s in "uv")
     both = F.size(F.array_intersect("tu", "tv"))
     return (pairs.join(left, "u").join(right, "v")
