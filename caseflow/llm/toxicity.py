@@ -197,12 +197,13 @@ def _words(text: Column) -> Column:
 def learn_stems(train: DataFrame) -> list[str]:
     """Insult stems from ``train(doc_id, text, toxic)``: beginnings of STEM to
     LONGEST letters and whole words whose documents are toxic far more often
-    than chance allows for the number of candidates tried.  Near copies count
-    once (one document per label and least word hash).  Candidates come from
-    the toxic documents (SUPPORT of them at least) and are then looked for in
-    all others.  At most MAX_STEMS, the strongest first, reach the driver."""
-    least = F.array_min(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
-    one = written(train.select("doc_id", "toxic", least.alias("least")).groupBy("toxic", "least")
+    than chance allows for the number of candidates tried.  Copies count once:
+    one document per label and set of words, all others are counted.
+    Candidates come from the toxic documents (SUPPORT of them at least) and are
+    then looked for in all others.  At most MAX_STEMS, the strongest first,
+    reach the driver."""
+    same = F.xxhash64(F.array_sort(F.array_distinct(_words(F.col("text")))))
+    one = written(train.select("doc_id", "toxic", same.alias("same")).groupBy("toxic", "same")
                   .agg(F.min("doc_id").alias("doc_id")), "toxic_unique")
     total = one.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not total.t or total.t == total.n:

@@ -49,6 +49,14 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert a == b
 
 
+def test_only_equal_sets_of_words_count_once(spark):
+    from pyspark.sql import functions as F
+    low = spark.range(20_000).selectExpr("concat('w', id) AS w").orderBy(F.xxhash64("w")).first().w
+    rows = [(i, f"{low} zorbify u{i} v{i}", 1) for i in range(30)] + [(100 + i, f"{low} x{i} y{i}", 0) for i in range(200)]
+    rows += [(400 + i, f"{low} repeatedly " + "repeatedly " * i, 1) for i in range(30)]     # one set of words
+    assert T.learn_stems(spark.createDataFrame(rows, "doc_id long, text string, toxic long")) == ["zorbi"]
+
+
 def test_nulls_empty_tables_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "you idiot", 1), (2, "", 1), (2, "", 1), (3, "x" * 300_000, 1)],
                                  "doc_id long, text string, score int")
