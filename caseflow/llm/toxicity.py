@@ -178,7 +178,7 @@ def events(text: str | None, lexicon: Lexicon, machine: Machine) -> Counter:
 
 # --- learning ----------------------------------------------------------------
 
-STEM, LONGEST, SUPPORT, MAX_STEMS = 5, 9, 6, 5000
+STEM, LONGEST, SUPPORT, MAX_STEMS = 5, 12, 3, 5000
 
 
 def _stems(text: Column) -> Column:

@@ -57,6 +57,13 @@ def test_only_equal_sets_of_words_count_once(spark):
     assert T.learn_stems(spark.createDataFrame(rows, "doc_id long, text string, toxic long")) == ["zorbi"]
 
 
+def test_few_toxic_documents_and_long_beginnings_teach(spark):
+    rows = [(i, f"blatherinkoo{i} u{i} v{i}", 1) for i in range(4)]
+    rows += [(100 + i, f"blatherings x{i} y{i}", 0) for i in range(400)]
+    got = T.learn_stems(spark.createDataFrame(rows, "doc_id long, text string, toxic long"))
+    assert got == ["blatherink"]
+
+
 def test_nulls_empty_tables_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "you idiot", 1), (2, "", 1), (2, "", 1), (3, "x" * 300_000, 1)],
                                  "doc_id long, text string, score int")
