@@ -7,8 +7,9 @@ as one blank, all n-grams of 1 to 3 characters of the whole text hashed to
 2^15 buckets; ``(1 + ln count) * idf``, scaled to length 1.  Document
 frequencies are counted over all documents one may learn from.  The weights
 are fitted on a bounded sample of them: about ``per_lang`` documents for each
-of at most ``MAX_LANGS`` languages, drawn by a hash of doc_id; a fifth of the
-sample is kept from the weights and sets the temperature.
+language, drawn by a hash of doc_id; more than ``MAX_LANGS`` languages are an
+error, none is left out.  A fifth of the sample is kept from the weights and
+sets the temperature.
 """
 
 from __future__ import annotations
@@ -175,7 +176,9 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> Model:
     usable = train.where("lang is not null and text is not null").select(
         F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"))
-    per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(MAX_LANGS).collect()
+    per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(MAX_LANGS + 1).collect()
+    if len(per) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang: none is left out, and the weights of all do not fit the driver")
     df = np.zeros(BUCKETS + 1, dtype=np.int64)
     for r in (usable.select("text").mapInArrow(_frequencies, "bucket int, df long")
               .groupBy("bucket").agg(F.sum("df").alias("df")).collect()):

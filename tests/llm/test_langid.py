@@ -71,3 +71,14 @@ def test_nulls_no_letters_empty_tables_and_extra_columns(spark):
     assert L.predict(df.limit(0), m).count() == 0
     empty = L.fit(df.limit(0))
     assert {r.lang_pred for r in L.predict(df, empty).collect()} == {"und"}
+
+
+def test_languages_above_the_bound_are_an_error(spark, monkeypatch):
+    import pytest
+    rows = [(1, "the cat", "en"), (2, "der hund", "de"), (3, "le chat", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "MAX_LANGS", 3)
+    assert L.fit(df).langs == ["de", "en", "fr"]
+    monkeypatch.setattr(L, "MAX_LANGS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        L.fit(df)
