@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caseflow import schemas as K
 from caseflow.functions import literals as L
-from caseflow.operators.replay import replay
+from caseflow.operators.replay import replay, row_hash
 from caseflow.operators.portfolio import has_permission
 
 STAGE_NO = {s: i for i, s in enumerate(K.CASE_STAGES)}
@@ -82,12 +82,13 @@ def _case_inputs(cases: DataFrame, actions: DataFrame, identity: DataFrame):
                          "identifier_type").dropDuplicates(["customer_identifier"])
     c = c.join(ok, "customer_identifier", "left")
     s0 = _index(F.col("current_stage"), K.CASE_STAGES) * 2 + F.col("billing_prepared").cast("int")
+    actions = actions.withColumn("_given", row_hash(actions))
     a = actions.join(c.select("case_id", "locally_valid", s0.alias("s0")), "case_id", "left").select(
         "case_id", "action_no", "action", "quote_amount_usd",
         _index(F.col("action"), K.CASE_ACTIONS).alias("code"),
         F.coalesce(F.col("locally_valid"), F.lit(False)).alias("id_ok"),
         F.col("quote_amount_usd").isNotNull().alias("has_amount"),
-        "s0",
+        "s0", "_given",
     )
     return a, None, c
 
@@ -318,7 +319,7 @@ def replay_workflows(state: DataFrame, actions: DataFrame, chunk_size: int = 512
     start = state.select("contact_id", (_index(F.col("status"), WF_STATUSES) * 2
                                         + F.col("analysis").isNotNull().cast("int")).alias("s0"))
     draft = js_trim(F.col("draft_reply"))
-    a = actions.select("contact_id", "action_no", "action", draft.alias("draft"),
+    a = actions.select("contact_id", "action_no", "action", draft.alias("draft"), row_hash(actions).alias("_given"),
                        _index(F.col("action"), WF_ACTIONS).alias("code"),
                        F.coalesce(F.length(draft).between(5, 600), F.lit(False)).alias("draft_ok"))
     a = a.join(start, "contact_id", "left")

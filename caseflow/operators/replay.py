@@ -23,8 +23,9 @@ or sparse the numbers are and however many actions one key has.  Everything is
 native higher-order SQL functions (``aggregate`` / ``transform``), no Python
 worker and no job while the plan is built.
 
-Sequence numbers identify an action of its key.  A number that occurs more
-than once is ambiguous: all its rows are left out of the fold and returned by
+Sequence numbers identify an action of its key.  Equal rows of one number are
+one action delivered again and count once.  A number whose rows differ is
+ambiguous: all its rows are left out of the fold and returned by
 ``duplicate_actions``.
 """
 
@@ -46,9 +47,16 @@ def _part(number: Column, size: int) -> Column:
     return F.call_function("div", number - F.pmod(number, F.lit(size).cast("bigint")), F.lit(size).cast("bigint"))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row; tells a null from no column."""
+    return F.xxhash64(*(x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())))
+
+
 def duplicate_actions(actions: DataFrame, key: str, seq: str) -> DataFrame:
-    """The quarantine: actions whose (key, seq) occurs more than once."""
-    again = actions.groupBy(key, seq).agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
+    """The quarantine: actions whose (key, seq) occurs on rows that differ."""
+    again = (actions.withColumn("_row", row_hash(actions)).groupBy(key, seq)
+             .agg(F.count(F.lit(1)).alias("occurrences"), F.min("_row").alias("_low"), F.max("_row").alias("_high"))
+             .where("_low <> _high").drop("_low", "_high"))
     return actions.join(again, [key, seq])
 
 
@@ -79,6 +87,7 @@ def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: Dat
     """Fold ``actions`` per ``key`` in ``seq`` order.
 
     actions: key, seq (integer, not null) and ``fields`` read by ``step``;
+             all columns count when rows of one (key, seq) are compared;
              with ``start=None`` an ``s0`` column on every action row gives the
              key's initial state
     start:   key, ``s0`` (initial state, 0..n_states-1); keys without actions
@@ -93,10 +102,11 @@ def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: Dat
     # alone would otherwise be reused and keep a hot key in one task.  The
     # duplicate test groups by (key, chunk, seq) on the same distribution.
     a = (actions.select(F.col(key), _part(F.col(seq), chunk_size).alias("_chunk"),
-                        F.col(seq), rec.alias("_rec"), *extra)
+                        F.col(seq), rec.alias("_rec"), row_hash(actions).alias("_row"), *extra)
          .repartition(key, "_chunk").groupBy(key, "_chunk", seq)
-         .agg(F.count(F.lit(1)).alias("_n"), F.first("_rec").alias("_rec"), *[F.max(c).alias(c) for c in extra])
-         .where("_n = 1"))
+         .agg(F.min("_row").alias("_low"), F.max("_row").alias("_high"), F.first("_rec").alias("_rec"),
+              *[F.max(c).alias(c) for c in extra])
+         .where("_low = _high"))
     chunks = a.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list("_rec")).alias("_acts"),
                                           *[F.max(c).alias(c) for c in extra])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caseflow.operators import identity as OI
 from caseflow.operators import lifecycle as LC
+from caseflow.operators.replay import duplicate_actions
 from caseflow.plans import views as V
 from caseflow.plans.q_identity import _IDENT_CTE
 from caseflow.plans.registry import query
@@ -251,6 +252,30 @@ wwalk AS (
     FROM wwalk w JOIN wacts a ON a.contact_id = w.contact_id AND a.rn = w.rn + 1))"""
 
 
+@query("action_quarantine", """
+WITH canon(pos, action) AS (VALUES (1, 'complete_intake'), (2, 'validate_identity'), (3, 'complete_discovery'),
+  (4, 'prepare_quote'), (5, 'approve_quote'), (6, 'complete_service'), (7, 'prepare_billing'), (8, 'close_case')),
+walk AS (
+  SELECT o.*, c.pos * 10 AS action_no, c.action FROM orders o JOIN canon c ON c.pos <= least(o.o_orderkey % 10, 8)
+  UNION ALL SELECT *, 45, 'reject_quote' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 10 >= 4
+  UNION ALL SELECT *, 15, 'close_case' FROM orders WHERE o_orderkey % 13 = 0),
+acts AS (
+  SELECT 'case' AS log, 'case-' || CAST(o_orderkey AS VARCHAR) AS key, CAST(action_no AS BIGINT) AS action_no, action,
+    o_custkey || '|' || o_totalprice || '|' || o_orderdate AS more FROM walk
+  UNION ALL SELECT 'workflow', 'contact-' || CAST(o_custkey AS VARCHAR), o_orderkey,
+    CASE (o_orderkey // 7) % 5 WHEN 0 THEN 'analyze' WHEN 1 THEN 'draft' WHEN 2 THEN 'approve' WHEN 3 THEN 'reject'
+      ELSE 'billing_review' END, '' FROM orders),
+again AS (SELECT log, key, action_no, count(*) AS occurrences FROM acts GROUP BY log, key, action_no
+          HAVING count(DISTINCT (action, more)) > 1)
+SELECT log, key, action_no, action, occurrences FROM acts JOIN again USING (log, key, action_no)""")
+def q_action_quarantine(t):
+    def rows(log, actions, key):
+        return duplicate_actions(actions, key, "action_no").select(
+            F.lit(log).alias("log"), F.col(key).alias("key"), F.col("action_no").cast("bigint").alias("action_no"),
+            "action", "occurrences")
+    return rows("case", V.case_actions(t), "case_id").unionByName(rows("workflow", V.workflow_actions(t), "contact_id"))
+
+
 @query("workflow_log", _WF_WALK + """
 SELECT contact_id, action_no, action, err IS NULL AS accepted, err AS error, status AS status_after
 FROM wwalk WHERE rn > 0""")

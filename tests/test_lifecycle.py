@@ -136,3 +136,15 @@ def test_workflow_replay(spark):
     assert errs[("ct2", 2)] == "analysis_required"
     assert errs[("ct2", 4)] == "invalid_draft"
     assert f["ct2"]["status"] == "awaiting_approval"
+
+
+def test_redelivered_action_counts_once_and_conflicts_are_quarantined(spark):
+    from caseflow.operators.replay import duplicate_actions, replay
+    acts = list(LC.ACTION_NO)
+    rows = [("a", 1, acts[0], None), ("a", 1, acts[0], None), ("b", 1, acts[0], None), ("b", 1, acts[0], "u")]
+    df = spark.createDataFrame(rows, "k string, n bigint, action string, actor string").withColumns(
+        {"code": LC._index(F.col("action"), list(LC.ACTION_NO)), "id_ok": F.lit(True), "has_amount": F.lit(True)})
+    start = spark.createDataFrame([("a", 0), ("b", 0)], "k string, s0 int")
+    got = replay(df, "k", "n", ["code", "id_ok", "has_amount"], start, 16, LC.case_step).collect()
+    assert [(r.k, r.n) for r in got] == [("a", 1)]
+    assert sorted((r.k, r.occurrences) for r in duplicate_actions(df, "k", "n").collect()) == [("b", 2), ("b", 2)]
