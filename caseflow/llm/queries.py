@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import (
-    chat_template, decontaminate, host_quality, langid, line_dedup, packing, superminhash, toxicity, url_trust, warc,
+    chat_template, conversation_repair, decontaminate, host_quality, langid, line_dedup, packing, superminhash, toxicity,
+    url_trust, warc,
 )
 from caseflow.llm.common import table
 
@@ -79,6 +80,12 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at least cost."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_pattern_grammar": op2_pattern_grammar,
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ftrl_langid": op8_ftrl_langid,
     "op9_host_quality": op9_host_quality,
     "op10_best_fit": op10_best_fit,
+    "op13_auction_repair": op13_auction_repair,
 }
 
 ORACLES: dict[str, str] = {
