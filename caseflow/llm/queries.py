@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import (
-    chat_template, conversation_repair, decontaminate, host_quality, langid, line_dedup, packing, superminhash, toxicity,
-    url_trust, warc,
+    ball_tree, chat_template, conversation_repair, decontaminate, host_quality, langid, line_dedup, packing, superminhash,
+    toxicity, url_trust, warc,
 )
 from caseflow.llm.common import table
 
@@ -80,6 +80,11 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by rule and repaired at least cost."""
     turns = table(spark, sf_dir, "conversations")
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ftrl_langid": op8_ftrl_langid,
     "op9_host_quality": op9_host_quality,
     "op10_best_fit": op10_best_fit,
+    "op12_ball_tree": op12_ball_tree,
     "op13_auction_repair": op13_auction_repair,
 }
 
@@ -106,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op6_chat_template": chat_template.ORACLE_SQL,
     "op7_line_join": line_dedup.ORACLE_SQL,
     "op9_host_quality": host_quality.ORACLE_SQL,
+    "op12_ball_tree": ball_tree.ORACLE_SQL,
 }

@@ -86,13 +86,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a chunk, in order, and the word count per row."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a chunk, in order, and the word count per row;
+    ``space`` marks the bytes that separate words."""
     rows = len(offsets) - 1
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(rows, np.int64)
     low = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
