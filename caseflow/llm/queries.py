@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import (
     ball_tree, chat_template, conversation_repair, decontaminate, host_quality, langid, line_dedup, packing, superminhash,
-    toxicity, url_trust, warc,
+    toxicity, trie_join, url_trust, warc,
 )
 from caseflow.llm.common import table
 
@@ -80,6 +80,11 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents on 4-word shingles at similarity 0.85."""
+    return trie_join.components(table(spark, sf_dir, "documents"))
+
+
 def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for every benchmark item."""
     return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ftrl_langid": op8_ftrl_langid,
     "op9_host_quality": op9_host_quality,
     "op10_best_fit": op10_best_fit,
+    "op11_trie_join": op11_trie_join,
     "op12_ball_tree": op12_ball_tree,
     "op13_auction_repair": op13_auction_repair,
 }
