@@ -63,20 +63,31 @@ def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def _sets(k: int, percent: int):
-    """doc_id, n, two hashes of the set, its first shingles by hash, all."""
+def _firsts(k: int, percent: int):
+    """doc_id, two hashes of the text, n, two hashes of the set, its first
+    shingles by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, rows, data, offsets in S.chunks(batch.column(1)):
+            for at, rows, data, offsets in S.chunks(batch.column(3)):
                 hashes, n = S.shingle_sets(data, offsets, k)
                 first = n - -(-percent * n // 100) + np.where(n > 0, np.maximum(1, n // 10), 0)
                 first = np.minimum(first, n)
                 spot = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
                 values = hashes.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), pa.array(n), pa.array(_fold(hashes, n, 0x2B992DDF)),
-                     pa.array(_fold(hashes, n, 0x6C8E9CF5)), _lists(first, values[spot < np.repeat(first, n)]), _lists(n, values)],
-                    names=["doc_id", "n", "f1", "f2", "first", "shingles"])
+                    [*(batch.column(c).slice(at, rows) for c in range(3)), pa.array(n), pa.array(_fold(hashes, n, 0x2B992DDF)),
+                     pa.array(_fold(hashes, n, 0x6C8E9CF5)), _lists(first, values[spot < np.repeat(first, n)])],
+                    names=["doc_id", "t1", "t2", "n", "f1", "f2", "first"])
+    return run
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, rows, data, offsets in S.chunks(batch.column(1)):
+                hashes, n = S.shingle_sets(data, offsets, k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, rows), pa.array(n), _lists(n, hashes.view(np.int64))], names=["cls", "n", "hashes"])
     return run
 
 
@@ -269,11 +280,13 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
     docs = written(texts.mapInArrow(
-        _sets(k, percent), "doc_id long, n long, f1 long, f2 long, first array<long>, shingles array<long>")
-        .withColumn("row", F.monotonically_increasing_id()), "sets", TEXT_ROWS)
+        _firsts(k, percent), "doc_id long, t1 long, t2 long, n long, f1 long, f2 long, first array<long>")
+        .withColumn("row", F.monotonically_increasing_id()), "firsts", TEXT_ROWS)
     classes = written(docs.where("n > 0").groupBy("n", "f1", "f2").agg(
-        F.min("row").alias("cls"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+        F.min("row").alias("cls"), F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("least"),
+        F.count(F.lit(1)).alias("copies")), "classes")
 
     # step 2: classes with enough of their first shingles in other classes
     firsts = (docs.join(sized(classes.select(F.col("cls").alias("row")), _FEW), "row", "left_semi")
@@ -281,11 +294,11 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     common = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     enough = F.greatest(F.lit(1), F.floor(_need(F.col("n"), percent) / 10))
     some = written(firsts.join(common, "h").groupBy("cls", "n").agg(F.count(F.lit(1)).alias("hits"))
-                   .where(F.col("hits") >= enough).select("cls"), "some")
+                   .where(F.col("hits") >= enough).join(classes.select("cls", "t.*"), "cls").select("cls", "t1", "t2"), "some")
 
     # step 3: shareable shingles of the classes left, rarest first
-    sets = docs.join(sized(some.select(F.col("cls").alias("row")), _FEW), "row", "left_semi").select(
-        F.col("row").alias("cls"), "n", F.col("shingles").alias("hashes"))
+    sets = written(texts.join(sized(some, _FEW), ["t1", "t2"]).dropDuplicates(["cls"]).select("cls", "text")
+                   .mapInArrow(_sets(k), "cls long, n long, hashes array<long>"), "sets", TEXT_ROWS)
     for _ in range(PEELS):
         each = sets.select("cls", "n", F.explode("hashes").alias("h"))
         often = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
