@@ -1,9 +1,6 @@
-"""Structured Streaming forms of the lifecycle and the audit ingest
-(T7-T10).
+"""Structured Streaming forms of the audit ingest and its rates (T8-T10); the
+case replay (T7) is in ``case_state``.
 
-* ``stream_cases``: the case guard fold kept as keyed state, one state value
-  per case (``applyInPandasWithState``); actions must arrive in sequence
-  order per case (later micro-batches never carry earlier actions).
 * ``stream_events``: exactly-once audit ingest without a watermark: late and
   repeated deliveries are told by the event id alone.
 * ``stream_request_rate`` / ``stream_health_windows``: windowed aggregates
@@ -15,74 +12,11 @@ sit next to them, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caseflow import schemas as K
-from caseflow.operators.access import latest_per_key
-
-from caseflow.operators.lifecycle import py_case_step as case_step  # noqa: E402  (shared guard rule)
-
-
-CASE_STATE = T.StructType([
-    T.StructField("stage", T.StringType()), T.StructField("billing", T.BooleanType()),
-    T.StructField("status", T.StringType()), T.StructField("approval", T.StringType()),
-    T.StructField("last_no", T.LongType()), T.StructField("accepted", T.LongType()),
-    T.StructField("rejected", T.LongType()),
-])
-CASE_OUT = T.StructType([
-    T.StructField("case_id", T.StringType()), T.StructField("current_stage", T.StringType()),
-    T.StructField("status", T.StringType()), T.StructField("quote_approval", T.StringType()),
-    T.StructField("billing_prepared", T.BooleanType()), T.StructField("accepted_actions", T.LongType()),
-    T.StructField("rejected_actions", T.LongType()), T.StructField("last_action_no", T.LongType()),
-])
-
-
-def _fold_case(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        stage, billing, status, approval, last_no, acc, rej = state.get
-    else:
-        stage, billing, status, approval, last_no, acc, rej = "intake", False, "open", "not_requested", -1, 0, 0
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("action_no", kind="stable")
-    for r in rows.itertuples(index=False):
-        stage, billing, err = case_step(stage, bool(billing), r.action, bool(r.id_ok), bool(r.has_amount))
-        if err == 0:
-            acc += 1
-            status = K.STATUS_BY_ACTION.get(r.action, "open")
-            approval = {"prepare_quote": "pending", "approve_quote": "approved",
-                        "reject_quote": "rejected"}.get(r.action, approval)
-        else:
-            rej += 1
-        last_no = max(int(last_no), int(r.action_no))
-    state.update((stage, bool(billing), status, approval, int(last_no), int(acc), int(rej)))
-    yield pd.DataFrame([{
-        "case_id": key[0], "current_stage": stage, "status": status, "quote_approval": approval,
-        "billing_prepared": bool(billing), "accepted_actions": int(acc), "rejected_actions": int(rej),
-        "last_action_no": int(last_no)}])
-
-
-def stream_cases(spark: SparkSession, actions_dir: str, actions_schema: T.StructType, sink_dir: str,
-                 checkpoint_dir: str, max_files_per_trigger: int = 8) -> DataFrame:
-    """Run the case fold as a stream over an action landing folder until all
-    available files are processed; return the latest state per case."""
-    src = (spark.readStream.schema(actions_schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(actions_dir))
-    folded = src.groupBy("case_id").applyInPandasWithState(
-        _fold_case, CASE_OUT, CASE_STATE, "Update", GroupStateTimeout.NoTimeout)
-
-    def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink_dir)
-
-    q = (folded.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.parquet(sink_dir)
-    return latest_per_key(out, ["case_id"], [F.col("batch_id")]).drop("batch_id")
 
 
 def stream_events(spark: SparkSession, events_dir: str, schema: T.StructType, sink_dir: str,

@@ -10,8 +10,6 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-SKIP = {"stream_cases"}  # slow in a unit run; covered by the driver comparison
-
 
 def _norm(v):
     if v is None:
@@ -39,7 +37,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SKIP))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
