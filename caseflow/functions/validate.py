@@ -285,6 +285,14 @@ def invitation_create_rules() -> list[Rule]:  # V9, the request
     ]
 
 
+def member_update_rules() -> list[Rule]:  # T12, the request
+    return [
+        ("role", bad_enum("role", K.INVITABLE_ROLES)),
+        ("permissions", bad_array_enum("permissions", K.PERMISSIONS)),
+        ("status", bad_enum("status", ["active", "suspended"])),
+    ]
+
+
 def profile_update_rules(checksum: bool = True) -> list[Rule]:  # V10
     """``checksum=False``: the form alone, without the tax id's check digit and
     the rule that a company has a RUC."""

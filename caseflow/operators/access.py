@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import schemas as K
+from caseflow.functions.validate import errors, member_update_rules
 from caseflow.operators.portfolio import has_permission
+from caseflow.operators.sequence import last_value_before
 from caseflow.plans.views import role_defaults
+from caseflow.sources.io import stored
 
 
 def tenant_scope(df: DataFrame, tenant_id: str) -> DataFrame:
@@ -147,29 +150,69 @@ def user_status(users: DataFrame, memberships: DataFrame) -> DataFrame:
 
 
 def apply_member_updates(memberships: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply role / permission / status updates.
-
-    updates: update_no, tenant_id, user_id (target), actor_user_id, role,
-    permissions, status.  The actor needs an active membership with
-    ``members.manage`` (or the owner role); an owner's row changes only when
-    the actor is an owner.  Authorisation reads the memberships as they were
-    before the batch.  Returns (decisions, memberships after the batch).
+    """Apply role / permission / status updates one after the other.
+
+    updates: update_no (order within a tenant, one row each; equal rows count
+    once), tenant_id, user_id (target), actor_user_id, role, permissions,
+    status.  Each update is judged on the memberships as all earlier updates
+    left them, in this order: the actor needs an active membership with
+    ``members.manage`` (or the owner role); the request must pass
+    ``member_update_rules`` (nobody is made an owner); the target must exist; an
+    owner's row changes only when the actor is an owner.  Returns (decisions,
+    memberships after the batch).
+
+    The order is a dependency between actors, not a loop over rows.  A round
+    settles all updates whose actor is no target of an earlier open update; the
+    actor's rights then follow from the accepted updates on the actor, looked up
+    as of the update's number.  Whether a target still is an owner follows from
+    one minimum: only an owner's update can end that, and it does.  A round
+    settles at least the first open update of every tenant, so the number of
+    rounds is the length of the longest chain of actors updating actors.
     """
-    m = memberships.select("tenant_id", "user_id", F.col("role").alias("t_role"))
-    a = active_memberships(memberships).select(
-        "tenant_id", F.col("user_id").alias("actor_user_id"), F.col("role").alias("a_role"),
-        F.col("permissions").alias("a_perms"))
-    j = updates.join(a, ["tenant_id", "actor_user_id"], "left").join(m, ["tenant_id", "user_id"], "left")
-    err = (
-        F.when(F.col("a_role").isNull() | ~has_permission(F.col("a_role"), F.col("a_perms"), "members.manage"),
-               "member_management_forbidden")
-        .when(F.col("t_role").isNull(), "membership_not_found")
-        .when((F.col("t_role") == "platform_owner") & (F.col("a_role") != "platform_owner"), "platform_owner_protected")
-    )
-    decisions = j.select("update_no", "tenant_id", "user_id", "actor_user_id", "role", "permissions", "status",
-                         err.alias("error"))
-    ok = decisions.where(F.col("error").isNull())
-    latest = latest_per_key(ok.select("tenant_id", "user_id", "update_no", "role", "permissions", "status"),
+    state = F.struct("role", "permissions", "status")
+    before = memberships.select("tenant_id", "user_id", state.alias("m"))
+    todo = (updates.select("update_no", "tenant_id", "user_id", "actor_user_id", "role", "permissions", "status").distinct()
+            .withColumn("valid", F.size(errors(member_update_rules())) == 0)
+            .join(before.select("tenant_id", "user_id", F.col("m.role").alias("t_role")), ["tenant_id", "user_id"], "left")
+            .join(before.select("tenant_id", F.col("user_id").alias("actor_user_id"), F.col("m").alias("a_before")),
+                  ["tenant_id", "actor_user_id"], "left"))
+    todo = stored(todo, "member-updates")
+    columns, done = todo.columns, None
+    while True:
+        if done is None:
+            now = todo.withColumn("a", F.col("a_before"))
+            changed = todo.where("false").select("tenant_id", "user_id", F.col("update_no").alias("changed"))
+        else:
+            ok = done.where("error is null")
+            # of odd and even numbers, a change counts from the next update on
+            values = ok.select("tenant_id", F.col("user_id").alias("actor_user_id"), (2 * F.col("update_no") + 1).alias("at"),
+                               state.alias("m"))
+            now = last_value_before(values, todo.withColumn("at", 2 * F.col("update_no")), ["tenant_id", "actor_user_id"],
+                                    "at", "m", "a").withColumn("a", F.coalesce("a", "a_before"))
+            changed = ok.groupBy("tenant_id", "user_id").agg(F.min("update_no").alias("changed"))
+        first = todo.groupBy("tenant_id", F.col("user_id").alias("actor_user_id")).agg(F.min("update_no").alias("first"))
+        no, a_role = F.col("update_no"), F.col("a.role")
+        settled = F.coalesce(F.col("first") >= no, F.lit(True))
+        allowed = settled & F.coalesce((F.col("a.status") == "active")
+                                       & has_permission(a_role, F.col("a.permissions"), "members.manage"), F.lit(False))
+        now = (now.join(first, ["tenant_id", "actor_user_id"], "left").withColumn("settled", settled)
+               .withColumn("allowed", allowed).withColumn("by_owner", F.col("allowed") & (a_role == "platform_owner")))
+        ends = now.groupBy("tenant_id", "user_id").agg(
+            F.min(F.when(~F.col("settled"), no)).alias("wait"),
+            F.min(F.when(F.col("by_owner") & F.col("valid"), no)).alias("ended"))
+        owner = F.coalesce(F.col("t_role") == "platform_owner", F.lit(False))
+        free = ~owner | F.col("by_owner") | F.coalesce(F.least("ended", "changed") < no, F.lit(False))
+        error = (F.when(~F.col("allowed"), "member_management_forbidden").when(~F.col("valid"), "invalid_member_update")
+                 .when(F.col("t_role").isNull(), "membership_not_found").when(~free, "platform_owner_protected"))
+        judged = stored(now.join(ends, ["tenant_id", "user_id"], "left").join(changed, ["tenant_id", "user_id"], "left")
+                        .select(*columns, error.alias("error"), (F.col("settled") & (
+                            ~owner | F.coalesce(F.col("wait") > no, F.lit(True)))).alias("decided")), "member-decisions")
+        fresh = judged.where("decided").drop("decided")
+        done = fresh if done is None else done.unionByName(fresh)
+        todo = judged.where("not decided").select(*columns)
+        if todo.isEmpty():
+            break
+    latest = latest_per_key(done.where("error is null").select("tenant_id", "user_id", "update_no", "role", "permissions", "status"),
                             ["tenant_id", "user_id"], [F.col("update_no")]).select(
         "tenant_id", "user_id", F.col("role").alias("n_role"), F.col("permissions").alias("n_perms"),
         F.col("status").alias("n_status"))
@@ -178,7 +221,7 @@ def apply_member_updates(memberships: DataFrame, updates: DataFrame) -> tuple[Da
         F.coalesce("n_role", "role").alias("role"), F.coalesce("n_perms", "permissions").alias("permissions"),
         F.coalesce("n_status", "status").alias("status"),
         F.col("n_role").isNotNull().alias("updated"))
-    return decisions.drop("permissions"), after
+    return done.select("update_no", "tenant_id", "user_id", "actor_user_id", "role", "status", "error"), after
 
 
 def role_permissions(memberships: DataFrame) -> DataFrame:

@@ -10,18 +10,19 @@ therefore never needs one key's whole history in one place:
 2. each chunk is folded from *every* possible start state, giving a small
    transition table (``n_states`` integers) per chunk;
 3. tables are composed level by level: ``fan`` neighbouring chunks to a block,
-   ``fan`` neighbouring blocks to a larger one, and so on up to the width of a
-   64-bit sequence number, where one table per key is left;
+   ``fan`` neighbouring blocks to a larger one, and so on until the tables of
+   the key with the widest span of chunks fit into one group;
 4. the key's initial state is handed down the levels, block by block, until
    every chunk has its true start state;
 5. each chunk is folded once more from its start state and exploded into one
    output row per action with the state before and after it and the error.
 
-The number of levels is fixed by ``chunk_size`` and ``fan`` alone, and no
-group holds more than ``chunk_size`` actions or ``fan`` tables, however dense
-or sparse the numbers are and however many actions one key has.  Everything is
-native higher-order SQL functions (``aggregate`` / ``transform``), no Python
-worker and no job while the plan is built.
+The number of levels is the logarithm of that span (none where every key has
+one chunk), and no group holds more than ``chunk_size`` actions or ``fan`` tables, however dense
+or sparse the numbers are and however many actions one key has.  The chunks are
+written to the shared checkpoint folder once, since every level reads them;
+keys with a single chunk need no level.  Everything is native higher-order SQL
+functions (``aggregate`` / ``transform``), no Python worker.
 
 Sequence numbers identify an action of its key.  Equal rows of one number are
 one action delivered again and count once.  A number whose rows differ is
@@ -36,6 +37,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.sources.io import stored
+
 Step = Callable[[Column, Column], tuple[Column, Column]]
 
 FAN = 16_384
@@ -113,38 +116,50 @@ def replay(actions: DataFrame, key: str, seq: str, fields: list[str], start: Dat
     def nxt(s, x):
         return step(s, x)[0]
 
+    # the input is read and cut once; everything below reads the written chunks
+    chunks = stored(chunks, "replay-chunks")
+    several = chunks.groupBy(key).agg(F.min("_chunk").alias("_low"), F.max("_chunk").alias("_high"), *[
+        F.max(c).alias(c) for c in extra])
+    if start is not None:
+        several = several.join(start.select(key, "s0"), key, "left")
+    several = several.withColumn("s0", F.coalesce("s0", F.lit(0)).cast("int"))
+    # a key with one chunk knows its start state, the others go through the levels
+    single = several.where("_low = _high").select(key, F.col("_low").alias("_chunk"), "s0")
+    several_span = several.agg(F.max(F.col("_high") - F.col("_low"))).first()[0] or 0
+    several = several.where("_low < _high").select(key, "s0")
+
     every = F.sequence(F.lit(0), F.lit(n_states - 1))
     # 2. transition table of every chunk
     table = F.transform(every, lambda s0: F.aggregate(F.col("_acts"), s0, nxt))
-    level = chunks.select(key, F.col("_chunk").alias("_id"), table.alias("_fn"), *extra)
+    level = (chunks.drop(*extra).join(several.select(key), key, "left_semi")
+             .select(key, F.col("_chunk").alias("_id"), table.alias("_fn")))
 
-    # 3. compose, fan tables at a time, up to the width of the numbers
+    # 3. compose, fan tables at a time, until the widest key fits into one group
     blocks = []
-    width = (1 << 63) // chunk_size
-    while True:
+    width = several_span + 1
+    while several_span:
         top = width <= fan
         block = F.lit(0).cast("bigint") if top else _part(F.col("_id"), fan)
         group = level.withColumn("_block", block).groupBy(key, "_block").agg(
-            F.array_sort(F.collect_list(F.struct(F.col("_id").alias("c"), F.col("_fn").alias("fn")))).alias("_fns"),
-            *[F.max(c).alias(c) for c in extra])
-        blocks.append(group.drop(*extra) if not top else group)
+            F.array_sort(F.collect_list(F.struct(F.col("_id").alias("c"), F.col("_fn").alias("fn")))).alias("_fns"))
+        blocks.append(group)
         if top:
             break
         composed = F.transform(every, lambda s0: F.aggregate("_fns", s0, lambda s, m: F.element_at(m["fn"], s + 1)))
-        level = group.select(key, F.col("_block").alias("_id"), composed.alias("_fn"), *extra)
-        width = -(-width // fan)
+        level = group.select(key, F.col("_block").alias("_id"), composed.alias("_fn"))
+        width = width // fan + 2
 
     # 4. hand the start state down
-    last = blocks.pop()
-    if start is not None:
-        last = last.join(start.select(key, "s0"), key, "left")
-    last = last.withColumn("s0", F.coalesce("s0", F.lit(0)).cast("int"))
-    while True:
-        starts = last.select(key, F.explode(_start_states()).alias("x")).select(
-            key, F.col("x.c").alias("_block"), F.col("x.s").alias("s0"))
-        if not blocks:
-            break
-        last = blocks.pop().join(starts, [key, "_block"])
+    starts = single.withColumnRenamed("_chunk", "_block")
+    if blocks:
+        last = blocks.pop().join(several, key)
+        while True:
+            handed = last.select(key, F.explode(_start_states()).alias("x")).select(
+                key, F.col("x.c").alias("_block"), F.col("x.s").alias("s0"))
+            if not blocks:
+                break
+            last = blocks.pop().join(handed, [key, "_block"])
+        starts = starts.unionByName(handed)
 
     # 5. fold each chunk from its true start state, emit one row per action
     j = chunks.drop(*extra).join(starts.withColumnRenamed("_block", "_chunk"), [key, "_chunk"])

@@ -142,40 +142,75 @@ def q_user_status(t):
 
 
 _UPD = """
-admins AS (SELECT c_nationkey, min(c_custkey) AS a FROM customer WHERE c_custkey % 4 = 1 AND c_custkey % 17 <> 0
-  GROUP BY c_nationkey),
+per AS (SELECT c_nationkey AS n, min(c_custkey) FILTER (WHERE c_custkey % 4 = 1 AND c_custkey % 17 <> 0) AS admin,
+    min(c_custkey) FILTER (WHERE c_custkey % 4 = 0 AND c_custkey % 17 <> 0) AS owner,
+    min(c_custkey) FILTER (WHERE c_custkey % 21 = 0) AS s1, min(c_custkey) FILTER (WHERE c_custkey % 7 = 2) AS s2,
+    min(c_custkey) FILTER (WHERE c_custkey % 7 = 4) AS s3, min(c_custkey) FILTER (WHERE c_custkey % 7 = 5) AS s4
+  FROM customer GROUP BY c_nationkey),
+sev AS (SELECT c_custkey AS k, per.* FROM customer JOIN per ON n = c_nationkey WHERE c_custkey % 7 = 0),
+vw AS (SELECT ['cases.view'] AS v, ['cases.view', 'members.manage'] AS m, ['cases.view', 'cases.manage'] AS b),
+raw AS (
+  SELECT n, admin AS a, k AS t, k * 20 AS no, 'customer' AS role, v AS p, 'active' AS status FROM sev, vw
+  UNION ALL SELECT n, owner, k, k * 20 + 5, 'customer', v, 'active' FROM sev, vw WHERE k % 28 = 0
+  UNION ALL SELECT n, admin, k, k * 20 + 10, 'collaborator', CASE WHEN k % 21 = 0 THEN m ELSE b END,
+    CASE WHEN k % 2 = 0 AND k % 21 <> 0 THEN 'suspended' ELSE 'active' END FROM sev, vw
+  UNION ALL SELECT n, admin, k, k * 20 + 12, 'platform_owner', b, 'active' FROM sev, vw WHERE k % 35 = 0
+  UNION ALL SELECT n, s1, admin, s1 * 20 + 15, 'administrator', v, 'active' FROM per, vw
+  UNION ALL SELECT n, s1, s2, s1 * 20 + 16, 'collaborator', m, 'active' FROM per, vw
+  UNION ALL SELECT n, s2, s3, s1 * 20 + 17, 'collaborator', m, 'active' FROM per, vw
+  UNION ALL SELECT n, s3, s4, s1 * 20 + 18, 'administrator', m, 'active' FROM per, vw
+  UNION ALL SELECT n, s4, s1, s1 * 20 + 19, 'collaborator', m, 'suspended' FROM per, vw
+  UNION ALL SELECT n, s1, s2, s1 * 20 + 21, 'customer', v, 'active' FROM per, vw
+  UNION ALL SELECT n, owner, admin, s1 * 20 + 2000, 'administrator', m, 'active' FROM per, vw),
 upd AS (
-  SELECT 'tenant-' || CAST(c.c_nationkey AS VARCHAR) AS tenant_id, 'user-' || CAST(c.c_custkey AS VARCHAR) AS user_id,
-    'user-' || CAST(a.a AS VARCHAR) AS actor_user_id, c.c_custkey * 2 + x.s AS update_no,
-    CASE WHEN x.s = 0 THEN 'customer' ELSE 'collaborator' END AS role,
-    CASE WHEN x.s = 1 AND c.c_custkey % 2 = 0 THEN 'suspended' ELSE 'active' END AS status
-  FROM customer c JOIN admins a ON a.c_nationkey = c.c_nationkey, (VALUES (0), (1)) x(s)
-  WHERE c.c_custkey % 7 = 0),
-dec AS (
-  SELECT u.*, CASE WHEN ar.role IS NULL OR NOT (ar.role = 'platform_owner' OR list_contains(ar.permissions,
-      'members.manage')) THEN 'member_management_forbidden'
-    WHEN tm.role IS NULL THEN 'membership_not_found'
-    WHEN tm.role = 'platform_owner' AND ar.role <> 'platform_owner' THEN 'platform_owner_protected' END AS error
-  FROM upd u
-  LEFT JOIN memberships_v ar ON ar.tenant_id = u.tenant_id AND ar.user_id = u.actor_user_id AND ar.status = 'active'
-  LEFT JOIN memberships_v tm ON tm.tenant_id = u.tenant_id AND tm.user_id = u.user_id)"""
-
-
-@query("member_update_decisions", with_views(", " + _UPD.strip() + """
-SELECT update_no, tenant_id, user_id, actor_user_id, role, status, error FROM dec""", *_M).replace(
-    "\n, admins", ",\nadmins"))
+  SELECT 'tenant-' || CAST(n AS VARCHAR) AS tenant_id, 'user-' || CAST(t AS VARCHAR) AS user_id,
+    'user-' || CAST(a AS VARCHAR) AS actor_user_id, CAST(no AS BIGINT) AS update_no, role, p AS permissions, status,
+    row_number() OVER (PARTITION BY n ORDER BY no) AS rn
+  FROM raw WHERE a IS NOT NULL AND t IS NOT NULL AND no IS NOT NULL),
+given AS (SELECT tenant_id, user_id, {'role': role, 'permissions': permissions, 'status': status} AS m
+  FROM memberships_v),
+walk AS (
+  SELECT DISTINCT tenant_id, CAST(0 AS BIGINT) AS rn, CAST(MAP {} AS MAP(VARCHAR, STRUCT(role VARCHAR,
+      permissions VARCHAR[], status VARCHAR))) AS st,
+    CAST(NULL AS BIGINT) AS update_no, '' AS user_id, '' AS actor_user_id, '' AS role, '' AS status,
+    CAST(NULL AS VARCHAR) AS error
+  FROM upd
+  UNION ALL
+  SELECT tenant_id, rn, CASE WHEN error IS NULL THEN map_concat(st, MAP {user_id:
+      {'role': role, 'permissions': permissions, 'status': status}}) ELSE st END,
+    update_no, user_id, actor_user_id, role, status, error
+  FROM (
+    SELECT *, CASE WHEN a IS NULL OR a.status <> 'active' OR NOT (a.role = 'platform_owner'
+          OR list_contains(a.permissions, 'members.manage')) THEN 'member_management_forbidden'
+        WHEN role NOT IN ('administrator', 'collaborator', 'customer') THEN 'invalid_member_update'
+        WHEN g IS NULL THEN 'membership_not_found'
+        WHEN g.role = 'platform_owner' AND a.role <> 'platform_owner' THEN 'platform_owner_protected' END AS error
+    FROM (
+      SELECT u.*, w.st, coalesce(map_extract(w.st, u.actor_user_id)[1], ga.m) AS a,
+        coalesce(map_extract(w.st, u.user_id)[1], gt.m) AS g
+      FROM walk w JOIN upd u ON u.tenant_id = w.tenant_id AND u.rn = w.rn + 1
+      LEFT JOIN given ga ON ga.tenant_id = u.tenant_id AND ga.user_id = u.actor_user_id
+      LEFT JOIN given gt ON gt.tenant_id = u.tenant_id AND gt.user_id = u.user_id))),
+dec AS (SELECT * FROM walk WHERE rn > 0)"""
+
+
+def _walk_sql(tail):
+    return with_views(", " + _UPD.strip() + tail, *_M).replace("\n, per", ",\nper").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("member_update_decisions", _walk_sql("""
+SELECT update_no, tenant_id, user_id, actor_user_id, role, status, error FROM dec"""))
 def q_member_update_decisions(t):
     d, _ = AC.apply_member_updates(V.memberships(t), V.member_updates(t))
     return d
 
 
-@query("apply_member_updates", with_views(", " + _UPD.strip() + """,
+@query("apply_member_updates", _walk_sql(""",
 win AS (SELECT tenant_id, user_id, arg_max(role, update_no) AS role, arg_max(status, update_no) AS status
   FROM dec WHERE error IS NULL GROUP BY ALL)
 SELECT m.id, m.tenant_id, m.user_id, coalesce(w.role, m.role) AS role, coalesce(w.status, m.status) AS status,
   w.role IS NOT NULL AS updated
-FROM memberships_v m LEFT JOIN win w ON w.tenant_id = m.tenant_id AND w.user_id = m.user_id""", *_M).replace(
-    "\n, admins", ",\nadmins"))
+FROM memberships_v m LEFT JOIN win w ON w.tenant_id = m.tenant_id AND w.user_id = m.user_id"""))
 def q_apply_member_updates(t):
     _, after = AC.apply_member_updates(V.memberships(t), V.member_updates(t))
     return after.drop("permissions")

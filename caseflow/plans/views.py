@@ -454,25 +454,50 @@ def case_lookups(t: Tables) -> DataFrame:
 
 
 def member_updates(t: Tables) -> DataFrame:
-    """Updates issued by each nation's first active administrator on every
-    seventh customer's membership (two updates each, the later one wins)."""
-    c = t.customer
-    admins = c.where((c.c_custkey % 4 == 1) & (c.c_custkey % 17 != 0)).groupBy("c_nationkey").agg(
-        F.min("c_custkey").alias("admin_key"))
-    j = c.where(c.c_custkey % 7 == 0).join(admins, "c_nationkey", "inner")
-    k = j.c_custkey
-    base = j.select(
-        F.concat(F.lit("tenant-"), _s(j.c_nationkey)).alias("tenant_id"),
-        F.concat(F.lit("user-"), _s(k)).alias("user_id"),
-        F.concat(F.lit("user-"), _s(j.admin_key)).alias("actor_user_id"), k.alias("k"))
-    first = base.select("tenant_id", "user_id", "actor_user_id", (F.col("k") * 2).alias("update_no"),
-                        F.lit("customer").alias("role"), F.array(F.lit("cases.view")).alias("permissions"),
-                        F.lit("active").alias("status"))
-    second = base.select("tenant_id", "user_id", "actor_user_id", (F.col("k") * 2 + 1).alias("update_no"),
-                         F.lit("collaborator").alias("role"),
-                         F.array(F.lit("cases.view"), F.lit("cases.manage")).alias("permissions"),
-                         F.when(F.col("k") % 2 == 0, "suspended").otherwise("active").alias("status"))
-    return first.unionByName(second)
+    """Update requests by the rules of FIXTURES.md: each nation's first active
+    administrator on every seventh customer, requests that no rule set passes,
+    owners on owners, and a chain of members who are given rights by the batch,
+    use them, and lose them again."""
+    c = t.customer.select("c_custkey", "c_nationkey")
+    k = c.c_custkey
+
+    def first(cond):
+        return F.min(F.when(cond, k))
+    per = c.groupBy("c_nationkey").agg(
+        first((k % 4 == 1) & (k % 17 != 0)).alias("admin"), first((k % 4 == 0) & (k % 17 != 0)).alias("owner"),
+        first(k % 21 == 0).alias("s1"), first(k % 7 == 2).alias("s2"), first(k % 7 == 4).alias("s3"),
+        first(k % 7 == 5).alias("s4"))
+    seventh = c.where(k % 7 == 0).join(per, "c_nationkey")
+    view, manage = F.array(F.lit("cases.view")), F.array(F.lit("cases.view"), F.lit("members.manage"))
+    both = F.array(F.lit("cases.view"), F.lit("cases.manage"))
+    user = lambda x: F.concat(F.lit("user-"), _s(F.col(x)))
+
+    def rows(df, actor, target, no, role, permissions, status="active"):
+        return df.where(F.col(actor).isNotNull() & F.col(target).isNotNull() & no.isNotNull()).select(
+            F.concat(F.lit("tenant-"), _s(F.col("c_nationkey"))).alias("tenant_id"), user(target).alias("user_id"),
+            user(actor).alias("actor_user_id"), no.cast("bigint").alias("update_no"), F.lit(role).alias("role"),
+            permissions.alias("permissions"), (F.lit(status) if isinstance(status, str) else status).alias("status"))
+
+    at, s1 = F.col("c_custkey") * 20, F.col("s1") * 20
+    key = F.col("c_custkey")
+    parts = [
+        rows(seventh, "admin", "c_custkey", at, "customer", view),
+        rows(seventh.where(key % 28 == 0), "owner", "c_custkey", at + 5, "customer", view),
+        rows(seventh, "admin", "c_custkey", at + 10, "collaborator", F.when(key % 21 == 0, manage).otherwise(both),
+             F.when((key % 2 == 0) & (key % 21 != 0), "suspended").otherwise("active")),
+        rows(seventh.where(key % 35 == 0), "admin", "c_custkey", at + 12, "platform_owner", both),
+        rows(per, "s1", "admin", s1 + 15, "administrator", view),
+        rows(per, "s1", "s2", s1 + 16, "collaborator", manage),
+        rows(per, "s2", "s3", s1 + 17, "collaborator", manage),
+        rows(per, "s3", "s4", s1 + 18, "administrator", manage),
+        rows(per, "s4", "s1", s1 + 19, "collaborator", manage, "suspended"),
+        rows(per, "s1", "s2", s1 + 21, "customer", view),
+        rows(per, "owner", "admin", s1 + 2000, "administrator", manage),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def model_call_costs(t: Tables) -> DataFrame:

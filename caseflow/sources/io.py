@@ -145,3 +145,11 @@ def write_version(df: DataFrame, base: str) -> str:
 def landing_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to a fresh folder of the shared checkpoint folder and read back:
+    cuts the lineage of iterative jobs."""
+    path = landing_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -75,7 +75,7 @@ def test_chunked_replay_equals_single_chunk(spark):
     assert sorted(map(tuple, one), key=str) == sorted(map(tuple, many), key=str)
     assert len(one) == len(rows)
     # and the plain Python fold agrees
-    from caseflow.streaming.streams import case_step
+    from caseflow.operators.lifecycle import py_case_step as case_step
     state = {}
     errs = {}
     for cid, no, a, amt in sorted(rows):
