@@ -75,7 +75,7 @@ def case_step(s: Column, a: Column) -> tuple[Column, Column]:
     return F.shiftright(packed, 3), packed.bitwiseAND(F.lit(7))
 
 
-def _case_inputs(cases: DataFrame, actions: DataFrame, identity: DataFrame):
+def _case_inputs(cases: DataFrame, actions: DataFrame, identity: DataFrame, carry: tuple[str, ...] = ()):
     """Attach action codes and the case's identifier validity to each action."""
     c = cases.select(F.col("id").alias("case_id"), "customer_identifier", "current_stage", "billing_prepared")
     ok = identity.select(F.col("identifier").alias("customer_identifier"), "locally_valid",
@@ -84,7 +84,7 @@ def _case_inputs(cases: DataFrame, actions: DataFrame, identity: DataFrame):
     s0 = _index(F.col("current_stage"), K.CASE_STAGES) * 2 + F.col("billing_prepared").cast("int")
     actions = actions.withColumn("_given", row_hash(actions))
     a = actions.join(c.select("case_id", "locally_valid", s0.alias("s0")), "case_id", "left").select(
-        "case_id", "action_no", "action", "quote_amount_usd",
+        "case_id", "action_no", "action", "quote_amount_usd", *carry,
         _index(F.col("action"), K.CASE_ACTIONS).alias("code"),
         F.coalesce(F.col("locally_valid"), F.lit(False)).alias("id_ok"),
         F.col("quote_amount_usd").isNotNull().alias("has_amount"),
@@ -93,13 +93,15 @@ def _case_inputs(cases: DataFrame, actions: DataFrame, identity: DataFrame):
     return a, None, c
 
 
-def transition_log(cases: DataFrame, actions: DataFrame, identity: DataFrame, chunk_size: int = 512) -> DataFrame:
-    """One row per action: accepted or the error it met."""
-    a, start, _ = _case_inputs(cases, actions, identity)
-    r = replay(a, "case_id", "action_no", ["action", "quote_amount_usd", "code", "id_ok", "has_amount"],
+def transition_log(cases: DataFrame, actions: DataFrame, identity: DataFrame, chunk_size: int = 512,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per action: accepted or the error it met (T2).  ``carry`` names
+    further columns of ``actions`` that go through the fold."""
+    a, start, _ = _case_inputs(cases, actions, identity, carry)
+    r = replay(a, "case_id", "action_no", ["action", "quote_amount_usd", "code", "id_ok", "has_amount", *carry],
                start, n_states=16, step=case_step, chunk_size=chunk_size)
     return r.select(
-        "case_id", "action_no", "action", "quote_amount_usd",
+        "case_id", "action_no", "action", "quote_amount_usd", *carry,
         (F.col("err") == 0).alias("accepted"),
         F.when(F.col("err") > 0, _name(F.col("err") - 1, CASE_ERRORS)).alias("error"),
         _name(F.shiftright("s_before", 1), K.CASE_STAGES).alias("stage_before"),

@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Entry]:
     # importing the modules registers their queries
     from caseflow.plans import (  # noqa: F401
-        q_access, q_audit, q_identity, q_lifecycle, q_metrics, q_portfolio, q_sources, q_streams, q_text, q_validate,
+        q_access, q_audit, q_commit, q_identity, q_lifecycle, q_metrics, q_portfolio, q_sources, q_streams, q_text, q_validate,
     )
     return REGISTRY
 
