@@ -101,12 +101,18 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) -> D
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with all columns."""
-    bad = written(_pairs(docs, benchmark, k, threshold).select(F.col("doc_id").alias("d"), F.col("key").alias("x"))
-                  .distinct(), "contaminated")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(sized(bad, 1_000_000), F.xxhash64(text).eqNullSafe(F.col("x"))
-                     & docs["doc_id"].cast("long").eqNullSafe(F.col("d")), "left_anti")
+    """The rows of ``docs`` that contain no benchmark item, with all columns,
+    whatever their names.  Null and empty texts contain nothing and stay; a null
+    doc_id counts as one; repeated rows stay or go together; long texts are
+    searched whole; an empty benchmark leaves all rows."""
+    bad = written(_pairs(docs.select("doc_id", "text"), benchmark, k, threshold)
+                  .select(F.col("doc_id").alias("_d"), F.col("key").alias("_x")).distinct(), "contaminated")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)),
+                       F.col("doc_id").cast("long").alias("_id"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_key"))
+    left = rows.join(sized(bad, 1_000_000), (F.col("_key") == F.col("_x")) & F.col("_id").eqNullSafe(F.col("_d")), "left_anti")
+    return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 ORACLE_SQL = """

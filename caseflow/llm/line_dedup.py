@@ -5,8 +5,8 @@ Lines are compared as sets of lower-cased words; two lines match when their
 Jaccard similarity is at least ``percent`` / 100.  A line goes if an earlier
 line matches it (order: document, then position), whether or not that line
 goes itself.  Lines of fewer than ``min_words`` distinct words carry no
-identity of their own and always stay.  Rows with the same doc_id rank alike:
-neither is earlier.
+identity of their own and always stay; by default every line with a word
+counts.  Rows with the same doc_id rank alike: neither is earlier.
 
 The join: tokens of a line are ordered by rarity, and only the first
 ``n - ceil(t n) + 1`` are indexed (prefix filter): matching sets share one of
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.common import sized, written
 
-PERCENT, MIN_WORDS = 80, 5
+PERCENT, MIN_WORDS = 80, 1
 _BUCKETS, _SUB = 1 << 16, 32
 
 
@@ -189,6 +189,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WO
     """``docs`` with all columns, later matches removed from ``text``, and the
     columns n_lines, n_removed and n_links (links of its lines' classes).
 
+    Input columns of these names are replaced.  Long texts are taken whole.
     Null texts stay null and empty texts empty; rows with equal doc_id and
     text are one document (they keep the same lines); rows without doc_id come
     first in the order; an empty table gives an empty result.  With
@@ -217,7 +218,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WO
     if drop_emptied:
         full = full.where((F.coalesce(F.size("gone"), F.lit(0)) <= 0) | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
     at = docs.columns.index("text")
-    return full.select(*(F.col("_new" if i == at else f"c{i}").alias(c) for i, c in enumerate(docs.columns)),
+    own = ("n_lines", "n_removed", "n_links")
+    return full.select(*(F.col("_new" if i == at else f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in own),
                        F.size("_lines").cast("long").alias("n_lines"),
                        F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
                        F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
@@ -228,7 +230,7 @@ WITH l AS (SELECT doc_id, md5(coalesce(text, '')) AS k, unnest(range(1, len(s) +
            FROM (SELECT DISTINCT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
 t AS (SELECT doc_id, k, pos, line, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+'))) AS t
       FROM l),
-u AS (SELECT t, min((doc_id, pos)) AS f, row_number() OVER (ORDER BY t) AS c FROM t WHERE len(t) >= 5 GROUP BY t),
+u AS (SELECT t, min((doc_id, pos)) AS f, row_number() OVER (ORDER BY t) AS c FROM t WHERE len(t) >= 1 GROUP BY t),
 w AS (SELECT c, len(t) AS n, unnest(t) AS x FROM u),
 p AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m
       FROM w a JOIN w b ON a.x = b.x AND a.c <> b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)

@@ -43,6 +43,8 @@ from caseflow.llm import shingles as S
 from caseflow.llm.common import TEXT_ROWS, sized, written
 
 SLOTS, ROWS = 128, 4
+#: elements drawn for at a time
+ELEMENTS = 1 << 16
 
 _SEED, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,8 +56,18 @@ def superminhash(hashes: np.ndarray, counts: np.ndarray, m: int = SLOTS) -> np.n
     out = np.full(docs * m, np.inf)
     if not len(hashes):
         return out.reshape(docs, m)
-    row = np.repeat(np.arange(docs), counts)
+    rows = np.repeat(np.arange(docs), counts)
+    for first in range(0, len(hashes), ELEMENTS):        # a long text's permutations are never there all at once
+        _offer(out, rows[first:first + ELEMENTS], hashes[first:first + ELEMENTS], m)
+    return out.reshape(docs, m)
+
+
+def _offer(out: np.ndarray, row: np.ndarray, hashes: np.ndarray, m: int) -> None:
+    """Lower the slots ``out`` (flat) by what the elements of ``row`` draw."""
     state = S.mix(hashes ^ _SEED)
+    low, high = int(row[0]), int(row[-1]) + 1
+    own = out[low * m:high * m]
+    row = row - low
     perm = np.tile(np.arange(m, dtype=np.uint16 if m > 256 else np.uint8), (len(hashes), 1))
     for j in range(m):
         state = S.mix(state + _STEP)
@@ -65,14 +77,13 @@ def superminhash(hashes: np.ndarray, counts: np.ndarray, m: int = SLOTS) -> np.n
         at = np.arange(len(state))
         slot = perm[at, k].astype(np.int64)
         perm[at, k] = perm[:, j]
-        np.minimum.at(out, row * m + slot, unit + j)
-        done = out.reshape(docs, m).max(axis=1) <= j + 1
+        np.minimum.at(own, row * m + slot, unit + j)
+        done = own.reshape(-1, m).max(axis=1) <= j + 1
         go = ~done[row]
         if not go.any():
             break
         if go.sum() < 0.8 * len(go):
             row, state, perm = row[go], state[go], perm[go]
-    return out.reshape(docs, m)
 
 
 def band_hashes(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -183,20 +194,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = SLO
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = written(texts.withColumn("text_key", _text_key()).mapInArrow(
         _fingerprints(k, m, rows),
-        "doc_id long, text_key long, n_shingles long, f1 long, f2 long, bands array<long>"), "signatures", TEXT_ROWS)
+        "doc_id long, text_key long, n_shingles long, f1 long, f2 long, bands array<long>")
+        .withColumn("row", F.monotonically_increasing_id()), "signatures", TEXT_ROWS)
     key = ["n_shingles", "f1", "f2"]
+    # a class is known by a row number: one doc_id may stand on several texts
     classes = (sigs.where("n_shingles > 0").groupBy(*key)
-               .agg(F.min("doc_id").alias("class_id"), F.any_value("bands").alias("bands")))
+               .agg(F.min("row").alias("class_id"), F.min("doc_id").alias("least"),
+                    F.min(F.struct("doc_id", "text_key")).alias("text"), F.any_value("bands").alias("bands")))
     classes = written(classes, "classes")
-    # a class whose copies all lack an id takes no part in links
-    named = classes.where("class_id is not null")
-    bands = named.select("class_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    bands = classes.select("class_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     bands = written(bands.join(shared, "bucket"), "buckets")
 
     # full sets of the candidate classes, once
-    wanted = bands.select(F.col("class_id").alias("doc_id")).distinct()
-    sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = classes.join(bands.select("class_id").distinct(), "class_id", "left_semi").select(
+        "class_id", F.col("text.doc_id").alias("d"), F.col("text.text_key").alias("x"))
+    sets = written(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (_text_key() == F.col("x")))
+                   .select("class_id", "text").dropDuplicates(["class_id"])
                    .mapInArrow(_sets(k), "class_id long, shingles array<long>"), "sets", TEXT_ROWS)
 
     score = bands.groupBy("class_id").agg(F.sum("c").alias("score"))
@@ -231,9 +245,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = SLO
     more = _verified(written(pairs, "rest_pairs"), sets, percent)
     parts = union_find(links.unionByName(more))
 
-    named = classes.drop("bands").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        *key, F.coalesce("component", "class_id").alias("component_id"))
-    out = (sigs.drop("bands").join(named, key, "left")
+    linked = classes.select(*key, "class_id", "least").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
+    linked = linked.withColumn("component", F.coalesce("component", "class_id"))
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(ids, "component").select(*key, "component_id")
+    out = (sigs.drop("bands", "row").join(named, key, "left")
            .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")

@@ -11,7 +11,8 @@ a host is blocked when its distrust exceeds its trust and is at least
 ``threshold`` times what its share of the web explains.
 
 Ranks are computed by power iteration over the host edge table in Spark; the
-table has one row per linked pair of hosts, not per link.
+table has one row per linked pair of hosts, not per link.  The iteration ends
+when the ranks have settled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.common import lower_ascii, sized, written
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 15, 2.0
+DAMPING, THRESHOLD = 0.85, 2.0
+#: a kind of rank is settled when the changes of a round add up to less; the
+#: damping alone gets there in 128 rounds
+TOLERANCE, MAX_ROUNDS = 1e-9, 200
 ROWS_PER_FILE = 1_000_000
 
 #: (host, path, verdict)
@@ -66,12 +70,14 @@ def link_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
+             max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Several personalised PageRanks at once, told apart by ``kind``:
     ``nodes(kind, host, seed)`` with non-negative seeds (scaled here to add up
     to 1 per kind; all 0 gives ranks of 0), ``edges(kind, src, dst, w)``.  A
-    node without links hands its rank back to the seeds.  Returns kind, host,
-    rank.  Each round is written, so a round's plan reads two tables however
+    node without links hands its rank back to the seeds.  Rounds go on until no
+    kind's changes add up to ``tolerance``; ``max_rounds`` without that is an
+    error.  Returns kind, host, rank.  Each round is written, so a round's plan reads two tables however
     many went before; a node linked by very many is summed before the shuffle.
     Kinds are few by construction, so sums per kind are broadcast."""
     # few rows stay in few files and tasks, however many partitions shuffles have
@@ -85,18 +91,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
              .select("kind", "host", F.when(F.col("sum") > 0, F.col("seed") / F.col("sum")).otherwise(0.0).alias("seed"),
                      F.coalesce("links", F.lit(False)).alias("links")))
     ranks = written(start.withColumn("rank", F.col("seed")).coalesce(parts), "ranks")
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         flow = (ranks.select("kind", F.col("host").alias("src"), "rank").join(shares, ["kind", "src"])
                 .groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow")))
         stuck = ranks.groupBy("kind").agg(F.sum(F.when(~F.col("links"), F.col("rank")).otherwise(0.0)).alias("stuck"))
-        ranks = written(ranks.drop("rank").join(F.broadcast(stuck), "kind").join(flow, ["kind", "host"], "left").select(
-            "kind", "host", "seed", "links", (F.lit(damping) * F.coalesce("flow", F.lit(0.0)) + F.col("seed")
-                                              * (1 - damping + damping * F.col("stuck"))).alias("rank"))
+        new = F.lit(damping) * F.coalesce("flow", F.lit(0.0)) + F.col("seed") * (1 - damping + damping * F.col("stuck"))
+        ranks = written(ranks.join(F.broadcast(stuck), "kind").join(flow, ["kind", "host"], "left").select(
+            "kind", "host", "seed", "links", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
                         .coalesce(parts), "ranks")
+        if ranks.groupBy("kind").agg(F.sum("change").alias("change")).where(F.col("change") >= tolerance).isEmpty():
+            break
+    else:
+        raise RuntimeError(f"ranks did not settle within {max_rounds} rounds")
     return ranks.select("kind", "host", "rank")
 
 
-def host_verdicts(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+def host_verdicts(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
                   threshold: float = THRESHOLD) -> DataFrame:
     """``judged(host, verdict)`` (the rules', per page) and link edges to one
     row per host: trust, distrust, base and host_verdict."""
@@ -114,14 +124,14 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, damping: float = DAMPING,
     there = [F.col("src").alias("src"), F.col("dst").alias("dst")]
     back = [F.col("dst").alias("src"), F.col("src").alias("dst")]
     tagged = edges.select("w", kinds(("trust", there), ("distrust", back), ("base", there))).select("x.*", "w")
-    ranks = pagerank(nodes, tagged, damping, rounds)
+    ranks = pagerank(nodes, tagged, damping, tolerance)
     ranked = ranks.groupBy("host").agg(*(F.max(F.when(F.col("kind") == k, F.col("rank"))).alias(k)
                                          for k in ("trust", "distrust", "base")))
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * F.col("base"))
     return ranked.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS,
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE,
           threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust, base per row of
     ``pages(page_id, url, html)``.
@@ -136,7 +146,7 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     edges = written(link_edges(base), "link_edges")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    hosts = host_verdicts(judged.select("host", "verdict"), edges, damping, rounds, threshold)
+    hosts = host_verdicts(judged.select("host", "verdict"), edges, damping, tolerance, threshold)
     return (judged.join(sized(written(hosts, "host_verdicts")), "host", "left")
             .select("page_id", "host", "path", "rule",
                     F.coalesce("verdict", "host_verdict", F.lit("allow")).alias("verdict"), "trust", "distrust", "base"))

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow.llm import decontaminate as D
 from caseflow.llm import host_quality as H
@@ -27,7 +28,7 @@ def plain_lines(docs, percent, least):
     return out
 
 
-@pytest.mark.parametrize(("percent", "least"), [(80, 5), (60, 1), (100, 3)])
+@pytest.mark.parametrize(("percent", "least"), [(80, 1), (80, 5), (60, 1), (100, 3)])
 def test_lines_equal_brute_force(spark, percent, least):
     import numpy as np
     rng = np.random.default_rng(percent)
@@ -51,13 +52,24 @@ def test_line_cases(spark):
             (None, f"{b}\n\nshort line", "z", 5), (2, f"{a}\n{b}\nshort line", "x", 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, cls string, n_chars int")
     got = {(r.doc_id, r.text, r.n_removed) for r in L.dedup_lines(df).collect()}
-    assert got == {(2, f"{a}\nshort line", 1), (1, None, 0), (3, "", 0), (4, "", 2), (None, f"{b}\n\nshort line", 0)}
+    assert got == {(2, a, 2), (1, None, 0), (3, "", 0), (4, "", 2), (None, f"{b}\n\nshort line", 0)}
     out = L.rewrite(df)
     assert out.columns == df.columns
-    assert {(r.doc_id, r.n_chars) for r in out.collect()} == {(2, len(a) + 11), (1, 0), (3, 0), (None, 5)}
+    assert {(r.doc_id, r.n_chars) for r in out.collect()} == {(2, len(a)), (1, 0), (3, 0), (None, 5)}
     assert L.rewrite(df.limit(0)).count() == 0
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    text = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\nHome Contact About\n\nown"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, text, 1, 1), (2, text.replace("own", "other"), 2, 2), (3, long, 3, 3), (4, long + " x", 4, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_links int")
+    out = L.dedup_lines(df)
+    assert sorted(out.columns) == ["doc_id", "n_lines", "n_links", "n_removed", "text"]
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(1, text), (2, "\nother"), (3, long), (4, "")}
+    assert L.rewrite(df).columns == df.columns
+
+
 # --- containment ------------------------------------------------------------
 
 def plain_pairs(docs, items, t=0.8):
@@ -103,6 +115,9 @@ def test_containment_equals_brute_force(spark):
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((d for d, _ in docs if d not in bad), key=str)
     assert D.contaminated(df.limit(0), bench).count() == D.contaminated(df, bench.limit(0)).count() == 0
     assert D.remove_contaminated(df, bench.limit(0)).count() == len(docs)
+    clash = df.select("*", *(F.lit(1).alias(c) for c in ("x", "d", "key", "c0", "_d", "g")))
+    left = D.remove_contaminated(clash, bench)
+    assert left.columns == clash.columns and left.count() == D.remove_contaminated(df, bench).count()
 
 
 # --- quality rules ---------------------------------------------------------------

@@ -138,6 +138,17 @@ def test_null_and_repeated_ids_empty_table_and_extra_columns(spark):
     assert M.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_id_on_different_texts_and_a_long_text(spark, monkeypatch):
+    a, b, long = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 60), ("l", 90_000)))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (None, b + " y"), (8, long), (9, long + " end")]
+    assert result(M.near_duplicates(frame(spark, rows))) == brute(rows, 80)
+    rng = np.random.default_rng(4)
+    hashes, counts = rng.integers(0, 1 << 63, 3000).astype(np.uint64), np.array([10, 0, 2900, 90])
+    whole = M.superminhash(hashes, counts)
+    monkeypatch.setattr(M, "ELEMENTS", 64)
+    assert (M.superminhash(hashes, counts) == whole).all()
+
+
 def test_documents_match_brute_force(spark):
     import pyarrow.parquet as pq
     t = pq.read_table(f"{SF_ORACLE}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
