@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from caseflow.llm.common import sized, written
 
 PERCENT, MIN_WORDS = 80, 1
-_BUCKETS, _SUB = 1 << 16, 32
+_BUCKETS = 1 << 16
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -50,39 +50,31 @@ def _split(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(blank), " "), "")
 
 
-def _rarity(docs: DataFrame) -> list[int]:
+def _rarity(docs: DataFrame) -> bytes:
     """How frequent words are, as a table of fixed size, whatever the corpus.
 
-    All words are counted in 2^21 hash buckets.  32 of them share an entry: which of them is the most frequent, its rarity class, and
-    the class of the next one, which stands for the others.  Classes are 0 to
-    127, four to a doubling."""
+    All words are counted in hash buckets; a byte holds a bucket's count as a
+    class of 0 to 127, four to a doubling."""
     counts = (_lines(docs).select(F.explode(_split(F.col("line"))).alias("w"))
-              .groupBy(F.xxhash64("w").bitwiseAND(F.lit(_SUB * _BUCKETS - 1)).cast("int").alias("b"))
+              .groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).cast("int").alias("b"))
               .agg(F.count(F.lit(1)).alias("c")))
     scale = F.least(F.lit(127), F.floor(4 * F.log2(F.col("c") + 1.0))).cast("int")
-    own = F.sort_array(F.collect_list(F.struct(scale.alias("r"), F.shiftright("b", 16).alias("sub"))), asc=False)
-    rows = (counts.groupBy(F.col("b").bitwiseAND(F.lit(_BUCKETS - 1)).alias("b")).agg(own.alias("own"))
-            .select("b", (F.shiftleft(F.col("own")[0]["sub"], 14) + F.shiftleft(F.col("own")[0]["r"], 7)
-                          + F.coalesce(F.get("own", F.lit(1))["r"], F.lit(0))).alias("entry")).collect())
-    out = [0] * _BUCKETS
-    for r in rows:
-        out[r.b] = r.entry
-    return out
+    out = bytearray(_BUCKETS)
+    for r in counts.select("b", scale.alias("r")).collect():
+        out[r.b] = r.r
+    return bytes(out)
 
 
-def _tokens(line: Column, rarity: list[int]) -> Column:
+def _tokens(line: Column, rarity: bytes) -> Column:
     """Distinct tokens of a line, rarest first: 7 bits of rarity above 56 bits
     of hash, so that sorting the numbers sorts by rarity."""
-    # folded to one constant array when the plan is optimised
-    entries = F.split(F.lit(" ".join(map(str, rarity))), " ").cast("array<bigint>")
+    table = F.lit(rarity)
     hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
 
-    def token(h, entry):
-        top = F.shiftright(h, 16).bitwiseAND(F.lit(_SUB - 1)) == F.shiftright(entry, 14)
-        rare = F.when(top, F.shiftright(entry, 7)).otherwise(entry).bitwiseAND(F.lit(127))
-        return F.shiftleft(rare, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.transform(hashes, lambda h: token(
-        h, F.get(entries, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")))))
+    def token(h):
+        entry = F.substring(table, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") + 1, F.lit(1))
+        return F.shiftleft(F.ascii(entry.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(hashes, token))
 
 
 def _bits(tokens: Column) -> Column:
@@ -97,10 +89,17 @@ def _order() -> Column:
     return (doc * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
 
 
-def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, count_links: bool = True) -> DataFrame:
     """The lines of at least ``min_words`` distinct words that have a copy or a
     match: doc_id, key, pos, n, cls (the class of its token set), n_links
-    (other classes that match it) and dropped."""
+    (other classes that match it) and dropped.
+
+    Without ``count_links`` the verdicts are the same, but n_links counts only
+    the links that were needed for them: a first round verifies each class
+    against the earliest class under each of its prefix tokens, and the join
+    then looks for partners of the classes without an earlier match only.  In a
+    cluster of variants most are settled by the first round, so pairs do not
+    grow with the square of a cluster."""
     rarity = _rarity(docs)
     n = F.size("t")
     prefix = F.transform(F.slice("t", 1, n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1), lambda x: x.bitwiseXOR(
@@ -114,8 +113,14 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
                      prefix.alias("prefix")))
     lines = written(lines, "lines")
     classes = written(lines.groupBy("cls").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    pairs = _candidates(lines, classes, percent)
-    links = written(_verified(pairs, classes, lines, docs, rarity, percent), "links")
+    posts = _postings(lines, classes)
+    if count_links:
+        links = written(_verified(_candidates(posts, percent), classes, lines, docs, rarity, percent), "links")
+    else:
+        stars = written(_verified(_stars(posts, percent), classes, lines, docs, rarity, percent), "star_links")
+        settled = written(stars.select(F.col("u").alias("cls")).distinct(), "settled")
+        rest = written(_verified(_candidates(posts, percent, settled), classes, lines, docs, rarity, percent), "links")
+        links = stars.unionByName(rest).distinct()
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     earliest = (both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy(F.col("u").alias("cls"))
                 .agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links")))
@@ -126,30 +131,58 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
             .select("doc_id", "key", "pos", "n", "cls", "n_links", (_order() > F.col("first")).alias("dropped")))
 
 
-def _candidates(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes that pass the prefix, length, positional and
-    bitmap filters.  A function of its own: when it returns, nothing refers to
-    its shuffles any more and Spark can drop their files."""
+def _postings(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, n, bits, first, p, token: a row per token of a class's prefix, for
+    tokens that two classes have."""
     # each class is indexed by the line that comes first
-    firsts = (lines.withColumn("at", _order())
-              .join(classes.select("cls", F.col("first").alias("at")), ["cls", "at"], "left_semi"))
-    posts = firsts.select("cls", "n", "bits", F.posexplode("prefix").alias("p", "token"))
+    firsts = (lines.withColumn("first", _order())
+              .join(classes.select("cls", "first"), ["cls", "first"], "left_semi"))
+    posts = firsts.select("cls", "n", "bits", "first", F.posexplode("prefix").alias("p", "token"))
+    met = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return written(posts.join(met.select("token"), "token", "left_semi"), "postings")
+
+
+def _filters(percent: int) -> Column:
+    """Length, positional and bitmap filter of the postings a and b."""
+    total = F.col("a.n") + F.col("b.n")
+    rest = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
+    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))      # tokens that are in one set only, at least
+    return ((F.col("a.token") == F.col("b.token"))
+            & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * rest >= percent * total)
+            & ((100 + percent) * (total - differ) >= 2 * percent * total))
+
+
+def _stars(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of a class and the earliest class under one of its prefix
+    tokens: as many as there are postings, at most."""
+    centre = (posts.groupBy("token").agg(F.min("first").alias("first")))
+    centre = posts.join(centre, ["token", "first"]).select(*posts.columns)
+    pairs = (posts.alias("a").join(centre.alias("b"), _filters(percent) & (F.col("a.first") > F.col("b.first")))
+             .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct())
+    return written(pairs, "stars")
+
+
+def _candidates(posts: DataFrame, percent: int, settled: DataFrame | None = None) -> DataFrame:
+    """Pairs (u, v) of classes that pass the prefix, length, positional and
+    bitmap filters; with ``settled`` only those whose later class is not in
+    it.  A function of its own: when it returns, nothing refers to its
+    shuffles any more and Spark can drop their files."""
+    wanted = F.lit(True)
+    if settled is not None:
+        known = sized(settled.withColumn("settled", F.lit(True)), 1_000_000)
+        posts = posts.join(known, "cls", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
+        wanted = F.when(F.col("a.first") > F.col("b.first"), F.col("a.open")).otherwise(F.col("b.open"))
     a, b = posts.alias("a"), posts.alias("b")
     # a is the larger set and brings its whole prefix; of the smaller set the
     # first n - ceil(2t / (1 + t) n) + 1 tokens suffice
-    total = F.col("a.n") + F.col("b.n")
     larger = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") > F.col("b.cls")))
     indexed = (100 + percent) * (F.col("b.n") - F.col("b.p")) >= 2 * percent * F.col("b.n")
-    rest = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
-    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))      # tokens that are in one set only, at least
-    pairs = (a.join(b, (F.col("a.token") == F.col("b.token")) & larger & indexed
-                    & (100 * F.col("b.n") >= percent * F.col("a.n")) & ((100 + percent) * rest >= percent * total)
-                    & ((100 + percent) * (total - differ) >= 2 * percent * total))
+    pairs = (a.join(b, _filters(percent) & larger & indexed & wanted)
              .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct())
     return written(pairs, "pairs")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, docs: DataFrame, rarity: list[int],
+def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, docs: DataFrame, rarity: bytes,
               percent: int) -> DataFrame:
     """The pairs whose full token sets reach the similarity."""
     ids = written(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "ids")
@@ -185,7 +218,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, docs: Data
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,
-                drop_emptied: bool = False) -> DataFrame:
+                drop_emptied: bool = False, count_links: bool = True) -> DataFrame:
     """``docs`` with all columns, later matches removed from ``text``, and the
     columns n_lines, n_removed and n_links (links of its lines' classes).
 
@@ -194,11 +227,12 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WO
     text are one document (they keep the same lines); rows without doc_id come
     first in the order; an empty table gives an empty result.  With
     ``drop_emptied`` a document that had words and whose every line with words
-    was removed goes.
+    was removed goes.  Without ``count_links`` the texts are the same and
+    n_links is a lower bound (``line_classes``).
     """
     # positions of one document: lists as long as its own text.  Repeated rows
     # give each position as often as the document is there
-    per = (line_classes(docs, percent, min_words).where("dropped or n_links > 0").groupBy("doc_id", "key")
+    per = (line_classes(docs, percent, min_words, count_links).where("dropped or n_links > 0").groupBy("doc_id", "key")
            .agg(F.collect_set(F.when(F.col("dropped"), F.col("pos"))).alias("gone"),
                 F.expr("sum(n_links) div (count(1) div size(collect_set(pos)))").alias("links")))
     per = written(per.select(F.col("doc_id").alias("_d"), F.col("key").alias("_x"), "gone", "links"), "removed")
@@ -251,7 +285,8 @@ def rewrite(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS)
     documents left without a word by that go, and ``n_chars`` (if there)
     is the length of the new text where lines were removed."""
     out = dedup_lines(docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)),
-                                  F.col("doc_id"), F.col("text")), percent, min_words, drop_emptied=True)
+                                  F.col("doc_id"), F.col("text")), percent, min_words, drop_emptied=True,
+                      count_links=False)
     new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         old = F.col(f"c{docs.columns.index('n_chars')}")

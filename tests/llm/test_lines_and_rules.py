@@ -42,8 +42,11 @@ def test_lines_equal_brute_force(spark, percent, least):
                 words[int(rng.integers(0, len(words)))] = f"w{int(rng.integers(0, 90))}"
             lines.append(" ".join(words).title() if rng.integers(0, 2) else "  ".join(words))
         docs.append((d, "\n".join(lines)))
-    got = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), percent, least)
-    assert {r.doc_id: r.text for r in got.collect()} == plain_lines(docs, percent, least)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = plain_lines(docs, percent, least)
+    assert {r.doc_id: r.text for r in L.dedup_lines(df, percent, least).collect()} == want
+    short = L.dedup_lines(df, percent, least, count_links=False)
+    assert {r.doc_id: r.text for r in short.collect()} == want
 
 
 def test_line_cases(spark):
@@ -59,6 +62,17 @@ def test_line_cases(spark):
     assert L.rewrite(df.limit(0)).count() == 0
 
 
+def test_chain_of_variants_without_counted_links(spark):
+    """Each line matches its neighbours only, so the earliest class under a
+    shared word settles some lines and the join the others."""
+    words = [f"w{i}" for i in range(60)]
+    docs = [(d, " ".join(words[i:i + 20])) for d, i in enumerate([8, 2, 0, 1, 9, 30, 31, 16, 12, 14, 3, 33])]
+    want = plain_lines(docs, 80, 1)
+    assert 0 < sum(not t for t in want.values()) < len(docs)
+    got = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), count_links=False)
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
 def test_short_lines_and_lines_without_blanks(spark):
     text = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\nHome Contact About\n\nown"
     long = " ".join(f"w{i}" for i in range(60_000))
