@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from caseflow.llm.common import sized, written
 
 PERCENT, MIN_WORDS = 80, 1
-_BUCKETS = 1 << 16
+_BUCKETS, _SUB = 1 << 16, 32
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -53,15 +53,21 @@ def _split(line: Column) -> Column:
 def _rarity(docs: DataFrame) -> bytes:
     """How frequent words are, as a table of fixed size, whatever the corpus.
 
-    All words are counted in hash buckets; a byte holds a bucket's count as a
-    class of 0 to 127, four to a doubling."""
+    All words are counted in 2^21 hash buckets.  32 of them share an entry of
+    three bytes: which of them is the most frequent, its rarity class, and the
+    class of the next one, which stands for the others.  Classes are 0 to 127,
+    four to a doubling.  As bytes the table stays short in the plan's text."""
     counts = (_lines(docs).select(F.explode(_split(F.col("line"))).alias("w"))
-              .groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).cast("int").alias("b"))
+              .groupBy(F.xxhash64("w").bitwiseAND(F.lit(_SUB * _BUCKETS - 1)).cast("int").alias("b"))
               .agg(F.count(F.lit(1)).alias("c")))
     scale = F.least(F.lit(127), F.floor(4 * F.log2(F.col("c") + 1.0))).cast("int")
-    out = bytearray(_BUCKETS)
-    for r in counts.select("b", scale.alias("r")).collect():
-        out[r.b] = r.r
+    own = F.sort_array(F.collect_list(F.struct(scale.alias("r"), F.shiftright("b", 16).alias("sub"))), asc=False)
+    rows = (counts.groupBy(F.col("b").bitwiseAND(F.lit(_BUCKETS - 1)).alias("b")).agg(own.alias("own"))
+            .select("b", F.col("own")[0]["sub"].alias("sub"), F.col("own")[0]["r"].alias("r"),
+                    F.coalesce(F.get("own", F.lit(1))["r"], F.lit(0)).alias("next")).collect())
+    out = bytearray(3 * _BUCKETS)
+    for r in rows:
+        out[3 * r.b:3 * r.b + 3] = bytes((r.sub, r.r, r.next))
     return bytes(out)
 
 
@@ -72,8 +78,12 @@ def _tokens(line: Column, rarity: bytes) -> Column:
     hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
 
     def token(h):
-        entry = F.substring(table, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") + 1, F.lit(1))
-        return F.shiftleft(F.ascii(entry.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        at = h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") * 3 + 1
+
+        def byte(k):
+            return F.ascii(F.substring(table, at + k, F.lit(1)).cast("string"))
+        rare = F.when(F.shiftright(h, 16).bitwiseAND(F.lit(_SUB - 1)) == byte(0), byte(1)).otherwise(byte(2))
+        return F.shiftleft(rare.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(hashes, token))
 
 
