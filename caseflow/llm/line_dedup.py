@@ -106,7 +106,7 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
 
     Without ``count_links`` the verdicts are the same, but n_links counts only
     the links that were needed for them: a first round verifies each class
-    against the earliest class under each of its prefix tokens, and the join
+    against one class of the smallest document under each prefix token, and the join
     then looks for partners of the classes without an earlier match only.  In a
     cluster of variants most are settled by the first round, so pairs do not
     grow with the square of a cluster."""
@@ -123,14 +123,14 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
                      prefix.alias("prefix")))
     lines = written(lines, "lines")
     classes = written(lines.groupBy("cls").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    posts = _postings(lines, classes)
+    firsts = _firsts(lines, classes)
     if count_links:
-        links = written(_verified(_candidates(posts, percent), classes, lines, docs, rarity, percent), "links")
+        links = written(_verified(_candidates(firsts, percent), classes, lines, docs, rarity, percent), "links")
     else:
-        stars = written(_verified(_stars(posts, percent), classes, lines, docs, rarity, percent), "star_links")
-        settled = written(stars.select(F.col("u").alias("cls")).distinct(), "settled")
-        rest = written(_verified(_candidates(posts, percent, settled), classes, lines, docs, rarity, percent), "links")
-        links = stars.unionByName(rest).distinct()
+        stars = written(_verified(_stars(firsts, percent), classes, lines, docs, rarity, percent), "star_links")
+        settled = _settled(stars, classes)
+        rest = written(_verified(_candidates(firsts, percent, settled), classes, lines, docs, rarity, percent), "links")
+        links = stars.unionByName(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     earliest = (both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy(F.col("u").alias("cls"))
                 .agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links")))
@@ -141,15 +141,11 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
             .select("doc_id", "key", "pos", "n", "cls", "n_links", (_order() > F.col("first")).alias("dropped")))
 
 
-def _postings(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, n, bits, first, p, token: a row per token of a class's prefix, for
-    tokens that two classes have."""
-    # each class is indexed by the line that comes first
-    firsts = (lines.withColumn("first", _order())
-              .join(classes.select("cls", "first"), ["cls", "first"], "left_semi"))
-    posts = firsts.select("cls", "n", "bits", "first", F.posexplode("prefix").alias("p", "token"))
-    met = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return written(posts.join(met.select("token"), "token", "left_semi"), "postings")
+def _firsts(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, n, bits, doc, prefix of each class, by the line that comes first."""
+    return written(lines.withColumn("at", _order())
+                   .join(classes.select("cls", F.col("first").alias("at")), ["cls", "at"], "left_semi")
+                   .select("cls", "n", "bits", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc"), "prefix"), "firsts")
 
 
 def _filters(percent: int) -> Column:
@@ -162,26 +158,36 @@ def _filters(percent: int) -> Column:
             & ((100 + percent) * (total - differ) >= 2 * percent * total))
 
 
-def _stars(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of a class and the earliest class under one of its prefix
-    tokens: as many as there are postings, at most."""
-    centre = (posts.groupBy("token").agg(F.min("first").alias("first")))
-    centre = posts.join(centre, ["token", "first"]).select(*posts.columns)
-    pairs = (posts.alias("a").join(centre.alias("b"), _filters(percent) & (F.col("a.first") > F.col("b.first")))
-             .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct())
+def _stars(firsts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of a class and one class of the smallest document under
+    each of its prefix tokens: no more than there are postings."""
+    posts = firsts.select("cls", "n", "bits", "doc", F.posexplode("prefix").alias("p", "token"))
+    centre = posts.groupBy("token").agg(F.min(F.struct("doc", "cls", "n", "p", "bits")).alias("m")).select("token", "m.*")
+    pairs = (posts.alias("a").join(centre.alias("b"), _filters(percent) & (F.col("a.cls") != F.col("b.cls")))
+             .select(F.greatest("a.cls", "b.cls").alias("u"), F.least("a.cls", "b.cls").alias("v")).distinct())
     return written(pairs, "stars")
 
 
-def _candidates(posts: DataFrame, percent: int, settled: DataFrame | None = None) -> DataFrame:
+def _settled(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """The later class of each link (cls)."""
+    u, v = (classes.select(F.col("cls").alias(s), F.col("first").alias(f"first_{s}")) for s in "uv")
+    later = F.when(F.col("first_u") > F.col("first_v"), F.col("u")).when(F.col("first_v") > F.col("first_u"), F.col("v"))
+    return written(links.join(u, "u").join(v, "v").select(later.alias("cls")).where("cls is not null").distinct(), "settled")
+
+
+def _candidates(firsts: DataFrame, percent: int, settled: DataFrame | None = None) -> DataFrame:
     """Pairs (u, v) of classes that pass the prefix, length, positional and
     bitmap filters; with ``settled`` only those whose later class is not in
     it.  A function of its own: when it returns, nothing refers to its
     shuffles any more and Spark can drop their files."""
-    wanted = F.lit(True)
+    wanted, extra = F.lit(True), []
     if settled is not None:
         known = sized(settled.withColumn("settled", F.lit(True)), 1_000_000)
-        posts = posts.join(known, "cls", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
-        wanted = F.when(F.col("a.first") > F.col("b.first"), F.col("a.open")).otherwise(F.col("b.open"))
+        firsts = firsts.join(known, "cls", "left").withColumn("open", F.col("settled").isNull())
+        extra = ["doc", "open"]
+        # lines of one document: either may be the later one
+        wanted = ((F.col("a.open") & (F.col("a.doc") >= F.col("b.doc"))) | (F.col("b.open") & (F.col("b.doc") >= F.col("a.doc"))))
+    posts = firsts.select("cls", "n", "bits", *extra, F.posexplode("prefix").alias("p", "token"))
     a, b = posts.alias("a"), posts.alias("b")
     # a is the larger set and brings its whole prefix; of the smaller set the
     # first n - ceil(2t / (1 + t) n) + 1 tokens suffice
