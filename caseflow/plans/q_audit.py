@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseflow.operators import audit as AU
 from caseflow.operators import identity as OI
 from caseflow.operators import lifecycle as LC
+from caseflow.operators import rate_limit as RL
 from caseflow.plans import views as V
 from caseflow.plans.oracle import with_views
 from caseflow.plans.q_lifecycle import _CASE_WALK, _WF_WALK
@@ -158,6 +159,18 @@ def q_request_rate(t):
     return AU.request_rate(V.audit_events(t), limit=4, window="1 day", client="customer_id")
 
 
+# each agent's windows one after the other: the first request, then the first an hour or more later
+@query("request_limits", with_views(""", req AS (SELECT agent_id, epoch_us(timestamp) // 1000 AS t FROM audit_v),
+opens AS (SELECT agent_id, min(t) AS s FROM req GROUP BY agent_id
+  UNION ALL SELECT o.agent_id, (SELECT min(r.t) FROM req r WHERE r.agent_id = o.agent_id AND r.t >= o.s + 3600000)
+  FROM opens o WHERE o.s IS NOT NULL)
+SELECT make_timestamp(o.s * 1000) AS window_start, o.agent_id, count(*) AS events, count(*) - 4 AS refused
+FROM opens o JOIN req r ON r.agent_id = o.agent_id AND r.t >= o.s AND r.t < o.s + 3600000
+GROUP BY o.agent_id, o.s HAVING count(*) > 4""", *_A).replace("WITH", "WITH RECURSIVE", 1))
+def q_request_limits(t):
+    return RL.limit_windows(V.audit_events(t), limit=4, window_ms=3_600_000, client="agent_id")
+
+
 @query("health_windows", with_views("""
 SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS window_start, count(*) AS events,
   round(count(*) FILTER (WHERE status = 'failed') / count(*), 6) AS error_share,
