@@ -84,6 +84,52 @@ def visible_children(children: DataFrame, visible_props: DataFrame, allow_null:
     return hit.unionByName(nulls)
 
 
+def member_children(children: DataFrame, properties: DataFrame, memberships: DataFrame,
+                    allow_null: Column | None = None) -> DataFrame:
+    """Grants on children: all columns of ``children`` with user_id and scope.
+
+    scope 'assigned' / 'created': the member ``user_id`` administers or created
+    the child's property.  scope 'tenant' (user_id null): the property exists,
+    and every tenant-wide member sees it.  scope 'members' (user_id null): the
+    child has no property, ``allow_null`` holds for it (nowhere by default), and
+    every member with ``portfolio.view`` sees it, also one without a property.
+
+    Grants of a property are one list of at most three entries, so children meet
+    them in one join on (tenant, property), whose skewed keys AQE can split; no
+    member is paired with every child.  Children of a missing property or of
+    another tenant's, or without a tenant, are granted to nobody."""
+    grants = visible_properties(properties, memberships)
+    everyone = F.struct(F.lit(None).cast("string").alias("user_id"), F.lit("tenant").alias("scope"))
+    wide = grants.where("scope = 'tenant'").select("tenant_id").distinct()
+    exists = properties.select("tenant_id", F.col("id").alias("property_id")).where("property_id is not null").distinct()
+    viewers = memberships.where(
+        (F.col("status") == "active") & has_permission(F.col("role"), F.col("permissions"), "portfolio.view")
+    ).select("tenant_id").distinct()
+    entries = (exists.join(wide, "tenant_id", "left_semi").select("tenant_id", "property_id", everyone.alias("g"))
+               .unionByName(grants.where("scope <> 'tenant'").select("tenant_id", "property_id",
+                                                                     F.struct("user_id", "scope").alias("g")))
+               .unionByName(viewers.select("tenant_id", F.lit(None).cast("string").alias("property_id"),
+                                           F.struct(F.lit(None).cast("string").alias("user_id"),
+                                                    F.lit("members").alias("scope")).alias("g"))))
+    held = entries.groupBy(F.col("tenant_id").alias("_tenant"), F.col("property_id").alias("_property")).agg(
+        F.collect_set("g").alias("_held"))
+    shown = F.col("property_id").isNotNull() | F.coalesce(F.lit(False) if allow_null is None else allow_null, F.lit(False))
+    hit = children.where(shown).join(held, (F.col("tenant_id") == F.col("_tenant"))
+                                     & F.col("property_id").eqNullSafe(F.col("_property")))
+    return hit.select(*children.columns, F.explode("_held").alias("_g")).select(
+        *children.columns, F.col("_g.user_id").alias("user_id"), F.col("_g.scope").alias("scope"))
+
+
+def children_of_member(children: DataFrame, properties: DataFrame, memberships: DataFrame, tenant_id: str,
+                       user_id: str, allow_null: Column | None = None) -> DataFrame:
+    """The rows of ``children`` that one member sees; the tenant's rows only
+    are read."""
+    own = F.col("tenant_id") == tenant_id
+    seen = member_children(children.where(own), properties.where(own),
+                           memberships.where(own & (F.col("user_id") == user_id)), allow_null)
+    return seen.drop("user_id", "scope")
+
+
 def orphan_report(children: DataFrame, properties: DataFrame, kind: str) -> DataFrame:
     """Rows whose property is missing or belongs to another tenant."""
     keys = properties.select("tenant_id", F.col("id").alias("property_id"))

@@ -123,6 +123,33 @@ def q_visible_children(t):
     return s.unionByName(i).unionByName(c)
 
 
+# every member with portfolio.view, the properties each holds, and the children under them
+@query("member_children", _with("""
+, kids AS (SELECT 'system' AS kind, id, tenant_id, property_id FROM systems_v
+  UNION ALL SELECT 'issue', id, tenant_id, property_id FROM issues_v
+  UNION ALL SELECT 'commitment', id, tenant_id, property_id FROM commitments_v),
+mem AS (SELECT tenant_id, user_id, role IN ('platform_owner', 'administrator') AS wide FROM memberships_v
+  WHERE status = 'active' AND (role = 'platform_owner' OR list_contains(permissions, 'portfolio.view')))
+SELECT k.kind, k.id, k.tenant_id, k.property_id, m.user_id,
+  CASE WHEN p.administrator_user_id = m.user_id THEN 'assigned' ELSE 'created' END AS scope
+FROM mem m JOIN properties_v p ON p.tenant_id = m.tenant_id
+  AND (p.administrator_user_id = m.user_id OR p.created_by = m.user_id)
+JOIN kids k ON k.tenant_id = p.tenant_id AND k.property_id = p.id WHERE NOT m.wide
+UNION ALL SELECT k.kind, k.id, k.tenant_id, k.property_id, NULL, 'tenant'
+FROM kids k JOIN properties_v p ON k.tenant_id = p.tenant_id AND k.property_id = p.id
+WHERE k.tenant_id IN (SELECT tenant_id FROM mem WHERE wide)
+UNION ALL SELECT k.kind, k.id, k.tenant_id, k.property_id, NULL, 'members'
+FROM kids k WHERE k.kind = 'commitment' AND k.property_id IS NULL AND k.tenant_id IN (SELECT tenant_id FROM mem)""",
+                              "properties_v", "issues_v", "systems_v", "commitments_v", "memberships_v")
+       .replace("\n\n, kids AS", ",\nkids AS"))
+def q_member_children(t):
+    kids = [V.systems(t).select(F.lit("system").alias("kind"), "id", "tenant_id", "property_id"),
+            V.issues(t).select(F.lit("issue").alias("kind"), "id", "tenant_id", "property_id"),
+            V.commitments(t).select(F.lit("commitment").alias("kind"), "id", "tenant_id", "property_id")]
+    return P.member_children(kids[0].unionByName(kids[1]).unionByName(kids[2]), V.properties(t), V.memberships(t),
+                             F.col("kind") == "commitment")
+
+
 # a sixteenth of the children name a property that does not exist, another
 # sixteenth one that (but for the property's own tenant) is not theirs
 def _strayed_sql(view: str) -> str:
