@@ -23,9 +23,12 @@ def micros_between(start: Column, end: Column) -> Column:
 def append_events(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` to append: one per event id, none already stored.
 
-    ``dropDuplicates`` runs a partial aggregate first, then an anti join on
-    the id, so a replayed batch appends nothing."""
-    batch = new.dropDuplicates(["event_id"])
+    Of rows with one id the earliest stays (ties: the smallest row hash), so a
+    task that is run again picks the same one.  A partial aggregate runs first,
+    then an anti join on the id, so a replayed batch appends nothing."""
+    row = F.struct(*new.columns)
+    batch = new.groupBy("event_id").agg(
+        F.min_by(row, F.struct("timestamp", F.xxhash64(*new.columns))).alias("_r")).select("_r.*")
     return batch.join(existing.select("event_id"), "event_id", "left_anti")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import text as TX
 from caseflow.functions.validate import contact_rules, errors
+from caseflow.operators.components import components
 from caseflow.operators.sequence import rank_by_counts, top_n_per_group
 
 
@@ -144,7 +145,9 @@ def import_reconciliation(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns (stored rows, per-tenant reconciliation)."""
     v = incoming.withColumn("errors", errors(contact_rules()))
     good = v.where(F.size("errors") == 0)
-    stored = good.dropDuplicates(["id"]).drop("errors")
+    # of rows with one id the first by content stays, whichever task sees it first
+    stored = good.groupBy("id").agg(F.min_by(F.struct(*incoming.columns), F.to_json(F.struct(*incoming.columns))).alias("_r")) \
+        .select("_r.*")
     n_in = incoming.groupBy("tenant_id").agg(F.count("*").alias("input_rows"))
     n_bad = v.where(F.size("errors") > 0).groupBy("tenant_id").agg(F.count("*").alias("rejected"))
     n_good = good.groupBy("tenant_id").agg(F.count("*").alias("_good"), F.countDistinct("id").alias("stored"))
@@ -157,19 +160,45 @@ def import_reconciliation(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def duplicate_contacts(contacts: DataFrame) -> DataFrame:
-    """Contacts sharing a normalised phone, lower-cased e-mail or identifier
-    (A19).  Groups are described by size and smallest member id, one output
-    row per member -- never a collected member list."""
-    keys = contacts.select(
+    """Contacts sharing a normalised phone or lower-cased e-mail (A19).  Groups
+    are described by size and smallest member id, one output row per member --
+    never a collected member list.  ``contact_groups`` joins groups across
+    kinds of keys, identifiers included."""
+    keys = _contact_keys(contacts)
+    groups = keys.groupBy("kind", "key").agg(F.count("*").alias("group_size"), F.min("id").alias("group_id")) \
+        .where(F.col("group_size") > 1)
+    return keys.join(groups, ["kind", "key"], "inner").select("id", "tenant_id", "kind", "key", "group_size",
+                                                              "group_id")
+
+
+def _contact_keys(contacts: DataFrame) -> DataFrame:
+    """(id, tenant_id, kind, key) of the phone and the e-mail of each contact."""
+    return contacts.select(
         "id", "tenant_id",
         F.explode(F.array(
             F.struct(F.lit("phone").alias("kind"), TX.normalize_phone(F.col("phone")).alias("key")),
             F.struct(F.lit("email").alias("kind"), F.lower(TX.js_trim(F.col("email"))).alias("key")),
         )).alias("k")).select("id", "tenant_id", "k.kind", "k.key").where(F.col("key") != "")
-    groups = keys.groupBy("kind", "key").agg(F.count("*").alias("group_size"), F.min("id").alias("group_id")) \
-        .where(F.col("group_size") > 1)
-    return keys.join(groups, ["kind", "key"], "inner").select("id", "tenant_id", "kind", "key", "group_size",
-                                                              "group_id")
+
+
+def contact_groups(contacts: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """Duplicate groups across kinds of keys (A19): contacts that share a phone,
+    an e-mail or the digits of an identifier, directly or through others.
+
+    ``identifiers`` has the contact's id and its identifier text.  One row per
+    contact of a group of two or more: id, tenant_id, group_id (smallest id of
+    the group), group_size.  Blank keys join nobody.  Contacts of a key are
+    linked with its smallest id only, so a key shared by very many is as many
+    links as contacts."""
+    ids = identifiers.select("id", F.lit("identifier").alias("kind"),
+                             F.regexp_replace("identifier", "[^0-9]", "").alias("key")).where(F.col("key") != "")
+    keys = _contact_keys(contacts).select("id", "kind", "key").unionByName(
+        ids.join(contacts.select("id"), "id", "left_semi"))
+    first = keys.groupBy("kind", "key").agg(F.min("id").alias("first"))
+    groups = components(keys.join(first, ["kind", "key"]), "id", "first")
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("group_size"))
+    rows = contacts.select("id", "tenant_id").distinct().join(groups, "id").join(sizes, "component")
+    return rows.select("id", "tenant_id", F.col("component").alias("group_id"), "group_size")
 
 
 def service_family_mix(analyses: DataFrame, cases: DataFrame) -> DataFrame:

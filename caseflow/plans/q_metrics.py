@@ -216,6 +216,23 @@ def q_duplicate_contacts(t):
     return M.duplicate_contacts(V.contacts(t))
 
 
+# a row (src, dst) for every contact that src reaches through shared keys
+@query("contact_groups", _w("""
+, keys AS (SELECT id, 'phone' AS kind, replace(phone, '-', '') AS key FROM contacts
+  UNION ALL SELECT id, 'email', lower(email) FROM contacts
+  UNION ALL SELECT id, 'identifier', lpad(CAST(k % 26 AS VARCHAR), 2, '0')
+    || CAST(CASE WHEN k % 8 = 7 THEN 9 ELSE k % 8 END AS VARCHAR) || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0')
+    || CAST((k // 3) % 10 AS VARCHAR) || CASE WHEN k % 3 = 0 THEN '001' ELSE '' END FROM contacts),
+near AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM keys a JOIN keys b USING (kind, key)),
+reach AS (SELECT src, dst FROM near UNION SELECT r.src, n.dst FROM reach r JOIN near n ON r.dst = n.src),
+g AS (SELECT src AS id, min(dst) AS group_id, count(*) AS group_size FROM reach GROUP BY src)
+SELECT g.id, c.tenant_id, g.group_id, g.group_size FROM g JOIN contacts c ON c.id = g.id WHERE g.group_size > 1""", True)
+       .replace(")\n, keys AS", "),\nkeys AS"))
+def q_contact_groups(t):
+    ids = V.identifiers(t).selectExpr("concat('contact-', CAST(c_custkey AS STRING)) AS id", "identifier_text AS identifier")
+    return M.contact_groups(V.contacts(t), ids)
+
+
 def _final_cases(t):
     ident = OI.validate_identifiers(V.identifiers(t))
     return LC.replay_cases(V.cases(t), V.case_actions(t), ident)
