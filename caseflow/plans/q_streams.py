@@ -47,7 +47,7 @@ def q_stream_cases(t):
     src, sink, ck = (landing_path(t.spark, f"case-{n}") for n in ("actions", "state", "ckpt"))
     cases = V.cases(t).withColumnRenamed("id", "case_id")
     for delivery in (a.where(k > 0), a.where(k < 2)):
-        delivery.repartition(4, "action_no").write.mode("append").parquet(src)
+        delivery.repartition(8, "case_id", "action_no").write.mode("append").parquet(src)
         states, _ = CS.stream_cases(t.spark, src, a.schema, sink, ck, cases)
     return states
 

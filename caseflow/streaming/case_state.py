@@ -1,134 +1,102 @@
 """Streaming case replay (T7): the guarded case fold as keyed state that
 takes actions in any order.
 
-Per case the state holds the fold up to the last sealed action (``base``), the
-fold of everything received (``head``) and a map of the unsealed actions by
-number.  An action with a new highest number is folded onto the head; a late
-one is put into the map and the unsealed actions are folded again from the
-base, so the result is that of the batch replay whatever the order of arrival.
-Equal deliveries of a number count once; a number delivered with different
-contents is left out of the fold, as in the batch replay.
-
-A timer per case fires when nothing has arrived for ``hold``: the map is folded
-into the base and emptied, which bounds the state.  An action that arrives later
-still, with a sealed number, is given out as ``late`` and changes nothing.
-Timers run on the watermark of the arrival time, which no row is behind of, so
-that nothing is dropped on the way in.
+Per case the state holds the fold up to the last sealed action (``base``) and
+the fold of everything received; the actions received are kept as a log.  A
+micro-batch folds the unsealed actions of the cases it touches again from their
+base with the batch replay, all in native Spark: the result is that of the batch
+replay whatever the order of arrival, and a long log of one case is cut into
+chunks there.  Equal deliveries of a number count once; a number delivered with
+different contents is left out of the fold.
+
+A case is sealed when nothing has arrived for ``hold``: its fold becomes its
+base and its log is not read again.  An action that arrives later still, with a
+sealed number, is given out as ``late`` and changes nothing.  Time is the
+arrival time of the micro-batches, so that nothing is dropped on the way in.
+
+State and log are parquet folders by micro-batch number next to the sink.  A
+batch reads the folders of earlier batches only and overwrites its own, so a
+retried batch replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from caseflow import schemas as K
+from caseflow.functions import literals as L
 from caseflow.operators.access import latest_per_key
-from caseflow.operators.lifecycle import py_case_step
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-_FOLD = "stage string, status string, approval string, amount string, billing boolean, accepted long, rejected long"
-_STATE = (", ".join(f"{p}_{c}" for p in ("base", "head") for c in _FOLD.split(", "))
-          + ", sealed_no long, last_no long, arrived long")
-_ACTION = "action string, id_ok boolean, amount string, conflict boolean"
-OUT = ("case_id string, current_stage string, status string, quote_approval string, quote_amount_usd decimal(18,2), "
-       "billing_prepared boolean, accepted_actions long, rejected_actions long, last_action_no long, late_action_no long")
-_START = ("intake", "open", "not_requested", None, False, 0, 0)
-_APPROVAL = {"prepare_quote": "pending", "approve_quote": "approved", "reject_quote": "rejected"}
-
-
-def fold(state: tuple, action: str, id_ok: bool, amount: str | None) -> tuple:
-    """One action on one case."""
-    stage, status, approval, old, billing, accepted, rejected = state
-    stage, billing, err = py_case_step(stage, billing, action, id_ok, amount is not None)
-    if err:
-        return stage, status, approval, old, billing, accepted, rejected + 1
-    return (stage, K.STATUS_BY_ACTION.get(action, "open"), _APPROVAL.get(action, approval),
-            amount if action == "prepare_quote" else old, billing, accepted + 1, rejected)
-
-
-class CaseProcessor(StatefulProcessor):
-    """State of one case; ``hold_ms`` is the quiet time before it is sealed."""
-
-    def __init__(self, hold_ms: int):
-        self.hold_ms = hold_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.case = handle.getValueState("case", _STATE)
-        self.log = handle.getMapState("log", "no long", _ACTION)
-
-    def _read(self) -> list:
-        """base, head, sealed_no, last_no, arrived"""
-        got = self.case.get() if self.case.exists() else None
-        if got is None:
-            return [_START, _START, None, None, None]
-        got, n = tuple(got), len(_START)
-        return [got[:n], got[n:2 * n], *got[2 * n:]]
-
-    def _write(self, base, head, sealed, last, arrived) -> None:
-        self.case.update((*base, *head, sealed, last, arrived))
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        s = initialState
-        amount = None if s.quote_amount_usd is None else str(s.quote_amount_usd)
-        start = (s.current_stage, s.status, s.quote_approval, amount, bool(s.billing_prepared), 0, 0)
-        self._write(start, start, None, None, None)
-
-    def _refold(self, base: tuple) -> tuple:
-        for _, a in sorted((k[0], tuple(v)) for k, v in self.log.iterator()):
-            base = base if a[3] else fold(base, *a[:3])
-        return base
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        base, head, sealed, last, arrived = self._read()
-        again, late, waiting = False, [], arrived is not None
-        for r in sorted(rows, key=lambda r: r.action_no):
-            no, new = int(r.action_no), (r.action, bool(r.id_ok), None if r.amount is None else str(r.amount), False)
-            arrived = max(arrived or 0, int(r.arrived.timestamp() * 1000))
-            if sealed is not None and no <= sealed:
-                late.append(no)
-            elif last is None or no > last:
-                self.log.updateValue((no,), new)
-                head, last = fold(head, *new[:3]), no
-            elif not self.log.containsKey((no,)):
-                self.log.updateValue((no,), new)
-                again = True
-            else:
-                old = tuple(self.log.getValue((no,)))
-                if old != new and not old[3]:
-                    self.log.updateValue((no,), (*old[:3], True))
-                    again = True
-        if again:
-            head = self._refold(base)
-        self._write(base, head, sealed, last, arrived)
-        if not waiting:
-            self.handle.registerTimer(arrived + self.hold_ms)
-        stage, status, approval, amount, billing, accepted, rejected = head
-        state = dict(case_id=key[0], current_stage=stage, status=status, quote_approval=approval,
-                     quote_amount_usd=None if amount is None else Decimal(amount), billing_prepared=billing,
-                     accepted_actions=accepted, rejected_actions=rejected, last_action_no=last)
-        yield Row(**state, late_action_no=None)
-        for no in late:
-            yield Row(**state, late_action_no=no)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        base, head, sealed, last, arrived = self._read()
-        if arrived + self.hold_ms > expiredTimerInfo.getExpiryTimeInMs():       # something came in the meantime
-            self.handle.registerTimer(arrived + self.hold_ms)
-        else:
-            self.log.clear()
-            self._write(head, head, last, last, None)
-        return iter(())
-
-    def close(self) -> None:
-        pass
+from caseflow.operators.lifecycle import case_step, fold_case
+from caseflow.operators.replay import replay
+
+_FOLD = ("current_stage string, status string, quote_approval string, quote_amount_usd decimal(18,2), "
+         "billing_prepared boolean, accepted_actions long, rejected_actions long")
+FOLD = [c.split()[0] for c in _FOLD.split(", ")]
+OUT = f"case_id string, {_FOLD}, last_action_no long, late_action_no long"
+# what a later batch needs of a case: the fold to start from, the last sealed number, the batch its unsealed log begins in
+STATE = f"{OUT}, base struct<{_FOLD}>, sealed_no long, since long, arrived timestamp, batch long"
+ACTION = "case_id string, action_no long, action string, id_ok boolean, quote_amount_usd decimal(18,2), arrived timestamp, batch long"
+_NEW = ("intake", "open", "not_requested", None, False, 0, 0)
+
+
+def _judge(spark: SparkSession, batch_id: int, sink_dir: str, hold: Column) -> None:
+    """Fold the logged actions of one micro-batch and write its states."""
+    def load(name: str, schema: str, base: str = f"{sink_dir}-state") -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{base}/{name}" if name else base)
+
+    log = load("log", ACTION).where(F.col("batch") <= batch_id)
+    new = log.where(F.col("batch") == batch_id)
+    touched = new.groupBy("case_id").agg(F.max("arrived").alias("_arrived"), F.max("action_no").alias("_max_no"))
+    start = load("start", f"case_id string, {_FOLD}").select("case_id", F.struct(*FOLD).alias("_start"))
+    if batch_id > 0:
+        earlier = load("", STATE, sink_dir).where((F.col("batch") < batch_id) & F.col("late_action_no").isNull())
+        newest = earlier.agg(F.max("arrived")).first()[0]
+        was = latest_per_key(earlier.select("case_id", "batch", F.struct(*FOLD).alias("head"), "last_action_no", "base",
+                                            "sealed_no", "since", "arrived"), ["case_id"], [F.col("batch")]).drop("batch")
+        touched = touched.join(was, "case_id", "left")
+        seal = F.coalesce(F.col("arrived") + hold < F.lit(newest), F.lit(False))
+    else:
+        seal = F.lit(False)
+        for f in T.StructType.fromDDL("head string, base string, last_action_no long, sealed_no long, since long"):
+            touched = touched.withColumn(f.name, F.lit(None).cast(
+                T.StructType.fromDDL(_FOLD) if f.name in ("head", "base") else f.dataType))
+    fresh = F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(_NEW, T.StructType.fromDDL(_FOLD))))
+    touched = touched.join(start, "case_id", "left").select(
+        "case_id", F.col("_arrived").alias("arrived"), F.greatest("last_action_no", "_max_no").alias("last_action_no"),
+        F.when(seal, F.col("head")).otherwise(F.coalesce("base", "_start", fresh)).alias("base"),
+        F.when(seal, F.col("last_action_no")).otherwise(F.col("sealed_no")).alias("sealed_no"),
+        F.when(seal, F.lit(None)).otherwise(F.col("since")).alias("since"))
+    path = f"{sink_dir}-state/touched/batch={batch_id}"
+    touched = touched.withColumn("since", F.coalesce("since", F.lit(batch_id)).cast("long"))
+    touched.write.mode("overwrite").parquet(path)
+    touched = spark.read.schema(touched.schema).parquet(path)
+
+    late = F.coalesce(F.col("action_no") <= F.col("sealed_no"), F.lit(False))
+    s0 = L.index_of(F.col("base.current_stage"), K.CASE_STAGES) * 2 + F.col("base.billing_prepared").cast("int")
+    unsealed = log.join(touched.select("case_id", "base", "sealed_no", "since"), "case_id").where(
+        (F.col("batch") >= F.col("since")) & ~late)
+    judged = replay(unsealed.select("case_id", "action_no", "action", "quote_amount_usd", "id_ok",
+                                    L.index_of(F.col("action"), K.CASE_ACTIONS).alias("code"),
+                                    F.col("quote_amount_usd").isNotNull().alias("has_amount"), s0.alias("s0")),
+                    "case_id", "action_no", ["action", "quote_amount_usd", "code", "id_ok", "has_amount"], None,
+                    n_states=2 * len(K.CASE_STAGES), step=case_step)
+    folded = touched.join(fold_case(judged), "case_id", "left")
+    states = folded.select(
+        "case_id", F.coalesce("_stage", "base.current_stage").alias("current_stage"),
+        F.coalesce("_status", "base.status").alias("status"),
+        F.coalesce("_approval", "base.quote_approval").alias("quote_approval"),
+        F.coalesce("_amount", "base.quote_amount_usd").alias("quote_amount_usd"),
+        (F.col("base.billing_prepared") | F.coalesce("_billing", F.lit(False))).alias("billing_prepared"),
+        *((F.col(f"base.{c}") + F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in FOLD[-2:]),
+        "last_action_no", F.lit(None).cast("long").alias("late_action_no"), "base", "sealed_no", "since", "arrived")
+    states.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+    again = new.join(touched.select("case_id", "sealed_no"), "case_id").where(late).select(
+        "case_id", F.col("action_no").alias("late_action_no"))
+    if not again.isEmpty():
+        states = spark.read.schema(states.schema).parquet(f"{sink_dir}/batch={batch_id}").drop("late_action_no")
+        states.join(again, "case_id").write.mode("append").parquet(f"{sink_dir}/batch={batch_id}")
 
 
 def stream_cases(spark: SparkSession, actions_dir: str, actions_schema: T.StructType, sink_dir: str, checkpoint_dir: str,
@@ -141,29 +109,24 @@ def stream_cases(spark: SparkSession, actions_dir: str, actions_schema: T.Struct
     in the first run of a checkpoint only).  Every micro-batch overwrites a sink
     folder of its own number, so a retried batch replaces itself.  ``hold`` is
     an interval of days, hours, minutes or seconds."""
-    stored = T.StructType([*T._parse_datatype_string(OUT).fields, T.StructField("batch", T.LongType())])
-    hold_ms = int(spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {hold}"))).first()[0]) // 1000
     src = (spark.readStream.schema(actions_schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(actions_dir)
            .select("case_id", F.col("action_no").cast("long").alias("action_no"), "action",
                    F.coalesce("id_ok", F.lit(False)).alias("id_ok"),
-                   F.col("quote_amount_usd").cast("decimal(18,2)").alias("amount"), F.current_timestamp().alias("arrived"))
-           .withWatermark("arrived", "0 seconds"))
-    start = cases.select("case_id", "current_stage", "status", "quote_approval", "quote_amount_usd",
-                         "billing_prepared").groupBy("case_id")
+                   F.col("quote_amount_usd").cast("decimal(18,2)").alias("quote_amount_usd"),
+                   F.current_timestamp().alias("arrived")))
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
-
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        q = (src.groupBy("case_id").transformWithState(CaseProcessor(hold_ms), OUT, "Update", "EventTime", start)
-             .writeStream.outputMode("update").foreachBatch(sink)
-             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
-    out = spark.read.schema(stored).parquet(sink_dir)
-    order: list[Column] = [F.col("batch")]
-    states = latest_per_key(out.where("late_action_no is null").drop("late_action_no"), ["case_id"], order).drop("batch")
+        if batch_id == 0:
+            start = cases.select("case_id", "current_stage", "status", "quote_approval", "quote_amount_usd",
+                                 F.coalesce("billing_prepared", F.lit(False)).alias("billing_prepared"),
+                                 F.lit(0).alias("accepted_actions"), F.lit(0).alias("rejected_actions"))
+            start.select(*(F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(f"case_id string, {_FOLD}"))) \
+                .write.mode("overwrite").parquet(f"{sink_dir}-state/start")
+        batch.write.mode("overwrite").parquet(f"{sink_dir}-state/log/batch={batch_id}")
+        _judge(spark, batch_id, sink_dir, F.expr(f"INTERVAL {hold}"))
+
+    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.schema(f"{OUT}, batch long").parquet(sink_dir)
+    states = latest_per_key(out.where("late_action_no is null").drop("late_action_no"), ["case_id"], [F.col("batch")]).drop("batch")
     return states, out.where("late_action_no is not null").select("case_id", F.col("late_action_no").alias("action_no"), "batch")

@@ -86,3 +86,13 @@ def test_quiet_cases_are_sealed_and_later_actions_reported(stream):
     got, late = stream([("a", 2, "validate_identity", True, None), ("a", 4, "validate_identity", True, None)], [], "0 seconds", 1)
     assert late == [("a", 2)]
     assert got["a"][0] == "discovery" and got["a"][5:] == (2, 1, 4)
+
+
+def test_unknown_actions_are_rejected_as_in_the_batch_replay(stream, spark):
+    """The fold is the batch replay, one native job for all cases of a delivery, not a call per case."""
+    n = 400
+    rows = [(f"c{i}", k + 1, a, True, None) for i in range(n)
+            for k, a in enumerate(("complete_intake", "no_such_action", "validate_identity"))]
+    got, late = stream(rows, [(f"c{i}", "intake", "open", "not_requested", None, False) for i in range(0, n, 2)], files=1)
+    assert late == [] and len(got) == n
+    assert set(got.values()) == {("discovery", "open", "not_requested", None, False, 2, 1, 3)}
