@@ -26,6 +26,9 @@ JUDGED = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("
 MANIFEST = T.StructType([T.StructField(n, T.LongType()) for n in ("cases", "events", "judged")])
 _TABLES = {"cases": CASE, "events": EVENT, "judged": JUDGED, "commits": MANIFEST}
 _FIRST = -1
+# the columns of a case that actions write
+WRITTEN = ("customer_identifier", "customer_name", "identity_validation", "current_stage", "status", "quote_approval",
+           "quote_amount_usd", "billing_prepared", "updated_at")
 
 
 def create_store(spark: SparkSession, base: str) -> str:
@@ -44,12 +47,21 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return load(name).join(load("commits").select("batch").distinct(), "batch", "left_semi")
 
 
-def stored_cases(spark: SparkSession, base: str, cases: DataFrame) -> DataFrame:
-    """The cases after all committed batches; ``cases`` as they were before."""
-    changed = read_table(spark, base, "cases")
-    first = cases.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in CASE.fields),
-                         F.lit(_FIRST).cast("long").alias("batch"))
-    return latest_per_key(first.unionByName(changed), ["id"], [F.col("batch")]).drop("batch").select(*CASE.fieldNames())
+def stored_cases(spark: SparkSession, base: str, cases: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The cases after all committed batches; ``cases`` as they were before.
+    Only ``columns`` are carried (all by default): what no action writes comes
+    from ``cases``, the rest from the last changed row, if there is one."""
+    columns = columns or CASE.fieldNames()
+    first = cases.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in CASE.fields)).select(
+        "id", *(c for c in columns if c != "id")).dropDuplicates(["id"])
+    written = [c for c in columns if c in WRITTEN]
+    if not written:
+        return first.select(*columns)
+    changed = latest_per_key(read_table(spark, base, "cases").select("id", "batch", *written), ["id"], [F.col("batch")])
+    changed = changed.select("id", F.col("batch").alias("_batch"), *(F.col(c).alias(f"_{c}") for c in written))
+    return first.join(changed, "id", "left").select(*(
+        F.when(F.col("_batch").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) if c in written else F.col(c)
+        for c in columns))
 
 
 def event_uuid(*parts: Column) -> Column:
@@ -83,7 +95,10 @@ def write_back(cases: DataFrame, log: DataFrame, identity: DataFrame) -> DataFra
     known = identity.select(F.col("identifier").alias("customer_identifier"), F.struct(
         *(F.col(f.name) if f.name in identity.columns else F.lit(None).cast(f.dataType).alias(f.name)
           for f in K.IDENTITY_VALIDATION.fields if f.name != "verified_at")).alias("_check")).dropDuplicates(["customer_identifier"])
-    j = cases.join(agg, cases.id == agg.case_id).join(known, "customer_identifier", "left")
+    j = cases.join(agg, cases.id == agg.case_id)
+    # only checked cases meet the checks; the others stay where they are
+    j = (j.where("_verified is not null").join(known, "customer_identifier", "left")
+         .unionByName(j.where("_verified is null"), allowMissingColumns=True))
     checked = F.col("_verified").isNotNull()
     check = F.struct(*((F.col("_verified") if f.name == "verified_at" else F.col(f"_check.{f.name}")).cast(f.dataType).alias(f.name)
                        for f in K.IDENTITY_VALIDATION.fields))
@@ -132,18 +147,22 @@ def commit_batch(spark: SparkSession, base: str, batch: int, cases: DataFrame, a
     those of earlier batches."""
     if not read_table(spark, base, "commits").where(F.col("batch") == batch).isEmpty():
         return False
-    before = stored_cases(spark, base, cases)
+    def before(*columns: str) -> DataFrame:
+        return stored_cases(spark, base, cases, list(columns))
     known = read_table(spark, base, "judged").select("case_id", "action_no")
-    fresh = actions.withColumn("action_no", F.col("action_no").cast("long")).join(known, ["case_id", "action_no"], "left_anti")
-    log = transition_log(before, fresh, identity, carry=("actor_user_id", "requested_at", "note"))
-    log = log.join(before.select(F.col("id").alias("case_id")), "case_id", "left_semi")
+    fresh = actions.withColumn("action_no", F.col("action_no").cast("long"))
+    log = transition_log(before("id", "customer_identifier", "current_stage", "billing_prepared"), fresh, identity,
+                         carry=("actor_user_id", "requested_at", "note"), known=known, stored_only=True)
     log.write.mode("overwrite").parquet(f"{base}/work/batch={batch}")
     log = spark.read.schema(log.schema).parquet(f"{base}/work/batch={batch}")
+    tables = (("judged", log.select("case_id", "action_no", "accepted", "error")),
+              ("events", audit_rows(log, before("id", "tenant_id", "customer_id", "title"))),
+              ("cases", write_back(before(), log, identity)))
     counts = {}
-    for name, rows in (("judged", log.select("case_id", "action_no", "accepted", "error")),
-                       ("events", audit_rows(log, before)), ("cases", write_back(before, log, identity))):
-        rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
-        counts[name] = spark.read.parquet(f"{base}/{name}/batch={batch}").count()
+    for name, rows in tables:
+        # a batch without a judged action writes no audit row and changes no case
+        (rows.limit(0) if counts.get("judged") == 0 else rows).write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
+        counts[name] = spark.read.schema(_TABLES[name]).parquet(f"{base}/{name}/batch={batch}").count()
     manifest = [tuple(counts[f.name] for f in MANIFEST.fields)]
     spark.createDataFrame(manifest, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{base}/commits/batch={batch}")
     return True

@@ -69,7 +69,9 @@ def q_case_commit(t):
     """Cases after all batches, with the number of their audit rows."""
     base, cases = _committed(t)
     rows = CM.read_table(t.spark, base, "events").groupBy("case_id").agg(F.count("*").alias("audit_rows"))
-    after = CM.stored_cases(t.spark, base, cases).withColumnRenamed("id", "case_id")
+    after = CM.stored_cases(t.spark, base, cases, [
+        "id", "current_stage", "status", "customer_identifier", "customer_name", "identity_validation", "updated_at",
+    ]).withColumnRenamed("id", "case_id")
     check = F.col("identity_validation")
     return after.join(rows, "case_id", "left").select(
         "case_id", "current_stage", "status", "customer_identifier", "customer_name",

@@ -73,3 +73,16 @@ def test_a_batch_that_fails_half_way_is_not_there(spark, cases, monkeypatch):
     assert CM.commit_batch(spark, base, 0, cases, batch, identity)
     assert CM.read_table(spark, base, "events").count() == 1
     assert {r.id: r.current_stage for r in CM.stored_cases(spark, base, cases).collect()}[one] == "identity"
+
+
+def test_stored_cases_carry_only_the_columns_asked_for(spark, cases):
+    base = _store(spark)
+    one = cases.first().id
+    identity = spark.createDataFrame([], "identifier string, identifier_type string, locally_valid boolean")
+    assert CM.commit_batch(spark, base, 0, cases, _actions(spark, [(one, 1, "complete_intake", None)]), identity)
+    whole = CM.stored_cases(spark, base, cases)
+    for columns in (["id", "title"], ["id", "current_stage", "billing_prepared"]):
+        some = CM.stored_cases(spark, base, cases, columns)
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+        assert "description" not in plan.split("InMemoryRelation")[0]
