@@ -256,9 +256,13 @@ def portfolio_brief(properties: DataFrame, issues: DataFrame, systems: DataFrame
         keys = keys.where(F.col("property_id") == property_id)
     i = i.join(keys, ["tenant_id", "property_id"], "left_semi")
     s = s.join(keys, ["tenant_id", "property_id"], "left_semi")
-    c_hit = c.join(keys, ["tenant_id", "property_id"], "left_semi")
     if property_id is None:
-        c_hit = c_hit.unionByName(c.where(F.col("property_id").isNull()))
+        # one pass over the commitments; those without a property find no key
+        known = keys.distinct().withColumn("_known", F.lit(True))
+        c_hit = c.join(known, ["tenant_id", "property_id"], "left").where(
+            F.col("_known").isNotNull() | F.col("property_id").isNull()).select(*c.columns)
+    else:
+        c_hit = c.join(keys, ["tenant_id", "property_id"], "left_semi")
     pr = p.join(keys.withColumnRenamed("property_id", "id"), ["tenant_id", "id"], "left_semi")
 
     def line(df, section, state, detail, when_col, flag):

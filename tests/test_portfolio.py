@@ -60,3 +60,14 @@ def test_one_member(frames):
 
 def test_children_without_property_are_hidden_by_default(frames):
     assert P.member_children(*frames).where("property_id is null").isEmpty()
+
+
+def test_the_brief_reads_the_commitments_once(spark):
+    from caseflow.plans import views as V
+    from caseflow.sources.tables import Tables
+    from tests.conftest import SF_SMALL
+    t = Tables(spark, SF_SMALL)
+    brief = P.portfolio_brief(V.properties(t), V.issues(t), V.systems(t), V.commitments(t), V.ts(V.AS_OF))
+    plan = brief._jdf.queryExecution().optimizedPlan().toString()
+    # of the brief's tables only the commitments read the orders
+    assert sum("o_orderkey" in line for line in plan.splitlines() if "Relation [" in line) == 1
