@@ -19,6 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.sources.io import stored
+
+#: grant lists up to this number (some 200 bytes each, counted first) are broadcast
+FEW_GRANTS = 500_000
+
 TENANT_WIDE_ROLES = ("platform_owner", "administrator")
 ATTENTION = ("attention", "critical")
 
@@ -94,10 +99,12 @@ def member_children(children: DataFrame, properties: DataFrame, memberships: Dat
     child has no property, ``allow_null`` holds for it (nowhere by default), and
     every member with ``portfolio.view`` sees it, also one without a property.
 
-    Grants of a property are one list of at most three entries, so children meet
-    them in one join on (tenant, property), whose skewed keys AQE can split; no
-    member is paired with every child.  Children of a missing property or of
-    another tenant's, or without a tenant, are granted to nobody."""
+    Grants of a property are one list of at most three entries, written and
+    counted.  Up to ``FEW_GRANTS`` lists are broadcast, and the children, many
+    times as many rows, stay where they are; above that both meet in one shuffle
+    join on (tenant, property), whose skewed keys AQE can split.  No member is
+    paired with every child.  Children of a missing property or of another
+    tenant's, or without a tenant, are granted to nobody."""
     grants = visible_properties(properties, memberships)
     everyone = F.struct(F.lit(None).cast("string").alias("user_id"), F.lit("tenant").alias("scope"))
     wide = grants.where("scope = 'tenant'").select("tenant_id").distinct()
@@ -113,6 +120,9 @@ def member_children(children: DataFrame, properties: DataFrame, memberships: Dat
                                                     F.lit("members").alias("scope")).alias("g"))))
     held = entries.groupBy(F.col("tenant_id").alias("_tenant"), F.col("property_id").alias("_property")).agg(
         F.collect_set("g").alias("_held"))
+    held = stored(held, "grants")
+    if held.count() <= FEW_GRANTS:
+        held = F.broadcast(held)
     shown = F.col("property_id").isNotNull() | F.coalesce(F.lit(False) if allow_null is None else allow_null, F.lit(False))
     hit = children.where(shown).join(held, (F.col("tenant_id") == F.col("_tenant"))
                                      & F.col("property_id").eqNullSafe(F.col("_property")))

@@ -50,6 +50,21 @@ def test_grants_expand_to_what_each_member_sees(frames):
     assert {r.user_id for r in rows} == {None, "col", "col2"}
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_children_stay_where_they_are_for_few_grants(spark, frames, few, monkeypatch):
+    want = sorted(map(str, P.member_children(*frames, F.col("kind") == "commitment").collect()))
+    monkeypatch.setattr(P, "FEW_GRANTS", few)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as with tables above it
+    try:
+        out = P.member_children(*frames, F.col("kind") == "commitment")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning" in plan) == (few == 0)
+        assert sorted(map(str, out.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_one_member(frames):
     for t, u in [("t1", "adm"), ("t1", "col2"), ("t1", "idle"), ("t1", "gone"), ("t2", "col"), ("t2", "adm")]:
         got = P.children_of_member(*frames, t, u, F.col("kind") == "commitment")
