@@ -161,57 +161,73 @@ def apply_member_updates(memberships: DataFrame, updates: DataFrame) -> tuple[Da
     owner's row changes only when the actor is an owner.  Returns (decisions,
     memberships after the batch).
 
-    The order is a dependency between actors, not a loop over rows.  A round
-    settles all updates whose actor is no target of an earlier open update; the
-    actor's rights then follow from the accepted updates on the actor, looked up
-    as of the update's number.  Whether a target still is an owner follows from
-    one minimum: only an owner's update can end that, and it does.  A round
-    settles at least the first open update of every tenant, so the number of
-    rounds is the length of the longest chain of actors updating actors.
+    The order is a dependency between actors, not a loop over rows.  Only updates
+    of members who act themselves can change what another update may do, so the
+    rounds take these only.  A round settles all updates whose actor is no target
+    of an earlier open update; the actor's rights then follow from the accepted
+    updates on the actor, looked up as of the update's number.  Whether a target
+    still is an owner follows from one minimum: only an owner's update can end
+    that, and it does.  A round settles at least the first open update of every
+    tenant, so the number of rounds is the length of the longest chain of actors
+    updating actors.  All other updates are judged in one last step, when the
+    rights of every actor at every number are known.
     """
     state = F.struct("role", "permissions", "status")
     before = memberships.select("tenant_id", "user_id", state.alias("m"))
-    todo = (updates.select("update_no", "tenant_id", "user_id", "actor_user_id", "role", "permissions", "status").distinct()
-            .withColumn("valid", F.size(errors(member_update_rules())) == 0)
-            .join(before.select("tenant_id", "user_id", F.col("m.role").alias("t_role")), ["tenant_id", "user_id"], "left")
-            .join(before.select("tenant_id", F.col("user_id").alias("actor_user_id"), F.col("m").alias("a_before")),
-                  ["tenant_id", "actor_user_id"], "left"))
-    todo = stored(todo, "member-updates")
+    todo = stored(updates.select("update_no", "tenant_id", "user_id", "actor_user_id", "role", "permissions", "status").distinct()
+                  .withColumn("valid", F.size(errors(member_update_rules())) == 0), "member-updates")
+    actors = stored(todo.select("tenant_id", "actor_user_id").distinct()
+                    .join(before.select("tenant_id", F.col("user_id").alias("actor_user_id"), F.col("m").alias("a_before")),
+                          ["tenant_id", "actor_user_id"], "left"), "member-actors")
+    acting = actors.select("tenant_id", F.col("actor_user_id").alias("user_id"), F.lit(True).alias("acts")).distinct()
+    todo = stored(todo.join(before.select("tenant_id", "user_id", F.col("m.role").alias("t_role")), ["tenant_id", "user_id"], "left")
+                  .join(actors, ["tenant_id", "actor_user_id"], "left")
+                  .join(acting, ["tenant_id", "user_id"], "left").withColumn("acts", F.coalesce("acts", F.lit(False))),
+                  "member-updates")
+    rest, todo = todo.where("not acts").drop("acts"), todo.where("acts").drop("acts")
     columns, done = todo.columns, None
-    while True:
+    no, a_role = F.col("update_no"), F.col("a.role")
+    owner = F.coalesce(F.col("t_role") == "platform_owner", F.lit(False))
+
+    def as_of(todo, done):
+        """``a``: the actor's membership as the decided updates left it."""
         if done is None:
-            now = todo.withColumn("a", F.col("a_before"))
-            changed = todo.where("false").select("tenant_id", "user_id", F.col("update_no").alias("changed"))
-        else:
-            ok = done.where("error is null")
-            # of odd and even numbers, a change counts from the next update on
-            values = ok.select("tenant_id", F.col("user_id").alias("actor_user_id"), (2 * F.col("update_no") + 1).alias("at"),
-                               state.alias("m"))
-            now = last_value_before(values, todo.withColumn("at", 2 * F.col("update_no")), ["tenant_id", "actor_user_id"],
-                                    "at", "m", "a").withColumn("a", F.coalesce("a", "a_before"))
-            changed = ok.groupBy("tenant_id", "user_id").agg(F.min("update_no").alias("changed"))
-        first = todo.groupBy("tenant_id", F.col("user_id").alias("actor_user_id")).agg(F.min("update_no").alias("first"))
-        no, a_role = F.col("update_no"), F.col("a.role")
-        settled = F.coalesce(F.col("first") >= no, F.lit(True))
+            return todo.withColumn("a", F.col("a_before"))
+        # of odd and even numbers, a change counts from the next update on
+        values = done.where("error is null").select("tenant_id", F.col("user_id").alias("actor_user_id"),
+                                                    (2 * F.col("update_no") + 1).alias("at"), state.alias("m"))
+        return last_value_before(values, todo.withColumn("at", 2 * F.col("update_no")), ["tenant_id", "actor_user_id"],
+                                 "at", "m", "a").withColumn("a", F.coalesce("a", "a_before"))
+
+    def judged(now, settled, changed=None):
+        """The error of each update and whether it is decided."""
         allowed = settled & F.coalesce((F.col("a.status") == "active")
                                        & has_permission(a_role, F.col("a.permissions"), "members.manage"), F.lit(False))
-        now = (now.join(first, ["tenant_id", "actor_user_id"], "left").withColumn("settled", settled)
-               .withColumn("allowed", allowed).withColumn("by_owner", F.col("allowed") & (a_role == "platform_owner")))
-        ends = now.groupBy("tenant_id", "user_id").agg(
+        now = (now.withColumn("settled", settled).withColumn("allowed", allowed)
+               .withColumn("by_owner", F.col("allowed") & (a_role == "platform_owner")))
+        ends = now.where(owner).groupBy("tenant_id", "user_id").agg(
             F.min(F.when(~F.col("settled"), no)).alias("wait"),
             F.min(F.when(F.col("by_owner") & F.col("valid"), no)).alias("ended"))
-        owner = F.coalesce(F.col("t_role") == "platform_owner", F.lit(False))
+        now = now.join(ends, ["tenant_id", "user_id"], "left")
+        now = now.withColumn("changed", F.lit(None).cast("bigint")) if changed is None else now.join(
+            changed, ["tenant_id", "user_id"], "left")
         free = ~owner | F.col("by_owner") | F.coalesce(F.least("ended", "changed") < no, F.lit(False))
         error = (F.when(~F.col("allowed"), "member_management_forbidden").when(~F.col("valid"), "invalid_member_update")
                  .when(F.col("t_role").isNull(), "membership_not_found").when(~free, "platform_owner_protected"))
-        judged = stored(now.join(ends, ["tenant_id", "user_id"], "left").join(changed, ["tenant_id", "user_id"], "left")
-                        .select(*columns, error.alias("error"), (F.col("settled") & (
-                            ~owner | F.coalesce(F.col("wait") > no, F.lit(True)))).alias("decided")), "member-decisions")
-        fresh = judged.where("decided").drop("decided")
+        return stored(now.select(*columns, error.alias("error"), (F.col("settled") & (
+            ~owner | F.coalesce(F.col("wait") > no, F.lit(True)))).alias("decided")), "member-decisions")
+
+    while not todo.isEmpty():
+        changed = None if done is None else done.where("error is null").groupBy("tenant_id", "user_id").agg(
+            F.min("update_no").alias("changed"))
+        first = todo.groupBy("tenant_id", F.col("user_id").alias("actor_user_id")).agg(F.min("update_no").alias("first"))
+        now = as_of(todo, done).join(first, ["tenant_id", "actor_user_id"], "left")
+        step = judged(now, F.coalesce(F.col("first") >= no, F.lit(True)), changed)
+        fresh = step.where("decided").drop("decided")
         done = fresh if done is None else done.unionByName(fresh)
-        todo = judged.where("not decided").select(*columns)
-        if todo.isEmpty():
-            break
+        todo = step.where("not decided").select(*columns)
+    last = judged(as_of(rest, done), F.lit(True)).drop("decided")
+    done = last if done is None else done.unionByName(last)
     latest = latest_per_key(done.where("error is null").select("tenant_id", "user_id", "update_no", "role", "permissions", "status"),
                             ["tenant_id", "user_id"], [F.col("update_no")]).select(
         "tenant_id", "user_id", F.col("role").alias("n_role"), F.col("permissions").alias("n_perms"),

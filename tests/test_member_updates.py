@@ -67,3 +67,26 @@ def test_random_batches_equal_the_fold(spark):
 def test_no_updates(spark):
     members = [("t__a", "t", "a", "customer", [], "active")]
     assert _check(spark, members, []) == {}
+
+
+def test_members_who_never_act_are_judged_once(spark, monkeypatch):
+    """Their updates change nobody's rights, so no round carries them along."""
+    manage, view = ["members.manage"], ["cases.view"]
+    members = [("t__admin", "t", "admin", "administrator", manage, "active"), ("t__own", "t", "own", "platform_owner", [], "active")]
+    members += [(f"t__{u}", "t", u, "customer", view, "active") for u in ("c0", "c1", "c2", *(f"leaf{i}" for i in range(9)))]
+    updates = [(1, "t", "c0", "admin", "collaborator", manage, "active"), (2, "t", "c1", "c0", "collaborator", manage, "active"),
+               (3, "t", "c2", "c1", "collaborator", manage, "active"), (4, "t", "admin", "c2", "customer", view, "active"),
+               (20, "t", "own", "c2", "customer", view, "active"), (21, "t", "own", "own", "customer", view, "active")]
+    updates += [(5 + i, "t", f"leaf{i}", ("admin", "c2", "own")[i % 3], "collaborator", view, "active") for i in range(9)]
+    seen, stored = [], AC.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "member-decisions":
+            seen.append(out.where("user_id like 'leaf%'").count())
+        return out
+    monkeypatch.setattr(AC, "stored", counted)
+    errors = _check(spark, members, updates)
+    assert [errors["t", n] for n in (4, 5, 6, 20, 21)] == [
+        None, "member_management_forbidden", None, "platform_owner_protected", None]
+    assert sum(seen) == 9 and len(seen) > 3
