@@ -65,7 +65,7 @@ def bad_len(col, lo: int | None = None, hi: int | None = None, nullable: bool =
             ok = ok & (n >= lo)
         if hi is not None:
             ok = ok & (n <= hi)
-        return ~F.coalesce(ok | (F.lit(nullable) & c.isNull()), F.lit(False))
+        return ~F.coalesce(ok, F.lit(nullable))
     return _sql_or_col(col, sf, cf)
 
 

@@ -29,9 +29,8 @@ def _hex_key(df: DataFrame) -> DataFrame:
 
 
 def _uuid(column: str):
-    h = F.sha2(F.col(column), 256)
-    return F.when(F.col(column).isNotNull(), F.concat_ws("-", *(F.substring(h, a, n) for a, n in (
-        (1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
+    return F.regexp_replace(F.substring(F.sha2(F.col(column), 256), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$",
+                            "$1-$2-$3-$4-$5")
 
 
 def _broken(df: DataFrame, breaks: list[tuple[str, str, str]]) -> DataFrame:

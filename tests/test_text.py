@@ -47,6 +47,19 @@ def test_js_trim_strips_unicode_spaces(spark):
     assert got == ["hola"]
 
 
+def test_js_trim_takes_ends_only_and_runs_no_pattern(spark):
+    spaces = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+    # U+0085 ends a line for Java's $ but is no space of the service
+    texts = [f"{spaces}a{spaces}b{spaces}", spaces, "", None, "abc \u0085", "\u200b x", "\x1c y "]
+    assert run(spark, texts, TX.js_trim) == [f"a{spaces}b", "", "", None, "abc \u0085", "\u200b x", "\x1c y"]
+    from caseflow.functions import validate as VA
+    df = spark.createDataFrame([(" x ", None)], "title string, owner_user_id string").withColumns(
+        {"property_id": F.lit(None).cast("string"), "commitment_type": F.lit("task"), "notes": F.lit("n")})
+    rules = VA.commitment_create_rules()
+    assert [r.errors for r in VA.validate(df, rules).collect()] == [["title"]]
+    assert "regexp_replace" not in VA.validate(df, rules)._jdf.queryExecution().analyzed().toString()
+
+
 def test_parse_model_output(spark):
     good = '```json\n{"summary":"s","intent":"i","urgency":"low","service_family":"f","missing_information":[],' \
            '"next_best_action":"n","draft_reply":"d","requires_human_approval":true,"confidence":0.5}\n```'
