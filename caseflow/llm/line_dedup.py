@@ -62,12 +62,15 @@ def _rarity(docs: DataFrame) -> bytes:
               .agg(F.count(F.lit(1)).alias("c")))
     scale = F.least(F.lit(127), F.floor(4 * F.log2(F.col("c") + 1.0))).cast("int")
     own = F.sort_array(F.collect_list(F.struct(scale.alias("r"), F.shiftright("b", 16).alias("sub"))), asc=False)
+    # an entry as one number, 256 of them in a row: the driver's Python holds no row per entry
+    entry = (F.col("b").cast("long") * (1 << 24) + F.col("own")[0]["sub"] * (1 << 16) + F.col("own")[0]["r"] * (1 << 8)
+             + F.coalesce(F.get("own", F.lit(1))["r"], F.lit(0)))
     rows = (counts.groupBy(F.col("b").bitwiseAND(F.lit(_BUCKETS - 1)).alias("b")).agg(own.alias("own"))
-            .select("b", F.col("own")[0]["sub"].alias("sub"), F.col("own")[0]["r"].alias("r"),
-                    F.coalesce(F.get("own", F.lit(1))["r"], F.lit(0)).alias("next")).collect())
+            .groupBy(F.shiftright("b", 8).alias("block")).agg(F.collect_list(entry).alias("entries")))
     out = bytearray(3 * _BUCKETS)
-    for r in rows:
-        out[3 * r.b:3 * r.b + 3] = bytes((r.sub, r.r, r.next))
+    for r in rows.toLocalIterator():
+        for e in r.entries:
+            out[3 * (e >> 24):3 * (e >> 24) + 3] = (e & 0xFFFFFF).to_bytes(3, "big")
     return bytes(out)
 
 
@@ -82,7 +85,8 @@ def _tokens(line: Column, rarity: bytes) -> Column:
 
         def byte(k):
             return F.ascii(F.substring(table, at + k, F.lit(1)).cast("string"))
-        rare = F.when(F.shiftright(h, 16).bitwiseAND(F.lit(_SUB - 1)) == byte(0), byte(1)).otherwise(byte(2))
+        # the table is named twice only: each time it is as long in the plan's text
+        rare = byte(F.when(F.shiftright(h, 16).bitwiseAND(F.lit(_SUB - 1)) == byte(0), 1).otherwise(2))
         return F.shiftleft(rare.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(hashes, token))
 
@@ -125,11 +129,11 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
     classes = written(lines.groupBy("cls").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     firsts = _firsts(lines, classes)
     if count_links:
-        links = written(_verified(_candidates(firsts, percent), classes, lines, docs, rarity, percent), "links")
+        links = written(_verified(_candidates(firsts, percent), firsts, docs, rarity, percent), "links")
     else:
-        stars = written(_verified(_stars(firsts, percent), classes, lines, docs, rarity, percent), "star_links")
+        stars = written(_verified(_stars(firsts, percent), firsts, docs, rarity, percent), "star_links")
         settled = _settled(stars, classes)
-        rest = written(_verified(_candidates(firsts, percent, settled), classes, lines, docs, rarity, percent), "links")
+        rest = written(_verified(_candidates(firsts, percent, settled), firsts, docs, rarity, percent), "links")
         links = stars.unionByName(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     earliest = (both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy(F.col("u").alias("cls"))
@@ -142,10 +146,16 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
 
 
 def _firsts(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, n, bits, doc, prefix of each class, by the line that comes first."""
+    """cls, n, bits, prefix of each class and doc_id, key, pos of the line that
+    comes first."""
     return written(lines.withColumn("at", _order())
                    .join(classes.select("cls", F.col("first").alias("at")), ["cls", "at"], "left_semi")
-                   .select("cls", "n", "bits", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc"), "prefix"), "firsts")
+                   .select("cls", "n", "bits", "doc_id", "key", "pos", "prefix"), "firsts")
+
+
+def _doc() -> Column:
+    """doc_id as a number: rows without one come first."""
+    return F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc")
 
 
 def _filters(percent: int) -> Column:
@@ -161,7 +171,7 @@ def _filters(percent: int) -> Column:
 def _stars(firsts: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of a class and one class of the smallest document under
     each of its prefix tokens: no more than there are postings."""
-    posts = firsts.select("cls", "n", "bits", "doc", F.posexplode("prefix").alias("p", "token"))
+    posts = firsts.select("cls", "n", "bits", _doc(), F.posexplode("prefix").alias("p", "token"))
     centre = posts.groupBy("token").agg(F.min(F.struct("doc", "cls", "n", "p", "bits")).alias("m")).select("token", "m.*")
     pairs = (posts.alias("a").join(centre.alias("b"), _filters(percent) & (F.col("a.cls") != F.col("b.cls")))
              .select(F.greatest("a.cls", "b.cls").alias("u"), F.least("a.cls", "b.cls").alias("v")).distinct())
@@ -184,7 +194,7 @@ def _candidates(firsts: DataFrame, percent: int, settled: DataFrame | None = Non
     if settled is not None:
         known = sized(settled.withColumn("settled", F.lit(True)), 1_000_000)
         firsts = firsts.join(known, "cls", "left").withColumn("open", F.col("settled").isNull())
-        extra = ["doc", "open"]
+        extra = [_doc(), "open"]
         # lines of one document: either may be the later one
         wanted = ((F.col("a.open") & (F.col("a.doc") >= F.col("b.doc"))) | (F.col("b.open") & (F.col("b.doc") >= F.col("a.doc"))))
     posts = firsts.select("cls", "n", "bits", *extra, F.posexplode("prefix").alias("p", "token"))
@@ -198,27 +208,27 @@ def _candidates(firsts: DataFrame, percent: int, settled: DataFrame | None = Non
     return written(pairs, "pairs")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, docs: DataFrame, rarity: bytes,
-              percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, rarity: bytes, percent: int) -> DataFrame:
     """The pairs whose full token sets reach the similarity."""
     ids = written(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "ids")
-    spots = written(classes.join(sized(ids, 1_000_000), "cls").select("cls", F.col("first").alias("at")), "spots")
-    places = written(lines.withColumn("at", _order()).join(sized(spots, 500_000), ["cls", "at"], "left_semi")
-                     .select("cls", F.col("doc_id").alias("d"), F.col("key").alias("x"), F.col("pos").alias("y"))
+    # lines are found again by one hash of their place (half the memory of the
+    # place itself); a line found in error has another class and goes below
+    places = written(firsts.join(sized(ids, 1_000_000), "cls")
+                     .select("cls", F.xxhash64("doc_id", "key", "pos").alias("spot"), F.xxhash64("doc_id", "key").alias("own"))
                      .distinct(), "places")
-    keys = places.select("d", "x").distinct()
+    keys = places.select("own").distinct()
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    some = docs.select("doc_id", "text").join(sized(keys, 1_000_000), text.eqNullSafe(F.col("x"))
-                                              & F.col("doc_id").cast("long").eqNullSafe(F.col("d")), "left_semi")
-    found = _lines(some)
-    sets = (found.join(sized(places, 500_000), found["doc_id"].eqNullSafe(F.col("d")) & (found["key"] == F.col("x"))
-                       & (found["pos"] == F.col("y")))
+    some = docs.select("doc_id", "text").join(sized(keys, 1_000_000), F.xxhash64(F.col("doc_id").cast("long"), text)
+                                              == F.col("own"), "left_semi")
+    sets = (_lines(some).withColumn("spot", F.xxhash64("doc_id", "key", "pos"))
+            .join(sized(places.select("cls", "spot"), 500_000), "spot")
             .select("cls", _tokens(F.col("line"), rarity).alias("t")))
+
     def quarter(k):
         return F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k)
 
-    sets = written(sets.select("cls", "t", F.size("t").alias("n"),
-                               *(_bits(quarter(k)).alias(f"b{k}") for k in range(4))), "sets")
+    sets = written(sets.select("cls", "t", F.size("t").alias("n"), (F.xxhash64("t") == F.col("cls")).alias("same"),
+                               *(_bits(quarter(k)).alias(f"b{k}") for k in range(4))), "sets").where("same")
     # 256-bit bitmaps bound the overlap from above: most pairs end here, and
     # only the others carry whole sets through a shuffle
     narrow = ["cls", "n", "b0", "b1", "b2", "b3"]

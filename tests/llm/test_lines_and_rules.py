@@ -84,6 +84,13 @@ def test_short_lines_and_lines_without_blanks(spark):
     assert L.rewrite(df).columns == df.columns
 
 
+def test_the_table_of_rarities_is_in_a_plan_twice_at_most(spark):
+    """It is 196,608 bytes, and every plan's text, kept by the driver, spells it out."""
+    lines = spark.createDataFrame([("a b",)], "line string")
+    plan = lines.select(L._tokens(F.col("line"), bytes(3 * L._BUCKETS)).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("00" * 3 * L._BUCKETS) == 2
+
+
 # --- containment ------------------------------------------------------------
 
 def plain_pairs(docs, items, t=0.8):
