@@ -16,8 +16,17 @@ Survivors are verified on the full sets.  Equal sets are one class from the
 start, so a line with many copies enters the join once.
 
 Two more exact tests run inside the join: of the smaller set of a pair a
-shorter prefix suffices, and 64-bit bitmaps of the sets bound from below how
-many tokens they do not share.
+shorter prefix suffices, and 64-bit parities of the sets bound from below how
+many tokens they do not share: the bits in which two parities differ are the
+parity of the tokens in one set only, however large the sets are.
+
+Variants of one line are not paired all with all.  Each class that may match
+another joins one group, and a group's core are the tokens that most of its
+members have.  A member is its difference from the core: of two members
+without a shared token in these, the number of tokens not shared is the sum of
+the differences' sizes, so their matches are counted from the group's sizes.
+Pairs are made of members that need a shared token to match, and across groups.
+Which groups there are decides the cost only.
 
 Rarity: all words of all lines are counted in hash buckets, and a word's
 rarity is its bucket's count on a logarithmic scale.  Any fixed order of the
@@ -27,7 +36,7 @@ it is.  The counts have a fixed size and reach the tasks as one constant.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import sized, written
@@ -92,8 +101,8 @@ def _tokens(line: Column, rarity: bytes) -> Column:
 
 
 def _bits(tokens: Column) -> Column:
-    """64-bit bitmap of a token set: one bit per token by its hash."""
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(
+    """64-bit parity of a token set: each token turns over one bit by its hash."""
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
@@ -109,11 +118,8 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
     (other classes that match it) and dropped.
 
     Without ``count_links`` the verdicts are the same, but n_links counts only
-    the links that were needed for them: a first round verifies each class
-    against one class of the smallest document under each prefix token, and the join
-    then looks for partners of the classes without an earlier match only.  In a
-    cluster of variants most are settled by the first round, so pairs do not
-    grow with the square of a cluster."""
+    the links that were needed for them: classes whose group already holds an
+    earlier match are not paired in it again."""
     rarity = _rarity(docs)
     n = F.size("t")
     prefix = F.transform(F.slice("t", 1, n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1), lambda x: x.bitwiseXOR(
@@ -128,16 +134,17 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
     lines = written(lines, "lines")
     classes = written(lines.groupBy("cls").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     firsts = _firsts(lines, classes)
-    if count_links:
-        links = written(_verified(_candidates(firsts, percent), firsts, docs, rarity, percent), "links")
-    else:
-        stars = written(_verified(_stars(firsts, percent), firsts, docs, rarity, percent), "star_links")
-        settled = _settled(stars, classes)
-        rest = written(_verified(_candidates(firsts, percent, settled), firsts, docs, rarity, percent), "links")
-        links = stars.unionByName(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
+    groups = _groups(firsts, percent)
+    across = _candidates(firsts, groups, percent)
+    sets = _sets(groups.select("cls").union(across.select(F.explode(F.array("u", "v")))).distinct(), firsts, docs, rarity)
+    deltas = _deltas(sets, groups, percent)
+    sure = _sure(deltas)
+    links = _verified(across.unionByName(_inside(deltas, sure, percent, count_links)), sets, percent)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    earliest = (both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy(F.col("u").alias("cls"))
-                .agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links")))
+    earliest = (both.join(classes.select(F.col("cls").alias("v"), "first"), "v")
+                .select(F.col("u").alias("cls"), F.col("first").alias("other"), F.lit(1).cast("long").alias("n_links"))
+                .unionByName(sure.where("n_links > 0").select("cls", "other", "n_links"))
+                .groupBy("cls").agg(F.min("other").alias("other"), F.sum("n_links").alias("n_links")))
     verdict = (classes.join(earliest, "cls", "left").where("copies > 1 or n_links > 0")
                .select("cls", F.least("first", F.coalesce("other", "first")).alias("first"),
                        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
@@ -159,7 +166,7 @@ def _doc() -> Column:
 
 
 def _filters(percent: int) -> Column:
-    """Length, positional and bitmap filter of the postings a and b."""
+    """Length, positional and parity filter of the postings a and b."""
     total = F.col("a.n") + F.col("b.n")
     rest = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
     differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))      # tokens that are in one set only, at least
@@ -168,69 +175,128 @@ def _filters(percent: int) -> Column:
             & ((100 + percent) * (total - differ) >= 2 * percent * total))
 
 
-def _stars(firsts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of a class and one class of the smallest document under
-    each of its prefix tokens: no more than there are postings."""
+def _groups(firsts: DataFrame, percent: int) -> DataFrame:
+    """cls, g, size: the group of each class that passes the filters with one
+    class of the smallest document under one of its prefix tokens, or is such
+    a class itself; of several groups the one most classes could join."""
     posts = firsts.select("cls", "n", "bits", _doc(), F.posexplode("prefix").alias("p", "token"))
     centre = posts.groupBy("token").agg(F.min(F.struct("doc", "cls", "n", "p", "bits")).alias("m")).select("token", "m.*")
-    pairs = (posts.alias("a").join(centre.alias("b"), _filters(percent) & (F.col("a.cls") != F.col("b.cls")))
-             .select(F.greatest("a.cls", "b.cls").alias("u"), F.least("a.cls", "b.cls").alias("v")).distinct())
-    return written(pairs, "stars")
-
-
-def _settled(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """The later class of each link (cls)."""
-    u, v = (classes.select(F.col("cls").alias(s), F.col("first").alias(f"first_{s}")) for s in "uv")
-    later = F.when(F.col("first_u") > F.col("first_v"), F.col("u")).when(F.col("first_v") > F.col("first_u"), F.col("v"))
-    return written(links.join(u, "u").join(v, "v").select(later.alias("cls")).where("cls is not null").distinct(), "settled")
-
-
-def _candidates(firsts: DataFrame, percent: int, settled: DataFrame | None = None) -> DataFrame:
-    """Pairs (u, v) of classes that pass the prefix, length, positional and
-    bitmap filters; with ``settled`` only those whose later class is not in
-    it.  A function of its own: when it returns, nothing refers to its
-    shuffles any more and Spark can drop their files."""
-    wanted, extra = F.lit(True), []
-    if settled is not None:
-        known = sized(settled.withColumn("settled", F.lit(True)), 1_000_000)
-        firsts = firsts.join(known, "cls", "left").withColumn("open", F.col("settled").isNull())
-        extra = [_doc(), "open"]
-        # lines of one document: either may be the later one
-        wanted = ((F.col("a.open") & (F.col("a.doc") >= F.col("b.doc"))) | (F.col("b.open") & (F.col("b.doc") >= F.col("a.doc"))))
-    posts = firsts.select("cls", "n", "bits", *extra, F.posexplode("prefix").alias("p", "token"))
+    near = (posts.alias("a").join(centre.alias("b"), _filters(percent) & (F.col("a.cls") != F.col("b.cls")))
+            .select(F.col("a.cls").alias("cls"), F.col("b.cls").alias("g")).distinct())
+    near = written(near, "stars")
+    near = near.union(near.select("g", "g").distinct())
+    size = near.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    best = written(near.join(size, "g").groupBy("cls").agg(F.max(F.struct("size", "g")).alias("m")).select("cls", "m.g"), "best")
+    size = best.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return written(best.join(size, "g").select("cls", "g", "size"), "groups")
+
+
+def _candidates(firsts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes, not of one group, that pass the prefix, length,
+    positional and parity filters.  A function of its own: when it returns,
+    nothing refers to its shuffles any more and Spark can drop their files."""
+    known = sized(groups.select("cls", "g"), 500_000)
+    posts = (firsts.join(known, "cls", "left")
+             .select("cls", "n", "bits", "g", F.posexplode("prefix").alias("p", "token")))
     a, b = posts.alias("a"), posts.alias("b")
     # a is the larger set and brings its whole prefix; of the smaller set the
     # first n - ceil(2t / (1 + t) n) + 1 tokens suffice
     larger = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") > F.col("b.cls")))
     indexed = (100 + percent) * (F.col("b.n") - F.col("b.p")) >= 2 * percent * F.col("b.n")
-    pairs = (a.join(b, _filters(percent) & larger & indexed & wanted)
+    apart = F.coalesce(F.col("a.g") != F.col("b.g"), F.lit(True))
+    pairs = (a.join(b, _filters(percent) & larger & indexed & apart)
              .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct())
     return written(pairs, "pairs")
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, rarity: bytes, percent: int) -> DataFrame:
-    """The pairs whose full token sets reach the similarity."""
-    ids = written(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "ids")
+def _sets(ids: DataFrame, firsts: DataFrame, docs: DataFrame, rarity: bytes) -> DataFrame:
+    """One row per class of ``ids``: cls, first (place of the line that comes
+    first), t (its token set), n, and four parities of 64 bits."""
+    ids = written(ids, "ids")
     # lines are found again by one hash of their place (half the memory of the
     # place itself); a line found in error has another class and goes below
-    places = written(firsts.join(sized(ids, 1_000_000), "cls")
+    places = written(firsts.join(sized(ids, 500_000), "cls")
                      .select("cls", F.xxhash64("doc_id", "key", "pos").alias("spot"), F.xxhash64("doc_id", "key").alias("own"))
                      .distinct(), "places")
     keys = places.select("own").distinct()
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    some = docs.select("doc_id", "text").join(sized(keys, 1_000_000), F.xxhash64(F.col("doc_id").cast("long"), text)
+    some = docs.select("doc_id", "text").join(sized(keys, 500_000), F.xxhash64(F.col("doc_id").cast("long"), text)
                                               == F.col("own"), "left_semi")
     sets = (_lines(some).withColumn("spot", F.xxhash64("doc_id", "key", "pos"))
             .join(sized(places.select("cls", "spot"), 500_000), "spot")
-            .select("cls", _tokens(F.col("line"), rarity).alias("t")))
+            .select("cls", _order().alias("first"), _tokens(F.col("line"), rarity).alias("t")))
 
     def quarter(k):
         return F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k)
 
-    sets = written(sets.select("cls", "t", F.size("t").alias("n"), (F.xxhash64("t") == F.col("cls")).alias("same"),
-                               *(_bits(quarter(k)).alias(f"b{k}") for k in range(4))), "sets").where("same")
-    # 256-bit bitmaps bound the overlap from above: most pairs end here, and
-    # only the others carry whole sets through a shuffle
+    sets = written(sets.select("cls", "first", "t", F.size("t").alias("n"), (F.xxhash64("t") == F.col("cls")).alias("same"),
+                               *(_bits(quarter(k)).alias(f"b{k}") for k in range(4))), "sets").where("same").drop("same")
+    rows, classes = sets.agg(F.count(F.lit(1)), F.count_distinct("cls")).first()
+    return sets if rows == classes else written(sets.dropDuplicates(["cls"]), "sets_once")    # repeated documents
+
+
+def _deltas(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The classes in groups as differences from their group's core: cls, g,
+    first, n, parities, d (the tokens only one of class and core has) and x,
+    with which two members without a shared token in d match if and only if
+    the sum of their x is not positive."""
+    members = sets.join(sized(groups, 500_000), "cls")
+    core = (members.select("g", "size", F.explode("t").alias("y")).groupBy("g", "size", "y")
+            .agg(F.count(F.lit(1)).alias("c")).where("2 * c > size").groupBy("g").agg(F.collect_list("y").alias("core")))
+    core_or_none = F.coalesce("core", F.array().cast("array<bigint>"))
+    d = F.sort_array(F.concat(F.array_except("t", core_or_none), F.array_except(core_or_none, "t")))
+    deltas = (members.join(core, "g", "left").select("cls", "g", "first", "n", "b0", "b1", "b2", "b3", d.alias("d"))
+              .withColumn("x", ((100 + percent) * F.size("d") - (100 - percent) * F.col("n")).cast("long")))
+    return written(deltas, "deltas")
+
+
+def _sure(deltas: DataFrame) -> DataFrame:
+    """Per class in a group: cls, n_links (the members that match it by sizes
+    alone), other (the place of the earliest of them or of itself, if it
+    would count itself) and settled (one of them is earlier).  Members of
+    equal x are one row."""
+    same = deltas.groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("f"))
+    asked = (same.select("g", F.col("x").alias("at"), F.lit(0).alias("kind"), "c", "f", "x")
+             .unionByName(same.select("g", (-F.col("x")).alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("c"),
+                                      F.lit(None).cast("decimal(38,0)").alias("f"), "x")))
+    w = Window.partitionBy("g").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = (asked.select("g", "x", "kind", F.sum("c").over(w).alias("c"), F.min("f").over(w).alias("other"))
+             .where("kind = 1 and c > 0"))
+    own = F.when(F.col("x") <= 0, 1).otherwise(0)
+    return written(deltas.select("cls", "g", "x", "first").join(found, ["g", "x"])
+                   .select("cls", (F.col("c") - own).alias("n_links"), "other", (F.col("other") < F.col("first")).alias("settled")),
+                   "sure")
+
+
+def _inside(deltas: DataFrame, sure: DataFrame, percent: int, count_links: bool) -> DataFrame:
+    """Pairs (u, v) of one group that match only with a shared token in their
+    differences, and by their parities may; without ``count_links`` only
+    those whose later class is not settled."""
+    wanted, extra = F.lit(True), []
+    if not count_links:
+        settled = sized(sure.where("settled").select("cls", "settled"), 500_000)
+        deltas = deltas.join(settled, "cls", "left").withColumn("open", F.col("settled").isNull())
+        extra = ["first", "open"]
+        wanted = ((F.col("a.open") & (F.col("a.first") >= F.col("b.first")))
+                  | (F.col("b.open") & (F.col("b.first") >= F.col("a.first"))))
+    posts = deltas.select("cls", "g", "n", "x", "b0", "b1", "b2", "b3", F.size("d").alias("k"), *extra,
+                          F.posexplode("d").alias("p", "y"))
+    a, b = posts.alias("a"), posts.alias("b")
+    need = F.col("a.x") + F.col("b.x")
+    rest = F.least(F.col("a.k") - F.col("a.p"), F.col("b.k") - F.col("b.p"))
+    differ = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(4)), F.lit(0))
+    pairs = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.cls") > F.col("b.cls"))
+                    & (need > 0) & (2 * (100 + percent) * rest >= need) & wanted
+                    & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+                    & ((100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n"))))
+             .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct())
+    return written(pairs, "inside")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full token sets reach the similarity."""
+    # parities of 256 bits bound the overlap from above: most pairs end here,
+    # and only the others carry whole sets through a shuffle
     narrow = ["cls", "n", "b0", "b1", "b2", "b3"]
     left, right = (sets.select(*(F.col(c).alias(s if c == "cls" else f"{c}_{s}") for c in narrow)) for s in "uv")
     differ = sum((F.bit_count(F.col(f"b{k}_u").bitwiseXOR(F.col(f"b{k}_v"))) for k in range(4)), F.lit(0))
@@ -239,8 +305,8 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, rarity: byte
                     .where((100 + percent) * (total - differ) >= 2 * percent * total).select("u", "v"), "near_pairs")
     left, right = (sets.select(F.col("cls").alias(s), F.col("t").alias(f"t{s}")) for s in "uv")
     both = F.size(F.array_intersect("tu", "tv"))
-    return (pairs.join(left, "u").join(right, "v")
-            .where(100 * both >= percent * (F.size("tu") + F.size("tv") - both)).select("u", "v").distinct())
+    return written(pairs.join(left, "u").join(right, "v")
+                   .where(100 * both >= percent * (F.size("tu") + F.size("tv") - both)).select("u", "v"), "links")
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,

@@ -73,6 +73,35 @@ def test_chain_of_variants_without_counted_links(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_variants_of_one_line_are_not_paired_all_with_all(spark, monkeypatch):
+    """300 lines with up to three of 30 words replaced, in two clusters: their
+    links are counted, the pairs made are far fewer."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    docs = []
+    for d in range(300):
+        words = [f"{'ab'[d % 2]}{i}" for i in range(30)]
+        for i in rng.integers(0, 30, int(rng.integers(0, 4))):
+            words[int(i)] = f"v{int(rng.integers(0, 500))}"
+        docs.append((d, " ".join(words)))
+    sets = {d: frozenset(t.split()) for d, t in docs}
+    classes = set(sets.values())
+    want = {d: sum(s != u and 100 * len(s & u) >= 80 * len(s | u) for u in classes) for d, s in sets.items()}
+    made, plain = {}, L.written
+
+    def counted(df, name, *args):
+        out = plain(df, name, *args)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(L, "written", counted)
+    got = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert {r.doc_id: r.text for r in got} == plain_lines(docs, 80, 1)
+    links = sum(want[next(d for d in sets if sets[d] == s)] for s in classes) // 2
+    assert links > 15_000
+    assert max(n for name, n in made.items()) < links / 4, made
+
+
 def test_short_lines_and_lines_without_blanks(spark):
     text = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\nHome Contact About\n\nown"
     long = " ".join(f"w{i}" for i in range(60_000))
