@@ -16,9 +16,11 @@ Survivors are verified on the full sets.  Equal sets are one class from the
 start, so a line with many copies enters the join once.
 
 Two more exact tests run inside the join: of the smaller set of a pair a
-shorter prefix suffices, and 64-bit parities of the sets bound from below how
+shorter prefix suffices, and parities of the sets bound from below how
 many tokens they do not share: the bits in which two parities differ are the
-parity of the tokens in one set only, however large the sets are.
+parity of the tokens in one set only, however large the sets are.  Larger sets
+have longer parities, 64 to 256 bits: with 64, two lines of 150 words that share
+one would pass, so that pairs grew with the square of the corpus.
 
 Variants of one line are not paired all with all.  Each class that may match
 another joins one group, and a group's core are the tokens that most of its
@@ -31,11 +33,13 @@ Which groups there are decides the cost only.
 Rarity: all words of all lines are counted in hash buckets, and a word's
 rarity is its bucket's count on a logarithmic scale.  Any fixed order of the
 tokens keeps the prefix filter exact; the estimate only decides how selective
-it is.  The counts have a fixed size and reach the tasks as one constant.
+it is.  The counts have a fixed size and reach the tasks as one value.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +47,9 @@ from caseflow.llm.common import sized, written
 
 PERCENT, MIN_WORDS = 80, 1
 _BUCKETS, _SUB = 1 << 16, 32
+#: Sets of more tokens than these have parities of 128 and 256 bits.
+_WIDE = (96, 208)
+_WORDS = ("b0", "b1", "b2", "b3")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -59,45 +66,63 @@ def _split(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(blank), " "), "")
 
 
-def _rarity(docs: DataFrame) -> bytes:
-    """How frequent words are, as a table of fixed size, whatever the corpus.
+def _rarity(docs: DataFrame) -> DataFrame:
+    """How frequent words are, as one row of fixed size, whatever the corpus.
 
-    All words are counted in 2^21 hash buckets.  32 of them share an entry of
-    three bytes: which of them is the most frequent, its rarity class, and the
-    class of the next one, which stands for the others.  Classes are 0 to 127,
-    four to a doubling.  As bytes the table stays short in the plan's text."""
+    All words are counted in 2^21 hash buckets; ``ranks`` has the rarity class
+    of each, 0 to 127, four to a doubling.  Plans refer to the row by a
+    subquery: their texts, kept by the driver, do not hold it."""
     counts = (_lines(docs).select(F.explode(_split(F.col("line"))).alias("w"))
               .groupBy(F.xxhash64("w").bitwiseAND(F.lit(_SUB * _BUCKETS - 1)).cast("int").alias("b"))
               .agg(F.count(F.lit(1)).alias("c")))
-    scale = F.least(F.lit(127), F.floor(4 * F.log2(F.col("c") + 1.0))).cast("int")
-    own = F.sort_array(F.collect_list(F.struct(scale.alias("r"), F.shiftright("b", 16).alias("sub"))), asc=False)
-    # an entry as one number, 256 of them in a row: the driver's Python holds no row per entry
-    entry = (F.col("b").cast("long") * (1 << 24) + F.col("own")[0]["sub"] * (1 << 16) + F.col("own")[0]["r"] * (1 << 8)
-             + F.coalesce(F.get("own", F.lit(1))["r"], F.lit(0)))
-    rows = (counts.groupBy(F.col("b").bitwiseAND(F.lit(_BUCKETS - 1)).alias("b")).agg(own.alias("own"))
-            .groupBy(F.shiftright("b", 8).alias("block")).agg(F.collect_list(entry).alias("entries")))
-    out = bytearray(3 * _BUCKETS)
-    for r in rows.toLocalIterator():
-        for e in r.entries:
-            out[3 * (e >> 24):3 * (e >> 24) + 3] = (e & 0xFFFFFF).to_bytes(3, "big")
-    return bytes(out)
-
-
-def _tokens(line: Column, rarity: bytes) -> Column:
+    rank = F.least(F.lit(127), F.floor(4 * F.log2(F.col("c") + 1.0))).cast("tinyint")
+    none = F.lit(0).cast("tinyint")
+    # 32 buckets are an entry; each entry is there, with or without a word
+    every = docs.sparkSession.range(_BUCKETS).select((F.col("id") * _SUB).cast("int").alias("b"), none.alias("r"))
+    sub, entry = F.col("b").bitwiseAND(F.lit(_SUB - 1)), F.floor(F.col("b") / _SUB).cast("int")
+    entries = (counts.select("b", rank.alias("r")).unionByName(every).groupBy(entry.alias("entry"))
+               .agg(*(F.max(F.when(sub == k, F.col("r"))).alias(f"r{k}") for k in range(_SUB)))
+               .select("entry", F.array(*(F.coalesce(f"r{k}", none) for k in range(_SUB))).alias("r")))
+
+    def joined(key):
+        return F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(key, "r"))), lambda x: x["r"])).alias("r")
+    blocks = entries.groupBy(F.shiftright("entry", 8).alias("block")).agg(joined("entry"))
+    return written(blocks.agg(joined("block")).select(F.col("r").alias("ranks")), "ranks")
+
+
+def _ranked(lines: DataFrame, rarity: DataFrame) -> DataFrame:
+    """``lines`` with ``ranks``, the table of rarities, for one call of
+    ``_tokens``.  Named once, it is no column of the rows that Spark makes: the
+    optimizer puts the subquery in its place."""
+    return lines.select("*", rarity.scalar().alias("ranks"))
+
+
+def _tokens(line: Column, rarity: bytes | Column) -> Column:
     """Distinct tokens of a line, rarest first: 7 bits of rarity above 56 bits
-    of hash, so that sorting the numbers sorts by rarity."""
-    table = F.lit(rarity)
+    of hash, so that sorting the numbers sorts by rarity.
+
+    ``rarity`` is the column of ``_rarity``, or a table of three bytes for
+    32 buckets: the most frequent one, its class, the class of the others."""
     hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
 
-    def token(h):
+    def token(h, rare):
+        return F.shiftleft(rare.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    def looked_up(h):
         at = h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") * 3 + 1
 
         def byte(k):
-            return F.ascii(F.substring(table, at + k, F.lit(1)).cast("string"))
+            return F.ascii(F.substring(F.lit(rarity), at + k, F.lit(1)).cast("string"))
         # the table is named twice only: each time it is as long in the plan's text
-        rare = byte(F.when(F.shiftright(h, 16).bitwiseAND(F.lit(_SUB - 1)) == byte(0), 1).otherwise(2))
-        return F.shiftleft(rare.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.transform(hashes, token))
+        return byte(F.when(F.shiftright(h, 16).bitwiseAND(F.lit(_SUB - 1)) == byte(0), 1).otherwise(2))
+
+    def tokens(ranks):
+        return F.transform(hashes, lambda h: token(h, F.coalesce(
+            F.get(ranks, h.bitwiseAND(F.lit(_SUB * _BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint"))))
+    if isinstance(rarity, bytes):
+        return F.sort_array(F.transform(hashes, lambda h: token(h, looked_up(h))))
+    # the column is named once (see _ranked), the function's argument as often as there are words
+    return F.sort_array(F.get(F.transform(F.array(rarity), tokens), F.lit(0)))
 
 
 def _bits(tokens: Column) -> Column:
@@ -106,6 +131,23 @@ def _bits(tokens: Column) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _part(tokens: Column, k: int, of: int) -> Column:
+    """The tokens of part ``k`` of ``of``."""
+    return F.filter(tokens, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(of - 1)) == k)
+
+
+def _parities(tokens: Column, n: Column) -> list[Column]:
+    """b0 to b3: the parity of a set, for larger sets (``_WIDE``) that of each
+    half or quarter of it; else 0."""
+    none = F.lit(0).cast("bigint")
+    one, two = n <= _WIDE[0], n <= _WIDE[1]
+
+    def word(k):
+        out = F.when(one, _bits(tokens) if k == 0 else none)
+        return out.when(two, _bits(_part(tokens, k, 2)) if k < 2 else none).otherwise(_bits(_part(tokens, k, 4))).alias(f"b{k}")
+    return [word(k) for k in range(4)]
+
+
 def _order() -> Column:
     """Place of a line in the corpus as one number: doc_id, then position."""
     doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
@@ -126,11 +168,12 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
         F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     # the row number keeps the filter above the tokens: pushed below, it would
     # make them twice
-    lines = (_lines(docs).select("doc_id", "key", "pos", _tokens(F.col("line"), rarity).alias("t"),
-                                 F.monotonically_increasing_id().alias("row"))
+    lines = (_ranked(_lines(docs), rarity)
+             .select("doc_id", "key", "pos", _tokens(F.col("line"), F.col("ranks")).alias("t"),
+                     F.monotonically_increasing_id().alias("row"))
              .where((n >= min_words) & (F.col("row") >= 0))
-             .select("doc_id", "key", "pos", n.alias("n"), F.xxhash64("t").alias("cls"), _bits(F.col("t")).alias("bits"),
-                     prefix.alias("prefix")))
+             .select("doc_id", "key", "pos", n.alias("n"), F.xxhash64("t").alias("cls"),
+                     *_parities(F.col("t"), n), prefix.alias("prefix")))
     lines = written(lines, "lines")
     classes = written(lines.groupBy("cls").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     firsts = _firsts(lines, classes)
@@ -148,39 +191,51 @@ def line_classes(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_W
     verdict = (classes.join(earliest, "cls", "left").where("copies > 1 or n_links > 0")
                .select("cls", F.least("first", F.coalesce("other", "first")).alias("first"),
                        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    return (lines.drop("prefix", "bits").join(sized(written(verdict, "verdicts"), 500_000), "cls")
+    return (lines.drop("prefix", *_WORDS).join(sized(written(verdict, "verdicts"), 500_000), "cls")
             .select("doc_id", "key", "pos", "n", "cls", "n_links", (_order() > F.col("first")).alias("dropped")))
 
 
 def _firsts(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, n, bits, prefix of each class and doc_id, key, pos of the line that
+    """cls, n, parities, prefix of each class and doc_id, key, pos of the line that
     comes first."""
     return written(lines.withColumn("at", _order())
                    .join(classes.select("cls", F.col("first").alias("at")), ["cls", "at"], "left_semi")
-                   .select("cls", "n", "bits", "doc_id", "key", "pos", "prefix"), "firsts")
-
-
-def _doc() -> Column:
-    """doc_id as a number: rows without one come first."""
-    return F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc")
+                   .select("cls", "n", *_WORDS, "doc_id", "key", "pos", "prefix"), "firsts")
 
 
 def _filters(percent: int) -> Column:
     """Length, positional and parity filter of the postings a and b."""
     total = F.col("a.n") + F.col("b.n")
     rest = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
-    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))      # tokens that are in one set only, at least
+
+    def fits(words):
+        """Tokens that are in one set only: as many as differing bits at least."""
+        pairs = ([F.col(f"{s}.b{k}") for s in "ab" for k in same] for same in words)
+        differ = sum((F.bit_count(reduce(Column.bitwiseXOR, x)) for x in pairs), F.lit(0))
+        return (100 + percent) * (total - differ) >= 2 * percent * total
+    # sets of unequal width are compared by the width of the smaller one: parts add up to their parity
     return ((F.col("a.token") == F.col("b.token"))
             & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * rest >= percent * total)
-            & ((100 + percent) * (total - differ) >= 2 * percent * total))
+            & fits([range(4)])
+            & ((F.least("a.n", "b.n") <= _WIDE[0]) | fits([(0, 2), (1, 3)]))
+            & ((F.least("a.n", "b.n") <= _WIDE[1]) | fits([(k,) for k in range(4)])))
+
+
+def _indexed(n: Column, p: Column, percent: int) -> Column:
+    """The place is in the prefix that suffices for sets that are not larger."""
+    return (100 + percent) * (n - p) >= 2 * percent * n
 
 
 def _groups(firsts: DataFrame, percent: int) -> DataFrame:
-    """cls, g, size: the group of each class that passes the filters with one
-    class of the smallest document under one of its prefix tokens, or is such
+    """cls, g, size: the group of each class that passes the filters with the
+    class of the smallest document under one of its rarest tokens, or is such
     a class itself; of several groups the one most classes could join."""
-    posts = firsts.select("cls", "n", "bits", _doc(), F.posexplode("prefix").alias("p", "token"))
-    centre = posts.groupBy("token").agg(F.min(F.struct("doc", "cls", "n", "p", "bits")).alias("m")).select("token", "m.*")
+    # rows without doc_id come first
+    doc = F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc")
+    posts = (firsts.select("cls", "n", *_WORDS, doc, F.posexplode("prefix").alias("p", "token"))
+             .where(_indexed(F.col("n"), F.col("p"), percent)))
+    centre = (posts.groupBy("token").agg(F.min_by("cls", "doc").alias("cls"), F.count(F.lit(1)).alias("c")).where("c > 1")
+              .select("token", "cls", F.lit(0).alias("p")).join(firsts.select("cls", "n", *_WORDS), "cls"))
     near = (posts.alias("a").join(centre.alias("b"), _filters(percent) & (F.col("a.cls") != F.col("b.cls")))
             .select(F.col("a.cls").alias("cls"), F.col("b.cls").alias("g")).distinct())
     near = written(near, "stars")
@@ -197,19 +252,19 @@ def _candidates(firsts: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     nothing refers to its shuffles any more and Spark can drop their files."""
     known = sized(groups.select("cls", "g"), 500_000)
     posts = (firsts.join(known, "cls", "left")
-             .select("cls", "n", "bits", "g", F.posexplode("prefix").alias("p", "token")))
+             .select("cls", "n", *_WORDS, "g", F.posexplode("prefix").alias("p", "token")))
     a, b = posts.alias("a"), posts.alias("b")
-    # a is the larger set and brings its whole prefix; of the smaller set the
-    # first n - ceil(2t / (1 + t) n) + 1 tokens suffice
+    # a is the larger set; of the smaller one the first n - ceil(2t / (1 + t) n) + 1
+    # tokens suffice, which the positional filter sees to: both sides are the same
+    # rows and are shuffled once
     larger = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") > F.col("b.cls")))
-    indexed = (100 + percent) * (F.col("b.n") - F.col("b.p")) >= 2 * percent * F.col("b.n")
     apart = F.coalesce(F.col("a.g") != F.col("b.g"), F.lit(True))
-    pairs = (a.join(b, _filters(percent) & larger & indexed & apart)
+    pairs = (a.join(b, _filters(percent) & larger & apart)
              .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct())
     return written(pairs, "pairs")
 
 
-def _sets(ids: DataFrame, firsts: DataFrame, docs: DataFrame, rarity: bytes) -> DataFrame:
+def _sets(ids: DataFrame, firsts: DataFrame, docs: DataFrame, rarity: DataFrame) -> DataFrame:
     """One row per class of ``ids``: cls, first (place of the line that comes
     first), t (its token set), n, and four parities of 64 bits."""
     ids = written(ids, "ids")
@@ -222,15 +277,12 @@ def _sets(ids: DataFrame, firsts: DataFrame, docs: DataFrame, rarity: bytes) ->
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     some = docs.select("doc_id", "text").join(sized(keys, 500_000), F.xxhash64(F.col("doc_id").cast("long"), text)
                                               == F.col("own"), "left_semi")
-    sets = (_lines(some).withColumn("spot", F.xxhash64("doc_id", "key", "pos"))
-            .join(sized(places.select("cls", "spot"), 500_000), "spot")
-            .select("cls", _order().alias("first"), _tokens(F.col("line"), rarity).alias("t")))
-
-    def quarter(k):
-        return F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k)
-
+    found = (_lines(some).withColumn("spot", F.xxhash64("doc_id", "key", "pos"))
+             .join(sized(places.select("cls", "spot"), 500_000), "spot"))
+    sets = (_ranked(found, rarity)
+            .select("cls", _order().alias("first"), _tokens(F.col("line"), F.col("ranks")).alias("t")))
     sets = written(sets.select("cls", "first", "t", F.size("t").alias("n"), (F.xxhash64("t") == F.col("cls")).alias("same"),
-                               *(_bits(quarter(k)).alias(f"b{k}") for k in range(4))), "sets").where("same").drop("same")
+                               *(_bits(_part(F.col("t"), k, 4)).alias(f"b{k}") for k in range(4))), "sets").where("same").drop("same")
     rows, classes = sets.agg(F.count(F.lit(1)), F.count_distinct("cls")).first()
     return sets if rows == classes else written(sets.dropDuplicates(["cls"]), "sets_once")    # repeated documents
 

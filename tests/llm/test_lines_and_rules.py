@@ -120,6 +120,43 @@ def test_the_table_of_rarities_is_in_a_plan_twice_at_most(spark):
     assert plan.count("00" * 3 * L._BUCKETS) == 2
 
 
+def test_plans_do_not_hold_the_table_of_rarities(spark):
+    """A subquery brings it, once, and not as a column of the rows."""
+    docs = spark.createDataFrame([(1, "a b a\nb c"), (2, "b")], "doc_id long, text string")
+    rarity = L._rarity(docs)
+    ranks = rarity.first().ranks
+    assert len(ranks) == L._SUB * L._BUCKETS and sum(r > 0 for r in ranks) == 3 and max(ranks) == 8
+    df = L._ranked(L._lines(docs), rarity).select("pos", L._tokens(F.col("line"), F.col("ranks")).alias("t"))
+    plan = df._jdf.queryExecution().toString()
+    assert len(plan) < 20_000
+    projects = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "scalar-subquery" in x]
+    assert len(projects) == 1 and "transform" in projects[0]
+    rare = {(r.pos, len(r.t)): [t >> 56 for t in r.t] for r in df.collect()}
+    assert rare == {(0, 2): [6, 8], (1, 2): [4, 8], (0, 1): [8]}
+
+
+def test_long_lines_that_share_a_rare_word_are_not_paired(spark, monkeypatch):
+    """60 unlike lines of 160 to 420 words with one rare word in common: a
+    parity of 64 bits cannot tell them apart, and they were paired all with all."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(6000)]
+    docs = [(d, " ".join(["rare", *rng.choice(common, int(rng.integers(160, 420)), replace=False)])) for d in range(60)]
+    docs += [(100 + d, docs[d][1] + " added") for d in range(3)]
+    docs += [(200 + d, " ".join(common)) for d in range(80)]
+    made, plain = {}, L.written
+
+    def counted(df, name, *args):
+        out = plain(df, name, *args)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(L, "written", counted)
+    got = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {100, 101, 102, *range(201, 280)}
+    assert {r.doc_id: r.n_links for r in got if r.n_links} == {d: 1 for d in (0, 1, 2, 100, 101, 102)}
+    assert made["stars"] <= 6 and made["pairs"] <= 6, made
+
+
 # --- containment ------------------------------------------------------------
 
 def plain_pairs(docs, items, t=0.8):
