@@ -11,7 +11,8 @@ Scale notes
   property table, so the joins see one row per property, and the group-by runs
   a map-side partial aggregate first (a hot property costs nothing extra).
 * The brief is a flat, globally sorted table (range partitioned), never one
-  collected array per tenant.
+  collected array per tenant.  Its lines travel packed, and to no more ranges
+  than the shuffle deals out without sorting, so no map task holds its lines.
 """
 
 from __future__ import annotations
@@ -23,6 +24,15 @@ from caseflow.sources.io import stored
 
 #: grant lists up to this number (some 200 bytes each, counted first) are broadcast
 FEW_GRANTS = 500_000
+#: likewise for the brief's property keys
+FEW_PROPERTIES = 500_000
+
+#: ranges of the sorted brief: up to spark.shuffle.sort.bypassMergeThreshold
+#: (200) the lines go straight to one file per range; above it every map task
+#: holds and sorts its lines first, and spills them all where they do not fit
+BRIEF_RANGES = 200
+#: in text order, so that a line can be sorted by its section's number
+SECTIONS = ["commitment", "issue", "property", "system"]
 
 TENANT_WIDE_ROLES = ("platform_owner", "administrator")
 ATTENTION = ("attention", "critical")
@@ -252,32 +262,54 @@ def member_portfolio_totals(memberships: DataFrame, properties: DataFrame, issue
 # --------------------------------------------------------------------------- A2 / A3 / L3 / A17
 
 
+def _packed(lines: DataFrame) -> DataFrame:
+    """Brief lines as they are shuffled: an id that is lower-case hex goes as its
+    bytes (``code``), any other as it is (``plain``)."""
+    is_code = (F.octet_length("item_id") % 2 == 0) & (F.lower("item_id") == F.col("item_id"))
+    lines = lines.withColumn("code", F.when(is_code, F.unhex("item_id")))
+    return lines.select("next_at", "section", "counts_in_totals", "state", "detail", "tenant_id", "property_id",
+                        "code", F.when(F.col("code").isNull(), F.col("item_id")).alias("plain"))
+
+
+def _sorted_lines(lines: DataFrame, ranges: int) -> DataFrame:
+    """All lines in order of (tenant, section, item), packed for the shuffle.
+    Ranges and sort see the whole id, so packed and plain ids may be mixed."""
+    item_id = F.when(F.col("code").isNull(), F.col("plain")).otherwise(F.lower(F.hex("code")))
+    dealt = _packed(lines).repartitionByRange(ranges, F.col("tenant_id"), F.col("section"), item_id)
+    return dealt.select("tenant_id", "section", item_id.alias("item_id"), "property_id", "state", "detail", "next_at",
+                        "counts_in_totals").sortWithinPartitions("tenant_id", "section", "item_id")
+
+
 def portfolio_brief(properties: DataFrame, issues: DataFrame, systems: DataFrame, commitments: DataFrame,
-                    as_of: Column, property_id: str | None = None) -> DataFrame:
+                    as_of: Column, property_id: str | None = None, ranges: int = BRIEF_RANGES) -> DataFrame:
     """The grounded brief as flat lines: one row per listed item.
 
     Closed issues stay in the list (only totals exclude them).  With a
     ``property_id`` the tenant-wide commitments drop out (A3).  Lines are
-    sorted by (tenant, section, item) with a global range-partitioned sort.
+    sorted by (tenant, section, item) with a global range-partitioned sort, the
+    whole brief in ``ranges`` partitions.
     """
     p, i, s, c = properties, issues, systems, commitments
     keys = p.select("tenant_id", F.col("id").alias("property_id"))
     if property_id is not None:
         keys = keys.where(F.col("property_id") == property_id)
-    i = i.join(keys, ["tenant_id", "property_id"], "left_semi")
-    s = s.join(keys, ["tenant_id", "property_id"], "left_semi")
+    # the children, many times as many rows, stay where they are for few keys
+    few = property_id is None and keys.count() <= FEW_PROPERTIES
+    sent = F.broadcast(keys) if few else keys
+    i = i.join(sent, ["tenant_id", "property_id"], "left_semi")
+    s = s.join(sent, ["tenant_id", "property_id"], "left_semi")
     if property_id is None:
         # one pass over the commitments; those without a property find no key
         known = keys.distinct().withColumn("_known", F.lit(True))
-        c_hit = c.join(known, ["tenant_id", "property_id"], "left").where(
+        c_hit = c.join(F.broadcast(known) if few else known, ["tenant_id", "property_id"], "left").where(
             F.col("_known").isNotNull() | F.col("property_id").isNull()).select(*c.columns)
     else:
         c_hit = c.join(keys, ["tenant_id", "property_id"], "left_semi")
-    pr = p.join(keys.withColumnRenamed("property_id", "id"), ["tenant_id", "id"], "left_semi")
+    pr = p.join(sent.withColumnRenamed("property_id", "id"), ["tenant_id", "id"], "left_semi")
 
     def line(df, section, state, detail, when_col, flag):
         return df.select(
-            "tenant_id", F.lit(section).alias("section"), F.col("id").alias("item_id"),
+            "tenant_id", F.lit(SECTIONS.index(section)).alias("section"), F.col("id").alias("item_id"),
             (F.col("id") if section == "property" else F.col("property_id")).alias("property_id"),
             state.alias("state"), detail.alias("detail"), when_col.cast("timestamp_ntz").alias("next_at"),
             flag.alias("counts_in_totals"))
@@ -291,7 +323,9 @@ def portfolio_brief(properties: DataFrame, issues: DataFrame, systems: DataFrame
         .unionByName(line(c_hit, "commitment", F.col("status"), F.col("commitment_type"),
                           F.coalesce(F.col("starts_at"), F.col("due_at")), is_upcoming(c_hit, as_of)))
     )
-    return lines.orderBy("tenant_id", "section", "item_id")
+    names = F.array(*map(F.lit, SECTIONS))
+    lines = _sorted_lines(lines, ranges) if property_id is None else lines.orderBy("tenant_id", "section", "item_id")
+    return lines.withColumn("section", F.element_at(names, F.col("section") + 1))
 
 
 def agenda(commitments: DataFrame, as_of: Column, n: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Children a member sees (J6), against a loop over members and children."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,76 @@ def test_the_brief_reads_the_commitments_once(spark):
     plan = brief._jdf.queryExecution().optimizedPlan().toString()
     # of the brief's tables only the commitments read the orders
     assert sum("o_orderkey" in line for line in plan.splitlines() if "Relation [" in line) == 1
+
+
+IDS = ["ab12", "ab1x", "AB12", "Ab12", "abc", "a", "", "0", "00", "0011", "deadbeef", "deadbeef00", "deadbeeg", "prop-1",
+       "ab12 ", " ab12", "ñandú", "ffff", "FFFF", "fff", "٣٤", None, "ab12"]
+
+
+def _brief(spark):
+    when = "timestamp_ntz'2024-01-0{} 00:00:00'"
+    props = spark.createDataFrame([("t1", "p1", "n1", "active"), ("t2", "ab12", None, None), ("t1", "p2", "n\n2", "active")],
+                                  "tenant_id string, id string, name string, status string")
+    rows = [(t, i, p) for i in IDS for t in ("t1", "t2") for p in ("p1", "ab12", "gone", None)]
+    base = spark.createDataFrame(rows, "tenant_id string, id string, property_id string")
+    issues = base.selectExpr("*", "'low' AS priority", "if(id = 'ffff', null, 'closed') AS status",
+                             f"{when.format(1)} AS due_at")
+    systems = base.selectExpr("*", "'critical' AS condition", "if(id = '', null, 'gate\n') AS system_type")
+    commitments = base.selectExpr("*", "'scheduled' AS status", "'task' AS commitment_type",
+                                  f"{when.format(2)} AS starts_at", f"{when.format(1)} AS due_at")
+    as_of = F.expr(when.format(2))
+    return P.portfolio_brief(props, issues, systems, commitments, as_of), rows
+
+
+def test_the_brief_keeps_every_id_and_sorts_mixed_ones_as_text(spark):
+    brief, rows = _brief(spark)
+    got = [tuple(r) for r in brief.collect()]
+    known = {("t1", "p1"), ("t2", "ab12"), ("t1", "p2")}
+    day = [r.next_at for r in brief.where("section = 'commitment'").select("next_at").distinct().collect()]
+    early = [r.next_at for r in brief.where("section = 'issue'").select("next_at").distinct().collect()]
+    assert len(day) == len(early) == 1 and early < day
+    want = [("t1", "property", "p1", "p1", "active", "n1", None, True), ("t1", "property", "p2", "p2", "active", "n\n2", None, True),
+            ("t2", "property", "ab12", "ab12", None, None, None, True)]
+    for t, i, p in rows:
+        if (t, p) in known:
+            want.append((t, "issue", i, p, None if i == "ffff" else "closed", "low", early[0], None if i == "ffff" else False))
+            want.append((t, "system", i, p, "critical", None if i == "" else "gate\n", None, True))
+        if (t, p) in known or p is None:
+            want.append((t, "commitment", i, p, "scheduled", "task", day[0], True))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    keys = [(t, s, b"" if i is None else b"\1" + i.encode()) for t, s, i, *_ in got]
+    assert keys == sorted(keys)
+
+
+def test_the_brief_is_dealt_out_without_sorting_and_with_packed_ids(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        brief, _ = _brief(spark)
+        plan = brief._jdf.queryExecution().executedPlan().toString()
+        line = next(x for x in plan.splitlines() if "Exchange rangepartitioning" in x)
+        # above spark.shuffle.sort.bypassMergeThreshold every map task sorts and spills its lines
+        assert int(re.search(r", (\d+)\), ", line).group(1)) <= 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    lines = spark.createDataFrame([("0123456789abcdef" * 2,), ("0123456789ABCDEF" * 2,)], "item_id string").selectExpr(
+        "*", "'t' AS tenant_id", "1 AS section", "'p' AS property_id", "'s' AS state", "'d' AS detail",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS next_at", "true AS counts_in_totals")
+    packed = P._packed(lines)
+    assert [(r.code and len(r.code), r.plain and len(r.plain)) for r in packed.collect()] == [(16, None), (None, 32)]
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_the_brief_leaves_the_children_where_they_are_for_few_properties(spark, monkeypatch, few):
+    want = sorted(map(str, _brief(spark)[0].collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as with tables above it
+    try:
+        monkeypatch.setattr(P, "FEW_PROPERTIES", few)
+        brief, _ = _brief(spark)
+        plan = brief._jdf.queryExecution().executedPlan().toString()
+        left = plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin")
+        assert (left == 0) == (few == 1000)
+        assert sorted(map(str, brief.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
